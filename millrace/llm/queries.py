@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_archive
+from . import mixing, packing, quality, token_archive
 from .common import new_path, read_table
 
 
@@ -22,12 +22,21 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.read_digests(spark, path)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.judge(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op8_packing)}
+    return {f.__name__: f for f in (op1_token_archive, op3_quality, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
