@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_archive
-from .common import new_path, read_table
+from . import media, mixing, packing, quality, token_archive
+from .common import new_path, read_table, staged
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = staged(media.text_images(read_table(spark, sf_dir, "documents")), "media")
+    return media.digests(stored)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op3_quality, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_archive, op3_quality, op6_media, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
