@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, token_archive
+from . import chat, media, mixing, packing, piece_counts, quality, token_archive, warc
 from .common import new_path, read_table, staged
 
 
@@ -22,6 +23,26 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.read_digests(spark, path)
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(staged(chat.format_conversations(conversations), "chat"))
+
+
+def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_pieces(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.judge(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -41,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op3_quality, op6_media, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
