@@ -12,11 +12,25 @@ import re
 from array import array
 
 #: Units kept for each Python worker; about 200 bytes each.
-MAX_UNITS = 500_000
+MAX_UNITS = 1_500_000
 #: Longer units are encoded anew each time.
 MAX_UNIT_CHARS = 64
 
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Letters whose lower case and composed form are a letter again, and marks that are no letters.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+_WORD = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+_SPACED_WORD = re.compile(f"(\n?)( ?[{_LETTERS}]+)([{_MARKS}]*)")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level models use for each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTES = _byte_characters()
 
 
 class _Uncuttable(Exception):
@@ -24,19 +38,43 @@ class _Uncuttable(Exception):
 
 
 class _Units(dict):
+    """Ids of units. A plain word with marks is put together from its pre-tokens; the model alone encodes a letter run."""
+
     def __init__(self, tokenizer, keeps_space: bool):
         super().__init__()
-        self.tokenizer, self.keeps_space = tokenizer, keeps_space
+        self.tokenizer, self.model, self.keeps_space = tokenizer, tokenizer.model, keeps_space
 
     def __missing__(self, unit: str) -> bytes:
-        if self.keeps_space and unit[-1].isspace() and unit.strip(" \n"):
-            # White space other than blank or line feed before a cut could join what follows.
-            raise _Uncuttable
-        ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        ids = self._spaced(unit) if self.keeps_space else self._plain(unit)
+        if ids is None:
+            ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if len(unit) <= MAX_UNIT_CHARS:
             self[unit] = ids
         return ids
 
+    def _letters(self, run: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _plain(self, unit: str) -> bytes | None:
+        if (m := _WORD.fullmatch(unit)) is None:
+            return None
+        run, marks = m.groups()
+        lower = run.lower()
+        if marks or lower != run:
+            return self[lower] + (self[marks] if marks else b"")
+        return self._letters(run)
+
+    def _spaced(self, unit: str) -> bytes | None:
+        if (m := _SPACED_WORD.fullmatch(unit)) is None:
+            if unit[-1].isspace() and unit.strip(" \n"):
+                # White space other than blank or line feed before a cut could join what follows.
+                raise _Uncuttable
+            return None
+        feed, run, marks = m.groups()
+        if feed or marks:
+            return (self[feed] if feed else b"") + self[run] + (self[marks] if marks else b"")
+        return self._letters(run)
+
 
 class Encoder:
     """``encode(text)``: the ids of ``tokenizers`` as little-endian unsigned 32-bit integers."""

@@ -50,13 +50,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     """
     import zstandard
 
-    rows = (
-        docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-        .where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
-        .orderBy(F.xxhash64("i", F.lit("dictionary")), "i", "t")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
+    n = docs.count()
+    if n > 4 * SAMPLE_DOCS:
+        # Rows with hashes in a range that should hold twice the sample: tasks send few rows to the driver, however many tasks there are.
+        chosen = chosen.where(F.pmod(F.xxhash64("i", F.lit("dictionary")), F.lit(1 << 40)) < int((1 << 40) * 2 * SAMPLE_DOCS / n))
+    rows = chosen.orderBy(F.xxhash64("i", F.lit("dictionary")), "i", "t").limit(SAMPLE_DOCS).collect()
     enc = encoder(tokenizer_path, False)
     arrays = [enc.encode(r.t) + struct.pack("<I", end_id) for r in rows]
     try:
