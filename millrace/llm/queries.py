@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, ngram_join, packing, piece_counts, quality, token_archive, warc
+from . import chat, media, mixing, ngram_join, packing, piece_counts, quality, secrets, token_archive, warc
 from .common import new_path, read_table, staged
 
 
@@ -57,6 +57,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(read_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
