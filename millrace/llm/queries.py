@@ -69,8 +69,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
