@@ -7,13 +7,548 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import privacy, text
+from ..operators import ledger, runs, sessions, shards, translation, usage, validate
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def doc_path():
+    return F.concat(F.lit("documents/"), F.col("doc_id").cast("string"))
+
+
+# ---- shards -------------------------------------------------------------------------
+
+_WINDOWS = """select *, (i * {step})::bigint as start_char, substr(text, (i * {step} + 1)::bigint, {chunk}) as shard_text
+  from (select *, unnest(range(0, greatest(0, ceil((length(text) - {chunk}) / {step}::double))::bigint + 1)) as i from documents where length(text) > 0)"""
+
+
+@query(
+    "select doc_id, i::bigint as chunk_index, start_char, start_char + length(shard_text) as end_char, sha256(shard_text) as shard_sha256,"
+    " 'source:' || substr(sha256('documents/' || doc_id || chr(0) || sha256(text)), 1, 16) || ':chunk:' || lpad((i + 1)::varchar, 6, '0') as shard_id from (" + _WINDOWS.format(step=900, chunk=1000) + ")"
+)
+def text_shards(spark, d):
+    df = shards.text_shards(table(spark, d, "documents"), doc_path())
+    return df.select("doc_id", F.col("chunk_index").cast("long"), F.col("start_char").cast("long"), F.col("end_char").cast("long"), "shard_sha256", "shard_id")
+
+
+@query("select source, count(*) as n_shards, sum(length(shard_text))::bigint as shard_chars from (" + _WINDOWS.format(step=900, chunk=1000) + ") group by source")
+def shard_counts_by_source(spark, d):
+    df = shards.text_shards(table(spark, d, "documents"), doc_path())
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("n_shards"), F.sum(F.length("shard_text")).alias("shard_chars"))
+
+
+@query(
+    "select doc_id, n::bigint as n_shards, (length(text) + greatest(0, n - 1) * 100)::bigint as shard_chars, n > 0 and n <= 10000 and length(text) + greatest(0, n - 1) * 100 <= 134217728 as allowed"
+    " from (select doc_id, text, case when length(text) = 0 then 0 else greatest(0, ceil((length(text) - 1000) / 900.0::double)) + 1 end as n from documents)"
+)
+def shard_plan_bounds(spark, d):
+    return shards.plan_bounds(table(spark, d, "documents")).select("doc_id", "n_shards", "shard_chars", "allowed")
+
+
+@query(
+    """with r as (select conv_id % 16 as file, row_number() over (partition by conv_id % 16 order by conv_id, turn) as row, octet_length(encode(text)) + 1 as bytes from conversations),
+    s as (select *, sum(bytes) over (partition by file order by row) as byte_end from r)
+    select file, ((row - 1) // 10)::bigint as chunk_index, min(row) as row_start, max(row) as row_end, count(*) as row_count, min(byte_end - bytes)::bigint as byte_start, max(byte_end)::bigint as byte_end,
+    file::varchar || ':rows:' || lpad(min(row)::varchar, 8, '0') || '-' || lpad(max(row)::varchar, 8, '0') as shard_id from s group by file, (row - 1) // 10"""
+)
+def row_shards(spark, d):
+    rows = table(spark, d, "conversations").withColumn("file", F.col("conv_id") % 16)
+    return shards.row_shards(rows, "file", ["conv_id", "turn"], F.col("text"), 10)
+
+
+@query("select doc_id, greatest(1, ceil(length(text) / 500.0::double))::bigint as n_shards, sha256(text) as output_sha256 from documents where length(text) > 0")
+def reconcile_roundtrip(spark, d):
+    df = shards.text_shards(table(spark, d, "documents"), doc_path(), chunk=500, overlap=0)
+    return shards.reconcile(df, "doc_id", "chunk_index", "shard_text", "").select("doc_id", "n_shards", "output_sha256")
+
+
+@query("select source, count(*) as n_shards, sha256(string_agg(text, chr(10) || chr(10) order by doc_id)) as output_sha256 from documents group by source")
+def reconcile_by_source(spark, d):
+    return shards.reconcile(table(spark, d, "documents"), "source", "doc_id", "text").select("source", "n_shards", "output_sha256")
+
+
+@query()
+def chapter_segments(spark, d):
+    return shards.chapter_segments(table(spark, d, "documents"), "doc_id")
+
+
+@query()
+def book_shards(spark, d):
+    return shards.book_shards(table(spark, d, "documents"), "doc_id").select("doc_id", "chapter", "chapter_index", "chunk_index", "start_char", "end_char", "shard_sha256")
+
+
+@query("select doc_id::varchar || ':page:' || lpad(p::varchar, 6, '0') as shard_id, doc_id, n as page_count, p::bigint as page_number from (select doc_id, n, unnest(range(1, n + 1)) as p from (select doc_id, (n_chars // 3000 + 1)::bigint as n from documents))")
+def page_shards(spark, d):
+    docs = table(spark, d, "documents").withColumn("pages", F.floor(F.col("n_chars") / 3000) + 1)
+    return shards.page_shards(docs, "doc_id", "pages").select("shard_id", "doc_id", "page_count", F.col("page_number").cast("long"))
+
+
+# ---- privacy ------------------------------------------------------------------------
+
+_RE2 = [(c, s, p.replace(r"\z", "$").replace("'", "''")) for c, s, p in privacy.SIGNALS]
+
+
+def _found_sql(key: str, column: str, source: str) -> str:
+    return " union all ".join(f"select {key}, '{c}' as category, '{s}' as signal, '{'warning' if c == 'discussion' else 'blocker'}' as severity from {source} where regexp_matches({column}, '{p}')" for c, s, p in _RE2)
+
+
+_NOT_ENTROPY = f"signal <> '{privacy.ENTROPY_SIGNAL[1]}'"
+
+
+@query(_found_sql("doc_id", "text", "documents"))
+def privacy_findings(spark, d):
+    return privacy.classify(table(spark, d, "documents"), F.col("text"), "doc_id").where(_NOT_ENTROPY)
+
+
+@query(_found_sql("page_id", "html", "pages"))
+def privacy_findings_pages(spark, d):
+    return privacy.classify(table(spark, d, "pages"), F.col("html"), "page_id").where(_NOT_ENTROPY)
+
+
+@query("select signal, severity, count(*) as items from (" + _found_sql("conv_id, turn", "text", "conversations") + ") group by signal, severity")
+def privacy_findings_conversations(spark, d):
+    return privacy.classify(table(spark, d, "conversations"), F.col("text"), "conv_id", "turn").where(_NOT_ENTROPY).groupBy("signal", "severity").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(
+    "with f as (" + _found_sql("doc_id", "text", "documents") + "), r as (select doc_id, max(case category when 'local_private' then 1 when 'personal_sensitive' then 2 when 'client_sensitive' then 3 when 'health_genetics' then 4 when 'secrets_or_credentials' then 5 else 0 end) as r, count(*) as n from f where severity = 'blocker' group by doc_id)"
+    " select case coalesce(r, 0) when 0 then 'non_sensitive_bulk' when 1 then 'local_private' when 2 then 'personal_sensitive' when 3 then 'client_sensitive' when 4 then 'health_genetics' else 'secrets_or_credentials' end as egress_class, count(*) as documents, coalesce(sum(n), 0)::bigint as blockers from documents left join r using (doc_id) group by 1"
+)
+def privacy_report(spark, d):
+    found = F.filter(privacy.findings(F.col("text")), lambda f: f["signal"] != privacy.ENTROPY_SIGNAL[1])
+    df = table(spark, d, "documents").select(privacy.privacy_class(found).alias("egress_class"), F.size(F.filter(found, lambda f: f["severity"] == "blocker")).cast("long").alias("n"))
+    return df.groupBy("egress_class").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("blockers"))
+
+
+@query(
+    """with c as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_+/=-]+')) as run from documents),
+    r as (select doc_id, run, row_number() over () as k from c where length(run) between 24 and 200 and regexp_matches(run, '[A-Za-z]') and regexp_matches(run, '[0-9]')),
+    h as (select k, ch, count(*) as n from (select k, unnest(string_split(run, '')) as ch from r) group by k, ch),
+    e as (select k, count(*) as kinds, -sum(n::double / t * log2(n::double / t)) as bits from (select *, sum(n) over (partition by k) as t from h) group by k)
+    select doc_id, run, count(*) as times, round(max(bits), 6) as bits from r join e using (k) where kinds >= 10 and bits >= 3.5 group by doc_id, run"""
+)
+def high_entropy_runs(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.explode(privacy.high_entropy_runs(F.col("text"))).alias("run"))
+    return df.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("times")).withColumn("bits", F.round(privacy.entropy(F.col("run")), 6))
+
+
+# ---- usage, cost, budget ------------------------------------------------------------
+
+
+def conversation_messages(spark, d) -> DataFrame:
+    df = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return df.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+@query("select count(*) as item_count, sum(c)::bigint as characters, ceil(sum(c) / 4)::bigint as prompt_tokens, (count(*) * 256)::bigint as completion_tokens from (select conv_id, length(string_agg(role || ':' || text, chr(10))) as c from conversations group by conv_id)")
+def usage_estimate(spark, d):
+    df = conversation_messages(spark, d).withColumn("c", usage.item_characters(F.lit(None).cast("string"), F.col("messages")))
+    return usage.usage(df, "c", 256)
+
+
+_JSON = "'{\"role\":\"' || role || '\",\"content\":' || to_json(text)::varchar || '}'"
+
+
+@query(f"select conv_id, round((octet_length(encode('[' || string_agg({_JSON}, ',' order by turn) || ']')) + 64 * count(*)) * 0.27 / 1e6 + 256 * 1.1 / 1e6, 8) as reserved_usd from conversations group by conv_id")
+def budget_reservation(spark, d):
+    return conversation_messages(spark, d).select("conv_id", usage.reservation(F.col("messages"), F.lit(256), 0.27, 1.1).alias("reserved_usd"))
+
+
+@query(
+    "with e as (select event_type, nullif(json_extract_string(props, '$.k')::bigint, 0) as k, case when value >= 10 then value end as v from events)"
+    " select event_type, count(*) as item_count, count(k) as items_with_usage, coalesce(sum(k), 0)::bigint as prompt_tokens, coalesce(sum(k * 2), 0)::bigint as completion_tokens, coalesce(sum(k * 3), 0)::bigint as total_tokens,"
+    " round(sum(v), 2) as cost_usd, case when count(v) = count(*) then round(sum(v), 2) end as charged_usd from e group by event_type"
+)
+def cost_ledger(spark, d):
+    k = F.nullif(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    e = table(spark, d, "events").select("event_type", k.alias("p"), (k * 2).alias("c"), F.when(F.col("value") >= 10, F.col("value")).alias("v"))
+    df = usage.cost_ledger(e, "p", "c", "v", "event_type")
+    return df.withColumn("cost_usd", F.round("cost_usd", 2)).withColumn("charged_usd", F.round("charged_usd", 2))
+
+
+@query("select user_id, event_id, round(sum(value) over (partition by user_id order by ts range between interval 24 hours preceding and current row), 4) as spend from events")
+def rolling_spend(spark, d):
+    return usage.rolling_spend(table(spark, d, "events"), "user_id", "ts", F.col("value")).select("user_id", "event_id", F.round("spend", 4).alias("spend"))
+
+
+@query()
+def budget_admission(spark, d):
+    return usage.admit(table(spark, d, "events"), "user_id", "ts", "value", 300.0)
+
+
+@query("select event_id, case when k is null then 'retained_conservative' when value > k * 10 + 1e-9 then 'overrun' else 'reconciled' end as settled from (select event_id, value, nullif(json_extract_string(props, '$.k')::bigint, 0) as k from events)")
+def budget_settlement(spark, d):
+    k = F.nullif(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    return table(spark, d, "events").select("event_id", usage.settle(k * 10, F.when(k.isNotNull(), F.col("value"))).alias("settled"))
+
+
+@query("select conv_id, turn, case when turn % 3 = 0 then round((length(text) * 0.0028 + length(role) * 0.14 + turn * 0.28) / 1e6, 8) when turn % 3 = 1 then round((length(text) * 0.003625 + length(role) * 0.435 + turn * 0.87) / 1e6, 8) end as cost_usd from conversations")
+def chat_costs(spark, d):
+    model = F.element_at(F.array(F.lit("flash"), F.lit("pro"), F.lit("other")), (F.col("turn") % 3 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", usage.chat_cost(model, F.length("text"), F.length("role"), F.col("turn")).alias("cost_usd"))
+
+
+# ---- ledgers ------------------------------------------------------------------------
+
+_STATE = "case o_orderkey % 9 when 0 then 'pending' when 1 then 'leased' when 2 then 'running' when 3 then 'quarantined' when 4 then 'cancelled' when 5 then 'failed' when 6 then 'failed' else 'succeeded' end"
+_SHARDS = f"(select o_orderkey as shard, o_custkey as job, {_STATE} as status, o_orderkey % 4 as attempts, o_orderdate as day, (o_orderkey * 7919 % 1000 + 1)::bigint as bytes from orders)"
+
+
+def ledger_rows(spark, d) -> DataFrame:
+    """A ledger from orders: an order is a shard, its customer the job."""
+    df = table(spark, d, "orders").selectExpr("o_orderkey as shard", "o_custkey as job", f"{_STATE} as status", "o_orderkey % 4 as attempts", "o_orderdate as day", "cast(o_orderkey * 7919 % 1000 + 1 as bigint) as bytes")
+    return df.withColumn("next_retry_at", F.col("day").cast("timestamp") + F.expr("interval 1 day"))
+
+
+@query(f"select job, status, count(*) as n from {_SHARDS} group by job, status")
+def status_counts_sparse(spark, d):
+    return ledger.status_counts(ledger_rows(spark, d), "job", "status").select("job", F.explode("counts").alias("status", "n"))
+
+
+@query("select " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ledger.SHARD_STATES) + f", count(*) as total, job from {_SHARDS} group by job")
+def status_counts_dense(spark, d):
+    return ledger.dense_counts(ledger_rows(spark, d), "status", ledger.SHARD_STATES, "job")
+
+
+@query(f"select job, case when bool_or(status = 'cancelled') then 'cancelled' when bool_or(status = 'failed') then 'failed' else 'completed' end as run_status from {_SHARDS} group by job")
+def run_status(spark, d):
+    return ledger.run_status(ledger_rows(spark, d), "status", "job")
+
+
+@query(
+    f"select job, case when bool_or(status in ('pending', 'leased', 'running') or status = 'failed' and attempts < 2) then 'running' when bool_or(status = 'quarantined' or status = 'failed' and attempts >= 2) then 'failed' else 'completed' end as job_status, count(*) filter (status = 'succeeded') as completed, count(*) as total from {_SHARDS} group by job"
+)
+def job_status(spark, d):
+    return ledger.job_status(ledger_rows(spark, d), "status", "attempts", 2, "job")
+
+
+_NOW = "1997-06-01 00:00:00"
+
+
+@query(
+    f"""with s as (select *, status = 'failed' and attempts >= 2 as spent, status in ('pending', 'leased', 'running') or status = 'failed' and attempts < 2 and day + interval 1 day <= timestamp '{_NOW}' as can from {_SHARDS}),
+    t as (select *, sum(can::int) over (partition by job order by shard) as nth from s)
+    select job, shard, case when spent then 'quarantine' when can and nth <= 3 then 'run' when can or status = 'failed' then 'wait' else 'skip' end as action from t"""
+)
+def shard_selection(spark, d):
+    return ledger.select_shards(ledger_rows(spark, d), "job", "shard", 3, 2, F.lit(_NOW).cast("timestamp")).select("job", "shard", "action")
+
+
+@query(f"select shard, case when attempts < 3 then epoch_us(day::timestamp) + 30000000 * greatest(1, attempts) end as next_retry_us from {_SHARDS}")
+def retry_backoff(spark, d):
+    return ledger_rows(spark, d).select("shard", F.unix_micros(ledger.next_retry(F.col("attempts"), F.lit(3), F.col("day").cast("timestamp"))).alias("next_retry_us"))
+
+
+@query(
+    f"""with s as (select job, shard, bytes, sum(case when bytes <= 900 then bytes else 0 end) over w as b, sum((bytes <= 900)::int) over w as c from {_SHARDS} window w as (partition by job order by shard))
+    select job, shard, case when b > 2500 or c > 5 then 'left' when bytes <= 900 then 'batch' else 'quarantined' end as placed from s"""
+)
+def batch_prefix(spark, d):
+    return ledger.batch_prefix(ledger_rows(spark, d), "job", "shard", "bytes", 2500, 5, 900).select("job", "shard", "placed")
+
+
+@query()
+def batch_pack(spark, d):
+    return ledger.pack_batches(ledger_rows(spark, d), "job", "shard", "bytes", 2500, 5)
+
+
+@query(f"select job, count(*) <= 25 and max(bytes) <= 16000 and sum(bytes) <= 16000 as fits from {_SHARDS} group by job")
+def fits_one_batch(spark, d):
+    return ledger.fits_one_batch(ledger_rows(spark, d), "bytes", 16000, 25, "job")
+
+
+@query("select o_orderkey, case when l.n is null then o_orderstatus else 'C' end as o_orderstatus, case when l.n is null then o_totalprice else l.n::double end as o_totalprice from orders left join (select l_orderkey, count(*) as n from lineitem where l_orderkey % 5 = 0 group by l_orderkey) l on l_orderkey = o_orderkey")
+def checkpoint_overlay(spark, d):
+    old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").count().selectExpr("l_orderkey as o_orderkey", "'C' as o_orderstatus", "cast(count as double) as o_totalprice")
+    return ledger.overlay(old, new, "o_orderkey")
+
+
+@query(f"select s.shard, case when r.shard is not null and r.ok then 'succeeded' else 'failed' end as status, case when r.ok then null else coalesce(r.error, 'batch_item_not_completed') end as last_error from {_SHARDS} s left join (select o_orderkey as shard, o_orderkey % 2 = 0 as ok, case when o_orderkey % 4 = 1 then 'boom' end as error from orders where o_orderkey % 3 <> 0) r using (shard)")
+def batch_results(spark, d):
+    results = table(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_orderkey as shard", "case when o_orderkey % 2 = 0 then 'completed' else 'failed' end as status", "case when o_orderkey % 4 = 1 then 'boom' end as error", "'x' as output")
+    return ledger.apply_results(ledger_rows(spark, d), results, "shard").select("shard", "status", "last_error")
+
+
+@query(
+    "select user_id, arg_max(event_type, (ts, event_id)) as state, count(*) filter (event_type = 'click') as clicks, min(ts) filter (event_type in ('purchase', 'signup')) as first_at, count(*) as events from events group by user_id"
+)
+def event_fold(spark, d):
+    e = table(spark, d, "events").withColumn("state", F.when(F.col("event_type") == "click", "running").when(F.col("event_type").isin("purchase", "signup"), "leased").otherwise(F.col("event_type")))
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.min(F.when(F.col("event_type").isin("purchase", "signup"), F.col("ts"))).alias("first_at"))
+    return ledger.latest_state(e, "user_id", "ts", "event_id", "state").select("user_id", F.col("attempts").alias("clicks"), "events").join(last, "user_id")
+
+
+@query("select reason, doc_id from (select 'only_in_documents' as reason, doc_id from documents where doc_id not in (select doc_id from labels) union all select 'only_in_labels', doc_id from labels where doc_id not in (select doc_id from documents))")
+def coverage_diff(spark, d):
+    return ledger.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", ("documents", "labels"))
+
+
+@query("select text, count(*) as n from documents group by text having count(*) > 1")
+def duplicate_keys(spark, d):
+    return ledger.duplicates(table(spark, d, "documents"), "text")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def source_anti_join(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("select s_suppkey, s_name from supplier order by s_name <= 'Supplier#000000005', s_name limit 4")
+def fair_selection(spark, d):
+    return ledger.fair_selection(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_name", "Supplier#000000005", 4)
+
+
+@query(
+    """select doc_id as shard_id, unnest(list_filter([case when doc_id % 7 = 0 then 'proof_manifest_shard_missing' end, case when doc_id % 7 <> 0 and doc_id % 5 = 0 then 'proof_job_mismatch' end,
+    case when doc_id % 7 <> 0 and (doc_id % 11 = 0) then 'proof_input_hash_mismatch' end, case when doc_id % 7 <> 0 and doc_id % 13 = 0 then 'proof_commit_mismatch' end], lambda x: x is not null)) as reason from documents"""
+)
+def proof_mismatches(spark, d):
+    docs = table(spark, d, "documents")
+    sha = F.sha2("text", 256)
+    rows = docs.select(F.col("doc_id").alias("shard_id"), F.lit("succeeded").alias("status"), F.lit("job").alias("job_id"), F.col("source").alias("source_id"), F.lit("copy_text.v1").alias("processor_version"), sha.alias("input_sha256"), sha.alias("output_sha256"), F.lit("t0").alias("committed_at"))
+    proofs = docs.select(F.col("doc_id").alias("shard_id"), F.lit(ledger.PROOF_SCHEMA_VERSION).alias("schema_version"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise("job").alias("job_id"), F.col("source").alias("source_id"), F.lit("copy_text.v1").alias("processor_version"), F.when(F.col("doc_id") % 11 == 0, F.lit("0")).otherwise(sha).alias("input_sha256"), sha.alias("output_sha256"), F.when(F.col("doc_id") % 13 == 0, "t1").otherwise("t0").alias("committed_at"))
+    manifest = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("shard_id"), sha.alias("expected_sha256"))
+    return ledger.proof_mismatches(rows, proofs, manifest, ["copy_text.v1"])
+
+
+# ---- runs ---------------------------------------------------------------------------
+
+
+@query("select o_orderkey, regexp_extract(o_orderkey::varchar, '(\\d+)$', 1)::bigint % 7 = 0 or o_orderkey in (1, 2, 3) as fails from orders")
+def failure_injection(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", runs.fails(F.col("o_orderkey").cast("string"), ["1", "2", "3"], 7).alias("fails"))
+
+
+@query("select doc_id, 'fake:' || doc_id || ':' || substr(sha256('{\"project\":\"p\",\"item\":{\"id\":\"' || doc_id || '\",\"prompt\":' || to_json(text)::varchar || '}}'), 1, 12) as completion from documents")
+def fake_completions(spark, d):
+    i = F.col("doc_id").cast("string")
+    payload = F.to_json(F.struct(F.lit("p").alias("project"), F.struct(i.alias("id"), F.col("text").alias("prompt")).alias("item")))
+    return table(spark, d, "documents").select("doc_id", runs.fake_completion(i, payload).alias("completion"))
+
+
+@query(f"select conv_id, turn, '{{\"model\":\"m\",\"messages\":[' || {_JSON} || ']' || case when turn % 2 = 0 then ',\"max_tokens\":64' else '' end || '}}' as request from conversations")
+def dry_run_requests(spark, d):
+    m = F.array(F.struct("role", F.col("text").alias("content")))
+    return table(spark, d, "conversations").select("conv_id", "turn", runs.request_json("m", m, F.lit(None).cast("double"), F.when(F.col("turn") % 2 == 0, 64)).alias("request"))
+
+
+@query("select p_type, model, count(*) as items from part cross join (values ('flash'), ('pro')) m(model) group by p_type, model")
+def model_comparison(spark, d):
+    return runs.compare_models(table(spark, d, "part"), ["flash", "pro"]).groupBy("p_type", "model").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("select r_regionkey, r_name || '-r1-i' || (n + 1) as item_id from (select n, n % (select count(*) from region) as pos from range(40) t(n)) join (select *, row_number() over (order by r_name) - 1 as pos from region) using (pos)")
+def scale_ramp_items(spark, d):
+    return runs.expand_items(table(spark, d, "region"), "r_name", 40).select("r_regionkey", "item_id")
+
+
+@query("select source, round(count(*) / (sum(n_chars) / 1000.0::double), 2) as items_per_second from documents group by source")
+def item_rates(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(runs.rate(F.count(F.lit(1)), F.sum("n_chars")).alias("items_per_second"))
+
+
+@query(
+    "select p_type, case when dist <= greatest(2, floor(length(p_type) / 3)) then cmd end as closest, dist as distance from (select p_type, cmd, levenshtein(p_type, cmd) as dist, row_number() over (partition by p_type order by levenshtein(p_type, cmd), cmd) as k from (select distinct p_type from part) cross join (values ('ECONOMY'), ('STANDARD BRASS'), ('PROMO'), ('SMALL STEEL')) c(cmd)) where k = 1"
+)
+def closest_command(spark, d):
+    return runs.closest(table(spark, d, "part").select("p_type").distinct(), "p_type", ["ECONOMY", "STANDARD BRASS", "PROMO", "SMALL STEEL"]).select("p_type", "closest", "distance")
+
+
+@query(
+    """with r as (select o_orderkey, case when o_orderkey % 3 = 0 then 'live' when o_orderkey % 3 = 1 then 'fake' else 'dry-run' end as transport, o_orderkey % 4 = 0 as private, o_orderkey % 5 = 0 as inject, o_orderkey % 11 = 0 as writes, (o_orderkey % 30)::int as concurrency, o_totalprice / 50000 as cap, o_orderkey % 2 = 0 as capped from orders)
+    select o_orderkey, array_to_string(list_filter([case when writes then 'canonical_writes_must_be_false' end, case when transport = 'live' and inject then 'failure_injection_not_allowed_for_live' end, case when transport = 'live' and private then 'live_requires_non_sensitive_bulk_egress' end, case when transport = 'live' then 'live_call_not_enabled_by_caller' end, case when transport = 'live' then 'signed_approval_receipt_required_for_live' end, case when transport = 'live' and not capped then 'max_tokens_required_for_live' end, case when transport = 'live' and concurrency > 20 then 'live_concurrency_cap_exceeded_20' end, case when transport = 'live' and cap > 5 then 'live_cost_cap_exceeded_5' end, case when transport = 'live' then 'api_key_not_present' end], lambda x: x is not null), ',') as blockers,
+    array_to_string(list_filter([case when transport = 'dry-run' then 'request_shape_only_no_network_call' end, case when transport <> 'live' and inject then 'failure_injection_enabled_for_local_transport' end, case when transport <> 'live' and private then 'non_external_transport_selected_for_sensitive_or_private_egress' end], lambda x: x is not null), ',') as warnings, transport <> 'live' and not writes as ok from r"""
+)
+def execution_plans(spark, d):
+    receipt = "struct<status:string,issuer:string,issued_at:timestamp,expires_at:timestamp,model:string,egress_class:string,payload_sha256:string,max_items:int,max_concurrency:int,max_cost_usd:double,daily_cost_cap_usd:double>"
+    df = table(spark, d, "orders").selectExpr(
+        "o_orderkey", "case when o_orderkey % 3 = 0 then 'live' when o_orderkey % 3 = 1 then 'fake' else 'dry-run' end as transport", "case when o_orderkey % 4 = 0 then 'local_private' else 'non_sensitive_bulk' end as egress_class", "'non_sensitive_bulk' as recommended_class", "o_orderkey % 11 = 0 as canonical_writes", "false as external_side_effects", "o_orderkey % 5 = 0 as failure_injection",
+        "case when o_orderkey % 2 = 0 then 256 end as max_tokens", "cast(o_orderkey % 30 as int) as concurrency", "o_totalprice / 50000 as cost_cap_usd", "cast(null as double) as reserved_usd", "'text' as response_format", f"cast(null as {receipt}) as receipt", "'x' as payload_sha256", "'m' as model", "1 as item_count",
+    )
+    return runs.plan(df, F.lit(_NOW).cast("timestamp")).select("o_orderkey", F.array_join("blockers", ",").alias("blockers"), F.array_join("warnings", ",").alias("warnings"), "ok")
+
+
+# ---- translation --------------------------------------------------------------------
+
+_PAIRS = "(select a.doc_id, b.doc_id as other_id, a.text as s, b.text as t, a.lang as sl, b.lang as tl from documents a join documents b on b.doc_id = a.doc_id + 1)"
+_GLOSSARY = [("token", "token"), ("the", "the"), ("der", "die"), ("que", "que")]
+
+
+def translation_pairs(spark, d) -> DataFrame:
+    a, b = (table(spark, d, "documents").select(F.col("doc_id").alias(i), F.col("text").alias(t), F.col("lang").alias(lang)) for i, t, lang in (("doc_id", "s", "sl"), ("other_id", "t", "tl")))
+    return a.join(b, F.col("other_id") == F.col("doc_id") + 1)
+
+
+@query(
+    f"""with q as (select *, length(t)::double / nullif(length(s), 0) as ratio, len(regexp_extract_all(s, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as sw, len(regexp_extract_all(t, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as tw, list_filter([{', '.join(f"case when contains(lower(s), '{a}') and not contains(t, '{b}') then '{b}' end" for a, b in _GLOSSARY)}], lambda x: x is not null) as missing from {_PAIRS})
+    select doc_id, length(s) as source_chars, length(t) as output_chars, sw::bigint as source_words, tw::bigint as output_words, round(ratio, 6) as length_ratio, array_to_string(missing, ',') as missing_terms,
+    array_to_string(list_filter([case when sl <> tl and s = t then 'unchanged_nontrivial_output' end, case when len(missing) > 0 then 'glossary_terms_missing' end, case when length(s) >= 8 and (ratio < 0.25 or ratio > 4) then 'length_ratio_out_of_bounds' end], lambda x: x is not null), ',') as blockers from q"""
+)
+def translation_qa(spark, d):
+    q = translation.quality(F.col("s"), F.col("t"), F.col("sl"), F.col("tl"), _GLOSSARY)
+    # Placeholder patterns need lookarounds, which the oracle's engine lacks: tests cover them.
+    df = translation_pairs(spark, d).select("doc_id", q.alias("q"))
+    return df.select("doc_id", "q.source_chars", "q.output_chars", "q.source_words", "q.output_words", "q.length_ratio", F.array_join("q.missing_terms", ",").alias("missing_terms"), F.array_join(F.filter("q.blockers", lambda b: b != "placeholders_lost"), ",").alias("blockers"))
+
+
+@query("select doc_id, source_term, target_term from documents join (values ('token', 'jeton'), ('example.com', 'exemple'), ('THE', 'le')) g(source_term, target_term) on contains(lower(text), lower(source_term))")
+def glossary_required(spark, d):
+    g = translation.glossary_table(spark, [("token", "jeton"), ("example.com", "exemple"), ("THE", "le")])
+    return translation.required_terms(table(spark, d, "documents"), "text", g).select("doc_id", "source_term", "target_term")
+
+
+_MEMORY = "(select 'ns' as namespace, sha256(nfc_normalize(replace(text, chr(13) || chr(10), chr(10)))) as source_sha256, 'en' as source_lang, 'fr' as target_lang, '' as glossary_sha256, max('t:' || substr(text, 1, 20)) as target_text, bool_and(item_id % 3 <> 0) as ok from benchmark group by text)"
+
+
+def memory_rows(spark, d) -> DataFrame:
+    df = table(spark, d, "benchmark").groupBy("text").agg(F.bool_and(F.col("item_id") % 3 != 0).alias("ok"))
+    digest = F.repeat(F.lit("a"), F.lit(64))
+    return df.select(F.lit("ns").alias("namespace"), translation.memory_key(F.col("text")).alias("source_sha256"), F.lit("en").alias("source_lang"), F.lit("fr").alias("target_lang"), F.lit(None).cast("string").alias("glossary_sha256"), F.concat(F.lit("t:"), F.substring("text", 1, 20)).alias("target_text"), F.when(F.col("ok"), "receipt").alias("review_receipt_id"), F.lit("owner").alias("reviewer"), digest.alias("review_payload_sha256"), F.lit("2024-01-01").alias("reviewed_at"), F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
+
+@query(f"select item_id, target_text from (select item_id, sha256(nfc_normalize(text)) as source_sha256 from benchmark union all select -doc_id - 1, sha256(nfc_normalize(text)) from documents) left join (select * from {_MEMORY} where ok) using (source_sha256)")
+def memory_lookup(spark, d):
+    asked = table(spark, d, "benchmark").select("item_id", "text").unionByName(table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("item_id"), "text"))
+    keys = asked.select("item_id", F.lit("ns").alias("namespace"), translation.memory_key(F.col("text")).alias("source_sha256"), F.lit("en").alias("source_lang"), F.lit("fr").alias("target_lang"), F.lit(None).cast("string").alias("glossary_sha256"))
+    return translation.lookup(keys, memory_rows(spark, d)).select("item_id", "target_text")
+
+
+@query(
+    f"select coalesce(m.source_sha256, n.source_sha256) as source_sha256, case when n.source_sha256 is not null then 'new' else m.target_text end as target_text, case when m.source_sha256 is null then 9 else 0 end::bigint as created_at, case when n.source_sha256 is not null then 9 else 0 end::bigint as updated_at, case when n.source_sha256 is not null then m.source_sha256 is null end as inserted from {_MEMORY} m full join (select distinct sha256(nfc_normalize(text)) as source_sha256 from (select text from benchmark where item_id % 2 = 0 union select text from documents where doc_id % 50 = 0)) n using (source_sha256)"
+)
+def memory_upsert(spark, d):
+    old = memory_rows(spark, d)
+    texts = table(spark, d, "benchmark").where("item_id % 2 = 0").select("text").union(table(spark, d, "documents").where("doc_id % 50 = 0").select("text")).distinct()
+    new = texts.select(F.lit("ns").alias("namespace"), translation.memory_key(F.col("text")).alias("source_sha256"), F.lit("en").alias("source_lang"), F.lit("fr").alias("target_lang"), F.lit(None).cast("string").alias("glossary_sha256"), F.lit("new").alias("target_text"), F.lit("r").alias("review_receipt_id"), F.lit("o").alias("reviewer"), F.lit("x").alias("review_payload_sha256"), F.lit("d").alias("reviewed_at"))
+    return translation.upsert(old, new, F.lit(9).cast("long")).select("source_sha256", "target_text", "created_at", "updated_at", "inserted")
+
+
+@query(f"select count(*) as entries, count(distinct namespace) as namespaces, count(distinct source_sha256) as sources, count(distinct source_lang || target_lang) as language_pairs, count(distinct nullif(glossary_sha256, '')) as glossaries from {_MEMORY} where ok")
+def memory_stats(spark, d):
+    return translation.memory_stats(memory_rows(spark, d))
+
+
+# ---- sessions -----------------------------------------------------------------------
+
+
+@query(
+    """with m as (select *, row_number() over (partition by conv_id order by turn) - 1 as position, count(*) over (partition by conv_id) as n from conversations),
+    s as (select *, case when n > 3 then coalesce(max(position) filter (role = 'user' and position <= n - 3) over (partition by conv_id), 0) else 0 end as start from m)
+    select conv_id, turn, role, position from s where position >= start"""
+)
+def history_window(spark, d):
+    return sessions.history_window(table(spark, d, "conversations"), "conv_id", ["turn"], "role", 3).select("conv_id", "turn", "role", "position")
+
+
+@query("select conv_id, ceil(sum(length(text)) / 4)::bigint as tokens from conversations group by conv_id")
+def context_tokens(spark, d):
+    return sessions.context_tokens(table(spark, d, "conversations"), F.col("text"), "conv_id")
+
+
+@query("select conv_id, count(*) as message_count, sum(length(text))::bigint as total_tokens, min(turn) as created_at, max(turn) as updated_at from conversations group by conv_id")
+def session_totals(spark, d):
+    return sessions.session_totals(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"))
+
+
+@query("select user_id, max(ts) as updated_at from events group by user_id order by updated_at desc, user_id desc limit 10")
+def top_sessions(spark, d):
+    return sessions.newest(table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at")), "updated_at", "user_id", 10)
+
+
+@query("select event_id, event_type from events order by event_id limit 50 offset 120")
+def paged_messages(spark, d):
+    return sessions.page(table(spark, d, "events").select("event_id", "event_type"), ["event_id"], 120, 50)
+
+
+@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k <= 10")
+def last_events(spark, d):
+    return sessions.last_rows(table(spark, d, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id")
+
+
+@query("select count(*) as messages, count(distinct conv_id) as sessions from conversations where conv_id % 4 <> 0")
+def delete_cascade(spark, d):
+    m = table(spark, d, "conversations")
+    s = m.select("conv_id").distinct()
+    _, left = sessions.delete_sessions(s, m, s.where("conv_id % 4 = 0"), "conv_id", "conv_id")
+    return left.agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("conv_id").alias("sessions"))
+
+
+@query("select doc_id, (i + 2)::bigint as line_number, l as line from (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as l from (select doc_id, string_split(text, chr(10))[2:6] as ls from documents))")
+def numbered_slice(spark, d):
+    return sessions.numbered_lines(table(spark, d, "documents"), "doc_id", "text", 2, 5)
+
+
+@query("select doc_id, (i + 1)::bigint as line_number, l as line from (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as l from (select doc_id, string_split(text, chr(10)) as ls from documents)) where regexp_matches(l, 'token = \"[0-9a-f]+\"')")
+def line_search(spark, d):
+    return sessions.search_lines(table(spark, d, "documents"), "doc_id", "text", 'token = "[0-9a-f]+"')
+
+
+@query("select user_id, string_agg(event_type, '' order by ts, event_id) as arguments, arg_max(event_id, (ts, event_id)) as last_id, count(*) as parts from events group by user_id")
+def tool_call_assembly(spark, d):
+    parts = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(parts, lambda p: p["event_type"]), "").alias("arguments"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"), F.count(F.lit(1)).alias("parts"))
+
+
+# ---- scalar functions ---------------------------------------------------------------
+
+
+@query("select page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') as file, sha256(html) as sha256, len(regexp_extract_all(html, '\\p{L}[\\p{L}\\p{M}\\p{N}''’_-]*'))::bigint as words, len(string_split_regex(trim(regexp_replace(html, '\\s+', ' ', 'g')), ' '))::bigint as space_words, length(html) as chars from pages")
+def text_functions(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("file"), F.sha2(h, 256).alias("sha256"), text.word_count(h).alias("words"), text.space_word_count(h).alias("space_words"), text.code_points(h).alias("chars"))
+
+
+@query("select doc_id, 'In ' || lang || ' from ' || source || ': {{text}} ' || substr(text, 1, 10) as prompt from documents")
+def rendered_prompts(spark, d):
+    t = text.render_template("In {{lang}} from {{source}}: {{text}} {{start}}", {"lang": F.col("lang"), "source": F.col("source"), "start": F.substring("text", 1, 10)})
+    return table(spark, d, "documents").select("doc_id", t.alias("prompt"))
+
+
+@query("select code, case when regexp_matches(code, 'blocked|authority|approval_receipt|budget_exhausted') then 3 when regexp_matches(code, '^invalid_|^missing_|_not_found$|_required$') then 2 else 1 end::int as exit_code, count(*) as n from (select case o_orderkey % 6 when 0 then 'invalid_manifest' when 1 then 'run_blocked' when 2 then 'run_not_found' when 3 then 'budget_exhausted' when 4 then 'timeout' else 'path_required' end as code from orders) group by code")
+def exit_codes(spark, d):
+    codes = table(spark, d, "orders").selectExpr("case o_orderkey % 6 when 0 then 'invalid_manifest' when 1 then 'run_blocked' when 2 then 'run_not_found' when 3 then 'budget_exhausted' when 4 then 'timeout' else 'path_required' end as code")
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("exit_code", text.exit_code(F.col("code")))
+
+
+@query(
+    "select o_orderkey, case when o_orderkey % 3 = 0 then 'dataset_transform_missing_row_bounds:' || o_orderkey when o_orderkey % 3 = 1 and o_orderkey % 7 = 0 then 'dataset_transform_row_count_mismatch:' || o_orderkey || ':expected:11:actual:12' else '' end as blockers from orders"
+)
+def workload_validation(spark, d):
+    fields = F.create_map(F.lit("row_start"), F.lit("10"), F.lit("row_end"), F.when(F.col("o_orderkey") % 3 != 0, F.lit("20")), F.lit("row_count"), F.when((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") % 7 == 0), F.lit("12")).otherwise(F.lit("11")))
+    b = validate.workload_blockers(F.lit("dataset_transform"), fields, F.col("o_orderkey").cast("string"), F.lit(False))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(b, ",").alias("blockers"))
+
+
+@query("select doc_id, words, 'minimum_words_not_met:' || words || ':100' as blocker from (select doc_id, len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::bigint as words from documents) where words < 100")
+def longform_check(spark, d):
+    return validate.longform_problems(table(spark, d, "documents"), "doc_id", "text", 100)
+
+
+@query(f"select conv_id, sha256('[' || string_agg('{{\"content\":' || to_json(text)::varchar || ',\"role\":\"' || role || '\"}}', ',' order by turn) || ']') as payload_sha256 from conversations group by conv_id")
+def payload_digests(spark, d):
+    return conversation_messages(spark, d).select("conv_id", F.sha2(text.canonical(F.to_json("messages")), 256).alias("payload_sha256"))
