@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,7 +43,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove working tables that nothing reads any more, and let Spark drop the shuffle
+    files of what has been written: they stay until the driver's JVM collects its garbage."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        remove_path(spark, t.staged_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -3,7 +3,9 @@
 Documents are sets of hashed n-grams of words. In each of several runs a document
 chooses some of its n-grams by a hash that all documents share, and goes to the node of
 each chosen one; two documents of Jaccard similarity at least ``threshold`` meet in
-``1`` node on average in each run, so the number of runs follows from the target recall.
+``1`` node on average in each run. Pairs that meet but once, and in no other company,
+are let go, so the number of runs follows from the chance of fewer than two meetings
+and the target recall.
 Nodes of few documents are compared pair by pair, exactly. Larger ones are split again
 by n-grams sampled for that node, until they are small or stop shrinking; a node whose
 documents stay together is compared in blocks. A pair that meets in several nodes is
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
 #: Largest node, or side of a block, that is compared pair by pair: documents and n-grams.
@@ -155,42 +157,60 @@ def _compare_pair(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return common * (1 + threshold) >= threshold * (len(a) + len(b)) - 1e-3 / 4
 
 
-def _with_set(docs: DataFrame, n: int) -> DataFrame:
-    """``key, copies, size, grams, homes`` from ``key, copies, homes, text``."""
+def runs_for(target_recall: float) -> int:
+    """Runs after which a pair at the threshold has met less than twice with a chance of at most ``1 - target_recall``."""
+    runs = 1
+    while math.exp(-runs) * (1 + runs) > 1 - target_recall:
+        runs += 1
+    return runs
+
+
+def _children(g: np.ndarray, parents: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    made = [child_nodes(g, p & (2**64 - 1), threshold) for p in parents]
+    return np.concatenate(made).view(np.int64), np.repeat(np.array(parents, np.int64), [len(m) for m in made])
+
+
+def _with_set(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``key, copies, size, grams, homes, large, children, parents`` from ``key, copies,
+    homes, large, text``: the set, and its children in the large nodes."""
+    longs = pa.list_(pa.int64())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                sets = [grams(t.as_py(), n) for t in part.column(3)]
+                sets = [grams(t.as_py(), n) for t in part.column(4)]
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in sets], out=offsets[1:])
+                split = [_children(s, p, threshold) if p else ([], []) for s, p in zip(sets, part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2)],
-                    names=["key", "copies", "size", "grams", "homes"],
+                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2), part.column(3), pa.array([c for c, _ in split], longs), pa.array([p for _, p in split], longs)],
+                    names=["key", "copies", "size", "grams", "homes", "large", "children", "parents"],
                 )
 
-    return docs.select("key", "copies", "homes", "text").mapInArrow(read, "key binary, copies long, size long, grams array<long>, homes array<long>")
+    schema = "key binary, copies long, size long, grams array<long>, homes array<long>, large array<long>, children array<long>, parents array<long>"
+    return docs.select("key", "copies", "homes", "large", "text").mapInArrow(read, schema)
 
 
-def _homes(members: DataFrame) -> DataFrame:
-    """Nodes with two documents or more: ``node, docs, grams``. Small nodes with the same
-    documents are one: the smallest stands for all."""
-    nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("key")).alias("a"), F.sum(F.xxhash64("key", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("b"))
-    nodes = nodes.where("docs > 1")
-    small = (F.col("docs") <= NODE_DOCS) & (F.col("grams") <= NODE_GRAMS)
-    return nodes.groupBy("docs", "grams", "a", "b", F.when(~small, F.col("node")).alias("own")).agg(F.min("node").alias("node")).select("node", "docs", "grams")
+def _small(docs: str, grams_: str):
+    return (F.col(docs) <= NODE_DOCS) & (F.col(grams_) <= NODE_GRAMS)
 
 
-def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, copy_of, n_links`` for each row of ``docs``.
+def _homes(members: DataFrame, threshold: float) -> DataFrame:
+    """Nodes that are to be compared: ``node, docs, grams``. Small nodes with the same
+    documents are one: the smallest stands for all. Of nodes of two documents go those
+    whose sizes can't agree, and those that are the only one of their two documents."""
+    hashes = [F.bit_xor(F.xxhash64("key")).alias("a"), F.sum(F.xxhash64("key", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("b")]
+    nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams"), F.min("size").alias("low"), F.max("size").alias("high"), *hashes)
+    nodes = nodes.where((F.col("docs") > 2) | (F.col("docs") == 2) & (F.col("low") >= threshold * F.col("high") - 1e-6))
+    same = nodes.groupBy("docs", "grams", "a", "b", F.when(~_small("docs", "grams"), F.col("node")).alias("own")).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times"))
+    return same.where("docs > 2 or times > 1").select("node", "docs", "grams")
 
-    ``class_id``: the smallest doc_id of all that are linked, also by way of others;
-    ``copy_of``: the smallest doc_id with the same text; ``n_links``: other documents
-    that are copies of this one or similar to it.
-    """
-    runs = max(1, math.ceil(-math.log(1 - target_recall)))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key`` of all rows that take part, and for each key ``copy_of, label,
+    class_id, n_links``; ``label`` names the class even where ids repeat."""
+    runs = runs_for(target_recall)
     whole = rows.where("doc_id is not null and text is not null").withColumn("key", F.unhex(F.md5("text")))
     ids = staged(whole.select("doc_id", "key"), "join-ids")
     classes = staged(ids.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")), "join-classes")
@@ -214,69 +234,93 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_reca
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _long(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "size"])
 
     members = staged(whole.select("key", "text").mapInArrow(choose, "key binary, node long, size long").dropDuplicates(["node", "key"]), "join-members")
-    homes = staged(_homes(members), "join-homes")
-    members = members.join(homes, "node").select("key", "node", "docs", F.col("grams").alias("node_grams"))
-    own = staged(members.groupBy("key").agg(F.collect_list(F.struct("node", "docs", "node_grams")).alias("homes")), "join-own")
-    firsts = classes.join(own, "key").select("key", "copies", "copy_of", F.transform("homes", lambda h: h["node"]).alias("homes"))
-    texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "text")
-    sets = staged(_with_set(texts, n), "join-sets")
-    final = own.select("key", F.explode("homes").alias("h")).select("key", F.col("h.node").alias("node"), F.col("h.docs").alias("docs"), F.col("h.node_grams").alias("node_grams"))
-    final = _split_large(final, sets, threshold)
-    found = staged(_compared(final, sets, threshold), "join-found")
+    homes = staged(_homes(members, threshold), "join-homes")
+    at_home = members.join(homes, "node").select("key", F.struct("node", "docs", F.col("grams").alias("node_grams")).alias("h"))
+    own = staged(at_home.groupBy("key").agg(F.collect_list("h").alias("homes")), "join-own")
+    dropped(members, homes)
+    nodes_of = lambda test: F.transform(F.filter("homes", test), lambda h: h["node"])
+    is_small = lambda h: (h["docs"] <= NODE_DOCS) & (h["node_grams"] <= NODE_GRAMS)
+    firsts = classes.join(own, "key").select("key", "copies", "copy_of", nodes_of(is_small).alias("homes"), nodes_of(lambda h: ~is_small(h)).alias("large"))
+    texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "large", "text")
+    sets = staged(_with_set(texts, n, threshold), "join-sets")
+    large = own.select("key", F.inline("homes")).where(~_small("docs", "node_grams"))
+    placed = _split_large(large, sets, threshold)
+    found = staged(_compared(placed, sets, threshold), "join-found")
     labels = _components(found.where("key <> other").select("key", "other"))
+    dropped(own, sets)
     degree = found.groupBy("key").agg(F.sum("links").alias("links"))
     nodes = classes.join(degree, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     nodes = staged(nodes, "join-nodes")
     smallest = nodes.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    nodes = nodes.join(smallest, "label").select("key", "copy_of", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return ids, nodes.join(smallest, "label").select("key", "copy_of", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, copy_of, n_links`` for each row of ``docs``.
+
+    ``class_id``: the smallest doc_id of all that are linked, also by way of others;
+    ``copy_of``: the smallest doc_id with the same text; ``n_links``: other documents
+    that are copies of this one or similar to it.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    ids, nodes = _resolve(rows, n, threshold, target_recall)
     linked = ids.join(nodes, "key").select("doc_id", "class_id", "copy_of", "n_links")
     alone = rows.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
-def _split_large(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``key, node, blocks``: members of all nodes that are to be compared."""
-    blocks = lambda docs, grams_: F.greatest(F.ceil(docs / NODE_DOCS), F.ceil(grams_ / NODE_GRAMS)).cast("int")
-    small = F.col("docs").between(2, NODE_DOCS) & (F.col("node_grams") <= NODE_GRAMS)
-    final = members.where(small).select("key", "node", F.lit(1).alias("blocks"))
-    large = members.where(~small)
-    for _ in range(LEVELS):
+def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """``key, node, blocks``: members of the nodes that large nodes end in, or None.
+
+    ``large``: ``key, node, docs, node_grams``. A level's small nodes are compared; a
+    node most of whose documents stay together in a child is compared in blocks; the
+    other children are split again, up to ``LEVELS`` times.
+    """
+    blocks = F.greatest(F.ceil(F.col("docs") / NODE_DOCS), F.ceil(F.col("node_grams") / NODE_GRAMS)).cast("int").alias("blocks")
+    final = None
+    add = lambda rows: rows if final is None else final.unionByName(rows)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, parents, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = g.values.to_numpy().view(np.uint64)
+                made, of = _children(own, parents, threshold)
+                if len(made):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.binary()), pa.array(made), pa.array(of), pa.array(np.full(len(made), len(own), np.int64))], names=["key", "node", "parent", "size"])
+
+    for level in range(LEVELS):
         if large.isEmpty():
             return final
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for key, parents, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    own = g.values.to_numpy().view(np.uint64)
-                    out = [(child_nodes(own, p & (2**64 - 1), threshold), p) for p in parents]
-                    n = sum(len(c) for c, _ in out)
-                    if n:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([key] * n, pa.binary()), _long(np.concatenate([c for c, _ in out])), pa.array(np.concatenate([np.full(len(c), p, np.int64) for c, p in out])), pa.array(np.full(n, len(own), np.int64))],
-                            names=["key", "node", "parent", "size"],
-                        )
-
-        asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
-        made = staged(sets.select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long").dropDuplicates(["node", "key"]), "join-split")
+        if level == 0:
+            made = sets.where(F.size("children") > 0).select("key", "size", F.inline(F.arrays_zip(F.col("children").alias("node"), F.col("parents").alias("parent"))))
+        else:
+            asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
+            made = sets.where(F.size("large") > 0).select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long")
+        made = staged(made.select("key", "node", "parent", "size").dropDuplicates(["node", "key"]), "join-split")
         counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("node_grams"))
-        parents = large.groupBy("node").agg(F.first("docs").alias("all"), F.first("node_grams").alias("all_grams"))
-        parents = counts.groupBy("parent").agg(F.max("docs").alias("most")).join(parents.withColumnRenamed("node", "parent"), "parent", "right")
+        parents = large.groupBy("node").agg(F.first("docs").alias("all")).withColumnRenamed("node", "parent")
+        parents = counts.groupBy("parent").agg(F.max("docs").alias("most")).join(parents, "parent", "right")
         parents = staged(parents.withColumn("dense", F.coalesce(F.col("most") >= DENSE * F.col("all"), F.lit(False))), "join-dense")
         stay = large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi")
-        final = final.unionByName(stay.select("key", "node", blocks(F.col("docs"), F.col("node_grams")).alias("blocks")))
+        final = add(stay.select("key", "node", blocks))
         counts = counts.where("docs > 1").join(parents.where("not dense").select("parent"), "parent", "left_semi")
-        made = staged(made.drop("size").join(counts, ["node", "parent"]).select("key", "node", "docs", "node_grams"), "join-children")
-        final = final.unionByName(made.where(small).select("key", "node", F.lit(1).alias("blocks")))
-        large = made.where(~small)
-    return final.unionByName(large.select("key", "node", blocks(F.col("docs"), F.col("node_grams")).alias("blocks")))
+        children = staged(made.drop("size").join(counts, ["node", "parent"]).select("key", "node", "docs", "node_grams"), "join-children")
+        dropped(made)
+        final = add(children.where(_small("docs", "node_grams")).select("key", "node", F.lit(1).alias("blocks")))
+        large = children.where(~_small("docs", "node_grams"))
+    return add(large.select("key", "node", blocks))
 
 
-def _compared(final: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _compared(placed: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame:
     """``key, links, other``: for each node and document with links there, their number
-    and the key of one member of its group."""
-    final = staged(final.dropDuplicates(["node", "key"]), "join-final")
-    own = final.groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("nodes"))
-    rows = sets.select("key", "copies", "grams").join(own, "key")
+    and the key of one member of its group. ``placed``: the nodes of documents that were
+    in large ones, besides their small ones."""
+    small = F.transform("homes", lambda x: F.struct(x.alias("node"), F.lit(1).alias("blocks")))
+    rows = sets.where("size(large) = 0").select("key", "copies", "grams", small.alias("nodes"))
+    if placed is not None:
+        more = placed.dropDuplicates(["node", "key"]).groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("more"))
+        held = sets.where("size(large) > 0").join(more, "key", "left")
+        rows = rows.unionByName(held.select("key", "copies", "grams", F.concat(small, F.coalesce("more", F.array().cast("array<struct<node:bigint,blocks:int>>"))).alias("nodes")))
     rows = rows.select("key", "copies", "grams", F.sort_array(F.transform("nodes", lambda x: x["node"])).alias("homes"), F.explode("nodes").alias("at"))
     # A node in b blocks is compared as b * (b + 1) / 2 pairs of blocks; a document goes to the b pairs of its own.
     rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.col("at.blocks")).cast("int"))
@@ -359,10 +403,12 @@ def _components(edges: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs`` of which one document of each class stays: that with the
-    smallest doc_id, once. Rows with a null id or text all stay."""
-    chosen = links(docs, n, threshold, target_recall).where("doc_id = class_id and n_links is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null and text is not null")
-    kept = named.join(chosen, named.doc_id == F.col("__kept")).drop("__kept")
-    # Rows that repeat a kept id are copies or stand for another class: the smallest text stays.
-    kept = kept.dropDuplicates(["doc_id"])
+    smallest doc_id (of several texts under it, that of the smallest digest), once. Rows
+    with a null id or text all stay."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, nodes = _resolve(rows, n, threshold, target_recall)
+    first = nodes.groupBy("label").agg(F.min(F.struct("copy_of", "key")).alias("f")).select(F.col("f.copy_of").alias("__id"), F.col("f.key").alias("__key"))
+    named = docs.where("doc_id is not null and text is not null").withColumn("__digest", F.unhex(F.md5("text")))
+    kept = named.join(first, (named.doc_id == first["__id"]) & (named["__digest"] == first["__key"]))
+    kept = kept.dropDuplicates(["__id", "__key"]).select(*(f"`{c}`" for c in docs.columns))
     return kept.unionByName(docs.where("doc_id is null or text is null"))
