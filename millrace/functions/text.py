@@ -125,7 +125,11 @@ _ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-
 
 
 def ascii_boundaries(pattern: str) -> str:
-    return pattern.replace(r"\b", _ASCII_BOUNDARY)
+    """Boundaries between ASCII word characters and others; before or after a word one side is enough."""
+    import re
+
+    out = re.sub(r"\\b(?=[A-Za-z0-9]|\[A-Z0-9]|\[A-Z\]|\(\?:[a-z]|\([a-z])", lambda m: WORD_START, pattern)
+    return out.replace(r"\b", _ASCII_BOUNDARY)
 
 
 def command_label(command: Column) -> Column:

@@ -139,8 +139,10 @@ def privacy_findings_conversations(spark, d):
     " select case coalesce(r, 0) when 0 then 'non_sensitive_bulk' when 1 then 'local_private' when 2 then 'personal_sensitive' when 3 then 'client_sensitive' when 4 then 'health_genetics' else 'secrets_or_credentials' end as egress_class, count(*) as documents, coalesce(sum(n), 0)::bigint as blockers from documents left join r using (doc_id) group by 1"
 )
 def privacy_report(spark, d):
-    found = F.filter(privacy.findings(F.col("text")), lambda f: f["signal"] != privacy.ENTROPY_SIGNAL[1])
-    df = table(spark, d, "documents").select(privacy.privacy_class(found).alias("egress_class"), F.size(F.filter(found, lambda f: f["severity"] == "blocker")).cast("long").alias("n"))
+    # A one-element array binds the findings, so that both values come from one evaluation.
+    found = F.array(F.filter(privacy.findings(F.col("text")), lambda f: f["signal"] != privacy.ENTROPY_SIGNAL[1]))
+    both = F.transform(found, lambda f: F.struct(privacy.privacy_class(f).alias("egress_class"), F.size(F.filter(f, lambda x: x["severity"] == "blocker")).cast("long").alias("n")))
+    df = table(spark, d, "documents").select(F.inline(both))
     return df.groupBy("egress_class").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("blockers"))
 
 
