@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, text
-from ..operators import ledger, runs, sessions, shards, translation, usage, validate
+from ..operators import ledger, review, runs, sessions, shards, translation, usage, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -554,3 +554,46 @@ def longform_check(spark, d):
 @query(f"select conv_id, sha256('[' || string_agg('{{\"content\":' || to_json(text)::varchar || ',\"role\":\"' || role || '\"}}', ',' order by turn) || ']') as payload_sha256 from conversations group by conv_id")
 def payload_digests(spark, d):
     return conversation_messages(spark, d).select("conv_id", F.sha2(text.canonical(F.to_json("messages")), 256).alias("payload_sha256"))
+
+
+# ---- reviews and transitions --------------------------------------------------------
+
+
+@query(f"select s.shard, case when s.status = 'running' and o.ok then 'succeeded' when s.status = 'running' then 'quarantined' else s.status end as status from {_SHARDS} s left join (select o_orderkey as shard, o_orderkey % 2 = 0 as ok from orders where o_orderkey % 4 <> 3) o using (shard)")
+def interrupted_runs(spark, d):
+    rows = ledger_rows(spark, d).withColumnsRenamed({"job": "run_id", "shard": "item_id"})
+    results = table(spark, d, "orders").where("o_orderkey % 4 <> 3").selectExpr("o_custkey as run_id", "o_orderkey as item_id", "case when o_orderkey % 2 = 0 then 'completed' else 'failed' end as status")
+    return review.interrupted_runs(rows, results).select(F.col("item_id").alias("shard"), "status")
+
+
+@query("select source, count(*) as entries, sha256('[' || string_agg('{\"lang\":\"' || lang || '\",\"sha\":\"' || sha256(text) || '\",\"shard_id\":' || doc_id || '}', ',' order by doc_id) || ']') as payload_sha256 from documents group by source")
+def review_digests(spark, d):
+    entries = table(spark, d, "documents").select("source", F.col("doc_id").alias("shard_id"), "lang", F.sha2("text", 256).alias("sha"))
+    return review.review_digests(entries, "source", "lang", "sha")
+
+
+@query("select doc_id as shard_id, case when doc_id % 5 = 0 then 'review_entry_missing' when doc_id % 3 = 0 then 'review_source_mismatch' else 'review_target_mismatch' end as reason from documents where doc_id % 5 = 0 or doc_id % 3 = 0 or doc_id % 7 = 0")
+def review_mismatches(spark, d):
+    docs = table(spark, d, "documents")
+    sha = F.sha2("text", 256)
+    rows = docs.select(F.col("doc_id").alias("shard_id"), F.lit("succeeded").alias("status"), sha.alias("input_sha256"), sha.alias("output_sha256"))
+    entries = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("shard_id"), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(sha).alias("source_sha256"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(sha).alias("target_sha256"))
+    return review.review_mismatches(entries, rows)
+
+
+@query(f"select shard, case when status in ('pending', 'running') then 'cancelled' else status end as status from {_SHARDS}")
+def cancelled_items(spark, d):
+    return review.transition(ledger_rows(spark, d), "cancelled", ("pending", "running")).select("shard", "status")
+
+
+@query(f"select shard, 'item_running' as type, attempts + 1 as attempts from {_SHARDS} where status = 'pending'")
+def transition_events(spark, d):
+    before = ledger_rows(spark, d)
+    after = review.transition(before, "running", ("pending",))
+    return review.transition_events(before, after, "shard").join(after.select("shard", "attempts"), "shard")
+
+
+@query("select s_suppkey, s_name, '[redacted]' as signature from supplier")
+def redacted_receipts(spark, d):
+    r = F.struct(F.col("s_name").alias("receipt_id"), F.col("s_acctbal").cast("string").alias("signature"))
+    return table(spark, d, "supplier").withColumn("r", review.redact(r)).select("s_suppkey", F.col("r.receipt_id").alias("s_name"), F.col("r.signature").alias("signature"))

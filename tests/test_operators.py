@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import privacy, text
-from millrace.operators import ledger, runs, sessions, shards, translation, usage, validate
+from millrace.operators import ledger, review, runs, sessions, shards, translation, usage, validate
 
 
 def rows(df):
@@ -215,3 +215,16 @@ def test_sources_of_shards(spark):
     src = spark.createDataFrame([("s", "d")], "id string, sha256 string")
     sh = spark.createDataFrame([("1", "s", "t", None, None), ("2", "zz", "t", None, None), ("3", "s", None, None, None), ("4", "s", "t", "bad", None), ("5", "s", "t", None, "other")], "shard_id string, source_id string, inline_text string, input_sha256 string, source_sha256 string")
     assert {tuple(r) for r in validate.source_problems(sh, src).collect()} == {("2", "source_missing"), ("3", "shard_digest_required"), ("4", "input_digest_mismatch"), ("5", "source_digest_mismatch")}
+
+
+def test_reviews(spark):
+    sh = spark.createDataFrame([("a", "succeeded", "Hello {{x}} world out there", None, None), ("b", "failed", "t", None, None)], "shard_id string, status string, input_text string, source_lang string, target_lang string")
+    out = spark.createDataFrame([("a", "Bonjour"), ("b", "")], "shard_id string, output string")
+    assert rows(review.translation_blockers(sh, out, "en", "fr").select("blocker")) == [("translation_qa:a:placeholders_lost",)]
+    m = spark.createDataFrame([('[{"id":"c","function":{"name":"f","arguments":"{}"}}]',), ("junk",), (None,)], "tool_calls_json string")
+    assert [r.tool_calls and r.tool_calls[0].function.name for r in review.chat_messages(m).collect()] == ["f", None, None]
+    first, more = review.capped(spark.range(60), ["id"])
+    assert first.count() == 50 and more == 10
+    reports = spark.range(15).selectExpr("id % 1 as k", "id", "id <> 3 as ok")
+    assert review.retained(reports, "k", "id").count() == 10 and tuple(review.health(reports).first()) == (True, 15)
+    assert spark.range(1).select(review.redact(F.lit(None).cast("struct<signature:string>"))).first()[0] is None
