@@ -1,4 +1,5 @@
 import json
+import os
 import sqlite3
 
 import pytest
@@ -105,6 +106,7 @@ def test_streams(spark, tmp_path):
     for k, x in enumerate(LINES):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / f"in/{k}.json").write_text(json.dumps({"s": "s", "k": k, "value": x}))
+        os.utime(tmp_path / f"in/{k}.json", (1_000_000_000 + k, 1_000_000_000 + k))  # files arrive in this order
     stream = spark.readStream.schema("s string, k int, value string").option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
     out = []
     done = deltas.assemble_stream(deltas.deltas(stream), "s", "k")
