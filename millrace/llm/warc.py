@@ -157,6 +157,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     known = rows.join(first, "key", "left")
     revisit = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     known = known.select("page_id", "url", "html", "first", revisit.alias("revisit"))
+    # Few pages shouldn't become very many small archives: a task for each full archive, or one for each core.
+    total = rows.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
+    known = known.coalesce(max(pages.sparkSession.sparkContext.defaultParallelism, total // ARCHIVE_BYTES + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
