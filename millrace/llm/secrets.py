@@ -64,7 +64,7 @@ def _features(f: Column) -> dict[str, Column]:
     count = lambda pattern: n - F.length(F.regexp_replace(c, pattern, ""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     low = F.lower(c)
-    pairs = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.array_contains(F.split(F.lit(PAIRS), " "), F.substr(low, k, F.lit(2)))))
+    pairs = F.size(F.regexp_extract_all(low, F.lit(f"(?={PAIRS.replace(' ', '|')})"), F.lit(0)))
     lead = F.split_part(word, c, F.lit(1))
     context = F.concat_ws(" ", before, lead)
     yes = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -88,17 +88,17 @@ def _features(f: Column) -> dict[str, Column]:
     }
 
 
-# Findings become rows by inline_outer: for inline, the optimizer would filter on the arrays'
-# sizes below the projections, with each word's neighbours split from the text anew.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however the optimizer moves and copies projections."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the array column ``__candidates``: ``word_index, candidate`` and the features."""
     text = F.col(f"`{text_col}`")
-    df = docs.withColumn("__words", F.when(text.rlike(_TEXT), F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__candidates", _candidates(F.col("__words")))
-    described = F.transform("__candidates", lambda f: F.struct(f["word_index"].alias("word_index"), f["candidate"].alias("candidate"), *(v.alias(k) for k, v in _features(f).items())))
-    return df.withColumn("__candidates", described).drop("__words")
+    words = F.when(text.rlike(_TEXT), F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.array().cast("array<string>"))
+    describe = lambda f: F.struct(f["word_index"].alias("word_index"), f["candidate"].alias("candidate"), *(v.alias(k) for k, v in _features(f).items()))
+    return docs.withColumn("__candidates", _let(words, lambda w: F.transform(_candidates(w), describe)))
 
 
 @dataclass(frozen=True)
@@ -219,9 +219,10 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col
 def mask(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with each found secret replaced by ``MASK``, longest first, and ``n_chars`` anew where there is such a column."""
     df = with_findings(docs, forest, text_col)
-    found = F.transform(F.filter("__findings", lambda f: F.round(f["score"], 6) >= threshold), lambda f: F.struct((-F.length(f["candidate"])).alias("n"), f["candidate"].alias("c")))
-    text = F.aggregate(F.array_distinct(F.sort_array(found)), F.col(f"`{text_col}`"), lambda t, f: F.replace(t, f["c"], F.lit(MASK)))
-    df = df.withColumn("__masked", text)
+    original = F.col(f"`{text_col}`")
+    found = lambda f: F.transform(F.filter(f, lambda x: F.round(x["score"], 6) >= threshold), lambda x: F.struct((-F.length(x["candidate"])).alias("n"), x["candidate"].alias("c")))
+    replaced = lambda s: F.aggregate(F.array_distinct(F.sort_array(s)), original, lambda t, x: F.replace(t, x["c"], F.lit(MASK)))
+    df = df.withColumn("__masked", _let(F.col("__findings"), lambda f: _let(found(f), lambda s: F.struct(replaced(s).alias("text"), (F.size(s) > 0).alias("changed")))))
     masked = F.col("__masked")
-    out = [masked.alias(c) if c == text_col else F.when(F.size("__findings") > 0, F.length(masked).cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    out = [masked["text"].alias(c) if c == text_col else F.when(masked["changed"], F.length(masked["text"]).cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return df.select(*out)
