@@ -196,15 +196,15 @@ def _small(docs: str, grams_: str):
     return (F.col(docs) <= NODE_DOCS) & (F.col(grams_) <= NODE_GRAMS)
 
 
-def _homes(members: DataFrame, threshold: float) -> DataFrame:
+def _homes(members: DataFrame, threshold: float, meetings: int = 2) -> DataFrame:
     """Nodes that are to be compared: ``node, docs, grams``. Small nodes with the same
     documents are one: the smallest stands for all. Of nodes of two documents go those
-    whose sizes can't agree, and those that are the only one of their two documents."""
+    whose sizes can't agree, and those that aren't one of ``meetings`` of their two documents."""
     hashes = [F.bit_xor(F.xxhash64("key")).alias("a"), F.sum(F.xxhash64("key", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("b")]
     nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams"), F.min("size").alias("low"), F.max("size").alias("high"), *hashes)
     nodes = nodes.where((F.col("docs") > 2) | (F.col("docs") == 2) & (F.col("low") >= threshold * F.col("high") - 1e-6))
     same = nodes.groupBy("docs", "grams", "a", "b", F.when(~_small("docs", "grams"), F.col("node")).alias("own")).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times"))
-    return same.where("docs > 2 or times > 1").select("node", "docs", "grams")
+    return same.where((F.col("docs") > 2) | (F.col("times") >= meetings)).select("node", "docs", "grams")
 
 
 def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float) -> tuple[DataFrame, DataFrame]:
@@ -297,14 +297,15 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
             made = sets.where(F.size("large") > 0).select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long")
         made = staged(made.select("key", "node", "parent", "size").dropDuplicates(["node", "key"]), "join-split")
-        counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("node_grams"))
+        counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"))
         parents = large.groupBy("node").agg(F.first("docs").alias("all")).withColumnRenamed("node", "parent")
         parents = counts.groupBy("parent").agg(F.max("docs").alias("most")).join(parents, "parent", "right")
         parents = staged(parents.withColumn("dense", F.coalesce(F.col("most") >= DENSE * F.col("all"), F.lit(False))), "join-dense")
         stay = large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi")
         final = add(stay.select("key", "node", blocks))
-        counts = counts.where("docs > 1").join(parents.where("not dense").select("parent"), "parent", "left_semi")
-        children = staged(made.drop("size").join(counts, ["node", "parent"]).select("key", "node", "docs", "node_grams"), "join-children")
+        made_apart = made.join(parents.where("not dense").select("parent"), "parent", "left_semi").drop("parent")
+        nodes = _homes(made_apart, threshold, 1).withColumnRenamed("grams", "node_grams")
+        children = staged(made_apart.join(nodes, "node").select("key", "node", "docs", "node_grams"), "join-children")
         dropped(made)
         final = add(children.where(_small("docs", "node_grams")).select("key", "node", F.lit(1).alias("blocks")))
         large = children.where(~_small("docs", "node_grams"))
