@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-#: Longer conversations are rendered with so many turns before the new one, which bounds the cost of a turn.
-WINDOW = 32
 #: A text that no template writes itself.
 PROBE = "\U000f5c3a"
 
@@ -63,18 +61,27 @@ class TemplateError(ValueError):
 
 
 class Incremental:
-    """Renders a conversation turn by turn and keeps each turn's span (in code points)."""
+    """Renders a conversation turn by turn and keeps each turn's span (in code points).
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    Every prefix is rendered whole. With a ``window``, a turn is rendered with that many
+    to twice as many turns before it, and ``text`` compares the parts with the template's
+    output for the whole conversation: rewriting that the last output doesn't show stays
+    unseen, so this is for templates known to render turn by turn.
+    """
+
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.turns: Turns = []
         self.last, self.size, self.parts, self.spans = template([]), 0, [], []
         self.parts.append(self.last)
         self.size = len(self.last)
+        self.cut: Turns = []
 
     def add(self, role: str, text: str) -> None:
-        if len(self.turns) >= 2 * self.window:
-            del self.turns[: len(self.turns) - self.window]
+        if self.window is not None and len(self.turns) >= 2 * self.window:
+            n = len(self.turns) - self.window
+            self.cut += self.turns[:n]
+            del self.turns[:n]
             self.last = self.template(self.turns)
         out = self.template([*self.turns, (role, text)])
         if not out.startswith(self.last):
@@ -92,18 +99,22 @@ class Incremental:
         self.last = out
 
     def text(self) -> str:
-        return "".join(self.parts)
+        whole = "".join(self.parts)
+        if self.cut and whole != self.template([*self.cut, *self.turns]):
+            raise TemplateError("the parts differ from the whole conversation")
+        return whole
 
 
 SPANS = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_())]))
 SCHEMA = "conv_id long, formatted string, spans array<struct<role:string,start:long,end:long,text_start:long,text_end:long,loss:boolean>>, error string"
 
 
-def format_conversations(conversations: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = None) -> DataFrame:
     """One row ``SCHEMA`` for each conversation; ``loss`` marks the spans that are trained on.
 
     One shuffle by conv_id; each task streams its sorted rows with one conversation in
-    memory. Cost is that of ``window`` turns for each turn at most.
+    memory. Every prefix is rendered whole, so a conversation costs the square of its
+    turns; a ``window`` bounds that, see ``Incremental``.
     """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +122,15 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
         size, key, state, error, begun = 0, None, None, None, False
 
         def close() -> None:
-            nonlocal size
+            nonlocal size, error
+            if error is None:
+                try:
+                    whole = state.text()
+                except TemplateError as e:
+                    error = str(e)
             if error is None:
                 spans = [s._asdict() | {"loss": s.role in loss_roles} for s in state.spans]
-                held.append((key, state.text(), spans, None))
+                held.append((key, whole, spans, None))
                 size += state.size
             else:
                 held.append((key, None, None, error))

@@ -108,6 +108,19 @@ def test_windows_give_the_same_output():
     assert whole.text() == windowed.text() == chat.marked_turns(turns) and whole.spans == windowed.spans
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(150)]
+    numbered = lambda turns: "".join(f"<{k} {turns[0][0]} {r}>{t}" for k, (r, t) in enumerate(turns))
+    late = lambda turns: "".join(f"<{r}>{t if k or len(turns) <= 140 else t[:1]}" for k, (r, t) in enumerate(turns))
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(df, numbered).first()
+    assert row.error is None and row.formatted == numbered(turns) and [row.formatted[s.text_start : s.text_end] for s in row.spans] == [t for _, t in turns]
+    row = chat.format_conversations(df, late).first()
+    assert row.formatted is None and row.error == "turn 140 rewrites what came before it"
+    # A window that changes the output is an error, not another text.
+    assert chat.format_conversations(df, numbered, window=32).first().error == "the parts differ from the whole conversation"
+
+
 def test_rewriting_templates_are_detected(spark):
     strips = lambda turns: "".join(f"<{r}>{t if k == len(turns) - 1 else t[:3]}" for k, (r, t) in enumerate(turns))
     state = chat.Incremental(strips)
