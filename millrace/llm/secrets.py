@@ -36,7 +36,6 @@ OTHER_NAMES = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|hash|etag|revisi
 DICTIONARY = "example|sample|test|dummy|placeholder|your|here|insert|change|default|token|secret|password|value|user|admin|name|config|index|image|static|asset|version|release|notes|final|report|draft|data|file|page|home|docs|download|content|upload|media|public|build|chapter|section|table|figure|model|train|html|http|https|www|com|org|json|xml|png|jpg|pdf|the|and|for|with|from|this|that"
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur"
 _ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[:=]{{1,2}}[\x22']?([^\x22',}};]{{6,}})"
-_TEXT = rf"(?:{_RUN})|(?i:(?:{KEY_NAMES})[\x22']?[\x20\x09-\x0D]*[:=])"
 
 FEATURES = ("length", "digits", "uppers", "others", "switches", "pairs", "distinct", "dictionary", "path", "key_name", "other_name", "assigned", "quoted", "hex", "uuid", "repeats")
 
@@ -93,10 +92,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def may_have_candidates(text: Column) -> Column:
+    """True for each text with a candidate, and for others: a run, or a key name and a sign of assignment anywhere."""
+    return text.rlike(_RUN) | (text.rlike("[:=]") & text.rlike(rf"(?i)(?:{KEY_NAMES})"))
+
+
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the array column ``__candidates``: ``word_index, candidate`` and the features."""
     text = F.col(f"`{text_col}`")
-    words = F.when(text.rlike(_TEXT), F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.array().cast("array<string>"))
+    words = F.when(may_have_candidates(text), F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.array().cast("array<string>"))
     describe = lambda f: F.struct(f["word_index"].alias("word_index"), f["candidate"].alias("candidate"), *(v.alias(k) for k, v in _features(f).items()))
     return docs.withColumn("__candidates", _let(words, lambda w: F.transform(_candidates(w), describe)))
 

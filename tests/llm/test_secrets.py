@@ -56,6 +56,16 @@ def test_short_assigned_values_are_candidates(spark):
     assert rows == {(1, "hunter22x"), (2, "letmein99")}
 
 
+def test_the_filter_of_texts_drops_no_candidate(spark, monkeypatch):
+    texts = ['secret_value = "hunter22x"', "password_prod: hunter22x", 'token_id = "abcd12"', "my token x: hunter22x", "PWD2 value= hunter22x", "auth\n\n\n'x': hunter22x", "a: b = c", "token password", None, "", "key = A1" + "b2" * 8]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100", "text"))
+    found = lambda: sorted(map(tuple, secrets.with_candidates(docs).selectExpr("doc_id", "explode(__candidates) f").select("doc_id", "f.*").collect()))
+    filtered = found()
+    assert {r[0] for r in filtered if r[0] < 100} == {0, 1, 2, 3, 4, 5, 10}
+    monkeypatch.setattr(secrets, "may_have_candidates", lambda text: text.isNotNull())
+    assert found() == filtered
+
+
 def test_planted_tokens_are_found_and_masked(spark, forest):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     planted = docs.selectExpr("doc_id", "explode(regexp_extract_all(text, '(?i)token = \"([0-9a-f]{40})\"', 1)) c").collect()
