@@ -35,7 +35,9 @@ KEY_NAMES = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|
 OTHER_NAMES = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|hash|etag|revision|rev|version|build|id|isbn|phone|order|invoice|trace|request"
 DICTIONARY = "example|sample|test|dummy|placeholder|your|here|insert|change|default|token|secret|password|value|user|admin|name|config|index|image|static|asset|version|release|notes|final|report|draft|data|file|page|home|docs|download|content|upload|media|public|build|chapter|section|table|figure|model|train|html|http|https|www|com|org|json|xml|png|jpg|pdf|the|and|for|with|from|this|that"
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur"
-_ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[:=]{{1,2}}[\x22']?([^\x22',}};]{{6,}})"
+# A value ends at a quote, a comma, a brace, a semicolon or the next field of a query string.
+_VALUE = r"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',};]){6,}+"
+_ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[:=]{{1,2}}[\x22']?({_VALUE})"
 
 FEATURES = ("length", "digits", "uppers", "others", "switches", "pairs", "distinct", "dictionary", "path", "key_name", "other_name", "assigned", "quoted", "hex", "uuid", "repeats")
 
@@ -47,10 +49,11 @@ def _candidates(words: Column) -> Column:
 
     def of_word(w: Column, i: Column) -> Column:
         runs = F.regexp_extract_all(w, F.lit(_RUN), F.lit(0))
-        inside = F.regexp_extract(w, _ASSIGNED, 1)
+        inside = F.regexp_extract_all(w, F.lit(_ASSIGNED), F.lit(1))
         named = near(i - 1).rlike(r"(?:^|[A-Za-z\x22'])[:=]{1,2}$") & F.concat_ws(" ", near(i - 2), near(i - 1)).rlike(rf"(?i)(?:{KEY_NAMES})")
-        value = F.regexp_extract(w, r"^[\x22']?([^\x22',};]{6,})", 1)
-        found = F.when(F.size(runs) > 0, runs).when(inside != "", F.array(inside)).when(named & (value != ""), F.array(value)).otherwise(F.array().cast("array<string>"))
+        first = F.when(named, F.regexp_extract_all(w, F.lit(rf"^[\x22']?({_VALUE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        # No value lies inside a longer run: a run that begins with it ends with it, and is found already.
+        found = F.concat(runs, F.filter(F.concat(first, inside), lambda v: ~v.rlike(f"^(?:{_RUN})$")))
         before = F.concat_ws(" ", near(i - 3), near(i - 2), near(i - 1))
         return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_index"), c.alias("candidate"), w.alias("word"), before.alias("before"), near(i + 1).alias("after")))
 

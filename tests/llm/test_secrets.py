@@ -56,6 +56,23 @@ def test_short_assigned_values_are_candidates(spark):
     assert rows == {(1, "hunter22x"), (2, "letmein99")}
 
 
+def test_all_values_of_a_word_are_candidates(spark):
+    run = "0123456789abcdef0"
+    want = {
+        f'{{"session":"{run}","password":"hunter22x"}}': [run, "hunter22x"],
+        '{"password":"hunter22x","token":"letmein99"}': ["hunter22x", "letmein99"],
+        "https://h/?password=hunter22x&token=letmein99&page=2": ["hunter22x", "letmein99"],
+        f"pwd=ab&cdefgh,token={run},pwd=ab&cdefgh": [run, "ab&cdefgh", "ab&cdefgh"],
+        f'{{"id":"hunter22x{run}","password":"hunter22x"}}': [f"hunter22x{run}", "hunter22x"],
+        'password = "hunter22x",token="letmein99"': ["hunter22x", "letmein99"],
+        f"token = {run}": [run],
+        "password=" + "é!" * 20_000 + "&token=letmein99": ["é!" * 20_000, "letmein99"],
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.c for r in secrets.with_candidates(df).selectExpr("doc_id", "__candidates.candidate c").collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+
+
 def test_the_filter_of_texts_drops_no_candidate(spark, monkeypatch):
     texts = ['secret_value = "hunter22x"', "password_prod: hunter22x", 'token_id = "abcd12"', "my token x: hunter22x", "PWD2 value= hunter22x", "auth\n\n\n'x': hunter22x", "a: b = c", "token password", None, "", "key = A1" + "b2" * 8]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100", "text"))
