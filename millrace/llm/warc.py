@@ -5,6 +5,12 @@ reader checks each member (gzip check sum, record header, length, block digest).
 a failed check it searches for the next valid member or version line, goes on there and
 reports the bytes between as a quarantined gap. Plain records are read as well.
 
+A member may hold many records. Those that are whole are kept where others of it fail, and
+where the member is truncated or damaged, as far as it decompresses; the gap has the byte
+range of the member. Where decompressing fails or the member's check sum differs, its
+records need a block digest of their own; their headers, like a plain record's, have no
+further check. A record alone in such a member isn't kept: the member's check is its own.
+
 Defined results: a null html is an empty payload. Of records with equal payloads of at
 least ``min_bytes``, those with the smallest page_id are responses (repeated rows of
 that id as well) and the others revisit it; a null id is a response only where no id of
@@ -36,8 +42,10 @@ VERSION, REVISIT_PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit
 GZIP_MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A|(?<=\x00))WARC/\d+\.\d+\r?\n")
+_NEXT_INSIDE = re.compile(rb"(?<=\n)WARC/\d+\.\d+\r?\n")
 _HEADER_END = re.compile(rb"\r?\n\r?\n")
 _NAME = "urn:page:"
+TRUNCATED = "member is truncated"
 
 
 def digest(data: bytes) -> str:
@@ -71,18 +79,27 @@ class DamageError(ValueError):
     pass
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it; then, content and end are those of what decompresses."""
     unzip, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unzip.eof:
             if pos >= len(data):
-                raise DamageError("member is truncated")
+                return b"".join(out), len(data), TRUNCATED
             out.append(unzip.decompress(data[pos : pos + 32768]))
             pos += 32768
     except zlib.error:
-        raise DamageError("member fails its check") from None
-    return b"".join(out), min(pos, len(data)) - len(unzip.unused_data)
+        # What the failing piece gives before its damage is lost with the error, so it is read again byte by byte.
+        unzip = zlib.decompressobj(31)
+        out = [unzip.decompress(data[k : k + 32768]) for k in range(at, pos, 32768)]
+        try:
+            while pos < len(data):
+                out.append(unzip.decompress(data[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            pass
+        return b"".join(out), pos, "member fails its check"
+    return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), ""
 
 
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -116,17 +133,47 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     raise DamageError("record isn't closed")
 
 
+def _inside(content: bytes, wrong: str) -> Iterator[tuple[dict[str, str] | None, bytes, str]]:
+    """Fields, block and reason of each record and gap in a member's content; a gap has no fields."""
+    pos, gap, reason = 0, None, ""
+    while pos < len(content):
+        try:
+            fields, block, end = _record(content, pos)
+            if wrong and pos == 0 and end == len(content):
+                raise DamageError(wrong)
+            if wrong and wrong != TRUNCATED and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise DamageError("record of a damaged member without a digest")
+        except DamageError as e:
+            if gap is None:
+                gap, reason = pos, str(e)
+            nxt = _NEXT_INSIDE.search(content, pos + 1)
+            pos = nxt.start() if nxt else len(content)
+            continue
+        if gap is not None:
+            yield None, b"", f"{reason} (bytes {gap} to {pos} of the member's content)"
+            gap = None
+        yield fields, block, ""
+        pos = end
+    if gap is not None:
+        yield None, b"", f"{reason} (bytes {gap} to {pos} of the member's content)"
+
+
 def salvage(data: bytes) -> Iterator[Found]:
-    """Records and gaps in their order; together they cover the archive, but for empty members."""
-    at, gap, reason = 0, None, ""
+    """Records and gaps in their order; together they cover the archive, but for empty members.
+
+    Records kept of a damaged member follow the gap that it is in and have its range.
+    """
+    at, gap, reason, kept, read = 0, None, "", [], 0
     while at < len(data):
         try:
             if data[at : at + 3] == GZIP_MAGIC:
-                content, end = _member(data, at)
-                found, pos = [], 0
-                while pos < len(content):
-                    fields, block, pos = _record(content, pos)
-                    found.append(Found(at, end, fields, block, ""))
+                content, end, wrong = _member(data, at)
+                if wrong:
+                    whole = [(fields, block) for fields, block, _ in _inside(content, wrong) if fields is not None]
+                    kept += whole
+                    read = max(read, end) if whole else read
+                    raise DamageError(wrong)
+                found = [Found(at, end, *f) for f in _inside(content, wrong)]
             else:
                 fields, block, end = _record(data, at)
                 found = [Found(at, end, fields, block, "")]
@@ -134,15 +181,20 @@ def salvage(data: bytes) -> Iterator[Found]:
             if gap is None:
                 gap, reason = at, str(e)
             nxt = _NEXT.search(data, at + 1)
+            # Version lines in a member's stored blocks are those of records seen in its content.
+            while nxt and nxt.start() < read and not nxt[0].startswith(GZIP_MAGIC):
+                nxt = _NEXT.search(data, nxt.start() + 1)
             at = nxt.start() if nxt else len(data)
             continue
         if gap is not None:
             yield Found(gap, at, None, b"", reason)
-            gap = None
+            yield from (Found(gap, at, fields, block, "") for fields, block in kept)
+            gap, kept = None, []
         yield from found
         at = end
     if gap is not None:
         yield Found(gap, len(data), None, b"", reason)
+        yield from (Found(gap, len(data), fields, block, "") for fields, block in kept)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:

@@ -47,6 +47,39 @@ def test_salvage_recovers_all_that_is_whole(member):
     assert list(warc.salvage(b"")) == [] and ids(warc.salvage(warc.END_MEMBER)) == []
 
 
+def test_salvage_of_many_records_in_one_member():
+    rng = random.Random(4)
+    records = [warc.record(k, f"http://h/{k}", rng.randbytes(3000).hex().encode(), None, False, "d") for k in range(30)]
+    gaps = lambda found: [f for f in found if f.fields is None]
+    broken = [r.replace(b"Content-Length: ", b"Content-Length: x", 1) if k in (0, 7, 8) else r for k, r in enumerate(records)]
+    parts = archive(2)
+    intact = gzip.compress(b"".join(broken), mtime=0)
+    found = list(warc.salvage(parts[0] + intact + parts[1]))
+    assert ids(found) == [0, *(k for k in range(30) if k not in (0, 7, 8)), 1]
+    assert [(f.start, f.end) for f in gaps(found)] == [(len(parts[0]), len(parts[0] + intact))] * 2 and all(f.reason for f in gaps(found))
+    whole = gzip.compress(b"".join(records), mtime=0)
+    assert ids(warc.salvage(whole)) == list(range(30))
+    # Truncated, at a place that isn't the end of a piece of 32768 bytes.
+    found = list(warc.salvage(whole[: len(whole) * 2 // 3]))
+    assert ids(found) == list(range(len(ids(found)))) and 18 <= len(ids(found)) <= 20 and len(gaps(found)) == 1
+    # A check sum that differs, then an archive that goes on.
+    bad = bytearray(whole)
+    bad[-7] ^= 1
+    found = list(warc.salvage(bytes(bad) + parts[1]))
+    assert sorted(ids(found)) == sorted([*range(30), 1]) and len(gaps(found)) == 1 and gaps(found)[0].end == len(whole)
+    # Stored blocks show the records' own bytes, which aren't read twice.
+    bad = bytearray(gzip.compress(b"".join(records), 0, mtime=0))
+    bad[-7] ^= 1
+    assert ids(warc.salvage(bytes(bad) + parts[1])) == [*range(30), 1]
+    # Damage inside: what comes before it is kept, nothing is invented.
+    bad = bytearray(whole)
+    for k in range(len(whole) // 2, len(whole) // 2 + 400):
+        bad[k] ^= 0x5A
+    found = list(warc.salvage(bytes(bad)))
+    blocks = {r[r.index(b"\r\n\r\n") + 4 : -4] for r in records}
+    assert set(range(13)) <= set(ids(found)) and len(gaps(found)) == 1 and all(f.block in blocks for f in found if f.fields)
+
+
 def test_archives(spark):
     data = [(5, "http://a", "same"), (2, "http://b", "same"), (9, None, None), (4, "http://c\n x", ""), (7, "http://d", "é\r\n\r\nWARC/1.0\r\n"), (None, "http://n", "same"), (None, "http://n", "only null"), (2, "http://b", "same"), (11, "u", "x" * 300_000)]
     df = spark.createDataFrame([(*x, "clash") for x in data], "page_id long, url string, html string, first string")
