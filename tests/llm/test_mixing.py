@@ -76,3 +76,11 @@ def test_larger_budgets_hold_smaller_ones(spark):
     df = spark.createDataFrame([(k, "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
     small, large = ({r.doc_id: r.taken for r in mixing.mix(df, share=s).collect()} for s in (0.4, 0.9))
     assert all(small[k] <= large[k] for k in small)
+
+
+def test_a_part_keeps_its_spacing(spark):
+    texts = {s: f"\n {s}" + "".join(f"{' ' if k % 7 else chr(10) * 2}w{k}" for k in range(500)) for s in ("a", "b", "c")}
+    df = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(texts.items())], "doc_id long, text string, source string")
+    rows = mixing.mixed_documents(df).collect()
+    parts = [r for r in rows if r.text != texts[r.source]]
+    assert parts and all(texts[r.source].startswith(r.text) and not r.text[-1].isspace() for r in parts)
