@@ -7,18 +7,24 @@ each chosen one; two documents of Jaccard similarity at least ``threshold`` meet
 are let go, so the number of runs follows from the chance of fewer than two meetings
 and the target recall.
 Nodes of few documents are compared pair by pair, exactly. Larger ones are split again
-by n-grams sampled for that node, until they are small or stop shrinking; a node whose
-documents stay together is compared in blocks. A pair that meets in several nodes is
-counted in the first of them, so links are counted once although no list of pairs is
-ever made: each comparison gives, for each document, its number of links and one edge
-to its group.
+by n-grams sampled for that node, until they are small or stop shrinking. A node whose
+documents are linked to each other, as a sample of them shows, or stay together is
+compared in blocks; what its documents have met already in a larger node isn't compared
+again (``_roles``). A pair that meets in several nodes is counted in the first of them, so
+links are counted once although no list of pairs is ever made: each comparison gives, for
+each document, its number of links and one edge to its group.
+
+Counting all links within a group of m different texts that are alike takes m * m / 2
+comparisons, and each of its sets goes to m / ``NODE_DOCS`` blocks. ``keep_one`` needs
+classes only and compares such a group with one pivot.
 
 Rows with equal texts are one class: only its smallest doc_id takes part.
 
 Defined results: documents with equal texts are linked to each other whatever their
 length; fewer words than ``n`` make one n-gram of what there is; a text without words
 is linked to its copies alone; a null text or id has no links and is a class of its
-own (class_id = doc_id); repeated rows are copies and each gives a row.
+own (class_id = doc_id); repeated rows are copies and each gives a row; no rows give no
+rows; whole texts count, however long; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +41,13 @@ from .common import dropped, staged
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
 #: Largest node, or side of a block, that is compared pair by pair: documents and n-grams.
-NODE_DOCS, NODE_GRAMS = 1000, 2_000_000
+NODE_DOCS, NODE_GRAMS = 1000, 1_000_000
 #: Levels of splitting, mean number of shared n-grams chosen at each, and the share of a node's documents that may stay together.
-LEVELS, CHOSEN, DENSE = 4, 2.5, 0.8
-MAX_WORDS = 1_000_000
+LEVELS, CHOSEN, DENSE = 4, 2.0, 0.8
+#: Documents of a large node that are looked at, and the share of linked pairs among them from which the node isn't split.
+PROBED, DENSE_LINKS = 48, 0.5
+#: Words whose hashes a worker keeps.
+MAX_WORDS = 1 << 18
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +107,36 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _meetings(arrays: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the arrays of distinct numbers share."""
+    m = len(arrays)
+    flat = np.concatenate(arrays)
+    owner = np.repeat(np.arange(m), [len(a) for a in arrays])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], column[shared]
+    used, column = np.unique(column, return_inverse=True)
+    out = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    step = max(256, 8_000_000 // m)
+    for lo in range(0, len(used), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((m, min(step, len(used) - lo)), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def linked_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which two sets have a Jaccard similarity of at least ``threshold``; none with itself."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    linked = _meetings(sets) * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-3 / 4
+    linked &= (sizes > 0)[:, None] & (sizes > 0)[None, :]
+    np.fill_diagonal(linked, False)
+    return linked
+
+
 def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, earlier: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """``(links, group)`` of each set: links to sets that didn't meet it in an earlier
     node, copies counted; and the smallest index of its group (its own without links).
@@ -106,30 +145,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, earlie
     pairs across count.
     """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-
-    def meetings(arrays: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate(arrays)
-        owner = np.repeat(np.arange(m), [len(a) for a in arrays])
-        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count[column] > 1
-        owner, column = owner[shared], column[shared]
-        used, column = np.unique(column, return_inverse=True)
-        out = np.zeros((m, m), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        step = max(256, 8_000_000 // m)
-        for lo in range(0, len(used), step):
-            a, b = np.searchsorted(column, [lo, lo + step])
-            part = np.zeros((m, min(step, len(used) - lo)), np.float32)
-            part[owner[a:b], column[a:b] - lo] = 1
-            out += part @ part.T
-        return out
-
-    common = meetings(sets)
-    linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-3 / 4
-    linked &= (sizes > 0)[:, None] & (sizes > 0)[None, :]
-    np.fill_diagonal(linked, False)
+    linked = linked_pairs(sets, threshold)
     if side.any():
         linked &= side[:, None] != side[None, :]
     group = np.arange(m)
@@ -137,7 +153,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, earlie
         return np.zeros(m, np.int64), group
     fresh = linked
     if any(map(len, earlier)):
-        fresh = linked & (meetings(earlier) == 0)
+        fresh = linked & (_meetings(earlier) == 0)
     links = fresh @ copies
     while True:
         low = np.where(linked, group[None, :], m).min(axis=1)
@@ -170,10 +186,8 @@ def _children(g: np.ndarray, parents: list[int], threshold: float) -> tuple[np.n
     return np.concatenate(made).view(np.int64), np.repeat(np.array(parents, np.int64), [len(m) for m in made])
 
 
-def _with_set(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``key, copies, size, grams, homes, large, children, parents`` from ``key, copies,
-    homes, large, text``: the set, and its children in the large nodes."""
-    longs = pa.list_(pa.int64())
+def _with_set(docs: DataFrame, n: int) -> DataFrame:
+    """``key, copies, size, grams, homes, large`` from ``key, copies, homes, large, text``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,13 +196,12 @@ def _with_set(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 sets = [grams(t.as_py(), n) for t in part.column(4)]
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in sets], out=offsets[1:])
-                split = [_children(s, p, threshold) if p else ([], []) for s, p in zip(sets, part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2), part.column(3), pa.array([c for c, _ in split], longs), pa.array([p for _, p in split], longs)],
-                    names=["key", "copies", "size", "grams", "homes", "large", "children", "parents"],
+                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2), part.column(3)],
+                    names=["key", "copies", "size", "grams", "homes", "large"],
                 )
 
-    schema = "key binary, copies long, size long, grams array<long>, homes array<long>, large array<long>, children array<long>, parents array<long>"
+    schema = "key binary, copies long, size long, grams array<long>, homes array<long>, large array<long>"
     return docs.select("key", "copies", "homes", "large", "text").mapInArrow(read, schema)
 
 
@@ -207,9 +220,10 @@ def _homes(members: DataFrame, threshold: float, meetings: int = 2) -> DataFrame
     return same.where((F.col("docs") > 2) | (F.col("times") >= meetings)).select("node", "docs", "grams")
 
 
-def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float) -> tuple[DataFrame, DataFrame]:
+def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key`` of all rows that take part, and for each key ``copy_of, label,
-    class_id, n_links``; ``label`` names the class even where ids repeat."""
+    class_id, n_links``; ``label`` names the class even where ids repeat. Without
+    ``counted`` only the classes hold, and dense groups cost less: see ``_roles``."""
     runs = runs_for(target_recall)
     whole = rows.where("doc_id is not null and text is not null").withColumn("key", F.unhex(F.md5("text")))
     ids = staged(whole.select("doc_id", "key"), "join-ids")
@@ -242,10 +256,13 @@ def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float) ->
     is_small = lambda h: (h["docs"] <= NODE_DOCS) & (h["node_grams"] <= NODE_GRAMS)
     firsts = classes.join(own, "key").select("key", "copies", "copy_of", nodes_of(is_small).alias("homes"), nodes_of(lambda h: ~is_small(h)).alias("large"))
     texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "large", "text")
-    sets = staged(_with_set(texts, n, threshold), "join-sets")
+    sets = staged(_with_set(texts, n), "join-sets")
     large = own.select("key", F.inline("homes")).where(~_small("docs", "node_grams"))
-    placed = _split_large(large, sets, threshold)
-    found = staged(_compared(placed, sets, threshold), "join-found")
+    placed, pivots = _split_large(large, sets, threshold)
+    roles, stars = _roles(placed, pivots, sets, threshold, counted)
+    found = staged(_compared(placed, roles, sets, threshold), "join-found")
+    if stars is not None:
+        found = found.unionByName(stars)
     labels = _components(found.where("key <> other").select("key", "other"))
     dropped(own, sets)
     degree = found.groupBy("key").agg(F.sum("links").alias("links"))
@@ -269,16 +286,18 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_reca
     return linked.unionByName(alone)
 
 
-def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
-    """``key, node, blocks``: members of the nodes that large nodes end in, or None.
+def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """``key, node, docs, whole``: members of the nodes that large nodes end in (``whole``:
+    too large for one comparison), and ``node, pivot`` of such nodes; None without any.
 
-    ``large``: ``key, node, docs, node_grams``. A level's small nodes are compared; a
-    node most of whose documents stay together in a child is compared in blocks; the
-    other children are split again, up to ``LEVELS`` times.
+    ``large``: ``key, node, docs, node_grams``. A node most of whose documents are linked
+    to each other, as a sample of them shows, or stay together in one child, is left
+    whole. The others are split; their children are compared if small and split again
+    if not, up to ``LEVELS`` times.
     """
-    blocks = F.greatest(F.ceil(F.col("docs") / NODE_DOCS), F.ceil(F.col("node_grams") / NODE_GRAMS)).cast("int").alias("blocks")
-    final = None
-    add = lambda rows: rows if final is None else final.unionByName(rows)
+    final = pivots = None
+    add = lambda rows, more: more if rows is None else rows.unionByName(more)
+    ends = lambda rows, whole: rows.select("key", "node", "docs", F.lit(whole).alias("whole"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,47 +307,114 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> DataFra
                 if len(made):
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.binary()), pa.array(made), pa.array(of), pa.array(np.full(len(made), len(own), np.int64))], names=["key", "node", "parent", "size"])
 
-    for level in range(LEVELS):
+    for _ in range(LEVELS):
         if large.isEmpty():
-            return final
-        if level == 0:
-            made = sets.where(F.size("children") > 0).select("key", "size", F.inline(F.arrays_zip(F.col("children").alias("node"), F.col("parents").alias("parent"))))
-        else:
-            asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
-            made = sets.where(F.size("large") > 0).select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long")
-        made = staged(made.select("key", "node", "parent", "size").dropDuplicates(["node", "key"]), "join-split")
+            return final, pivots
+        probed = staged(_probed(large, sets, threshold), "join-probed")
+        pivots = add(pivots, probed.select("node", "pivot"))
+        dense = probed.where(F.col("share") >= DENSE_LINKS).select("node")
+        final = add(final, ends(large.join(dense, "node", "left_semi"), True))
+        large = large.join(dense, "node", "left_anti")
+        asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
+        made = sets.where(F.size("large") > 0).select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long")
+        made = staged(made.dropDuplicates(["node", "key"]), "join-split")
         counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"))
         parents = large.groupBy("node").agg(F.first("docs").alias("all")).withColumnRenamed("node", "parent")
         parents = counts.groupBy("parent").agg(F.max("docs").alias("most")).join(parents, "parent", "right")
         parents = staged(parents.withColumn("dense", F.coalesce(F.col("most") >= DENSE * F.col("all"), F.lit(False))), "join-dense")
-        stay = large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi")
-        final = add(stay.select("key", "node", blocks))
+        final = add(final, ends(large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi"), True))
         made_apart = made.join(parents.where("not dense").select("parent"), "parent", "left_semi").drop("parent")
         nodes = _homes(made_apart, threshold, 1).withColumnRenamed("grams", "node_grams")
         children = staged(made_apart.join(nodes, "node").select("key", "node", "docs", "node_grams"), "join-children")
         dropped(made)
-        final = add(children.where(_small("docs", "node_grams")).select("key", "node", F.lit(1).alias("blocks")))
+        final = add(final, ends(children.where(_small("docs", "node_grams")), False))
         large = children.where(~_small("docs", "node_grams"))
-    return add(large.select("key", "node", blocks))
+    return add(final, ends(large, True)), pivots
+
+
+def _probed(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``node, share, pivot`` of each large node: the share of linked pairs among about
+    ``PROBED`` of its documents, chosen by hash, and the one with most links. What it says
+    decides how a node is dealt with, not what is found there."""
+    most = F.least(F.lit(PROBED), F.floor(F.lit(NODE_GRAMS) * F.col("docs") / F.col("node_grams")))
+    some = large.where(F.pmod(F.xxhash64("key", "node"), F.col("docs")) < F.greatest(most, F.lit(2)))
+    some = some.join(sets.where(F.size("large") > 0).select("key", "grams"), "key").select("node", "key", "grams")
+
+    def probe(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        linked = linked_pairs([g.values.to_numpy().view(np.uint64) for g in table.column("grams")], threshold)
+        links, m = linked.sum(axis=1), len(keys)
+        best = min(range(m), key=lambda k: (-links[k], keys[k]))
+        return pa.table({"node": table.column("node").slice(0, 1), "share": pa.array([float(links.sum()) / max(m * (m - 1), 1)]), "pivot": pa.array([keys[best]], pa.binary())})
+
+    return some.groupBy("node").applyInArrow(probe, "node long, share double, pivot binary")
 
 
-def _compared(placed: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame:
+def _blocks(docs: str, grams_: str):
+    return F.greatest(F.ceil(F.col(docs) / NODE_DOCS), F.ceil(F.col(grams_) / NODE_GRAMS)).cast("int")
+
+
+def _roles(placed: DataFrame | None, pivots: DataFrame | None, sets: DataFrame, threshold: float, counted: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """``key, node, docs, b, upto`` of the members of nodes left whole: the member's block
+    and the number of blocks, the first ones, that it meets; and links to pivots.
+
+    A group of near copies fills about one node in each run, with nearly the same members
+    in all. Its members are compared with each other in one of them only: each node has
+    the largest node of most of its members as its reference, and there only documents
+    that aren't in the reference are compared, with all. Without ``counted``, a node that
+    is its own reference does the same by its pivot: documents linked to it are one class,
+    so only the others are compared with all.
+    """
+    if placed is None:
+        return None, None
+    whole = placed.where("whole").dropDuplicates(["node", "key"]).select("key", "node", "docs")
+    whole = staged(whole.join(sets.where(F.size("large") > 0).select("key", "size"), "key"), "join-whole")
+    if whole.isEmpty():
+        return None, None
+    of_key = whole.groupBy("key").agg(F.min(F.struct((-F.col("docs")).alias("order"), "node"))["node"].alias("main"), F.collect_list("node").alias("nodes"))
+    rows = whole.join(of_key, "key")
+    votes = rows.groupBy("node", "main").agg(F.count(F.lit(1)).alias("n"))
+    reference = votes.groupBy("node").agg(F.max(F.struct("n", "main"))["main"].alias("reference"))
+    rows = rows.join(reference, "node")
+    settled, stars = (F.col("reference") != F.col("node")) & F.array_contains("nodes", F.col("reference")), None
+    if not counted:
+        first = pivots.groupBy("node").agg(F.min("pivot").alias("pivot"))
+        at_pivot = first.join(sets.where(F.size("large") > 0).select(F.col("key").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot")
+        own = rows.where("reference = node").select("key", "node").join(at_pivot, "node").join(sets.where(F.size("large") > 0).select("key", "grams"), "key")
+        shared = F.size(F.array_intersect("grams", "pivot_grams"))
+        near = shared * (1 + threshold) >= threshold * (F.size("grams") + F.size("pivot_grams")) - 1e-3 / 4
+        stars = staged(own.where(near).select("key", "node", "pivot"), "join-stars")
+        rows = rows.join(stars.select("key", "node", F.lit(True).alias("star")), ["key", "node"], "left")
+        settled = settled | F.coalesce("star", F.lit(False))
+        stars = stars.select("key", F.lit(0).cast("long").alias("links"), F.col("pivot").alias("other"))
+    rows = staged(rows.select("key", "node", "docs", "size", settled.alias("settled")), "join-roles")
+    sums = [F.sum(F.when(test, value).otherwise(0)).alias(name) for test, name, value in ((~F.col("settled"), "new", F.lit(1)), (~F.col("settled"), "new_grams", F.col("size")), (F.col("settled"), "old", F.lit(1)), (F.col("settled"), "old_grams", F.col("size")))]
+    nodes = rows.groupBy("node").agg(*sums).where("new > 0").select("node", _blocks("new", "new_grams").alias("first"), _blocks("old", "old_grams").alias("rest"))
+    own = F.when(F.col("settled"), F.col("first") + F.pmod(F.xxhash64("key"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("key"), F.col("first")))
+    upto = F.when(F.col("settled"), F.col("first")).otherwise(F.col("first") + F.col("rest"))
+    return rows.join(nodes, "node").select("key", "node", "docs", own.cast("int").alias("b"), upto.cast("int").alias("upto")), stars
+
+
+def _compared(placed: DataFrame | None, roles: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame:
     """``key, links, other``: for each node and document with links there, their number
-    and the key of one member of its group. ``placed``: the nodes of documents that were
-    in large ones, besides their small ones."""
-    small = F.transform("homes", lambda x: F.struct(x.alias("node"), F.lit(1).alias("blocks")))
+    and the key of one member of its group. ``placed`` and ``roles``: the nodes of documents
+    that were in large ones, besides their small ones."""
+    at = lambda node, docs, b, upto: F.struct((-docs).alias("order"), node.alias("node"), b.alias("b"), upto.alias("upto"))
+    zero, one = F.lit(0), F.lit(1)
+    small = F.transform("homes", lambda x: at(x, zero.cast("long"), zero, one))
     rows = sets.where("size(large) = 0").select("key", "copies", "grams", small.alias("nodes"))
     if placed is not None:
-        more = placed.dropDuplicates(["node", "key"]).groupBy("key").agg(F.collect_list(F.struct("node", "blocks")).alias("more"))
-        held = sets.where("size(large) > 0").join(more, "key", "left")
-        rows = rows.unionByName(held.select("key", "copies", "grams", F.concat(small, F.coalesce("more", F.array().cast("array<struct<node:bigint,blocks:int>>"))).alias("nodes")))
-    rows = rows.select("key", "copies", "grams", F.sort_array(F.transform("nodes", lambda x: x["node"])).alias("homes"), F.explode("nodes").alias("at"))
-    # A node in b blocks is compared as b * (b + 1) / 2 pairs of blocks; a document goes to the b pairs of its own.
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.col("at.blocks")).cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)))
-    rows = rows.select(F.col("at.node").alias("node"), F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "key", "copies", "grams", "homes")
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "key")
+        more = placed.where("not whole").dropDuplicates(["node", "key"]).select("key", at(F.col("node"), zero.cast("long"), zero, one).alias("at"))
+        if roles is not None:
+            more = more.unionByName(roles.select("key", at(F.col("node"), F.col("docs"), F.col("b"), F.col("upto")).alias("at")))
+        held = sets.where("size(large) > 0").join(more.groupBy("key").agg(F.collect_list("at").alias("more")), "key", "left")
+        rows = rows.unionByName(held.select("key", "copies", "grams", F.concat(small, F.coalesce("more", F.array().cast(more.schema["at"].dataType.simpleString().join(("array<", ">"))))).alias("nodes")))
+    # Nodes left whole come first, the largest before the others, so that a reference comes before the nodes that refer to it.
+    rows = rows.select("key", "copies", "grams", F.sort_array("nodes").alias("nodes"))
+    rows = rows.select("key", "copies", "grams", F.transform("nodes", lambda x: x["node"]).alias("homes"), F.posexplode("nodes").alias("place", "at"))
+    rows = rows.withColumn("x", F.explode(F.sequence(zero, F.col("at.upto") - 1)))
+    rows = rows.select(F.col("at.node").alias("node"), F.least("at.b", "x").alias("i"), F.greatest("at.b", "x").alias("j"), F.col("at.b").alias("b"), "key", "copies", "grams", F.slice("homes", one, F.col("place")).alias("earlier"))
+    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, bytes]] = []
@@ -336,13 +422,13 @@ def _compared(placed: DataFrame | None, sets: DataFrame, threshold: float) -> Da
         at: tuple | None = None
 
         def close() -> None:
-            node, i, j = at
+            _, i, j = at
             unique = list({r[0]: r for r in held}.values())
             if len(unique) < 2:
                 return
             keys = [r[0] for r in unique]
             sets_ = [r[2] for r in unique]
-            earlier = [r[3][r[3] < node] for r in unique]
+            earlier = [r[3] for r in unique]
             if len(unique) == 2:
                 (ka, ca, a, _, ba), (kb, cb, b, _, bb) = unique
                 if (i == j or ba != bb) and _compare_pair(a, b, threshold):
@@ -407,9 +493,10 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_r
     smallest doc_id (of several texts under it, that of the smallest digest), once. Rows
     with a null id or text all stay."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, nodes = _resolve(rows, n, threshold, target_recall)
-    first = nodes.groupBy("label").agg(F.min(F.struct("copy_of", "key")).alias("f")).select(F.col("f.copy_of").alias("__id"), F.col("f.key").alias("__key"))
-    named = docs.where("doc_id is not null and text is not null").withColumn("__digest", F.unhex(F.md5("text")))
-    kept = named.join(first, (named.doc_id == first["__id"]) & (named["__digest"] == first["__key"]))
-    kept = kept.dropDuplicates(["__id", "__key"]).select(*(f"`{c}`" for c in docs.columns))
+    _, nodes = _resolve(rows, n, threshold, target_recall, counted=False)
+    first = nodes.groupBy("label").agg(F.min(F.struct("copy_of", "key")).alias("f")).select(F.col("f.copy_of").alias("id"), "f.key")
+    # The rows are one column here, so that their names can't clash with others.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    named = docs.where("doc_id is not null and text is not null").select(row, F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5("text")).alias("key"))
+    kept = named.join(first, ["id", "key"]).dropDuplicates(["id", "key"]).select("row.*")
     return kept.unionByName(docs.where("doc_id is null or text is null"))

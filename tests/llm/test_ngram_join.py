@@ -74,17 +74,49 @@ def test_against_all_pairs(spark, limit, monkeypatch):
     assert got == brute(data)
 
 
-def test_one_document_of_each_class_stays(spark):
+@pytest.mark.parametrize("limit", [1000, 12])
+def test_one_document_of_each_class_stays(spark, limit, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NODE_DOCS", limit)
     data = corpus(random.Random(12))
     data += [(data[3][0], data[3][1])] * 2 + [(1_000_000, "first text under one id"), (1_000_000, "second text under one id, quite another")]
-    df = spark.createDataFrame([(*x, "clash") for x in data], "doc_id long, text string, key string")
+    df = spark.createDataFrame([(*x, "clash", "a", b"b", "c") for x in data], "doc_id long, text string, key string, __id string, __digest binary, row string")
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
+    assert kept.select("key", "__id", "__digest", "row").distinct().collect() == [("clash", "a", b"b", "c")]
     want = [*{c for i, c, _, _ in brute(data) if i is not None}, 1_000_000]
     got = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
 
 
+def test_a_large_group_and_a_common_passage(spark, monkeypatch):
+    """Pairs in large nodes: near copies that are all alike, others at the threshold, and texts that share a passage only."""
+    monkeypatch.setattr(ngram_join, "NODE_DOCS", 25)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 6)))
+    hub, passage = [word() for _ in range(110)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        copy = list(hub)
+        for _ in range(rng.choice([1, 1, 2])):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    for _ in range(150):
+        texts.append(" ".join([*passage, *(word() for _ in range(60))]))
+        if rng.random() < 0.3:
+            copy = texts[-1].split()
+            copy[rng.randrange(60, len(copy))] = word()
+            texts.append(" ".join(copy))
+    data = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted([tuple(r) for r in ngram_join.links(df).collect()], key=str)
+    want = brute(data)
+    found, there = sum(r[3] for r in got), sum(r[3] for r in want)
+    assert there > 4000 and there * 0.999 <= found <= there
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(df).collect())
+    assert kept == sorted({r[1] for r in want})
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.links(df).count() == 0 == ngram_join.keep_one(df).count()
