@@ -34,14 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, staged
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
 #: Largest node, or side of a block, that is compared pair by pair: documents and n-grams.
-NODE_DOCS, NODE_GRAMS = 1000, 1_000_000
+NODE_DOCS, NODE_GRAMS = 1000, 2_000_000
 #: Levels of splitting, mean number of shared n-grams chosen at each, and the share of a node's documents that may stay together.
 LEVELS, CHOSEN, DENSE = 4, 2.0, 0.8
 #: Documents of a large node that are looked at, and the share of linked pairs among them from which the node isn't split.
@@ -187,22 +187,22 @@ def _children(g: np.ndarray, parents: list[int], threshold: float) -> tuple[np.n
 
 
 def _with_set(docs: DataFrame, n: int) -> DataFrame:
-    """``key, copies, size, grams, homes, large`` from ``key, copies, homes, large, text``."""
+    """``key, copies, size, grams, homes, large, probes`` from all but ``size, grams`` and ``text``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                sets = [grams(t.as_py(), n) for t in part.column(4)]
+                sets = [grams(t.as_py(), n) for t in part.column(5)]
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in sets], out=offsets[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2), part.column(3)],
-                    names=["key", "copies", "size", "grams", "homes", "large"],
+                    [part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(sets))), part.column(2), part.column(3), part.column(4)],
+                    names=["key", "copies", "size", "grams", "homes", "large", "probes"],
                 )
 
-    schema = "key binary, copies long, size long, grams array<long>, homes array<long>, large array<long>"
-    return docs.select("key", "copies", "homes", "large", "text").mapInArrow(read, schema)
+    schema = "key binary, copies long, size long, grams array<long>, homes array<long>, large array<long>, probes array<long>"
+    return docs.select("key", "copies", "homes", "large", "probes", "text").mapInArrow(read, schema)
 
 
 def _small(docs: str, grams_: str):
@@ -254,8 +254,8 @@ def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float, co
     dropped(members, homes)
     nodes_of = lambda test: F.transform(F.filter("homes", test), lambda h: h["node"])
     is_small = lambda h: (h["docs"] <= NODE_DOCS) & (h["node_grams"] <= NODE_GRAMS)
-    firsts = classes.join(own, "key").select("key", "copies", "copy_of", nodes_of(is_small).alias("homes"), nodes_of(lambda h: ~is_small(h)).alias("large"))
-    texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "large", "text")
+    firsts = classes.join(own, "key").select("key", "copies", "copy_of", nodes_of(is_small).alias("homes"), nodes_of(lambda h: ~is_small(h)).alias("large"), nodes_of(lambda h: ~is_small(h) & _sampled(F.col("key"), h["node"], h["docs"], h["node_grams"])).alias("probes"))
+    texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "large", "probes", "text")
     sets = staged(_with_set(texts, n), "join-sets")
     large = own.select("key", F.inline("homes")).where(~_small("docs", "node_grams"))
     placed, pivots = _split_large(large, sets, threshold)
@@ -307,15 +307,21 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
                 if len(made):
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.binary()), pa.array(made), pa.array(of), pa.array(np.full(len(made), len(own), np.int64))], names=["key", "node", "parent", "size"])
 
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         if large.isEmpty():
             return final, pivots
-        probed = staged(_probed(large, sets, threshold), "join-probed")
+        if level == 0:
+            some = sets.where(F.size("probes") > 0).select(F.explode("probes").alias("node"), "key", "grams")
+        else:
+            # Written first, so that their size is known: a small table is broadcast, and the sets aren't shuffled.
+            some = staged(large.where(_sampled(*map(F.col, ("key", "node", "docs", "node_grams")))).select("key", "node"), "join-some")
+            some = some.join(sets.where(F.size("large") > 0).select("key", "grams"), "key").select("node", "key", "grams")
+        probed = staged(_probed(some, threshold), "join-probed")
         pivots = add(pivots, probed.select("node", "pivot"))
         dense = probed.where(F.col("share") >= DENSE_LINKS).select("node")
         final = add(final, ends(large.join(dense, "node", "left_semi"), True))
         large = large.join(dense, "node", "left_anti")
-        asked = large.groupBy("key").agg(F.collect_list("node").alias("parents"))
+        asked = staged(large.groupBy("key").agg(F.collect_list("node").alias("parents")), "join-asked")
         made = sets.where(F.size("large") > 0).select("key", "grams").join(asked, "key").select("key", "parents", "grams").mapInArrow(choose, "key binary, node long, parent long, size long")
         made = staged(made.dropDuplicates(["node", "key"]), "join-split")
         counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"))
@@ -332,13 +338,16 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     return add(final, ends(large, True)), pivots
 
 
-def _probed(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``node, share, pivot`` of each large node: the share of linked pairs among about
-    ``PROBED`` of its documents, chosen by hash, and the one with most links. What it says
-    decides how a node is dealt with, not what is found there."""
-    most = F.least(F.lit(PROBED), F.floor(F.lit(NODE_GRAMS) * F.col("docs") / F.col("node_grams")))
-    some = large.where(F.pmod(F.xxhash64("key", "node"), F.col("docs")) < F.greatest(most, F.lit(2)))
-    some = some.join(sets.where(F.size("large") > 0).select("key", "grams"), "key").select("node", "key", "grams")
+def _sampled(key: Column, node: Column, docs: Column, node_grams: Column) -> Column:
+    """True for about ``PROBED`` documents of a node, or two at least of very long ones."""
+    most = F.least(F.lit(PROBED), F.floor(F.lit(NODE_GRAMS) * docs / node_grams))
+    return F.pmod(F.xxhash64(key, node), docs) < F.greatest(most, F.lit(2))
+
+
+def _probed(some: DataFrame, threshold: float) -> DataFrame:
+    """``node, share, pivot`` from sampled ``node, key, grams``: the share of linked pairs
+    and the document with most links. What it says decides how a node is dealt with, not
+    what is found there."""
 
     def probe(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
