@@ -3,9 +3,9 @@
 Documents are sets of hashed n-grams of words. In each of several runs a document
 chooses some of its n-grams by a hash that all documents share, and goes to the node of
 each chosen one; two documents of Jaccard similarity at least ``threshold`` meet in
-``1`` node on average in each run. Pairs that meet but once, and in no other company,
-are let go, so the number of runs follows from the chance of fewer than two meetings
-and the target recall.
+``1`` node on average in each run. The number of runs follows from the target recall and
+the chance of fewer than two meetings, so pairs that meet but once need not be compared:
+documents that met others only once, and nodes of two that are the only one of theirs, go.
 Nodes of few documents are compared pair by pair, exactly. Larger ones are split again
 by n-grams sampled for that node, until they are small or stop shrinking. A node whose
 documents are linked to each other, as a sample of them shows, or stay together is
@@ -210,14 +210,14 @@ def _small(docs: str, grams_: str):
 
 
 def _homes(members: DataFrame, threshold: float, meetings: int = 2) -> DataFrame:
-    """Nodes that are to be compared: ``node, docs, grams``. Small nodes with the same
-    documents are one: the smallest stands for all. Of nodes of two documents go those
+    """Nodes that are to be compared: ``node, docs, grams, times``. Small nodes with the same
+    documents are one: the smallest stands for all ``times``. Of nodes of two documents go those
     whose sizes can't agree, and those that aren't one of ``meetings`` of their two documents."""
     hashes = [F.bit_xor(F.xxhash64("key")).alias("a"), F.sum(F.xxhash64("key", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("b")]
     nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams"), F.min("size").alias("low"), F.max("size").alias("high"), *hashes)
     nodes = nodes.where((F.col("docs") > 2) | (F.col("docs") == 2) & (F.col("low") >= threshold * F.col("high") - 1e-6))
     same = nodes.groupBy("docs", "grams", "a", "b", F.when(~_small("docs", "grams"), F.col("node")).alias("own")).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times"))
-    return same.where((F.col("docs") > 2) | (F.col("times") >= meetings)).select("node", "docs", "grams")
+    return same.where((F.col("docs") > 2) | (F.col("times") >= meetings)).select("node", "docs", "grams", "times")
 
 
 def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float, counted: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -249,8 +249,9 @@ def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float, co
 
     members = staged(whole.select("key", "text").mapInArrow(choose, "key binary, node long, size long").dropDuplicates(["node", "key"]), "join-members")
     homes = staged(_homes(members, threshold), "join-homes")
-    at_home = members.join(homes, "node").select("key", F.struct("node", "docs", F.col("grams").alias("node_grams")).alias("h"))
-    own = staged(at_home.groupBy("key").agg(F.collect_list("h").alias("homes")), "join-own")
+    at_home = members.join(homes, "node").select("key", F.struct("node", "docs", F.col("grams").alias("node_grams")).alias("h"), "times")
+    # Who met others only once has met no one twice.
+    own = staged(at_home.groupBy("key").agg(F.collect_list("h").alias("homes"), F.sum("times").alias("times")).where("times > 1").select("key", "homes"), "join-own")
     dropped(members, homes)
     nodes_of = lambda test: F.transform(F.filter("homes", test), lambda h: h["node"])
     is_small = lambda h: (h["docs"] <= NODE_DOCS) & (h["node_grams"] <= NODE_GRAMS)
@@ -330,7 +331,7 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
         parents = staged(parents.withColumn("dense", F.coalesce(F.col("most") >= DENSE * F.col("all"), F.lit(False))), "join-dense")
         final = add(final, ends(large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi"), True))
         made_apart = made.join(parents.where("not dense").select("parent"), "parent", "left_semi").drop("parent")
-        nodes = _homes(made_apart, threshold, 1).withColumnRenamed("grams", "node_grams")
+        nodes = _homes(made_apart, threshold, 1).drop("times").withColumnRenamed("grams", "node_grams")
         children = staged(made_apart.join(nodes, "node").select("key", "node", "docs", "node_grams"), "join-children")
         dropped(made)
         final = add(final, ends(children.where(_small("docs", "node_grams")), False))
