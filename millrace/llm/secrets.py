@@ -9,8 +9,11 @@ findings, at most ``LABELLED`` rows, reaches the driver.
 Everything happens inside a row, without a shuffle. Texts without a candidate are told
 apart by one regular expression.
 
-Defined results: a null or empty text has no findings; each occurrence is a finding;
-rows that repeat are scanned each for itself.
+Defined results: a null or empty text has no findings and stays as it is; each occurrence
+is a finding; rows that repeat are scanned each for itself, so they share their findings
+(ties have no effect on each other); whole texts count, however long; no rows give no rows;
+other columns are kept, whatever their names. A word is masked where it was found: equal
+characters in other words stay, unless they are found themselves.
 """
 
 from __future__ import annotations
@@ -39,7 +42,12 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 _VALUE = r"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',};]){6,}+"
 _ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[:=]{{1,2}}[\x22']?({_VALUE})"
 
-FEATURES = ("length", "digits", "uppers", "others", "switches", "pairs", "distinct", "dictionary", "path", "key_name", "other_name", "assigned", "quoted", "hex", "uuid", "repeats")
+#: What may stand between a key name and the value.
+SCHEMES = "bearer|basic|digest|negotiate"
+# How keys of common services begin.
+PREFIXES = "AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|eyJ|MII[CEGJ]"
+
+FEATURES = ("length", "digits", "uppers", "others", "switches", "pairs", "distinct", "dictionary", "path", "key_name", "other_name", "assigned", "quoted", "hex", "uuid", "repeats", "prefix")
 
 
 def _candidates(words: Column) -> Column:
@@ -50,10 +58,12 @@ def _candidates(words: Column) -> Column:
     def of_word(w: Column, i: Column) -> Column:
         runs = F.regexp_extract_all(w, F.lit(_RUN), F.lit(0))
         inside = F.regexp_extract_all(w, F.lit(_ASSIGNED), F.lit(1))
-        named = near(i - 1).rlike(r"(?:^|[A-Za-z\x22'])[:=]{1,2}$") & F.concat_ws(" ", near(i - 2), near(i - 1)).rlike(rf"(?i)(?:{KEY_NAMES})")
+        sign, scheme = r"(?:^|[A-Za-z\x22'])[:=]{1,2}$", near(i - 1).rlike(rf"^[\x22']?(?i:{SCHEMES})$")
+        named = near(i - 1).rlike(sign) & F.concat_ws(" ", near(i - 2), near(i - 1)).rlike(rf"(?i)(?:{KEY_NAMES})")
+        named = named | scheme & near(i - 2).rlike(sign) & F.concat_ws(" ", near(i - 3), near(i - 2)).rlike(rf"(?i)(?:{KEY_NAMES})")
         first = F.when(named, F.regexp_extract_all(w, F.lit(rf"^[\x22']?({_VALUE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
         # No value lies inside a longer run: a run that begins with it ends with it, and is found already.
-        found = F.concat(runs, F.filter(F.concat(first, inside), lambda v: ~v.rlike(f"^(?:{_RUN})$")))
+        found = F.concat(runs, F.filter(F.concat(first, inside), lambda v: ~v.rlike(f"^(?:(?:{_RUN})|(?i:{SCHEMES}))$")))
         before = F.concat_ws(" ", near(i - 3), near(i - 2), near(i - 1))
         return F.transform(found, lambda c: F.struct(i.cast("long").alias("word_index"), c.alias("candidate"), w.alias("word"), before.alias("before"), near(i + 1).alias("after")))
 
@@ -87,6 +97,7 @@ def _features(f: Column) -> dict[str, Column]:
         "hex": yes(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "uuid": yes(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         "repeats": (n - F.length(F.regexp_replace(c, r"(.)\1{2,}", "$1"))) / n,
+        "prefix": yes(c.rlike(f"^(?:{PREFIXES})")),
     }
 
 
@@ -182,18 +193,47 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "labelled"
     hex40 = pick(1, F.substring(h, 1, 40), F.substring(h, 1, 32), h, F.upper(F.substring(h, 1, 40)))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     digits = F.substring(F.translate(h, "abcdef", "012345"), 1, 18)
+    more = F.regexp_replace(F.base64(F.unhex(g)), "[+/=]", "y")
     key = pick(3, "token", "TOKEN", "secret", "password", "api_key", "access_key", "client_secret", "auth", "pwd", "private_key")
-    value = pick(5, hex40, F.substring(base, 1, 20), F.substring(base, 1, 32), F.substring(base, 1, 40), F.concat(F.lit("gh"), F.lit("p_"), F.substring(base, 1, 36)), F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(h, 1, 16))), F.concat(F.lit("sk"), F.lit("-"), F.substring(base, 1, 40)))
+    bare = pick(
+        5,
+        F.concat(F.lit("gh"), F.lit("p_"), F.substring(base, 1, 36)),
+        F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.translate(F.substring(base, 1, 16), "abcdefg", "1234567"))),
+        F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(h, 1, 16))),
+        F.concat(F.lit("sk"), F.lit("-"), F.substring(base, 1, 40)),
+        F.concat(F.lit("xo"), F.lit("xb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(base, 1, 24)),
+        F.concat(F.lit("ey"), F.lit("J0"), F.substring(base, 1, 30), F.lit(".ey"), F.lit("J1"), F.substring(more, 1, 36), F.lit(".0"), base),
+        F.concat(F.lit("MI"), F.lit("IEv0"), F.substring(base, 1, 36), F.substring(more, 1, 22)),
+    )
+    # Short ones as people make them up: a word, numbers, a sign, capitals.
+    short = pick(
+        11,
+        F.concat(word(9), number(13, 9999).cast("string")),
+        F.concat(F.initcap(word(9)), number(13, 99).cast("string"), pick(15, "!", "#", "x", "$", "_")),
+        F.concat(F.substring(word(9), 1, 3), number(13, 999).cast("string"), F.initcap(word(17))),
+        F.concat(F.translate(word(9), "aeio", "4310"), number(13, 99).cast("string"), F.substring(base, 1, 4)),
+        F.substring(base, 1, number(13, 8) + 8),
+    )
+    short = F.rpad(short, 6, "7k2")
+    value = pick(5, hex40, F.substring(base, 1, 20), F.substring(base, 1, 32), F.substring(base, 1, 40), bare, bare, short, short, short)
     secret = pick(
         7,
         F.concat(key, F.lit(' = "'), value, F.lit('"')),
         F.concat(key, F.lit(': "'), value, F.lit('"')),
         F.concat(key, F.lit("="), value),
+        F.concat(key, F.lit(": "), value),
         F.concat(F.lit("Authorization: Bearer "), value),
         F.concat(F.lit('"'), key, F.lit('":"'), value, F.lit('",')),
         F.concat(key, F.lit(" is "), F.substring(base, 1, 36)),
+        bare,
+        F.concat(pick(9, "use ", "see ", "( ", '"', "key "), bare),
+        F.concat(word(21), F.lit("="), bare),
     )
     names = F.concat_ws("_", word(9), word(11), word(13), number(15, 2000).cast("string"))
+    plain = pick(
+        9, "YOUR_API_KEY_HERE_0000", "xxxxxxxxxxxxxxxx1234", "example_token_value_01", "0000000000000000", "change_this_secret_1", "placeholder", "1234567890123456", "<your-token-here>", "default_password_1",
+        "required", "disabled", "optional", "string", "undefined", "localhost", "changeme", "process.env.TOKEN", "os.environ[0]", "${PASSWORD}", "expired", "missing", "enabled", word(23), F.concat(word(23), word(25)),
+    )
     other = pick(
         7,
         F.concat(pick(3, "commit ", "sha1: ", "md5 = ", "checksum ", "etag: ", "digest=", "revision "), hex40),
@@ -201,11 +241,14 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "labelled"
         F.concat(F.lit("https://www.example.com/"), word(9), F.lit("/"), names, pick(3, ".html", ".png", "/", ".pdf")),
         F.concat(pick(3, "/usr/share/", "./", "docs/", "~/"), names, F.lit("/"), word(17), number(19, 99).cast("string"), F.lit(".json")),
         F.concat(pick(3, "phone ", "card ", "invoice ", "order id = ", "isbn ", ""), digits),
-        F.concat(key, pick(3, " = ", "=", ": "), pick(9, "YOUR_API_KEY_HERE_0000", "xxxxxxxxxxxxxxxx1234", "example_token_value_01", "0000000000000000", "change_this_secret_1", "placeholder", "1234567890123456", "<your-token-here>", "default_password_1")),
+        F.concat(key, pick(3, " = ", "=", ": "), plain),
         names,
         F.concat(word(9), F.lit("-"), word(11), F.lit("-"), word(13), F.lit("-"), word(17), F.lit("-"), number(19, 30).cast("string")),
         F.concat(word(21), number(23, 99999).cast("string"), word(25), number(27, 99999).cast("string"), word(29)),
         F.concat(pick(3, "build ", "version ", "rev "), number(31, 2000).cast("string"), F.lit("-"), F.substring(h, 1, 16)),
+        F.concat(key, pick(3, " of commit ", " request uuid: ", " page "), pick(13, hex40, uuid, F.concat(F.lit("https://www.example.com/"), names))),
+        F.concat(pick(3, "the token ", "a secret ", "password reset "), pick(13, names, F.concat(F.lit("docs/"), names, F.lit(".json")), digits)),
+        hex40,
     )
     is_secret = F.pmod(F.col("id"), F.lit(2)) == 0
     return row.select(F.concat_ws(" ", word(33), word(37), F.when(is_secret, secret).otherwise(other), word(41), word(45)).alias("text"), is_secret.cast("int").alias("is_secret"))
@@ -223,13 +266,34 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col
     return rows.select("doc_id", "word_index", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("length"), F.round("score", 6).alias("score"), (F.round("score", 6) >= threshold).alias("is_secret"))
 
 
+def _masked_word(piece: Column, candidate: Column) -> Column:
+    """``piece`` with ``MASK`` for ``candidate`` where it is a run or an assigned value of its own."""
+    run, quoted = "[A-Za-z0-9_+/-]", F.regexp_replace(candidate, r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", r"\\$1")
+    blank = r"[\x20\x09-\x0D]"
+    as_run = F.concat(F.lit(f"(?<!{run})"), quoted, F.lit(f"(?:(?<==)|(?!{run}))"))
+    as_value = F.concat(F.lit(rf"(?:(?<=[:=\x22'])|(?<={blank})|^)"), quoted, F.lit(r"(?=$|[\x22',};]|&[A-Za-z0-9_.~%-]+=)"))
+    return F.regexp_replace(piece, F.concat(as_run, F.lit("|"), as_value), F.lit(MASK))
+
+
 def mask(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with each found secret replaced by ``MASK``, longest first, and ``n_chars`` anew where there is such a column."""
-    df = with_findings(docs, forest, text_col)
-    original = F.col(f"`{text_col}`")
-    found = lambda f: F.transform(F.filter(f, lambda x: F.round(x["score"], 6) >= threshold), lambda x: F.struct((-F.length(x["candidate"])).alias("n"), x["candidate"].alias("c")))
-    replaced = lambda s: F.aggregate(F.array_distinct(F.sort_array(s)), original, lambda t, x: F.replace(t, x["c"], F.lit(MASK)))
-    df = df.withColumn("__masked", _let(F.col("__findings"), lambda f: _let(found(f), lambda s: F.struct(replaced(s).alias("text"), (F.size(s) > 0).alias("changed")))))
-    masked = F.col("__masked")
-    out = [masked["text"].alias(c) if c == text_col else F.when(masked["changed"], F.length(masked["text"]).cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return df.select(*out)
+    """``docs`` with each found secret replaced by ``MASK`` in its word, longest first, and
+    ``n_chars`` anew where there is such a column and the text has changed."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    df = with_findings(docs.select(row, F.col(f"`{text_col}`").alias("text")), forest)
+    text = F.col("text")
+    # Each piece is a word and the blanks before it, so the piece of a word has the word's place.
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    found = lambda f: F.sort_array(F.transform(F.filter(f, lambda x: F.round(x["score"], 6) >= threshold), lambda x: F.struct(x["word_index"].cast("int").alias("at"), (-F.length(x["candidate"])).alias("n"), x["candidate"].alias("c"))))
+    masked = lambda p, s, at: F.aggregate(F.array_distinct(F.filter(s, lambda x: x["at"] == at)), F.get(p, at), lambda t, x: _masked_word(t, x["c"]))
+    between = lambda p, lo, hi: F.array_join(F.slice(p, lo + 1, hi - lo), "")
+
+    def parts(p: Column, s: Column, at: Column) -> Column:
+        lead = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + 1)
+        heads = F.transform(at, lambda x, k: F.concat(between(p, lead(k), x), masked(p, s, x)))
+        return F.concat(F.array_join(heads, ""), between(p, F.element_at(at, -1) + 1, F.size(p)))
+
+    changed = lambda s: _let(pieces, lambda p: _let(F.array_distinct(s["at"]), lambda at: parts(p, s, at)))
+    df = df.select("row", _let(found(F.col("__findings")), lambda s: F.when(F.size(s) > 0, changed(s))).alias("masked"))
+    new, n = F.coalesce("masked", F.col(f"row.`{text_col}`")), F.length("masked")
+    out = [new if c == text_col else F.coalesce(n.cast(docs.schema[c].dataType), F.col("row.n_chars")) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return df.select(*(x.alias(c) for x, c in zip(out, docs.columns, strict=True)))

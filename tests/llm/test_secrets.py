@@ -91,3 +91,114 @@ def test_planted_tokens_are_found_and_masked(spark, forest):
     masked = secrets.mask(docs, forest)
     assert masked.where("text rlike '(?i)token = \"[0-9a-f]{40}\"'").count() == 0
     assert masked.columns == docs.columns and masked.where("n_chars <> length(text)").count() == docs.where("n_chars <> length(text)").count()
+
+
+BASE = "q7Zt3LmVx9KdW2pRfY6cJh8sBn4gTe1aUo5iXwPz"
+
+
+def test_keys_without_a_name_are_found_and_words_beside_them_stay(spark, forest):
+    jwt = "ey" + "J0eXAiOiJKV1QiLCJhbGciOiJIUzI1" + ".ey" + "J1c2VyIjoiYjA4Zjg2YWYzNWRhNDhmMm" + ".9f3kQz7Lm2Xv8Rt4Wp6Yb1Nc5Hd0Js"
+    secret = {
+        1: "we saw " + "AK" + "IA" + "Q7ZT3LMVX9KDW2PR" + " in it",
+        2: "use " + "gh" + "p_" + BASE[:36] + " here",
+        3: f"see {jwt} for more",
+        4: 'password = "hunter22x" then',
+        5: "db_pwd: Garden84! now",
+        6: "Authorization: Bearer " + BASE[:24],
+    }
+    plain = {
+        11: "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it",
+        12: "trace 2b0f1c3a-4d5e-6f70-8192-a3b4c5d6e7f8",
+        13: "the token page https://www.example.com/garden/river_letter_2021.html",
+        14: "password: required",
+        15: "Authorization: Bearer",
+        16: "token = placeholder",
+    }
+    df = spark.createDataFrame([*secret.items(), *plain.items()], "doc_id long, text string")
+    rows = secrets.scan(df, forest).where("is_secret").collect()
+    assert {r.doc_id for r in rows} == set(secret)
+    masked = {r.doc_id: r.text for r in secrets.mask(df, forest).collect()}
+    assert masked[1] == "we saw [SECRET] in it" and masked[2] == "use [SECRET] here" and masked[3] == "see [SECRET].[SECRET].[SECRET] for more"
+    assert masked[4] == 'password = "[SECRET]" then' and masked[5] == "db_pwd: [SECRET] now" and masked[6] == "Authorization: Bearer [SECRET]"
+    assert {k: masked[k] for k in plain} == plain
+
+
+def test_masked_by_place(spark, monkeypatch):
+    """All candidates count as secret here: what is masked is where it was found, whatever its characters."""
+    texts = {
+        " \n password: monkey1x and monkey1xyz\tmonkey1x ": " \n password: [SECRET] and monkey1xyz\tmonkey1x ",
+        "monkey1x password: monkey1x": "monkey1x password: [SECRET]",
+        "password=monkey1x&user=monkey1xyz": "password=[SECRET]&user=monkey1xyz",
+        "pwd=a+b$1\\E(c9[x]{2}^|?*.\\d": "pwd=[SECRET]}^|?*.\\d",
+        "token=éä+ö$€🙂 x": "token=[SECRET]",
+        "KEY0123456789012=abc KEY0123456789012==== x": "[SECRET]abc [SECRET]== x",
+        '{"id":"hunter22x0123456789abcdef0","password":"hunter22x"}': '{"id":"[SECRET]","password":"[SECRET]"}',
+        "a b c": "a b c",
+        "": "",
+        "word " * 3000 + "token=letmein99\n" + "word " * 3000: "word " * 3000 + "token=[SECRET]\n" + "word " * 3000,
+    }
+    data = [(k, t, "m", "f", "r", "c") for k, t in enumerate(texts)] + [(99, None, "m", "f", "r", "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, __masked string, __findings string, row string, masked string")
+    rows = secrets.mask(df, secrets.Forest((1.0,)))
+    assert rows.columns == df.columns
+    got = {r.doc_id: r for r in rows.collect()}
+    assert [got[k].text for k in range(len(texts))] == list(texts.values()) and got[99].text is None
+    assert {tuple(r)[2:] for r in got.values()} == {("m", "f", "r", "c")}
+
+
+def brute_findings(text):
+    """``word index, candidate, features`` in plain Python."""
+    run = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+    value = r"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',};]){6,}+"
+    names, others = secrets.KEY_NAMES, secrets.OTHER_NAMES
+    words = [w for w in WS.split(text or "") if w]
+    at = lambda i: words[i] if 0 <= i < len(words) else ""
+    out = []
+    for i, w in enumerate(words):
+        runs = [m.group() for m in re.finditer(run, w)]
+        sign = r"(?:^|[A-Za-z\x22'])[:=]{1,2}$"
+        named = bool(re.search(sign, at(i - 1)) and re.search(f"(?i){names}", f"{at(i - 2)} {at(i - 1)}"))
+        scheme = bool(re.search(rf"^[\x22']?(?i:{secrets.SCHEMES})$", at(i - 1)) and re.search(sign, at(i - 2)) and re.search(f"(?i){names}", f"{at(i - 3)} {at(i - 2)}"))
+        values = [m[1] for m in [re.match(rf"[\x22']?({value})", w)] if m and (named or scheme)]
+        values += [m[1] for m in re.finditer(rf"(?i)(?:{names})[\x22']?[:=]{{1,2}}[\x22']?({value})", w)]
+        for c in runs + [v for v in values if not re.fullmatch(run, v) and v.lower() not in secrets.SCHEMES.split("|")]:
+            n, low, before = len(c), c.lower(), " ".join((at(i - 3), at(i - 2), at(i - 1)))
+            lead = w.split(c)[0]
+            context = f"{before} {lead}"
+            kinds = re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", c)))
+            f = {
+                "length": n,
+                "digits": sum(x in "0123456789" for x in c) / n,
+                "uppers": sum("A" <= x <= "Z" for x in c) / n,
+                "others": len(re.findall("[^A-Za-z0-9]", c)) / n,
+                "switches": (len(kinds) - 1) / n,
+                "pairs": sum(low[k : k + 2] in secrets.PAIRS.split() for k in range(n)) / n,
+                "distinct": len(set(c)) / n,
+                "dictionary": (n - len(re.sub(f"(?:{secrets.DICTIONARY})", "", low))) / n,
+                "path": bool(re.search(r"://|^[./~]|/[^/]+/|\.[a-z]{2,4}(?:[^a-z]|$)|^data:", w)),
+                "key_name": bool(re.search(f"(?i){names}", context)),
+                "other_name": bool(re.search(rf"(?i)(?:^|[^a-z])(?:{others})(?:[^a-z]|$)", context)),
+                "assigned": bool(re.search(r"[:=]{1,2}[\x22']?$", context)),
+                "quoted": bool(re.search(r"[\x22']$", lead)),
+                "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)),
+                "uuid": bool(re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", c)),
+                "repeats": (n - len(re.sub(r"(.)\1{2,}", r"\1", c))) / n,
+                "prefix": bool(re.match(f"(?:{secrets.PREFIXES})", c)),
+            }
+            out.append((i, c, f))
+    return out
+
+
+def test_candidates_features_and_scan_against_brute_force(spark, forest):
+    docs = secrets.labelled_findings(spark, 600, "brute").selectExpr("monotonically_increasing_id() doc_id", "text")
+    docs = docs.union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 10000000000", "text")).persist()
+    want = {r.doc_id: brute_findings(r.text) for r in docs.collect()}
+    got = {r.doc_id: r.f for r in secrets.with_candidates(docs).selectExpr("doc_id", "__candidates f").collect()}
+    assert sum(map(len, want.values())) > 500
+    for k, findings in want.items():
+        assert [(f.word_index, f.candidate) for f in got[k]] == [(i, c) for i, c, _ in findings]
+        for f, (_, _, x) in zip(got[k], findings, strict=True):
+            assert all(f[name] == pytest.approx(float(x[name])) for name in secrets.FEATURES), (f, x)
+    scores = sorted((k, i, len(c), round(forest.score(f), 4)) for k, fs in want.items() for i, c, f in fs)
+    scan = sorted((r.doc_id, r.word_index, r.length, round(r.score, 4)) for r in secrets.scan(docs, forest).collect())
+    assert [x[:3] for x in scan] == [x[:3] for x in scores] and all(abs(a[3] - b[3]) < 2e-4 for a, b in zip(scan, scores, strict=True))
