@@ -9,7 +9,8 @@ rendering the turn once more with a probe in the text's place.
 
 Defined results: a null text or role is empty; turns are ordered by turn number, null
 first, then role and text, so repeated rows are turns of their own; rows with a null
-conv_id are one conversation.
+conv_id are one conversation; whole texts are rendered, however long; no rows give no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -76,8 +76,20 @@ class _Units(dict):
         return self._letters(run)
 
 
+#: Texts on which a tokenizer must agree with its units put together, else it encodes whole texts.
+PROBES = (
+    "Plain words, and more of them; CamelCase UPPER lower.  Two blanks\n\nand lines\n next!",
+    " leading and trailing ", "it's don't we'll I'm", "été Ünïcode ÀÉ naïve:", "a1 b22 333 4,444.5", "x\ty\r\nz\x0b\x0c", "日本語 text🙂 🙂 нет", "e\u0301 \u0301x \u3000 \xa0y",
+    "<|endoftext|> [SEP] [UNK] </s> <s>", "http://a.b/c?d=e&f=g_h-i", "((nested) [brackets] {x}) \"q\" 'r'", "\n \n\n  \n", "...!!!???", "word.word,word;word:word", "A" * 70 + " " + "b" * 70,
+)
+
+
 class Encoder:
-    """``encode(text)``: the ids of ``tokenizers`` as little-endian unsigned 32-bit integers."""
+    """``encode(text)``: the ids of ``tokenizers`` as little-endian unsigned 32-bit integers.
+
+    Units fit tokenizers that part texts at blanks, dropping them or (``keeps_space``)
+    joining them to what follows. One that disagrees on ``PROBES`` gets whole texts.
+    """
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,8 +98,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
         self.units = _Units(self.tokenizer, keeps_space)
+        self.cut = True
+        self.cut = all(self.encode(t) == self.whole(t) for t in PROBES)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.cut:
+            return self.whole(text)
         if len(self.units) > MAX_UNITS:
             self.units.clear()
         if not self.keeps_space:
@@ -95,7 +114,7 @@ class Encoder:
         try:
             return b"".join(map(self.units.__getitem__, _SPACED.findall(text)))
         except _Uncuttable:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.whole(text)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

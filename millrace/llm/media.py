@@ -3,10 +3,18 @@
 ``read_pages`` walks the chain of image directories of each file, in either byte order,
 decodes strips and tiles (stored plain, PackBits, LZW or deflate), undoes the
 horizontal predictor and emits one row for each page. ``encode_tiff`` writes such
-files. A broken file gives one row with ``error`` set and no page.
-
-Limits: samples of 8 bits, chunky or planar. A directory chain that returns to
-itself is an error, as is a page whose declared size exceeds ``MAX_PAGE_BYTES``.
+files. Samples have 1, 2, 4, 8, 16 or 32 bits, chunky or planar; those of less than 8
+bits take a byte each when read, larger ones are little-endian.
+
+A page that can't be decoded gives a row with ``error`` and the walk goes on with the
+next; where the chain itself breaks (no TIFF, a directory beyond the file, a chain that
+returns to itself), a last row has ``error`` and no page. A page of a declared size that
+its strips can't hold, whatever their compression, is an error before memory is taken.
+
+Defined results: a null text is empty; an empty one has 64 zero bytes; equal texts give
+equal files, and repeated rows a row each; a null id is kept; no rows give no rows; whole
+texts are stored, however long (a binary value holds 2 GiB at most); other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +35,9 @@ FIELD_FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-#: A page is one numpy array in memory.
-MAX_PAGE_BYTES = 1 << 30
+#: Bytes that a compressed byte can stand for, at most.
+EXPANSION = {PLAIN: 1, PACKBITS: 64, LZW: 2736, DEFLATE: 1040, OLD_DEFLATE: 1040}
+SAMPLE_BITS = (1, 2, 4, 8, 16, 32)
 #: Width of the rows that text payloads are laid out in, and bytes of a strip.
 ROW_BYTES, STRIP_BYTES = 64, 1 << 16
 
@@ -158,33 +167,58 @@ DECODERS = {PLAIN: lambda data, size: data, LZW: lzw_decode, DEFLATE: _inflate,
 ENCODERS = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda data: zlib.compress(data, 1), PACKBITS: pack_bits}
 
 
-def encode_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_bytes: int = STRIP_BYTES, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A file of pages ``height x width (x samples)`` of 8-bit samples, in strips or in
-    tiles of ``(height, width)``. Equal pages give equal bytes."""
+def _pack(block: np.ndarray, bits: int, order: str) -> bytes:
+    """The bytes of ``rows x width x depth`` samples; a row of less than 8 bits a sample ends at a byte."""
+    if bits >= 8:
+        return block.astype(f"{order}u{bits // 8}").tobytes()
+    flat = block.reshape(len(block), -1)
+    return np.packbits((flat[:, :, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8) & 1).reshape(len(block), -1), axis=1).tobytes()
+
+
+def _unpack(data: bytes, rows: int, width: int, depth: int, bits: int, order: str) -> np.ndarray:
+    if bits >= 8:
+        return np.frombuffer(data, f"{order}u{bits // 8}", rows * width * depth).reshape(rows, width, depth).astype(f"<u{bits // 8}")
+    each = np.unpackbits(np.frombuffer(data, np.uint8, rows * _row_bytes(width, depth, bits)).reshape(rows, -1), axis=1)
+    values = each.reshape(rows, -1, bits) @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    return values[:, : width * depth].reshape(rows, width, depth).astype(np.uint8)
+
+
+def _row_bytes(width: int, depth: int, bits: int) -> int:
+    return (width * depth * bits + 7) // 8
+
+
+def encode_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_bytes: int = STRIP_BYTES, tile: tuple[int, int] | None = None, order: str = "<", planar: bool = False, bits: int | None = None) -> bytes:
+    """A file of pages ``height x width (x samples)``, in strips or in tiles of ``(height,
+    width)``, each plane by itself if ``planar``. Samples have the bits of their type, or
+    ``bits``. Equal pages give equal bytes."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
-        page = np.ascontiguousarray(page if page.ndim == 3 else page[:, :, None], np.uint8)
+        page = np.ascontiguousarray(page if page.ndim == 3 else page[:, :, None])
         height, width, samples = page.shape
-        if tile:
-            th, tw = tile
-            padded = np.zeros((-(-height // th) * th, -(-width // tw) * tw, samples), np.uint8)
-            padded[:height, :width] = page
-            blocks = [padded[y : y + th, x : x + tw] for y in range(0, padded.shape[0], th) for x in range(0, padded.shape[1], tw)]
-        else:
-            rows = max(1, strip_bytes // (width * samples))
-            blocks = [page[y : y + rows] for y in range(0, height, rows)]
+        deep = bits or 8 * page.dtype.itemsize
+        planes = [page[:, :, k : k + 1] for k in range(samples)] if planar else [page]
+        blocks = []
+        for plane in planes:
+            if tile:
+                th, tw = tile
+                padded = np.zeros((-(-height // th) * th, -(-width // tw) * tw, plane.shape[2]), page.dtype)
+                padded[:height, :width] = plane
+                blocks += [padded[y : y + th, x : x + tw] for y in range(0, padded.shape[0], th) for x in range(0, padded.shape[1], tw)]
+            else:
+                rows = max(1, strip_bytes // _row_bytes(width, plane.shape[2], deep))
+                blocks += [plane[y : y + rows] for y in range(0, height, rows)]
         offsets, counts = [], []
         for block in blocks:
             if predictor == 2:
                 block = np.concatenate([block[:, :1], block[:, 1:] - block[:, :-1]], axis=1)
-            data = ENCODERS[compression](block.tobytes())
+            data = ENCODERS[compression](_pack(block, deep, order))
             out += b"\0" * (len(out) & 1)
             offsets.append(len(out))
             counts.append(len(data))
             out += data
         layout = [(TILE_WIDTH, 4, [tile[1]]), (TILE_HEIGHT, 4, [tile[0]]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts)] if tile else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, [rows]), (STRIP_COUNTS, 4, counts)]
-        fields = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [8] * samples), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if samples == 3 else 1]), (SAMPLES, 3, [samples]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor]), *layout]
+        fields = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [deep] * samples), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if samples == 3 else 1]), (SAMPLES, 3, [samples]), (PLANAR, 3, [2 if planar else 1]), (PREDICTOR, 3, [predictor]), *layout]
         entries = []
         for tag, kind, values in sorted(fields):
             data = struct.pack(f"{order}{len(values)}{FIELD_FORMATS[kind]}", *values)
@@ -203,8 +237,10 @@ def encode_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]], int]:
+    """Fields and the place of the next directory. A field beyond the file is left out: the page may do without it."""
     fields: dict[int, tuple[int, ...]] = {}
     (n,) = struct.unpack_from(order + "H", data, at)
+    (after,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     for k in range(n):
         entry = at + 2 + 12 * k
         tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
@@ -212,24 +248,22 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
             continue  # text, rationals and such: nothing that decoding needs
         size = FIELD_BYTES[kind] * count
         where = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-        if where + size > len(data):
-            raise TiffError(f"field {tag} reaches beyond the file")
-        fields[tag] = struct.unpack_from(f"{order}{count}{FIELD_FORMATS[kind]}", data, where)
-    return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        if where + size <= len(data):
+            fields[tag] = struct.unpack_from(f"{order}{count}{FIELD_FORMATS[kind]}", data, where)
+    return fields, after
 
 
-def _page(data: bytes, f: dict[int, tuple[int, ...]]) -> np.ndarray:
-    one = lambda tag, default=None: f.get(tag, (default,))[0]
-    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+def _page(data: bytes, f: dict[int, tuple[int, ...]], order: str) -> np.ndarray:
+    one = lambda tag, default=None: (f.get(tag) or (default,))[0]
+    width, height, samples, deep = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(f.get(BITS, (1,)))
     if not width or not height or not samples:
         raise TiffError("page without a size")
-    if width * height * samples > MAX_PAGE_BYTES:
-        raise TiffError("page is too large")
-    if set(f.get(BITS, (1,))) != {8}:
-        raise TiffError("samples are not of 8 bits")
-    decode = DECODERS.get(one(COMPRESSION, PLAIN))
-    predictor = one(PREDICTOR, 1)
-    if decode is None or predictor not in (1, 2):
+    if len(deep) != 1 or not deep <= set(SAMPLE_BITS):
+        raise TiffError("samples of unknown or of several sizes")
+    (bits,) = deep
+    compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
+    decode = DECODERS.get(compression)
+    if decode is None or predictor not in (1, 2) or predictor == 2 and bits < 8:
         raise TiffError("unknown compression or predictor")
     planes = samples if one(PLANAR, 1) == 2 else 1
     depth = samples // planes
@@ -239,46 +273,70 @@ def _page(data: bytes, f: dict[int, tuple[int, ...]]) -> np.ndarray:
     down, across = -(-height // bh) if bh else 0, -(-width // bw) if bw else 0
     if not offsets or not counts or not down or not across or len(offsets) != len(counts) or len(offsets) != down * across * planes:
         raise TiffError("strips or tiles don't cover the page")
-    page = np.empty((height, width, samples), np.uint8)
+    row = _row_bytes(bw, depth, bits)
+    if any(at + n > len(data) for at, n in zip(offsets, counts, strict=True)):
+        raise TiffError("strip or tile reaches beyond the file")
+    for k, n in enumerate(counts):
+        rows = bh if tiled else min(bh, height - k % down * bh)
+        if rows * row > EXPANSION[compression] * n:
+            raise TiffError("strip or tile is too short")
+    page = np.empty((height, width, samples), f"<u{max(bits, 8) // 8}")
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(k, down * across)
         y, x = rest // across * bh, rest % across * bw
         rows = bh if tiled else min(bh, height - y)
-        if at + n > len(data):
-            raise TiffError("strip or tile reaches beyond the file")
-        block = decode(data[at : at + n], rows * bw * depth)
-        if len(block) < rows * bw * depth:
+        block = decode(data[at : at + n], rows * row)
+        if len(block) < rows * row:
             raise TiffError("strip or tile is too short")
-        block = np.frombuffer(block, np.uint8, rows * bw * depth).reshape(rows, bw, depth)
+        block = _unpack(block, rows, bw, depth, bits, order)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
         h, w = min(rows, height - y), min(bw, width - x)
         page[y : y + h, x : x + w, plane * depth : (plane + 1) * depth] = block[:h, :w]
     return page
 
 
-def decode_tiff(data: bytes) -> Iterator[np.ndarray]:
-    """The pages of a file, one at a time."""
+def walk_tiff(data: bytes) -> Iterator[tuple[int | None, np.ndarray | TiffError]]:
+    """Number and samples of each page, one at a time, or what is wrong with it; the
+    number is None where the chain of directories breaks."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
-        raise TiffError("not a TIFF file")
+        yield None, TiffError("not a TIFF file")
+        return
     order = "<" if data[:2] == b"II" else ">"
     version, at = struct.unpack_from(order + "HI", data, 2)
-    if version != 42:
-        raise TiffError("not a TIFF file")
+    if version != 42 or not at:
+        yield None, TiffError("not a TIFF file" if version != 42 else "no directory")
+        return
     seen: set[int] = set()
     while at:
         if at in seen:
-            raise TiffError("the chain of directories returns to itself")
+            yield None, TiffError("the chain of directories returns to itself")
+            return
         seen.add(at)
         try:
             fields, at = _directory(data, at, order)
         except struct.error:
-            raise TiffError("directory reaches beyond the file") from None
-        yield _page(data, fields)
+            yield None, TiffError("directory reaches beyond the file")
+            return
+        try:
+            page = _page(data, fields, order)
+        except TiffError as e:
+            page = e
+        yield len(seen) - 1, page
+
+
+def decode_tiff(data: bytes) -> Iterator[np.ndarray]:
+    """The pages of a file, one at a time; raises at the first that is broken."""
+    for _, page in walk_tiff(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
 
 
 def feature(samples: np.ndarray) -> str:
     """Mean and deviation of the samples, and a coarse histogram of 8 bins: from exact integer sums."""
+    if samples.dtype.itemsize > 1:
+        samples = (samples >> 8 * (samples.dtype.itemsize - 1)).astype(np.uint8)  # the highest byte
     counts = np.bincount(samples.ravel(), minlength=256)
     n, values = int(counts.sum()), np.arange(256)
     s, q = int(counts @ values), int(counts @ (values * values))
@@ -323,14 +381,14 @@ def read_pages(media: DataFrame, digest_tail: int | None = None) -> DataFrame:
         if data is None:
             yield (i, n, None, None, None, None, None, 0, None, None, "no file")
             return
-        own, k = (len(data), hashlib.sha256(data).hexdigest()), 0
-        try:
-            for k, page in enumerate(decode_tiff(data)):
-                raw = page.tobytes()
-                kept = raw if digest_tail is None else hashlib.sha256(raw).digest() + struct.pack("<IQ", zlib.crc32(raw[-digest_tail:]), len(raw))
-                yield (i, n, k, page.shape[1], page.shape[0], page.shape[2], kept, *own, feature(page), None)
-        except TiffError as e:
-            yield (i, n, None, None, None, None, None, *own, None, str(e))
+        own = len(data), hashlib.sha256(data).hexdigest()
+        for k, page in walk_tiff(data):
+            if isinstance(page, TiffError):
+                yield (i, n, k, None, None, None, None, *own, None, str(page))
+                continue
+            raw = page.tobytes()
+            kept = raw if digest_tail is None else hashlib.sha256(raw).digest() + struct.pack("<IQ", zlib.crc32(raw[-digest_tail:]), len(raw))
+            yield (i, n, k, page.shape[1], page.shape[0], page.shape[2], kept, *own, feature(page), None)
 
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]

@@ -4,11 +4,15 @@ Each document is cut into full windows of the longest tier; what remains is rout
 the shortest tier that holds it. Each tier is packed; gaps in longer windows are filled
 from shorter tiers, whole pieces first, then by cutting one piece. What is left at the
 end of a chunk is laid out in windows whose lengths are powers of two, so no window has
-padding unless ``floor`` forbids the shortest. Windows of one tier form step groups with equal token
-counts, balanced by their attention cost.
+padding. Windows of one tier form step groups with equal token counts, balanced by their
+attention cost.
 
 Packing runs inside each input partition without a shuffle: memory is bounded by a
 chunk of ``CHUNK_TOKENS`` tokens, and a task that runs again gives the same rows.
+
+Defined results: a null or empty text is a document of its end id alone; a null id is
+kept; repeated rows are documents of their own; a long text fills as many windows as it
+needs; no rows give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

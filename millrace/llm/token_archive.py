@@ -51,11 +51,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     import zstandard
 
     chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
-    n = docs.count()
-    if n > 4 * SAMPLE_DOCS:
-        # Rows with hashes in a range that should hold twice the sample: tasks send few rows to the driver, however many tasks there are.
-        chosen = chosen.where(F.pmod(F.xxhash64("i", F.lit("dictionary")), F.lit(1 << 40)) < int((1 << 40) * 2 * SAMPLE_DOCS / n))
-    rows = chosen.orderBy(F.xxhash64("i", F.lit("dictionary")), "i", "t").limit(SAMPLE_DOCS).collect()
+    # Rows with hashes in a range that should hold twice the sample: tasks send few rows to the driver, however many tasks there are.
+    chosen = chosen.where(F.pmod(F.xxhash64("i", "t", F.lit("dictionary")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * SAMPLE_DOCS / max(chosen.count(), 1))))
+    rows = chosen.orderBy(F.xxhash64("i", "t", F.lit("dictionary")), "i", "t").limit(SAMPLE_DOCS).collect()
     enc = encoder(tokenizer_path, False)
     arrays = [enc.encode(r.t) + struct.pack("<I", end_id) for r in rows]
     try:
@@ -106,8 +104,11 @@ def write_archive(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Tokenise ``text_col`` and write an archive in ascending order of ``id_col``.
 
     A null text is an empty document, holding the end id alone. Rows with a null id come
-    first; rows that repeat an id follow each other in the order of their texts. One range shuffle on the
-    id; each task then streams its sorted range, with one block in memory.
+    first; rows that repeat an id follow each other, by a hash of their texts and then the
+    texts. No rows give an archive without documents; whole texts are encoded, however long;
+    other columns are not read, whatever their names. One range shuffle on the id and the
+    hash, so that an id that very many rows share is dealt out; each task then streams its
+    sorted range, with one block in memory.
     """
     import zstandard
 
@@ -133,7 +134,8 @@ def write_archive(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     write_raw_files(ordered.mapInArrow(encode, "blob binary"), f"{path}/data", TRAILER)
 
 

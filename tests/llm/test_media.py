@@ -48,6 +48,41 @@ def test_planar_pages_and_broken_files():
         list(media.decode_tiff(bytes(looped)))
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("compression", [media.PLAIN, media.PACKBITS, media.LZW, media.DEFLATE])
+def test_planes_and_sample_sizes(compression, order):
+    r = np.random.default_rng(4)
+    for bits in media.SAMPLE_BITS:
+        pages = [r.integers(0, 1 << bits, size, f"u{max(bits, 8) // 8}") for size in ((7, 13, 1), (20, 9, 3))]
+        for planar in (False, True):
+            for tile in (None, (8, 16)):
+                for predictor in (1, 2) if bits >= 8 else (1,):
+                    got = list(media.decode_tiff(media.encode_tiff(pages, compression, predictor, 40, tile, order, planar, bits)))
+                    assert len(got) == 2 and all((a == b).all() for a, b in zip(got, pages, strict=True))
+    with pytest.raises(media.TiffError):
+        list(media.decode_tiff(media.encode_tiff([pages[0]], bits=32).replace(struct.pack("<HHIHH", 258, 3, 1, 32, 0), struct.pack("<HHIHH", 258, 3, 1, 24, 0))))
+
+
+def test_pages_after_a_broken_one_are_read(spark):
+    pages = [image(9, 9, 1, "noise") for _ in range(3)]
+    data = bytearray(media.encode_tiff(pages, media.DEFLATE))
+    (first,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, first)
+    (second,) = struct.unpack_from("<I", data, first + 2 + 12 * n)
+    entries = {struct.unpack_from("<H", data, second + 2 + 12 * k)[0]: second + 2 + 12 * k for k in range(n)}
+    (strip,) = struct.unpack_from("<I", data, entries[media.STRIP_OFFSETS] + 8)
+    damaged, huge, astray = bytearray(data), bytearray(data), bytearray(data)
+    damaged[strip + 2 : strip + 12] = b"\xff" * 10
+    struct.pack_into("<I", huge, entries[media.HEIGHT] + 8, 0xFFFFFFF0)
+    struct.pack_into("<I", astray, entries[media.STRIP_OFFSETS] + 8, 0xFFFFFF)
+    df = spark.createDataFrame([(k, 0, x) for k, x in enumerate((data, damaged, huge, astray))], "id long, n_bytes long, media binary")
+    rows = media.read_pages(df).collect()
+    for k in range(4):
+        own = {r.page: r for r in rows if r.id == k}
+        assert set(own) == {0, 1, 2} and (own[1].error is None) == (k == 0)
+        assert bytes(own[0].samples) == pages[0].tobytes() and bytes(own[2].samples) == pages[2].tobytes()
+
+
 def test_texts(spark):
     data = [(1, None), (2, ""), (3, "a" * 64), (4, "a" * 65), (5, "é🙂" * 500), (6, "x" * 200_000), (7, "same"), (8, "same"), (None, "null id")]
     df = spark.createDataFrame([(*x, "clash") for x in data], "doc_id long, text string, media string")

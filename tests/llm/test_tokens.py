@@ -22,6 +22,16 @@ def test_units_give_the_tokenizers_ids(name, keeps):
         assert enc.encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_a_tokenizer_that_units_do_not_fit_gets_whole_texts(name, keeps):
+    plain, enc = Tokenizer.from_file(vocabulary(name)), encoding.Encoder(vocabulary(name), keeps)
+    assert not enc.cut
+    for t in ODD:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert enc.encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
+    assert encoding.Encoder(vocabulary(name), not keeps).cut
+
+
 def rows(spark):
     data = [(k, t) for k, t in enumerate(ODD)] + [(100, None), (None, "null id"), (3, ODD[3]), (-5, "neg")]
     return spark.createDataFrame([(*x, "clash") for x in data], "doc_id long, text string, start string"), data
@@ -52,6 +62,17 @@ def test_archive_of_nothing_and_broken_files(spark):
             token_archive.Block(broken, b"")
 
 
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    """Rows of a null id or one id go to several files, still in order."""
+    df = spark.range(900).selectExpr("if(id < 300, null, if(id < 600, 7L, id)) doc_id", "concat('text ', id) text")
+    path, name = new_path(spark, "t"), vocabulary("word_bpe_49k.json")
+    token_archive.write_archive(df, path, name, shards=9)
+    got = token_archive._with_start(token_archive._decoded(spark, path, False)).orderBy("start").collect()
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert len(got) == 900 and order == sorted(order)
+    assert len({r.shard for r in got if r.doc_id is None}) > 1 and len({r.shard for r in got if r.doc_id == 7}) > 1
+
+
 def test_short_document_access_uses_the_dictionary():
     import hashlib
 
