@@ -4,6 +4,14 @@ secrets, source mixing, packing.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``.
+
+Defined results, for all stages: no rows give no rows; extra columns pass through, whatever
+their names; whole texts are read, however long. A null or empty text fails the quality
+rules; after them, it would be a document of its own, without secrets, in no mix (it has
+no words), and packed as its end id. A null id or source is a value like others, but
+rows with a null id are nobody's copies. Repeated rows are judged each for itself by the
+rules and the scan, one of them stays as a near duplicate, and ties at a source's threshold
+share what is left of its target.
 """
 
 from __future__ import annotations
