@@ -27,10 +27,10 @@ SIGNALS = (
     ("local_private", "private_env_origin", r"(?i)(?:^|[/\\])\.env(?:\.|\z)"),
     ("local_private", "private_workspace_origin", r"(?i)(?:/Users/[^/]+/Documents/Obsidian|/home/[^/]+/Documents/Obsidian|[A-Za-z]:[\\/]+Users[\\/]+[^\\/]+[\\/]+Documents[\\/]+Obsidian|/private-workspace-state(?:/|\z))"),
     ("local_private", "private_client_origin", r"(?i)(?:client|customer)[-_ ]?(?:private|confidential)"),
-    ("discussion", "credential_discussion", r"(?i)\b(api[\s_-]?keys?|secrets?|passwords?|private[\s_-]?keys?|access[\s_-]?tokens?)\b"),
-    ("discussion", "health_topic_discussion", r"(?i)\b(genetic|genome|dna|biopsy|diagnosis|prescription|medical cannabis)\b"),
+    ("non_sensitive_bulk", "credential_discussion", r"(?i)\b(api[\s_-]?keys?|secrets?|passwords?|private[\s_-]?keys?|access[\s_-]?tokens?)\b"),
+    ("non_sensitive_bulk", "health_topic_discussion", r"(?i)\b(genetic|genome|dna|biopsy|diagnosis|prescription|medical cannabis)\b"),
 )
-# Words of which a text must hold one, in lower case, for the signal to be possible.
+# Words of which a text must hold one, in lower case, for the signal to be possible.
 NEEDLES = {
     "bearer_token": ("bearer",),
     "token_prefix": ("sk-", "sk_", "ghp", "gho", "github_pat", "xox"),
@@ -52,12 +52,15 @@ NEEDLES = {
     "credential_discussion": ("key", "secret", "password", "token"),
     "health_topic_discussion": ("genetic", "genome", "dna", "biopsy", "diagnosis", "prescription", "medical cannabis"),
 }
+#: Simpler patterns that a text must match for the signal to be possible.
+GUARDS = {"uk_postcode": "[0-9][A-Za-z]{2}"}
+# The signal of long runs, the order of classes, and keys of digests.
 ENTROPY_SIGNAL = ("secrets_or_credentials", "high_entropy_credential_candidate")
 CLASS_RANK = {"non_sensitive_bulk": 0, "local_private": 1, "personal_sensitive": 2, "client_sensitive": 3, "health_genetics": 4, "secrets_or_credentials": 5}
 DIGEST_KEYS = ("glossary_sha256", "input_sha256", "network_payload_sha256", "output_sha256", "payload_sha256", "shard_sha256", "source_sha256", "target_sha256")
 
 _ANY_RUN = r"[A-Za-z0-9_+/=-]{24}"
-_RUN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,200}(?![A-Za-z0-9_+/=-])"
+_RUN = r"[A-Za-z0-9_+/=-]{24,200}"
 
 
 def entropy(run: Column) -> Column:
@@ -69,14 +72,14 @@ def entropy(run: Column) -> Column:
 
 
 def high_entropy_runs(text: Column) -> Column:
-    """Runs of 24 to 200 key characters with a letter, a digit, ten distinct characters and 3.5 bits."""
+    """Runs of 24 to 200 key characters (a longer one is cut into several) with a letter, a digit, ten distinct characters and 3.5 bits."""
     runs = F.when(text.rlike(_ANY_RUN), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return F.filter(runs, lambda r: r.rlike("[A-Za-z]") & r.rlike("[0-9]") & (F.size(F.array_distinct(F.split(r, ""))) >= 10) & (entropy(r) >= 3.5))
 
 
 def findings(text: Column) -> Column:
     """``category, signal, severity`` of each signal that the text shows, once, in order."""
-    item = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), F.lit("warning" if c == "discussion" else "blocker").alias("severity"))
+    item = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), F.lit("warning" if c == "non_sensitive_bulk" else "blocker").alias("severity"))
     low = F.lower(text)
 
     def shows(signal: str, pattern: str) -> Column:
@@ -85,6 +88,7 @@ def findings(text: Column) -> Column:
         for needle in NEEDLES.get(signal, ()):
             possible = possible | F.contains(low, F.lit(needle))
         found = text.rlike(ascii_boundaries(pattern))
+        found = text.rlike(GUARDS[signal]) & found if signal in GUARDS else found
         return possible & found if signal in NEEDLES else found
 
     hits = [F.when(shows(s, p), item(c, s)) for c, s, p in SIGNALS]
@@ -103,12 +107,20 @@ def privacy_class(found: Column) -> Column:
     return F.element_at(F.array(*(F.lit(k) for k in CLASS_RANK)), F.coalesce(rank, F.lit(0)) + 1)
 
 
-def mask_digests(metadata: Column) -> Column:
-    """A string map without the values of provenance keys that are exactly 64 hex digits."""
-    return F.map_filter(metadata, lambda k, v: ~(k.isin(*DIGEST_KEYS) & v.rlike(r"(?i)\A[a-f0-9]{64}\z")))
+def mask_digests(metadata_json: Column) -> Column:
+    """JSON text in which values of provenance keys (in any case, at any depth) that are exactly 64 hex digits read ``[digest]``."""
+    keys = "|".join(DIGEST_KEYS)
+    return F.regexp_replace(metadata_json, rf'(?i)((?<!\\)"(?:{keys})"\s*:\s*)"[a-f0-9]{{64}}"', '$1"[digest]"')
+
+
+def outbound_report(payload_json: Column) -> Column:
+    """``recommended_egress_class, external_allowed, findings`` of what would be sent; a null payload is ``null``."""
+    both = lambda f: F.struct(privacy_class(f).alias("recommended_egress_class"), (F.size(F.filter(f, lambda x: x["severity"] == "blocker")) == 0).alias("external_allowed"), f.alias("findings"))
+    # A one-element array binds the findings, so that all values come from one evaluation.
+    return F.get(F.transform(F.array(findings(F.coalesce(payload_json, F.lit("null")))), both), F.lit(0))
 
 
 def item_text(prompt: Column, messages: Column, metadata: Column) -> Column:
     """Prompt, message contents and metadata by line feeds; empty parts are left out."""
-    parts = F.concat(F.array(prompt), F.coalesce(F.transform(messages, lambda m: m["content"]), F.array().cast("array<string>")), F.array(F.when(F.size(metadata) > 0, F.to_json(mask_digests(metadata)))))
+    parts = F.concat(F.array(prompt), F.coalesce(F.transform(messages, lambda m: m["content"]), F.array().cast("array<string>")), F.array(F.when(F.size(metadata) > 0, mask_digests(F.to_json(metadata)))))
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")

@@ -76,7 +76,7 @@ def contains_term(text: Column, term: Column) -> Column:
 
 
 def safe_file_name(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
+    return F.regexp_replace(c, r"[^A-Za-z0-9_.:-]", "_")
 
 
 def render_template(template: str, values: dict[str, Column]) -> Column:
@@ -92,6 +92,7 @@ def render_template(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
+# Parts of messages and codes in the next two functions.
 def error_class(message: Column) -> Column:
     return F.when(message.contains("ENOENT"), "missing_input").when(message.rlike("EACCES|EPERM"), "permission_denied").otherwise("processor_error")
 

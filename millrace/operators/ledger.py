@@ -40,11 +40,12 @@ def run_status(rows: DataFrame, status: str, *keys: str) -> DataFrame:
 
 
 def job_status(shards: DataFrame, status: str, attempts: str, max_attempts: int, *keys: str) -> DataFrame:
+    """failed before running before completed: one shard that is quarantined or out of attempts decides."""
     s, a = F.col(status), F.col(attempts)
     lost = F.bool_or((s == "quarantined") | (s == "failed") & (a >= max_attempts))
     unfinished = F.bool_or(s.isin(*OPEN_STATES) | (s == "failed") & (a < max_attempts))
     done, total = F.count_if(s == "succeeded"), F.count(F.lit(1))
-    return shards.groupBy(*keys).agg(F.when(unfinished, "running").when(lost, "failed").otherwise("completed").alias("job_status"), done.alias("completed"), total.alias("total"))
+    return shards.groupBy(*keys).agg(F.when(lost, "failed").when(unfinished, "running").otherwise("completed").alias("job_status"), done.alias("completed"), total.alias("total"))
 
 
 def select_shards(ledger: DataFrame, key: str, position: str, cap: int, max_attempts: int, now: Column, same_pass_quarantine: bool = True) -> DataFrame:
@@ -103,7 +104,11 @@ def fits_one_batch(shards: DataFrame, size: str, cap_bytes: int, cap_count: int,
 
 
 def overlay(ledger: DataFrame, checkpoints: DataFrame, *keys: str) -> DataFrame:
-    """Each ledger row replaced as a whole by its checkpoint, where there is one."""
+    """Each ledger row replaced as a whole by its checkpoint, where there is one. A checkpoint
+    without a row, or a second one for a row, raises."""
+    bad = foreign_checkpoints(ledger, checkpoints, *keys).limit(1).collect()
+    if bad:
+        raise ValueError(bad[0].reason)
     rest = [c for c in ledger.columns if c not in keys]
     new = checkpoints.select(*keys, F.struct(*rest).alias("__new"))
     df = ledger.select(*keys, F.struct(*rest).alias("__old")).join(new, list(keys), "left")
@@ -153,16 +158,18 @@ PROOF_SCHEMA_VERSION = "millrace.shard-proof.v1"
 
 
 def proof_mismatches(ledger: DataFrame, proofs: DataFrame, manifest: DataFrame, allowed_versions: list[str]) -> DataFrame:
-    """``shard_id, reason`` for each way in which a succeeded shard's proof disagrees with ledger and manifest.
+    """``shard_id, reason`` for each way in which a succeeded shard's proof disagrees with ledger and manifest, or is missing.
 
     ``manifest``: ``shard_id, expected_sha256``.
     """
     p = proofs.select("shard_id", F.struct(*[c for c in proofs.columns if c != "shard_id"]).alias("p"))
-    df = ledger.where("status = 'succeeded'").join(p, "shard_id").join(manifest.withColumn("__there", F.lit(True)), "shard_id", "left")
+    df = ledger.where("status = 'succeeded'").join(p, "shard_id", "left").join(manifest.withColumn("__there", F.lit(True)), "shard_id", "left")
     differs = lambda a, b: ~F.col(f"p.{a}").eqNullSafe(F.col(b))
-    there = F.col("__there").isNotNull()
+    proved = F.col("p").isNotNull()
+    there = F.col("__there").isNotNull() & proved
     checks = [
-        (~there, "manifest_shard_missing"),
+        (~proved, "missing"),
+        (proved & F.col("__there").isNull(), "manifest_shard_missing"),
         (there & ~F.col("p.schema_version").eqNullSafe(F.lit(PROOF_SCHEMA_VERSION)), "schema_mismatch"),
         (there & differs("job_id", "job_id"), "job_mismatch"),
         (there & differs("source_id", "source_id"), "source_mismatch"),
@@ -175,6 +182,37 @@ def proof_mismatches(ledger: DataFrame, proofs: DataFrame, manifest: DataFrame,
     return df.select("shard_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(f"proof_{n}")) for c, n in checks)))).alias("reason"))
 
 
+def missing_artifacts(ledger: DataFrame, outputs: DataFrame, proofs: DataFrame) -> DataFrame:
+    """``shard_id, reason``: succeeded shards without a stored output, or without a stored proof."""
+    done = ledger.where("status = 'succeeded'").select("shard_id")
+    missing = lambda stored, reason: done.join(stored.select("shard_id"), "shard_id", "left_anti").select("shard_id", F.lit(reason).alias("reason"))
+    return missing(outputs, "missing_output").unionByName(missing(proofs, "missing_proof"))
+
+
+def fail_unlisted(ledger: DataFrame, manifest: DataFrame, now: Column, max_attempts: int) -> DataFrame:
+    """Shards that would run but aren't in the manifest fail with ``shard_missing_from_manifest`` and a retry time."""
+    there = manifest.select("shard_id").distinct().withColumn("__there", F.lit(True))
+    runnable = F.col("status").isin(*OPEN_STATES) | (F.col("status") == "failed") & retry_due(F.col("status"), F.col("next_retry_at"), now)
+    df = ledger.join(there, "shard_id", "left").withColumn("__lost", F.col("__there").isNull() & F.coalesce(runnable, F.lit(False)))
+    df = df.withColumn("last_error", F.when(F.col("__lost"), "shard_missing_from_manifest")).withColumn("status", F.when(F.col("__lost"), "failed").otherwise(F.col("status")))
+    return df.withColumn("next_retry_at", F.when(F.col("__lost"), next_retry(F.col("attempts"), F.lit(max_attempts), now)).otherwise(F.col("next_retry_at"))).drop("__there", "__lost")
+
+
+def event_log(before: DataFrame, after: DataFrame, now: Column, *keys: str) -> DataFrame:
+    """``keys, ts, type, payload``: a line of the event log for each row whose status has changed, as ``shard_<status>``."""
+    old = before.select(*keys, F.col("status").alias("__old"))
+    changed = after.join(old, list(keys)).where(~F.col("__old").eqNullSafe(F.col("status")))
+    payload = F.to_json(F.struct(*keys, "attempts"))
+    return changed.select(*keys, now.alias("ts"), F.concat(F.lit("shard_"), F.col("status")).alias("type"), payload.alias("payload"))
+
+
+def checkpoints(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``after`` that differ from ``before``: what a crash must not lose. ``overlay`` puts them back."""
+    rest = [c for c in after.columns if c not in keys]
+    old = before.select(*keys, F.struct(*rest).alias("__old"))
+    return after.join(old, list(keys), "left").where(~F.struct(*rest).eqNullSafe(F.col("__old"))).select(*after.columns)
+
+
 def recover(ledger: DataFrame, outputs: DataFrame, proofs: DataFrame) -> DataFrame:
     """Open shards whose stored output and proof agree become succeeded; ``recovered`` tells which."""
     out = outputs.select("shard_id", F.sha2("output", 256).alias("__sha"))

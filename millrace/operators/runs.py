@@ -32,6 +32,19 @@ def fake_completion(item_id: Column, payload_json: Column) -> Column:
     return F.concat(F.lit("fake:"), item_id, F.lit(":"), F.substring(F.sha2(payload_json, 256), 1, 12))
 
 
+def worker_completion(item_id: Column, payload_json: Column, response_format: Column) -> Column:
+    """As ``fake_completion``; a JSON object with sorted keys where that is the format asked for."""
+    digest = F.substring(F.sha2(payload_json, 256), 1, 12)
+    return F.when(response_format == "json_object", F.to_json(F.struct(digest.alias("digest"), F.lit(True).alias("fake"), item_id.alias("item_id")))).otherwise(fake_completion(item_id, payload_json))
+
+
+def worker_report(items: DataFrame, status: str, elapsed_ms: Column, *keys: str) -> DataFrame:
+    """``run_status, completed, failed, items_per_second``: partial with any failure; the number itself without elapsed time."""
+    done = F.count_if(F.col(status) == "completed")
+    speed = F.when(elapsed_ms > 0, F.round(done / (elapsed_ms / 1000), 2)).otherwise(done.cast("double"))
+    return items.groupBy(*keys).agg(F.when(done == F.count(F.lit(1)), "completed").otherwise("partial").alias("run_status"), done.alias("completed"), (F.count(F.lit(1)) - done).alias("failed"), speed.alias("items_per_second"))
+
+
 def request_json(model: str, messages: Column, temperature: Column, max_tokens: Column) -> Column:
     """The request that a live call would send; absent fields are left out."""
     return F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"), temperature.alias("temperature"), max_tokens.alias("max_tokens")))
@@ -52,7 +65,7 @@ def fastest(runs: DataFrame, name: str, speed: str) -> DataFrame:
 
 
 # Catalogue of workload templates.
-WORKLOADS = ("summaries", "classification", "extraction", "rewriting", "translation", "question_answering")
+WORKLOADS = ("classification", "extraction", "scoring", "summarisation", "drafting", "second_opinion")
 
 
 def workload_catalogue(spark: SparkSession, prompts: int = 3) -> DataFrame:
@@ -65,11 +78,11 @@ def failure_canary(spark: SparkSession) -> DataFrame:
 
 
 def closest(words: DataFrame, word: str, commands: list[str]) -> DataFrame:
-    """``words`` with the command of least edit distance, ties by name, if near enough."""
+    """``words`` with the command of least edit distance, ties by name, if the distance is at most 2 or a third of the command's length."""
     near = F.array_min(F.array(*(F.struct(F.levenshtein(F.col(word), F.lit(c)).alias("distance"), F.lit(c).alias("command")) for c in commands)))
     df = words.withColumn("__near", near)
-    allowed = F.greatest(F.lit(2), F.floor(F.length(word) / 3))
-    return df.withColumn("distance", F.col("__near.distance").cast("long")).withColumn("closest", F.when(F.col("__near.distance") <= allowed, F.col("__near.command"))).drop("__near")
+    enough = (F.col(word) != "") & (F.col("__near.distance") <= F.greatest(F.lit(2), F.floor(F.length("__near.command") / 3)))
+    return df.withColumn("distance", F.col("__near.distance").cast("long")).withColumn("closest", F.when(enough, F.col("__near.command"))).drop("__near")
 
 
 def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: bool = False) -> DataFrame:
@@ -86,6 +99,7 @@ def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: boo
     private, advised = F.col("egress_class") != "non_sensitive_bulk", F.col("recommended_class") != "non_sensitive_bulk"
     window = r("expires_at") > r("issued_at")
     late = F.timestamp_micros(F.unix_micros(now) + 5 * 60 * 1_000_000)
+    # Names of blockers and warnings.
     rules = [
         (F.col("canonical_writes"), "canonical_writes_must_be_false"),
         (F.col("external_side_effects"), "external_side_effects_must_be_false"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, trim
+from ..functions.text import collapse, language_tag, trim
 
 MAX_SHARDS, MAX_CHARS, MAX_SOURCE_BYTES = 10_000, 128 << 20, 64 << 20
 
@@ -54,38 +54,64 @@ def row_shards(rows: DataFrame, source: str, order: list[str], record: Column, s
     return out.withColumn("shard_id", F.format_string("%s:rows:%08d-%08d", F.col(source).cast("string"), "row_start", "row_end"))
 
 
+# Patterns of headings; a label is what follows the marks of a marked line, or the line itself.
+MARKED = r"\A#{1,6}\s+(.+)\z"
+NAMED = (r"(?i)\A(?:chapter|ch\.?)(?:\s|\z)", r"(?i)\Apart\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)")
+NUMBERED = r"(?i)\A(?:[0-9]{1,4}|[ivxlcdm]{1,12})[.)\-:–—]\s+\S+"
+MAX_HEADING = 2000
+#: A line that may be a heading, anywhere in a text.
+_MAY_HEAD = r"(?i)(?:\A|\n)[^\nA-Za-z0-9#]*(?:#|chapter|ch[.\s]|ch\z|part\s)"
+
+
 def heading_label(line: Column) -> Column:
     """The chapter label that a line states, else null."""
-    marked = line.rlike(r"\A#{1,6}\s+.+\z")
-    label = collapse(F.when(marked, F.regexp_extract(line, r"\A#{1,6}\s+(.+)\z", 1)).otherwise(line))
-    named = label.rlike(r"(?i)\A(?:chapter|ch\.?)(?:\s|\z)") | label.rlike(r"(?i)\Apart\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)")
-    numbered = marked & label.rlike(r"(?i)\A(?:[0-9]{1,4}|[ivxlcdm]{1,12})[.)\-:–—]\s+\S+")
-    return F.when((F.length(line) <= 2000) & (named | numbered), label)
+    line = trim(line)
+    marked = line.rlike(MARKED)
+    label = collapse(F.when(marked, F.regexp_extract(line, MARKED, 1)).otherwise(line))
+    named = label.rlike(NAMED[0]) | label.rlike(NAMED[1])
+    return F.when((F.length(line) <= MAX_HEADING) & (named | marked & label.rlike(NUMBERED)), label)
 
 
 def chapter_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, chapter, chapter_index, chapter_start, chapter_end``.
 
     From heading to heading; text before the first is front matter with index 0; blank
-    segments are left out; a text without headings is one chapter. Lines become rows
-    only for texts that have a heading.
+    segments are left out; a text without headings is one chapter. A line's place counts
+    all characters before it, those of its line ends too. Lines become rows only for
+    texts in which one pattern finds what may be a heading; ``key`` names a text.
     """
-    line_starts = F.aggregate(F.transform("lines", lambda x: F.length(x) + 1), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    df = docs.where(F.length(text) > 0).select(key, text).withColumn("lines", F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")))
-    df = df.withColumn("found", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), heading_label(x).alias("label"))), lambda s: s["label"].isNotNull()))
-    df = df.withColumn("at", F.when(F.size("found") > 0, line_starts))
-    n = F.length(text)
-    heads = F.transform("found", lambda s, i: F.struct(s["label"].alias("chapter"), (i + 1).alias("chapter_index"), F.get("at", s["line"]).alias("chapter_start"), F.coalesce(F.get("at", F.get("found", i + 1)["line"]), n).alias("chapter_end")))
-    one = lambda label, index, start, end: F.array(F.struct(F.lit(label).alias("chapter"), F.lit(index).alias("chapter_index"), F.lit(start).alias("chapter_start"), end.alias("chapter_end")))
-    parts = F.when(F.size("found") == 0, one("Whole book", 1, 0, n)).otherwise(F.concat(one("Front matter", 0, 0, F.get("at", F.get("found", F.lit(0))["line"])), heads))
-    df = df.select(key, text, F.inline(parts))
-    body = F.substr(text, F.col("chapter_start") + 1, F.col("chapter_end") - F.col("chapter_start"))
-    return df.where((F.col("chapter_end") > F.col("chapter_start")) & (trim(body) != "")).select(key, "chapter", F.col("chapter_index").cast("long"), F.col("chapter_start").cast("long"), F.col("chapter_end").cast("long"))
+    df = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    may = F.col("text").rlike(_MAY_HEAD)
+    lines = df.where(may).select("key", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    before = F.sum(F.length("raw") + 1).over(Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.select("key", "line", (before - F.length("raw") - 1).alias("start"), (before - 1).alias("end"), heading_label(F.col("raw")).alias("label"), (trim(F.col("raw")) != "").alias("written"))
+    found = lines.groupBy("key").agg(F.max("end").alias("n"), F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("start", "label")))).alias("heads"), F.min(F.when(F.col("written"), F.col("start"))).alias("first_written"))
+    part = lambda label, index, start, end: F.struct(label.alias("chapter"), index.cast("long").alias("chapter_index"), start.cast("long").alias("chapter_start"), end.cast("long").alias("chapter_end"))
+    n, top = F.col("n"), F.get("heads", F.lit(0))["start"]
+    headed = F.transform("heads", lambda h, i: part(h["label"], i + 1, h["start"], F.coalesce(F.get("heads", i + 1)["start"], n)))
+    front = F.when(F.col("first_written") < top, F.array(part(F.lit("Front matter"), F.lit(0), F.lit(0), top))).otherwise(F.slice(headed, 1, 0))
+    whole = lambda end: part(F.lit("Whole book"), F.lit(1), F.lit(0), end)
+    parts = F.when(F.size("heads") > 0, F.concat(front, headed)).when(F.col("first_written").isNotNull(), F.array(whole(n))).otherwise(F.slice(headed, 1, 0))
+    plain = df.where(~may & (trim(F.col("text")) != "")).select("key", F.inline(F.array(whole(F.length("text")))))
+    return found.select("key", F.inline(parts)).unionByName(plain).withColumnRenamed("key", key)
+
+
+def book_plan(segments: DataFrame, key: str, chunk: int = 8000, overlap: int = 800) -> DataFrame:
+    """``key, n_shards, shard_chars, allowed`` of the windows that chapters would give; nothing is made."""
+    if chunk <= 0 or not 0 <= overlap < chunk:
+        raise ValueError("invalid_chunk_options")
+    n, step = F.col("chapter_end") - F.col("chapter_start"), chunk - overlap
+    count = F.greatest(F.lit(0), F.ceil((n - chunk) / F.lit(step))) + 1
+    sums = segments.groupBy(key).agg(F.sum(count).cast("long").alias("n_shards"), F.sum(n + (count - 1) * overlap).cast("long").alias("shard_chars"))
+    return sums.withColumn("allowed", (F.col("n_shards") <= MAX_SHARDS) & (F.col("shard_chars") <= MAX_CHARS))
 
 
 def book_shards(docs: DataFrame, key: str, text: str = "text", chunk: int = 8000, overlap: int = 800) -> DataFrame:
-    """Windows inside each chapter; ``chunk_index`` runs through the whole book."""
-    df = chapter_segments(docs, key, text).join(docs.select(key, text), key)
+    """Windows inside each chapter; ``chunk_index`` runs through the whole book. Books that
+    ``book_plan`` doesn't allow give none."""
+    segments = chapter_segments(docs, key, text)
+    allowed = book_plan(segments, key, chunk, overlap).where("allowed").select(key)
+    df = segments.join(allowed, key, "left_semi").join(docs.select(key, text), key)
     df = df.select("*", F.explode(starts((F.col("chapter_end") - F.col("chapter_start")).cast("int"), chunk, overlap)).alias("local"))
     df = df.withColumn("start_char", F.col("chapter_start") + F.col("local")).withColumn("end_char", F.least(F.col("chapter_end"), F.col("start_char") + chunk))
     df = df.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(key).orderBy("chapter_index", "local")) - 1).cast("long"))
@@ -93,6 +119,22 @@ def book_shards(docs: DataFrame, key: str, text: str = "text", chunk: int = 8000
     return df.select(key, "chapter", "chapter_index", "chapter_start", "chapter_end", "chunk_index", "start_char", "end_char", body.alias("shard_text"), F.sha2(body, 256).alias("shard_sha256"))
 
 
+def outline_plan(sections: DataFrame, key: str) -> DataFrame:
+    """``key, shard_chars, allowed`` of ``outline_sections``: the texts of an outline are bounded together."""
+    return sections.groupBy(key).agg(F.sum(F.length("shard_text")).cast("long").alias("shard_chars")).withColumn("allowed", F.col("shard_chars") <= MAX_CHARS)
+
+
+def translation_shards(docs: DataFrame, source_lang: Column, target_lang: Column, text: str = "text", chunk: int = 4000, overlap: int = 0) -> DataFrame:
+    """Windows with both languages in their bounds; the source id holds the digest and the languages. Rows with a bad language tag give none."""
+    df = docs.withColumn("source_lang", language_tag(source_lang)).withColumn("target_lang", language_tag(target_lang)).where("source_lang is not null and target_lang is not null")
+    df = df.where(F.length(text) > 0).withColumn("source_sha256", F.sha2(text, 256))
+    df = df.withColumn("source_id", language_source_id(F.col("source_sha256"), F.col("source_lang"), F.col("target_lang")))
+    df = df.select("*", F.posexplode(starts(F.length(text), chunk, overlap)).alias("chunk_index", "start_char"))
+    df = df.withColumn("shard_text", F.substr(text, F.col("start_char") + 1, F.lit(chunk))).withColumn("shard_sha256", F.sha2("shard_text", 256))
+    df = df.withColumn("end_char", F.col("start_char") + F.length("shard_text"))
+    return df.withColumn("shard_id", F.format_string("%s:chunk:%06d", "source_id", F.col("chunk_index") + 1))
+
+
 OUTLINE = "title STRING, audience STRING, voice STRING, sections ARRAY<STRUCT<title: STRING, brief: STRING>>"
 
 

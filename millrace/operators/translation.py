@@ -16,9 +16,14 @@ MEMORY_KEYS = ("namespace", "source_sha256", "source_lang", "target_lang", "glos
 REVIEW_COLUMNS = ("review_receipt_id", "reviewer", "review_payload_sha256", "reviewed_at")
 
 
+#: What a text must hold for a pattern to match.
+_NEEDED = ("{{", "${", "[[", "{", "%", "%")
+
+
 def placeholders(text: Column) -> Column:
     """All placeholders with repeats; patterns overlap, so one place can count for two."""
-    return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PLACEHOLDERS))
+    none = F.array().cast("array<string>")
+    return F.concat(*(F.when(F.contains(text, F.lit(need)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for p, need in zip(PLACEHOLDERS, _NEEDED, strict=True)))
 
 
 def lost_placeholders(source: Column, output: Column) -> Column:
@@ -28,6 +33,13 @@ def lost_placeholders(source: Column, output: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(a), lambda x: n(a, x) > n(b, x)))
 
 
+def glossary_valid(glossary_json: Column) -> Column:
+    """False for JSON text that is no list of ``{source, target}`` objects with both filled, or holds more than 10,000."""
+    terms = F.from_json(glossary_json, "array<struct<source: string, target: string>>")
+    filled = F.forall(terms, lambda t: F.coalesce((trim(t["source"]) != "") & (trim(t["target"]) != ""), F.lit(False)))
+    return F.coalesce((F.size(terms) <= 10_000) & filled, F.lit(False))
+
+
 def missing_terms(source: Column, output: Column, glossary: list[tuple[str, str]]) -> Column:
     """Target terms that the source calls for (in any case) and the output lacks (in that case)."""
     hits = [F.when(contains_term(source, F.lit(s)) & ~F.contains(output, F.lit(t)), F.lit(t)) for s, t in glossary]
@@ -102,6 +114,8 @@ def upsert(memory: DataFrame, batch: DataFrame, now: Column, guard_reviewed: boo
 
     New values win, ``created_at`` stays. With ``guard_reviewed`` a reviewed row isn't overwritten.
     """
+    if not batch_conflicts(batch).isEmpty():
+        raise ValueError("memory_batch_conflict")
     values = [c for c in memory.columns if c not in (*MEMORY_KEYS, "created_at", "updated_at")]
     keyed = lambda df: df.withColumn("glossary_sha256", F.coalesce("glossary_sha256", F.lit("")))
     old = keyed(memory).select(*MEMORY_KEYS, F.struct(*values, "created_at", "updated_at", reviewed().alias("__r")).alias("o"))
@@ -113,8 +127,8 @@ def upsert(memory: DataFrame, batch: DataFrame, now: Column, guard_reviewed: boo
 
 
 def batch_conflicts(batch: DataFrame) -> DataFrame:
-    """Keys that a batch holds twice; a batch with any is refused as a whole."""
-    return batch.groupBy(*MEMORY_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Keys that a batch holds twice; a batch with any is refused as a whole. A null glossary is the empty one."""
+    return batch.withColumn("glossary_sha256", F.coalesce("glossary_sha256", F.lit(""))).groupBy(*MEMORY_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def memory_stats(memory: DataFrame) -> DataFrame:

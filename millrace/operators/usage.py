@@ -41,11 +41,13 @@ def observed_cost(prompt_tokens: Column, completion_tokens: Column, input_rate:
     return F.when(fine, F.round(prompt_tokens * F.lit(input_rate) / 1e6 + completion_tokens * F.lit(output_rate) / 1e6, 8))
 
 
-def chat_cost(model: Column, cached: Column, fresh: Column, output: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, (hit, miss, done) in CHAT_RATES.items():
-        out = F.when(model == name, (cached * hit + fresh * miss + output * done) / 1e6).otherwise(out)
-    return F.round(out, 8)
+def chat_cost(model: Column, cached: Column, fresh: Column, output: Column, prompt: Column | None = None) -> Column:
+    """Cost of a turn. Models other than ``pro`` have the rates of ``flash``; without usage
+    (null output) it is 0; fresh tokens that aren't given are those of ``prompt`` that weren't cached."""
+    hits = F.coalesce(cached, F.lit(0))
+    misses = fresh if prompt is None else F.coalesce(fresh, F.greatest(F.lit(0), prompt - hits))
+    of = lambda name: (hits * CHAT_RATES[name][0] + F.coalesce(misses, F.lit(0)) * CHAT_RATES[name][1] + output * CHAT_RATES[name][2]) / 1e6
+    return F.round(F.when(output.isNull(), 0.0).when(model == "pro", of("pro")).otherwise(of("flash")), 8)
 
 
 def cost_ledger(items: DataFrame, prompt: str, completion: str, cost: str, *keys: str) -> DataFrame:

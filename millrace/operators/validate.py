@@ -59,6 +59,45 @@ def workload_blockers(workload: Column, fields: Column, label: Column, provenanc
     )
 
 
+#: Processors that a workload's contract allows.
+PROCESSORS = {"translation": "model_batch", "media_catalogue": "copy_text"}
+
+
+def contract_blockers(workload: Column, processor: Column, sources: Column, acceptance: Column) -> Column:
+    """Blockers of a job's contract. ``sources``: array of ``id, path, sha256, type``; ``acceptance``: struct
+    ``source_lang, target_lang, preserve_placeholders`` or null. Other workloads have none."""
+    none = F.array().cast("array<string>")
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    kind = F.when(filled(processor), processor).otherwise("missing")
+    label = lambda s, i: F.when(filled(s["id"]), s["id"]).otherwise(F.concat(F.lit("source["), i.cast("string"), F.lit("]")))
+    hashed = lambda s: F.coalesce(s["sha256"].rlike(r"(?i)\A[a-f0-9]{64}\z"), F.lit(False))
+    each = lambda code, bad: F.array_compact(F.transform(sources, lambda s, i: F.when(bad(s), F.concat(F.lit(f"{code}:"), label(s, i)))))
+    unfit = lambda w: F.array_compact(F.array(F.when(kind != PROCESSORS[w], F.concat(F.lit(f"{w}_processor_incompatible:"), kind))))
+    wanted = F.array_compact(
+        F.array(
+            F.when(~filled(acceptance["source_lang"]), F.lit("translation_acceptance_missing_source_lang")),
+            F.when(~filled(acceptance["target_lang"]), F.lit("translation_acceptance_missing_target_lang")),
+            F.when(~F.coalesce(acceptance["preserve_placeholders"], F.lit(False)), F.lit("translation_placeholder_preservation_required")),
+        )
+    )
+    translation = F.concat(unfit("translation"), F.coalesce(each("translation_source_sha256_required", lambda s: ~hashed(s)), none), F.when(acceptance.isNull(), F.array(F.lit("translation_acceptance_missing"))).otherwise(wanted))
+    # All that is wrong with a source stands together.
+    of_source = lambda s, i: F.array_compact(F.array(F.when(~filled(s["path"]), F.concat(F.lit("media_catalogue_source_path_required:"), label(s, i))), F.when(~hashed(s), F.concat(F.lit("media_catalogue_source_sha256_required:"), label(s, i))), F.when(~F.coalesce(s["type"].isin("audio", "video"), F.lit(False)), F.concat(F.lit("media_catalogue_source_type_invalid:"), label(s, i)))))
+    media = F.concat(unfit("media_catalogue"), F.coalesce(F.flatten(F.transform(sources, of_source)), none))
+    return F.when(workload == "translation", translation).when(workload == "media_catalogue", media).otherwise(none)
+
+
+def job_blockers(jobs: DataFrame, records: DataFrame) -> DataFrame:
+    """``job_id, blocker`` of contracts and of all records, manifest and ledger alike.
+
+    ``jobs``: ``job_id, workload, contract, processor, sources, acceptance``; ``contract`` tells whether
+    there is one. ``records``: ``job_id, label, fields``.
+    """
+    own = jobs.where("contract").select("job_id", F.explode(contract_blockers(*map(F.col, ("workload", "processor", "sources", "acceptance")))).alias("blocker"))
+    known_jobs = jobs.select("job_id", "workload", "contract")
+    return own.unionByName(records.join(known_jobs, "job_id").select("job_id", F.explode(workload_blockers(F.col("workload"), F.col("fields"), F.col("label"), F.col("contract"))).alias("blocker")))
+
+
 def source_problems(shards: DataFrame, sources: DataFrame) -> DataFrame:
     """``shard_id, reason``: the source is unknown, a file-backed shard has no digest, or digests differ."""
     s = sources.select(F.col("id").alias("source_id"), F.col("sha256").alias("__sha"), F.lit(True).alias("__there"))

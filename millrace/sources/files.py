@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
@@ -94,7 +95,7 @@ def read_slices(shards: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # Stream fields that are kept of a media probe.
-STREAM_FIELDS = "index codec_name codec_type profile width height pix_fmt level sample_rate channels channel_layout bit_rate duration time_base r_frame_rate avg_frame_rate nb_frames start_time color_space color_range sample_fmt bits_per_sample display_aspect_ratio field_order".split()
+STREAM_FIELDS = "index codec_type codec_name codec_long_name profile level width height coded_width coded_height pix_fmt sample_fmt sample_rate channels channel_layout bit_rate duration start_time time_base nb_frames avg_frame_rate r_frame_rate field_order is_avc".split()
 PROBE = "streams ARRAY<STRUCT<" + ", ".join(f"{f}: STRING" for f in STREAM_FIELDS) + ">>, format STRUCT<duration: STRING, format_name: STRING, size: STRING>"
 
 
@@ -195,16 +196,24 @@ def pinned_text(spark: SparkSession, paths: list[str], separator: str = "\n\n")
 
 
 # Parts of paths that no source may have.
-SENSITIVE_SEGMENTS = (".ssh", ".gnupg", ".aws", ".config", ".kube", "keychains")
-SENSITIVE_NAMES = (".env", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_ed25519", "credentials")
+FORBIDDEN_PARTS = ("/.ssh/", "/.gnupg/", "/library/keychains/", "/.config/opencode/auth", "/.codex/auth")
+SENSITIVE_SEGMENTS = (".aws", ".git", ".kube", ".netrc", ".npmrc", ".pypirc", "certs", "certificates", "credential", "credentials", "keychain", "keychains", "passwords", "private-keys", "private_keys", "private-workspace-state", "secret", "secrets", "token", "tokens")
+SENSITIVE_NAMES = (r"\.env(?:\..*)?", r"authorized_keys|id_(?:dsa|ecdsa|ed25519|rsa)|known_hosts", r".*\.(?:jks|key|keystore|p12|pem|pfx)", r"(?:.*[._-])?(?:auth|credential|password|private[-_]?key|secret|token)(?:[._-].*)?")
+SENSITIVE_ROOTS = ("etc", "system")
+PRIVATE_NOTES = r"/users/[^/]+/documents/obsidian/"
 
 
 def safe_path(path: str, root: str) -> bool:
-    """Inside ``root``, without parent steps or sensitive parts."""
+    """Inside ``root``, without parent steps, null characters or forbidden or sensitive parts, in any case."""
     p = PurePosixPath(path)
-    if ".." in p.parts or PurePosixPath(root) not in (p, *p.parents):
+    if "\0" in path or not path.strip() or ".." in p.parts or PurePosixPath(root) not in (p, *p.parents):
         return False
-    return not any(x.lower() in SENSITIVE_SEGMENTS for x in p.parts) and not any(p.name.lower() == n or p.name.lower().startswith(f"{n}.") for n in SENSITIVE_NAMES)
+    parts = [x.lower() for x in p.parts if x != "/"]
+    whole = f"/{'/'.join(parts)}/"
+    if any(x in whole for x in FORBIDDEN_PARTS) or re.search(PRIVATE_NOTES, whole):
+        return False
+    name = parts[-1] if parts else ""
+    return not (any(x in SENSITIVE_SEGMENTS for x in parts) or any(re.fullmatch(n, name, re.DOTALL) for n in SENSITIVE_NAMES) or parts[:1] and parts[0] in SENSITIVE_ROOTS)
 
 
 class _Range(InputPartition):

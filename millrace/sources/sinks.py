@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,9 @@ def append_new(rows: DataFrame, path: str, keys: list[str], digest: str) -> int:
         if not joined.where(F.col("__stored").isNotNull() & (F.col("__stored") != F.col(digest))).isEmpty():
             raise ConflictError("stored contents differ")
         rows = joined.where("__stored is null").drop("__stored")
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def commit_outputs(outputs: DataFrame, root: str, proof_columns: list[str]) -> int:
@@ -74,8 +74,13 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
     stream.write(bytearray(text.encode()))
     stream.close()
     if overwrite:
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
+        # One step, so that a crash leaves the old file or the new one.
+        jvm = spark.sparkContext._jvm
+        options = jvm.org.apache.hadoop.fs.Options.Rename
+        how = spark.sparkContext._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(target), how)
+    elif not fs.rename(beside, target):
         fs.delete(beside, False)
         raise ConflictError("artifact_output_exists")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -228,3 +229,114 @@ def test_reviews(spark):
     reports = spark.range(15).selectExpr("id % 1 as k", "id", "id <> 3 as ok")
     assert review.retained(reports, "k", "id").count() == 10 and tuple(review.health(reports).first()) == (True, 15)
     assert spark.range(1).select(review.redact(F.lit(None).cast("struct<signature:string>"))).first()[0] is None
+
+
+def test_states_of_jobs(spark):
+    data = [("a", "quarantined", 0), ("a", "pending", 0), ("b", "failed", 1), ("b", "succeeded", 0), ("c", "failed", 2), ("c", "running", 0), ("d", "succeeded", 0), ("e", "cancelled", 0), ("e", "leased", 0)]
+    df = spark.createDataFrame(data, "job string, status string, attempts int")
+    assert {r.job: r.job_status for r in ledger.job_status(df, "status", "attempts", 2, "job").collect()} == {"a": "failed", "b": "running", "c": "failed", "d": "completed", "e": "running"}
+
+
+def test_closest_command_and_file_names(spark):
+    df = spark.createDataFrame([("statu",), ("abcdefghijk",), ("",), ("x",), ("rvn",)], "w string")
+    got = {r.w: r.closest for r in runs.closest(df, "w", ["status", "run", "corpus-translate"]).collect()}
+    assert got == {"statu": "status", "abcdefghijk": None, "": None, "x": None, "rvn": "run"}
+    # Five edits: a third of the command's sixteen characters, more than a third of the word's eleven.
+    near = spark.createDataFrame([("corpus-tran",)], "w string")
+    assert runs.closest(near, "w", ["corpus-translate"]).first().closest == "corpus-translate"
+    names = spark.createDataFrame([("a:b/c d_é.-X",)], "n string").select(text.safe_file_name(F.col("n"))).first()[0]
+    assert names == "a:b_c_d__.-X"
+
+
+def test_chat_costs(spark):
+    data = [("pro", 1_000_000, 1_000_000, 1_000_000, None), ("flash", 1_000_000, 1_000_000, 1_000_000, None), ("unknown", 1_000_000, 1_000_000, 1_000_000, None), ("pro", None, None, None, None), ("flash", 400_000, None, 0, 1_000_000), ("flash", None, None, 1_000_000, None)]
+    df = spark.createDataFrame(data, "m string, c long, f long, o long, p long").select(usage.chat_cost(F.col("m"), F.col("c"), F.col("f"), F.col("o"), F.col("p")))
+    assert [r[0] for r in df.collect()] == pytest.approx([1.308625, 0.4228, 0.4228, 0.0, 0.08512, 0.28])
+
+
+def test_long_runs_are_cut_into_candidates(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789") for _ in range(300))
+    df = spark.createDataFrame([(f"x {run} y",), (run[:210],), ("short",), ("a" * 300,)], "t string").select(privacy.high_entropy_runs(F.col("t")).alias("r"), privacy.findings(F.col("t")).alias("f"))
+    got = df.collect()
+    assert got[0].r == [run[:200], run[200:]] and got[1].r == [run[:200]] and got[2].r == got[3].r == []
+    assert [x.signal for x in got[0].f] == ["high_entropy_credential_candidate"]
+
+
+def test_digests_are_masked_at_any_depth(spark):
+    h = "0123456789abcdefABCDEF0123456789" * 2
+    text_ = f'{{"INPUT_sha256":"{h}","note":"{h}","deep":[{{"target_sha256" : "{h}"}}],"shard_sha256":"{h}0","said":"\\"input_sha256\\":\\"{h}\\""}}'
+    got = spark.createDataFrame([(text_,)], "t string").select(privacy.mask_digests(F.col("t"))).first()[0]
+    assert got == text_.replace(f'"INPUT_sha256":"{h}"', '"INPUT_sha256":"[digest]"').replace(f'"target_sha256" : "{h}"', '"target_sha256" : "[digest]"')
+
+
+def test_outbound_payloads(spark):
+    data = [('{"messages":[{"content":"my pass' + 'word: x"}]}', "secrets_or_credentials", False), ('{"a":"API keys in general"}', "non_sensitive_bulk", True), (None, "non_sensitive_bulk", True), ('{"to":"someone@example.org"}', "personal_sensitive", False)]
+    for (p, c, ok), r in zip(data, spark.createDataFrame([d[:1] for d in data], "p string").select(privacy.outbound_report(F.col("p")).alias("r")).collect(), strict=True):
+        assert (r.r.recommended_egress_class, r.r.external_allowed) == (c, ok), p
+        assert all(f.severity == ("warning" if f.category == "non_sensitive_bulk" else "blocker") for f in r.r.findings)
+
+
+def test_chapters_with_carriage_returns_and_blanks(spark):
+    data = [
+        (1, "front\r\n\r\n# Chapter 1\r\nbody\r\n  Part two\r\nend"),
+        (2, "  # Chapter 9\nx"),
+        (3, "\t## 12. Marked\r\n"),
+        (4, " \r\n \n"),
+        (5, "12. unmarked\nchapters are many\napart from that"),
+        (6, "Chapter " + "x" * 2000 + "\ny"),
+        (7, "ch\nch. 2\nCHAPTER\n"),
+    ]
+    df = spark.createDataFrame([(*x, "clash") for x in data], "k int, text string, line string")
+    texts = dict(data)
+
+    def want(t):
+        heads, at = [], 0
+        for raw in t.split("\n"):
+            line = raw.removesuffix("\r").strip()
+            m = re.match(r"#{1,6}\s+(.+)$", line)
+            label = re.sub(r"\s+", " ", (m[1] if m else line).strip())
+            if line and len(line) <= 2000 and (re.match(r"(?i)(?:chapter|ch\.?)(?:\s|$)", label) or re.match(r"(?i)part\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)", label) or m and re.match(r"(?i)(?:[0-9]{1,4}|[ivxlcdm]{1,12})[.)\-:–—]\s+\S+", label)):
+                heads.append((at, label))
+            at += len(raw) + 1
+        parts = [(label, i + 1, a, b) for i, ((a, label), b) in enumerate(zip(heads, [*(h[0] for h in heads[1:]), len(t)], strict=False))]
+        parts = [("Front matter", 0, 0, heads[0][0]), *parts] if heads else [("Whole book", 1, 0, len(t))]
+        return [p for p in parts if t[p[2] : p[3]].strip()]
+
+    got = {}
+    for r in shards.chapter_segments(df, "k").orderBy("k", "chapter_start").collect():
+        got.setdefault(r.k, []).append(tuple(r)[1:])
+    assert got == {k: want(t) for k, t in texts.items() if want(t)}
+    assert [p[2] for p in got[1]] == [0, 9, 28] and got[2] == [("Chapter 9", 1, 0, 15)]
+    plan = {r.k: (r.n_shards, r.shard_chars, r.allowed) for r in shards.book_plan(shards.chapter_segments(df, "k"), "k", 10, 2).collect()}
+    made = shards.book_shards(df, "k", chunk=10, overlap=2).groupBy("k").agg(F.count(F.lit(1)), F.sum(F.length("shard_text"))).collect()
+    assert {r[0]: (r[1], r[2], True) for r in made} == plan
+
+
+def test_lost_artifacts_and_unlisted_shards(spark):
+    led = spark.createDataFrame([("a", "succeeded", 0, None), ("b", "succeeded", 0, None), ("c", "pending", 1, None), ("d", "failed", 0, "2024-01-01 00:00:00"), ("e", "failed", 0, "2024-01-03 00:00:00"), ("f", "quarantined", 9, None)], "shard_id string, status string, attempts int, r string").withColumn("next_retry_at", F.to_timestamp("r"))
+    one = led.where("shard_id = 'a'").select("shard_id")
+    assert set(rows(ledger.missing_artifacts(led, one, one.limit(0)))) == {("b", "missing_output"), ("a", "missing_proof"), ("b", "missing_proof")}
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    got = {r.shard_id: (r.status, r.last_error) for r in ledger.fail_unlisted(led, one, now, 3).collect()}
+    lost = ("failed", "shard_missing_from_manifest")
+    assert got == {"a": ("succeeded", None), "b": ("succeeded", None), "c": lost, "d": lost, "e": ("failed", None), "f": ("quarantined", None)}
+    new = led.withColumn("status", F.when(F.col("shard_id") == "c", "running").otherwise(F.col("status")))
+    assert rows(ledger.event_log(led, new, now, "shard_id").select("shard_id", "type")) == [("c", "shard_running")]
+    assert rows(ledger.checkpoints(led, new, "shard_id").select("shard_id", "status")) == [("c", "running")]
+    with pytest.raises(ValueError, match="checkpoint_unknown"):
+        ledger.overlay(led.where("shard_id <> 'c'"), ledger.checkpoints(led, new, "shard_id"), "shard_id")
+
+
+def test_glossaries_and_batches_are_refused(spark):
+    data = [('[{"source":"a","target":"b"}]', True), ("[]", True), ('[{"source":" ","target":"b"}]', False), ('[{"source":"a"}]', False), ("{", False), (None, False)]
+    got = spark.createDataFrame([d[:1] for d in data], "g string").select(translation.glossary_valid(F.col("g"))).collect()
+    assert [r[0] for r in got] == [d[1] for d in data]
+    cols = "namespace string, source_sha256 string, source_lang string, target_lang string, glossary_sha256 string, target_text string, review_receipt_id string, reviewer string, review_payload_sha256 string, reviewed_at string"
+    twice = spark.createDataFrame([("n", "k", "en", "fr", g, "t", None, None, None, None) for g in (None, "")], cols)
+    with pytest.raises(ValueError, match="memory_batch_conflict"):
+        translation.upsert(twice.limit(0).withColumns({"created_at": F.lit(0), "updated_at": F.lit(0)}), twice, F.lit(1))
+
+
+def test_fixed_workloads(spark):
+    assert [r.workload for r in runs.workload_catalogue(spark).orderBy("workload").collect()] == ["classification", "drafting", "extraction", "scoring", "second_opinion", "summarisation"]

@@ -35,10 +35,10 @@ def test_texts(spark, tmp_path):
 
 
 def test_probes_and_pages(spark):
-    probe = json.dumps({"streams": [{"codec_type": "audio", "codec_name": "aac", "secret": "x"}], "format": {"duration": "1.5", "format_name": "mp4"}})
+    probe = json.dumps({"streams": [{"codec_type": "audio", "codec_name": "aac", "codec_long_name": "AAC", "is_avc": "false", "secret": "x"}], "format": {"duration": "1.5", "format_name": "mp4"}})
     df = spark.createDataFrame([("a", probe), ("b", '{"streams":[],"format":{"duration":"1"}}'), ("c", "junk")], "id string, probe string")
     r = files.probed_media(df, F.col("probe")).collect()
-    assert [(x.id, x.media_type, x.duration_seconds, x.container) for x in r] == [("a", "audio", 1.5, "mp4")] and "secret" not in r[0].streams[0].asDict()
+    assert [(x.id, x.media_type, x.duration_seconds, x.container) for x in r] == [("a", "audio", 1.5, "mp4")] and "secret" not in r[0].streams[0].asDict() and (r[0].streams[0].codec_long_name, r[0].streams[0].is_avc) == ("AAC", "false")
     pages = spark.createDataFrame([("s", 1, bytearray(b"img")), ("s", 2, bytearray(b""))], "source_id string, page_number long, content binary")
     assert [x.error for x in files.ocr_pages(pages, lambda c, p: c.decode()).orderBy("page_number").collect()] == [None, "ocr_empty"]
     assert files.ocr_pages(pages).where("text is not null").count() == 2
@@ -61,6 +61,28 @@ def test_paths():
     assert files.safe_path("/in/a/b.txt", "/in") and not files.safe_path("/in/../etc/x", "/in") and not files.safe_path("/in/.ssh/x", "/in") and not files.safe_path("/in/.env.local", "/in") and not files.safe_path("/other", "/in")
 
 
+@pytest.mark.parametrize(
+    "part",
+    [".git/config", "secrets/a.txt", "tokens/a", "a/token/b", "certs/a", "x.pem", "x.KEY", "my.p12", ".ssh/a", ".gnupg/a", ".aws/a", ".kube/a", "Library/Keychains/a", ".config/opencode/auth.json", ".codex/auth", ".env", ".env.local", "id_rsa", "id_ed25519", "authorized_keys", "known_hosts", "my_token.txt", "api-secret.json", "auth.json", "db.password", "private_key", "Passwords/x", "Users/me/Documents/Obsidian/x.md", "private-workspace-state/x", ".npmrc", "a\0b"],
+)
+def test_sensitive_paths(part):
+    assert not files.safe_path(f"/in/{part}", "/in")
+
+
+@pytest.mark.parametrize("part", ["a.txt", "environment.txt", "secretary.md", "tokenizer.json", "authors.txt", "keys/a.txt", "git/a", "etc/a"])
+def test_other_paths(part):
+    assert files.safe_path(f"/in/{part}", "/in")
+    assert not files.safe_path(f"/etc/{part}", "/etc") and not files.safe_path(f"/system/{part}", "/system")
+
+
+def test_a_snapshot_pointer_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "CURRENT")
+    sinks.write_text(spark, path, "one")
+    sinks.write_text(spark, path, "two", overwrite=True)
+    assert (tmp_path / "CURRENT").read_text() == "two" and not list(tmp_path.glob("*.tmp"))
+    assert spark.read.text(path).first().value == "two"
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as con:
