@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 
 #: White space of the source format: Unicode spaces, line ends and the byte order mark.
 SPACE = r"[\x09-\x0D\x20   -     　﻿]"
+#: The same characters as a string.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 WORD = r"\p{L}[\p{L}\p{M}\p{N}'’_-]*"
 

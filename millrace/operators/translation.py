@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, comparable, contains_term, languages_differ, memory_source, nontrivial, trim, word_count
+from ..functions.text import SPACE, SPACES, comparable, contains_term, languages_differ, memory_source, nontrivial, trim, word_count
 
 # Placeholder patterns.
 PLACEHOLDERS = (r"\{\{[^{}\r\n]+\}\}", r"\$\{[^{}\r\n]+\}", r"\[\[[^\]\r\n]+\]\]", r"(?<!\{)\{[A-Za-z][A-Za-z0-9_.:-]*\}(?!\})", r"%[A-Za-z][A-Za-z0-9_.:-]*%", r"%(?:\d+\$)?[+#-]?(?:\d+)?(?:\.\d+)?[sdif](?![A-Za-z0-9_])")
@@ -46,6 +46,12 @@ def missing_terms(source: Column, output: Column, glossary: list[tuple[str, str]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Equal but for case and white space. The first character settles most pairs."""
+    first = lambda c: F.lower(F.substring(F.ltrim(c, F.lit(SPACES)), 1, 1))
+    return (first(a) == first(b)) & (comparable(a) == comparable(b))
+
+
 def quality(source: Column, output: Column, source_lang: Column, target_lang: Column, glossary: list[tuple[str, str]] = (), low: float = 0.25, high: float = 4.0) -> Column:
     """``blockers`` in fixed order, and the metrics behind them."""
     ratio = F.length(output) / F.nullif(F.length(source), F.lit(0))
@@ -54,7 +60,7 @@ def quality(source: Column, output: Column, source_lang: Column, target_lang: Co
     blockers = F.array_compact(
         F.array(
             F.when(empty, F.lit("empty_output")),
-            F.when(nontrivial(source) & languages_differ(source_lang, target_lang) & (comparable(source) == comparable(output)), F.lit("unchanged_nontrivial_output")),
+            F.when(languages_differ(source_lang, target_lang) & same_text(source, output) & nontrivial(source), F.lit("unchanged_nontrivial_output")),
             F.when(F.size(lost) > 0, F.lit("placeholders_lost")),
             F.when(F.size(terms) > 0, F.lit("glossary_terms_missing")),
             F.when((F.length(source) >= 8) & ~empty & ~ratio.between(low, high), F.lit("length_ratio_out_of_bounds")),

@@ -340,3 +340,8 @@ def test_glossaries_and_batches_are_refused(spark):
 
 def test_fixed_workloads(spark):
     assert [r.workload for r in runs.workload_catalogue(spark).orderBy("workload").collect()] == ["classification", "drafting", "extraction", "scoring", "second_opinion", "summarisation"]
+
+
+def test_white_space_as_a_string_and_as_a_class():
+    found = {c for c in map(chr, range(0x10000)) if re.fullmatch(text.SPACE, c)}
+    assert found == set(text.SPACES)
