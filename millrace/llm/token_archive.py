@@ -46,13 +46,14 @@ class ArchiveError(ValueError):
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A zstandard dictionary from the id arrays of a bounded, hash-chosen sample of whole documents.
 
-    Too few or too small documents give an empty dictionary (plain frames).
+    Too few or too small documents give an empty dictionary (plain frames). Empty documents
+    and those of more than ``SAMPLE_CHARS`` characters aren't in it.
     """
     import zstandard
 
     chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
     # Rows with hashes in a range that should hold twice the sample: tasks send few rows to the driver, however many tasks there are.
-    chosen = chosen.where(F.pmod(F.xxhash64("i", "t", F.lit("dictionary")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * SAMPLE_DOCS / max(chosen.count(), 1))))
+    chosen = chosen.where(F.pmod(F.xxhash64("i", "t", F.lit("dictionary")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * SAMPLE_DOCS / max(docs.count(), 1))))
     rows = chosen.orderBy(F.xxhash64("i", "t", F.lit("dictionary")), "i", "t").limit(SAMPLE_DOCS).collect()
     enc = encoder(tokenizer_path, False)
     arrays = [enc.encode(r.t) + struct.pack("<I", end_id) for r in rows]
