@@ -222,3 +222,43 @@ def canonical(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def namespace(c: Column) -> Column:
+    """Trimmed, of 1 to 128 code points; else null."""
+    name = trim(c)
+    return F.when(F.length(name).between(1, 128), name)
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """What follows ``root`` in ``path``, with slashes; null outside it."""
+    slashes = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    inside = F.concat(F.rtrim(slashes(root), F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(slashes(path), inside), F.substr(slashes(path), F.length(inside) + 1))
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def result_content(result_json: Column) -> Column:
+    """The text ``content`` of a JSON object, else the JSON as it is."""
+    v = F.try_parse_json(result_json)
+    content = F.try_variant_get(v, "$.content", "variant")
+    return F.when(_kind(content) == "STRING", F.try_variant_get(v, "$.content", "string")).otherwise(result_json)
+
+
+# Keys that are kept of an engine's JSON.
+OCR_KEYS = ("page", "page_number", "page_count", "width", "height", "confidence", "schema_version")
+
+
+def ocr_metadata(engine_json: Column) -> Column:
+    """A map of ``OCR_KEYS`` with scalar values as texts: those of the object itself, or of its ``metadata`` where it has none."""
+    v = F.try_parse_json(engine_json)
+    entries = []
+    for key in OCR_KEYS:
+        top, nested = F.try_variant_get(v, f"$.{key}", "variant"), F.try_variant_get(v, f"$.metadata.{key}", "variant")
+        chosen = F.when(_kind(top) != "VOID", top).otherwise(nested)
+        scalar = (_kind(chosen) != "VOID") & ~_kind(chosen).rlike("^(?:ARRAY|OBJECT)")
+        entries.append(F.when(scalar, F.struct(F.lit(key).alias("key"), F.try_variant_get(chosen, "$", "string").alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*entries)))

@@ -88,3 +88,66 @@ def retained(reports: DataFrame, key: str, order: str, keep: int = 10) -> DataFr
 
 def health(reports: DataFrame) -> DataFrame:
     return reports.agg(F.coalesce(F.bool_or(~F.col("ok")), F.lit(False)).alias("any_failed"), F.count(F.lit(1)).alias("reports"))
+
+
+def receipt_blockers(receipt: Column, job: Column, project: Column, payload_sha256: Column, now: Column, key_configured: bool = True) -> Column:
+    """Blockers of a review receipt: struct ``status, issuer, job_id, project, review_payload_sha256, issued_at,
+    expires_at`` or null. Its signature isn't verified here: no cryptography library is at hand."""
+    r = lambda f: receipt.getField(f)
+    differs = lambda f, want: receipt.isNotNull() & ~r(f).eqNullSafe(want)
+    unapproved = differs("status", F.lit("approved")) | differs("issuer", F.lit("owner"))
+    window = F.coalesce(r("expires_at") > r("issued_at"), F.lit(False))
+    late = F.timestamp_micros(F.unix_micros(now) + 5 * 60 * 1_000_000)
+    name = lambda test, code: F.when(test, F.lit(f"translation_review_receipt_{code}"))
+    return F.array_compact(
+        F.array(
+            name(F.lit(not key_configured), "public_key_not_configured"),
+            name(unapproved, "not_owner_approved"),
+            name(differs("job_id", job), "job_mismatch"),
+            name(differs("project", project), "project_mismatch"),
+            name(differs("review_payload_sha256", payload_sha256), "payload_digest_mismatch"),
+            name(receipt.isNull(), "invalid"),
+            name(receipt.isNotNull() & ~unapproved & ~window, "time_window_invalid"),
+            name(~unapproved & window & (r("issued_at") > late), "not_yet_valid"),
+            name(~unapproved & window & (r("expires_at") <= now), "expired"),
+        )
+    )
+
+
+def processor_matches(processor: Column, engine: Column, version: Column, memory_hit: Column) -> Column:
+    """Whether a proof's processor version is one that the manifest's processor gives."""
+    ocr = F.regexp_extract(version, r"\A(?:local_ocr)\.(macos_vision|focr|tesseract)\.v1\z", 1)
+    batch = (version == "model_batch.v1") | (version == "translation_memory.v1") & F.coalesce(memory_hit, F.lit(False))
+    fits = F.when(processor == "copy_text", version == "copy_text.v1").when(processor == "local_ocr", (ocr != "") & ((engine == "auto") | (ocr == engine))).otherwise(batch)
+    return F.coalesce(fits, F.lit(False))
+
+
+def page_count(supplied: Column, detected: Column, most: int = 10_000) -> Column:
+    """``pages, error`` of a document with pages: what was supplied and what was detected must agree."""
+    n = F.coalesce(supplied, detected)
+    error = F.when(supplied <= 0, "invalid_ocr_page_count").when(n.isNull() | (n <= 0), "ocr_pdf_pages_unavailable").when(n > most, "ocr_page_limit_exceeded").when(supplied != detected, "invalid_ocr_page_count")
+    return F.struct(F.when(error.isNull(), n).alias("pages"), error.alias("error"))
+
+
+def unsafe_inputs(shards: DataFrame, sources: DataFrame, sensitive) -> DataFrame:
+    """``shard_id, reason`` of file-backed shards whose path isn't their source's file, or not inside its directory.
+
+    ``shards``: ``shard_id, source_id, input_path``; ``sources``: ``id, path, is_file, sha256``; ``sensitive``:
+    a predicate of paths.
+    """
+    s = sources.select(F.col("id").alias("source_id"), F.rtrim("path", F.lit("/")).alias("__path"), F.col("is_file").alias("__file"), F.col("sha256").alias("__sha"))
+    df = shards.where("input_path is not null").join(s, "source_id", "left")
+    path = F.col("input_path")
+    inside = F.when(F.col("__file"), path == F.col("__path")).otherwise(F.startswith(path, F.concat("__path", F.lit("/"))) & ~path.rlike(r"(?:\A|/)\.\.(?:/|\z)"))
+    reason = F.when(sensitive(path), "corpus_sensitive_source_path_blocked").when(F.col("__path").isNull(), "corpus_input_source_path_required").when(F.col("__file") & F.col("__sha").isNull(), "corpus_source_hash_required").when(~inside, "corpus_input_outside_source")
+    return df.select("shard_id", reason.alias("reason")).where("reason is not null")
+
+
+def with_columns_of(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` with the columns of ``schema`` that they lack, null: rows written before a column was added stay readable and untrusted."""
+    return rows.unionByName(rows.sparkSession.createDataFrame([], schema), allowMissingColumns=True)
+
+
+def collated(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in the order that a reader of their language expects, not that of code points."""
+    return rows.orderBy(*(F.collate(F.col(c), "UNICODE") for c in columns))

@@ -135,3 +135,50 @@ def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: boo
     ]
     df = run.withColumn("blockers", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))).withColumn("warnings", F.array_compact(F.array(*(F.when(c, n) for c, n in notes))))
     return df.withColumn("ok", F.size("blockers") == 0)
+
+
+def workload_items(prompts: DataFrame, workload: str, n: int | None = None) -> DataFrame:
+    """``item_id, prompt, workload, prompt_index``: a workload's prompts cycled to ``n`` items (as many as there are, six at least).
+
+    ``prompts``: ``workload, prompt_index, prompt``, prompts numbered from 0.
+    """
+    own = prompts.where(F.col("workload") == workload)
+    size = own.count()
+    if not size:
+        raise ValueError("invalid_workload")
+    wanted = prompts.sparkSession.range(max(size, 6) if n is None else n).select("id", (F.col("id") % size).cast("int").alias("prompt_index"))
+    df = wanted.join(own.withColumn("prompt_index", F.col("prompt_index").cast("int")), "prompt_index")
+    return df.select(F.format_string("%s-%d", "workload", F.col("id") + 1).alias("item_id"), "prompt", "workload", "prompt_index")
+
+
+def agent_canary(spark: SparkSession) -> DataFrame:
+    """Three items that exercise planning, safety and proof."""
+    items = [("canary-plan", "Name readiness, missing inputs and next action."), ("canary-safety", "Name side effects that are blocked."), ("canary-proof", "Name the proofs to inspect after a run.")]
+    return spark.createDataFrame(items, "item_id string, prompt string")
+
+
+def queued(items: DataFrame) -> DataFrame:
+    return items.where("status = 'queued'")
+
+
+def split_live(jobs: DataFrame, live: Column) -> tuple[DataFrame, DataFrame]:
+    """Jobs that can run unattended, and those deferred because they need live calls."""
+    needs = F.coalesce(live, F.lit(False))
+    return jobs.where(~needs), jobs.where(needs)
+
+
+def transport(name: str, model: str = "", allow_live: bool = False):
+    """The completion of a transport: a function of item id and payload JSON. Live calls aren't made here."""
+    if name == "fake":
+        return fake_completion
+    if name == "dry-run":
+        return lambda item_id, payload_json: payload_json
+    raise ValueError("live_transport_not_available" if allow_live or name != "live" else "live_call_not_enabled_by_caller")
+
+
+def newest_runs(runs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``run_id, created_at, status, counts``: the newest ``n`` runs with their items by status."""
+    newest = runs.orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(n)
+    counts = items.join(newest.select("run_id"), "run_id", "left_semi").groupBy("run_id", F.col("status").alias("s")).count()
+    counts = counts.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("s", "count")))).alias("counts"))
+    return newest.select("run_id", "created_at", "status").join(counts, "run_id", "left")

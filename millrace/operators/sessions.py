@@ -74,3 +74,32 @@ def numbered_lines(docs: DataFrame, key: str, text: str, offset: int, limit: int
 def search_lines(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     df = docs.where(F.col(text).rlike(f"(?m){pattern}")).select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     return df.where(F.col("line").rlike(pattern)).select(key, (F.col("at") + 1).cast("long").alias("line_number"), "line")
+
+
+def transcript(events: DataFrame, key: str, order: str) -> DataFrame:
+    """``key, entries, status, tokens`` from agent events ``type, text, name, error, tokens``.
+
+    Text and reasoning deltas gather until a tool starts or the turn ends; then they are
+    entries, reasoning first. The events of a session are folded in one row.
+    """
+    items = F.sort_array(F.collect_list(F.struct(order, "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("error", F.lit(False)).alias("error"), F.col("tokens").cast("long").alias("tokens"))))
+    entry = lambda kind, text: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), text.alias("text"))
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    state = lambda entries, reasoning, text, status, tokens: F.struct(entries.alias("entries"), reasoning.alias("reasoning"), text.alias("text"), status.alias("status"), tokens.alias("tokens"))
+    blank = F.lit("")
+
+    def step(s: Column, e: Column) -> Column:
+        pending = F.concat(F.when(s["reasoning"] != "", F.array(entry("reasoning", s["reasoning"]))).otherwise(none), F.when(s["text"] != "", F.array(entry("assistant", s["text"]))).otherwise(none))
+        kind = e["type"]
+        ends = kind.isin("tool_start", "turn_complete")
+        new = F.when(kind == "tool_start", F.concat(pending, F.array(entry("tool", F.concat(e["name"], F.lit(" "), e["text"]))))).when(kind == "turn_complete", pending)
+        new = new.when(kind == "tool_end", F.array(entry(F.when(e["error"], "tool_error").otherwise("tool_ok"), F.concat(e["name"], F.lit(" — "), e["text"])))).otherwise(none)
+        reasoning = F.when(ends, blank).when(kind == "reasoning_delta", F.concat(s["reasoning"], e["text"])).otherwise(s["reasoning"])
+        text = F.when(ends, blank).when(kind == "text_delta", F.concat(s["text"], e["text"])).otherwise(s["text"])
+        status = F.when(kind == "turn_complete", "idle").otherwise(s["status"])
+        tokens = F.when(kind.isin("usage", "turn_complete"), e["tokens"]).otherwise(s["tokens"])
+        return state(F.concat(s["entries"], new), reasoning, text, status, tokens)
+
+    start = state(none, blank, blank, F.lit("running"), F.lit(0).cast("long"))
+    df = events.groupBy(key).agg(F.aggregate(items, start, step).alias("__folded"))
+    return df.select(key, "__folded.entries", "__folded.status", "__folded.tokens")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy, text
 from ..operators import ledger, review, runs, sessions, shards, translation, usage, validate
+from ..sources import files
 from ..streaming import deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -727,6 +728,35 @@ def glossary_checks(spark, d):
     return table(spark, d, "benchmark").select("item_id", translation.glossary_valid(value).alias("valid"))
 
 
+@query("select item_id, case when item_id % 4 = 0 then text when item_id % 4 = 1 then '{\"content\":7}' when item_id % 4 = 2 then '[1]' else 'x{' end as content, case when item_id % 2 = 0 then 'page_count=3;schema_version=v' else 'page=' || item_id || ';confidence=0.5' end as metadata, case when length(text) <= 128 then text end as namespace from benchmark")
+def engine_results(spark, d):
+    t, at = F.col("text"), F.col("item_id") % 4
+    result = F.when(at == 0, F.to_json(F.struct(t.alias("content"), F.lit(1).alias("other")))).when(at == 1, '{"content":7}').when(at == 2, "[1]").otherwise("x{")
+    meta = F.when(at % 2 == 0, '{"page_count":3,"schema_version":"v","page":[1],"metadata":{"page":4}}').otherwise(F.format_string('{"page":null,"metadata":{"page":%d,"confidence":0.5,"width":{"a":1}}}', "item_id"))
+    m = text.ocr_metadata(meta)
+    pairs = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return table(spark, d, "benchmark").select("item_id", text.result_content(result).alias("content"), pairs.alias("metadata"), text.namespace(F.concat(F.lit(" \t"), t, F.lit(" "))).alias("namespace"))
+
+
+@query(
+    """with u as (select user_id, event_id, event_type, case when event_type in ('click', 'error') then 1 else 0 end as ends, sum(case when event_type in ('click', 'error') then 1 else 0 end) over (partition by user_id order by event_id desc) as part from events)
+    select user_id, count(*) filter (event_type = 'click')::bigint as tools, (select count(*) from (select user_id, part from u v where v.user_id = u.user_id and part > 0 and event_type not in ('click', 'error') group by 1, 2))::bigint as answers, coalesce(max(event_id) filter (event_type = 'error'), 0)::bigint as tokens from u group by user_id"""
+)
+def transcripts(spark, d):
+    kind = F.when(F.col("event_type") == "click", "tool_start").when(F.col("event_type") == "error", "turn_complete").otherwise("text_delta")
+    e = table(spark, d, "events").select("user_id", "event_id", kind.alias("type"), F.col("event_type").alias("text"), F.lit("t").alias("name"), F.lit(False).alias("error"), F.col("event_id").alias("tokens"))
+    count = lambda k: F.size(F.filter("entries", lambda x: x["kind"] == k)).cast("long")
+    return sessions.transcript(e, "user_id", "event_id").select("user_id", count("tool").alias("tools"), count("assistant").alias("answers"), "tokens")
+
+
+@query("select 'scoring-' || (i + 1) as item_id, text as prompt, (i % n)::int as prompt_index from range(30) t(i) join (select text, item_id - min(item_id) over () as k, count(*) over () as n from benchmark) b on b.k = i % b.n")
+def benchmark_items(spark, d):
+    b = table(spark, d, "benchmark")
+    first = b.agg(F.min("item_id")).first()[0]
+    prompts = b.select(F.lit("scoring").alias("workload"), (F.col("item_id") - first).cast("int").alias("prompt_index"), F.col("text").alias("prompt"))
+    return runs.workload_items(prompts, "scoring", 30).select("item_id", "prompt", "prompt_index")
+
+
 # ---- reviews and transitions --------------------------------------------------------
 
 
@@ -764,6 +794,60 @@ def transition_events(spark, d):
     return review.transition_events(before, after, "shard").join(after.select("shard", "attempts"), "shard")
 
 
+@query(
+    """with r as (select o_orderkey as k, o_orderkey % 3 as a, o_orderkey % 5 as b, o_orderkey % 7 as c, o_orderkey % 11 as e from orders)
+    select k as o_orderkey, array_to_string(list_filter([case when e > 0 and a = 0 then 'not_owner_approved' end, case when e > 0 and b = 0 then 'job_mismatch' end, case when e > 0 and b = 1 then 'payload_digest_mismatch' end, case when e = 0 then 'invalid' end, case when e > 0 and a > 0 and c = 0 then 'time_window_invalid' end, case when e > 0 and a > 0 and c = 1 then 'not_yet_valid' end, case when e > 0 and a > 0 and c = 2 then 'expired' end], lambda x: x is not null), ',') as blockers from r"""
+)
+def review_receipts(spark, d):
+    k, now = F.col("o_orderkey"), F.lit(_NOW).cast("timestamp")
+    day = lambda n: F.timestamp_add("DAY", F.lit(n), now)
+    at = lambda *days: F.when(k % 7 == 0, day(days[0])).when(k % 7 == 1, day(days[1])).when(k % 7 == 2, day(days[2])).otherwise(day(days[3]))
+    receipt = F.when(k % 11 > 0, F.struct(F.when(k % 3 == 0, "draft").otherwise("approved").alias("status"), F.lit("owner").alias("issuer"), F.when(k % 5 == 0, "other").otherwise("job").alias("job_id"), F.lit("p").alias("project"), F.when(k % 5 == 1, "other").otherwise("sha").alias("review_payload_sha256"), at(1, 1, -2, -1).alias("issued_at"), at(1, 2, -1, 1).alias("expires_at")))
+    found = review.receipt_blockers(receipt, F.lit("job"), F.lit("p"), F.lit("sha"), now)
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(found, lambda b: F.replace(b, F.lit("translation_review_receipt_"), F.lit(""))), ",").alias("blockers"))
+
+
+@query(
+    "select o_orderkey, case o_orderkey % 4 when 0 then true when 1 then o_orderkey % 3 <> 2 when 2 then o_orderkey % 5 = 0 else false end as fits, case o_orderkey % 6 when 0 then 12 when 1 then 12 when 2 then 9 end::int as pages, case o_orderkey % 6 when 3 then 'invalid_ocr_page_count' when 4 then 'ocr_pdf_pages_unavailable' when 5 then 'ocr_page_limit_exceeded' end as error from orders"
+)
+def processor_proofs(spark, d):
+    k = F.col("o_orderkey")
+    processor = F.when(k % 4 == 0, "copy_text").when(k % 4 == 1, "local_ocr").otherwise("model_batch")
+    engine = F.when(k % 3 == 0, "auto").when(k % 3 == 1, "tesseract").otherwise("focr")
+    version = F.when(k % 4 == 0, "copy_text.v1").when(k % 4 == 1, "local_ocr.tesseract.v1").when(k % 4 == 2, "translation_memory.v1").otherwise("copy_text.v1")
+    at = k % 6
+    supplied = F.when(at.isin(0, 3), 12).when(at == 5, 20_000)
+    detected = F.when(at.isin(0, 1), 12).when(at == 2, 9).when(at == 3, 13)
+    pages = review.page_count(supplied, detected)
+    df = table(spark, d, "orders").select("o_orderkey", review.processor_matches(processor, engine, version, k % 5 == 0).alias("fits"), pages.alias("p"))
+    return df.select("o_orderkey", "fits", "p.pages", "p.error")
+
+
+@query("select doc_id as shard_id, case doc_id % 6 when 0 then 'corpus_sensitive_source_path_blocked' when 1 then 'corpus_input_source_path_required' when 2 then 'corpus_input_outside_source' else 'corpus_source_hash_required' end as reason from documents where doc_id % 6 < 4")
+def unsafe_inputs(spark, d):
+    at = F.col("doc_id") % 6
+    path = F.when(at == 0, "/in/dir/secrets/a.txt").when(at == 2, "/in/dir/../b.txt").when(at == 3, "/in/file.txt").otherwise("/in/dir/a.txt")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("shard_id"), F.when(at == 1, "none").when(at == 3, "file").otherwise("dir").alias("source_id"), path.alias("input_path"))
+    sources = spark.createDataFrame([("dir", "/in/dir/", False, None), ("file", "/in/file.txt", True, None)], "id string, path string, is_file boolean, sha256 string")
+    return review.unsafe_inputs(rows, sources, files.sensitive)
+
+
+@query("select o_orderkey, o_orderstatus from (select *, row_number() over (order by o_orderdate desc, o_orderkey desc) as k from orders) where k <= 20")
+def newest_runs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("status"))
+    return runs.newest_runs(o, items, 20).select(F.col("run_id").alias("o_orderkey"), F.col("status").alias("o_orderstatus"))
+
+
+@query(f"select 'queued' as part, count(*) as shards from {_SHARDS} where status = 'pending' union all select case when job % 3 = 0 then 'deferred' else 'eligible' end, count(*) from {_SHARDS} group by 1")
+def work_split(spark, d):
+    rows = ledger_rows(spark, d).withColumn("status", F.when(F.col("status") == "pending", "queued").otherwise(F.col("status")))
+    eligible, deferred = runs.split_live(rows, F.when(F.col("job") % 3 == 0, True))
+    named = lambda df, name: df.select(F.lit(name).alias("part"))
+    parts = named(runs.queued(rows), "queued").unionByName(named(deferred, "deferred")).unionByName(named(eligible, "eligible"))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("shards"))
+
+
 @query("select s_suppkey, s_name, '[redacted]' as signature from supplier")
 def redacted_receipts(spark, d):
     r = F.struct(F.col("s_name").alias("receipt_id"), F.col("s_acctbal").cast("string").alias("signature"))

@@ -216,6 +216,18 @@ def safe_path(path: str, root: str) -> bool:
     return not (any(x in SENSITIVE_SEGMENTS for x in parts) or any(re.fullmatch(n, name, re.DOTALL) for n in SENSITIVE_NAMES) or parts[:1] and parts[0] in SENSITIVE_ROOTS)
 
 
+def sensitive(path: Column) -> Column:
+    """Whether a path has forbidden or sensitive parts: ``safe_path``'s rules as an expression."""
+    whole = F.concat(F.lit("/"), F.array_join(F.filter(F.split(F.lower(path), "/"), lambda x: x != ""), "/"), F.lit("/"))
+    parts = F.split(whole, "/")
+    bad = whole.rlike(PRIVATE_NOTES) | F.arrays_overlap(parts, F.array(*map(F.lit, SENSITIVE_SEGMENTS))) | F.get(parts, F.lit(1)).isin(*SENSITIVE_ROOTS)
+    for part in FORBIDDEN_PARTS:
+        bad = bad | F.contains(whole, F.lit(part))
+    for name in SENSITIVE_NAMES:
+        bad = bad | F.element_at(parts, -2).rlike(rf"(?s)\A(?:{name})\z")
+    return bad
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high

@@ -102,3 +102,45 @@ def report_json(runs: DataFrame, parts: dict[str, DataFrame], key: str) -> DataF
 def split_quarantine(rows: DataFrame, bad: str) -> tuple[DataFrame, DataFrame]:
     """Rows without and with a value in ``bad``."""
     return rows.where(F.col(bad).isNull()).drop(bad), rows.where(F.col(bad).isNotNull())
+
+
+def create_run(spark: SparkSession, root: str, run: DataFrame, items: DataFrame) -> int:
+    """Store a run and its items, items first: a run that can be seen has them all. Then its event. Returns the new items.
+
+    ``run``: ``run_id, manifest, ...``; ``items``: ``run_id, item_id, payload, ...``.
+    """
+    digest = lambda rows, column: rows.withColumn("sha256", F.sha2(column, 256))
+    made = append_new(digest(items, "payload"), f"{root}/items", ["run_id", "item_id"], "sha256")
+    if append_new(digest(run, "manifest"), f"{root}/runs", ["run_id"], "sha256"):
+        run.select("run_id", F.lit("run_created").alias("type"), F.current_timestamp().alias("ts")).write.mode("append").parquet(f"{root}/events")
+    return made
+
+
+def acquire_lock(spark: SparkSession, path: str, owner: str, stale_ms: int = 900_000) -> bool:
+    """Create a lock file if there is none; one that is older than ``stale_ms`` is moved aside, once, and taken over."""
+    target, fs = _path(spark, path)
+    for attempt in range(2):
+        try:
+            stream = fs.create(target, False)
+        except Exception:  # it is there already
+            try:
+                age = spark.sparkContext._jvm.System.currentTimeMillis() - fs.getFileStatus(target).getModificationTime()
+            except Exception:  # and has just been given back
+                continue
+            aside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.stale")
+            if attempt or age <= stale_ms or not fs.rename(target, aside):
+                return False
+            fs.delete(aside, False)
+            continue
+        stream.write(bytearray(owner.encode()))
+        stream.close()
+        return True
+    return False
+
+
+def release_lock(spark: SparkSession, path: str, owner: str) -> bool:
+    """Remove the lock if ``owner`` holds it."""
+    target, fs = _path(spark, path)
+    if not fs.exists(target) or spark.read.text(path, wholetext=True).first().value != owner:
+        return False
+    return fs.delete(target, False)

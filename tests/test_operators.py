@@ -345,3 +345,38 @@ def test_fixed_workloads(spark):
 def test_white_space_as_a_string_and_as_a_class():
     found = {c for c in map(chr, range(0x10000)) if re.fullmatch(text.SPACE, c)}
     assert found == set(text.SPACES)
+
+
+def test_run_generators(spark):
+    assert [r.item_id for r in runs.agent_canary(spark).orderBy("item_id").collect()] == ["canary-plan", "canary-proof", "canary-safety"]
+    prompts = spark.createDataFrame([("scoring", k, f"p{k}") for k in range(3)] + [("drafting", 0, "d")], "workload string, prompt_index int, prompt string")
+    assert rows(runs.workload_items(prompts, "scoring").orderBy("item_id")) == [(f"scoring-{k + 1}", f"p{k % 3}", "scoring", k % 3) for k in range(6)]
+    assert runs.workload_items(prompts, "drafting", 2).count() == 2
+    with pytest.raises(ValueError):
+        runs.workload_items(prompts, "none")
+    done = runs.transport("fake")(F.lit("a"), F.lit("{}"))
+    assert spark.range(1).select(done).first()[0].startswith("fake:a:")
+    assert spark.range(1).select(runs.transport("dry-run")(F.lit("a"), F.lit("{}"))).first()[0] == "{}"
+    for live in (False, True):
+        with pytest.raises(ValueError):
+            runs.transport("live", allow_live=live)
+
+
+def test_transcripts(spark):
+    data = [(1, "reasoning_delta", "why", None, None, None), (2, "text_delta", "Hel", None, None, None), (3, "text_delta", "lo", None, None, None), (4, "tool_start", "{}", "read", None, None), (5, "tool_end", "ok", "read", False, None), (6, "tool_end", "bad", "read", True, None), (7, "usage", None, None, None, 5), (8, "text_delta", "end", None, None, None), (9, "turn_complete", None, None, None, 9)]
+    df = spark.createDataFrame([("s", *x) for x in data] + [("t", 1, "text_delta", "open", None, None, None)], "s string, k int, type string, text string, name string, error boolean, tokens long")
+    got = {r.s: r for r in sessions.transcript(df, "s", "k").collect()}
+    assert [tuple(e) for e in got["s"].entries] == [("reasoning", "why"), ("assistant", "Hello"), ("tool", "read {}"), ("tool_ok", "read — ok"), ("tool_error", "read — bad"), ("assistant", "end")]
+    assert (got["s"].status, got["s"].tokens) == ("idle", 9) and (got["t"].status, got["t"].entries, got["t"].tokens) == ("running", [], 0)
+
+
+def test_names_paths_and_order(spark):
+    data = [("/in/a/b.txt", "/in/", "a/b.txt"), ("C:\\in\\a.txt", "C:\\in", "a.txt"), ("/inner/a", "/in", None)]
+    got = spark.createDataFrame([d[:2] for d in data], "p string, r string").select(text.relative_path(F.col("p"), F.col("r"))).collect()
+    assert [r[0] for r in got] == [d[2] for d in data]
+    names = spark.createDataFrame([(" a ",), ("x" * 128,), ("x" * 129,), (" ",), (None,)], "n string").select(text.namespace(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["a", "x" * 128, None, None, None]
+    terms = spark.createDataFrame([("f",), ("é",), ("e",), ("Z",), ("a",)], "t string")
+    assert [r.t for r in review.collated(terms, "t").collect()] == ["a", "e", "é", "f", "Z"]
+    old = review.with_columns_of(terms, "t string, reviewer string, reviewed_at string")
+    assert old.columns == ["t", "reviewer", "reviewed_at"] and old.where("reviewer is null").count() == 5

@@ -65,12 +65,14 @@ def test_paths():
     "part",
     [".git/config", "secrets/a.txt", "tokens/a", "a/token/b", "certs/a", "x.pem", "x.KEY", "my.p12", ".ssh/a", ".gnupg/a", ".aws/a", ".kube/a", "Library/Keychains/a", ".config/opencode/auth.json", ".codex/auth", ".env", ".env.local", "id_rsa", "id_ed25519", "authorized_keys", "known_hosts", "my_token.txt", "api-secret.json", "auth.json", "db.password", "private_key", "Passwords/x", "Users/me/Documents/Obsidian/x.md", "private-workspace-state/x", ".npmrc", "a\0b"],
 )
-def test_sensitive_paths(part):
+def test_sensitive_paths(spark, part):
+    assert "\0" in part or spark.range(1).select(files.sensitive(F.lit(f"/in/{part}"))).first()[0]
     assert not files.safe_path(f"/in/{part}", "/in")
 
 
 @pytest.mark.parametrize("part", ["a.txt", "environment.txt", "secretary.md", "tokenizer.json", "authors.txt", "keys/a.txt", "git/a", "etc/a"])
-def test_other_paths(part):
+def test_other_paths(spark, part):
+    assert not spark.range(1).select(files.sensitive(F.lit(f"/in/{part}"))).first()[0]
     assert files.safe_path(f"/in/{part}", "/in")
     assert not files.safe_path(f"/etc/{part}", "/etc") and not files.safe_path(f"/system/{part}", "/system")
 
@@ -83,6 +85,26 @@ def test_a_snapshot_pointer_is_replaced_in_one_step(spark, tmp_path, monkeypatch
     assert spark.read.text(path).first().value == "two"
 
 
+def test_runs_are_stored_once(spark, tmp_path):
+    root = str(tmp_path / "r")
+    run = spark.createDataFrame([("r1", "{}")], "run_id string, manifest string")
+    items = spark.createDataFrame([("r1", "a", "x"), ("r1", "b", "y")], "run_id string, item_id string, payload string")
+    assert [sinks.create_run(spark, root, run, items) for _ in range(2)] == [2, 0]
+    assert [spark.read.parquet(f"{root}/{t}").count() for t in ("items", "runs", "events")] == [2, 1, 1]
+    with pytest.raises(sinks.ConflictError):
+        sinks.create_run(spark, root, run.withColumn("manifest", F.lit("other")), items)
+
+
+def test_a_lock_has_one_owner(spark, tmp_path):
+    path = str(tmp_path / "lock")
+    assert sinks.acquire_lock(spark, path, "a") and not sinks.acquire_lock(spark, path, "b")
+    assert not sinks.release_lock(spark, path, "b") and sinks.release_lock(spark, path, "a")
+    assert sinks.acquire_lock(spark, path, "b")
+    os.utime(path, (1_000_000_000, 1_000_000_000))
+    assert sinks.acquire_lock(spark, path, "c") and not sinks.acquire_lock(spark, path, "d")
+    assert (tmp_path / "lock").read_text() == "c"
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as con:
