@@ -12,6 +12,7 @@ from ..functions.text import SPACE, SPACES, comparable, contains_term, languages
 
 # Placeholder patterns.
 PLACEHOLDERS = (r"\{\{[^{}\r\n]+\}\}", r"\$\{[^{}\r\n]+\}", r"\[\[[^\]\r\n]+\]\]", r"(?<!\{)\{[A-Za-z][A-Za-z0-9_.:-]*\}(?!\})", r"%[A-Za-z][A-Za-z0-9_.:-]*%", r"%(?:\d+\$)?[+#-]?(?:\d+)?(?:\.\d+)?[sdif](?![A-Za-z0-9_])")
+MAX_TERMS = 10_000
 MEMORY_KEYS = ("namespace", "source_sha256", "source_lang", "target_lang", "glossary_sha256")
 REVIEW_COLUMNS = ("review_receipt_id", "reviewer", "review_payload_sha256", "reviewed_at")
 
@@ -37,7 +38,7 @@ def glossary_valid(glossary_json: Column) -> Column:
     """False for JSON text that is no list of ``{source, target}`` objects with both filled, or holds more than 10,000."""
     terms = F.from_json(glossary_json, "array<struct<source: string, target: string>>")
     filled = F.forall(terms, lambda t: F.coalesce((trim(t["source"]) != "") & (trim(t["target"]) != ""), F.lit(False)))
-    return F.coalesce((F.size(terms) <= 10_000) & filled, F.lit(False))
+    return F.coalesce((F.size(terms) <= MAX_TERMS) & filled, F.lit(False))
 
 
 def missing_terms(source: Column, output: Column, glossary: list[tuple[str, str]]) -> Column:
@@ -83,7 +84,7 @@ def glossary_terms(value) -> list[tuple[str, str]]:
         if not isinstance(s, str) or not isinstance(t, str) or not s.strip() or not t.strip():
             raise ValueError("invalid_glossary")
         out.add((s.strip(), t.strip()))
-    if len(out) > 10_000:
+    if len(out) > MAX_TERMS:
         raise ValueError("glossary_too_large")
     return sorted(out)
 
@@ -94,7 +95,9 @@ def glossary_table(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFra
 
 
 def required_terms(texts: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
-    """Rows of ``texts`` with each glossary term that they hold."""
+    """Rows of ``texts`` with each glossary term that they hold. The glossary is sent to all executors, after a check of its size."""
+    if glossary.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError("glossary_too_large")
     return texts.join(F.broadcast(glossary), contains_term(F.col(text), F.col("source_term")))
 
 
