@@ -852,3 +852,69 @@ def work_split(spark, d):
 def redacted_receipts(spark, d):
     r = F.struct(F.col("s_name").alias("receipt_id"), F.col("s_acctbal").cast("string").alias("signature"))
     return table(spark, d, "supplier").withColumn("r", review.redact(r)).select("s_suppkey", F.col("r.receipt_id").alias("s_name"), F.col("r.signature").alias("signature"))
+
+
+@query(
+    f"select shard, case when status in ('pending', 'leased', 'running', 'failed') and shard % 3 <> 0 and shard % 5 <> 0 and shard % 7 <> 0 then 'succeeded' else status end as status, status in ('pending', 'leased', 'running', 'failed') and shard % 3 <> 0 and shard % 5 <> 0 and shard % 7 <> 0 as recovered from {_SHARDS}"
+)
+def recovered_shards(spark, d):
+    rows = ledger_rows(spark, d).withColumnRenamed("shard", "shard_id").withColumn("input_sha256", F.lit("i"))
+    outputs = rows.where("shard_id % 3 <> 0").select("shard_id", F.col("shard_id").cast("string").alias("output"))
+    digest = F.sha2(F.col("shard_id").cast("string"), 256)
+    proofs = rows.select("shard_id", F.when(F.col("shard_id") % 5 == 0, "x").otherwise("i").alias("input_sha256"), F.when(F.col("shard_id") % 7 == 0, "x").otherwise(digest).alias("output_sha256"))
+    return ledger.recover(rows, outputs, proofs).select(F.col("shard_id").alias("shard"), "status", "recovered")
+
+
+@query(
+    "select doc_id, 'translation_qa:' || doc_id || ':' || unnest(list_filter([case when doc_id % 4 = 0 and length(text) > 0 then 'empty_output' end, case when doc_id % 4 = 1 and lang <> 'fr' and (len(regexp_extract_all(text, '\\p{L}')) >= 8 or len(regexp_extract_all(text, '\\p{L}[\\p{L}\\p{M}\\p{N}''’_-]*')) >= 2) then 'unchanged_nontrivial_output' end, case when doc_id % 4 = 2 and length(text) > 4 * 8 then 'length_ratio_out_of_bounds' end], lambda x: x is not null)) as blocker from documents where doc_id % 4 < 3"
+)
+def translation_reviews(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("shard_id"), F.when(F.col("doc_id") % 4 < 3, "succeeded").otherwise("failed").alias("status"), F.col("text").alias("input_text"), F.col("lang").alias("source_lang"), F.lit(None).cast("string").alias("target_lang"))
+    at = F.col("doc_id") % 4
+    outputs = docs.select(F.col("doc_id").alias("shard_id"), F.when(at == 0, "").when(at == 1, F.col("text")).otherwise("Bonjour!").alias("output"))
+    return review.translation_blockers(rows, outputs, "en", "fr").select(F.col("shard_id").alias("doc_id"), "blocker")
+
+
+@query("select conv_id, case when conv_id % 3 = 0 then 'new' else 'old' end as model, case when conv_id % 3 = 0 and conv_id % 2 = 0 then 7 else n end::bigint as total_tokens from (select conv_id, count(*) as n from conversations group by conv_id)")
+def session_updates(spark, d):
+    s = table(spark, d, "conversations").groupBy("conv_id").agg(F.lit("old").alias("model"), F.count(F.lit(1)).alias("total_tokens"))
+    changes = s.where("conv_id % 3 = 0").select("conv_id", F.lit("new").alias("model"), F.when(F.col("conv_id") % 2 == 0, 7).otherwise(-1).cast("long").alias("total_tokens"))
+    return sessions.update_session(s, changes, "conv_id")
+
+
+@query("select conv_id, count(*) + 1 as messages from conversations group by conv_id")
+def session_messages(spark, d):
+    m = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    known = m.select("conv_id").distinct()
+    new = known.select("conv_id", F.lit(999).cast("long").alias("turn"), F.lit("x").alias("text"))
+    new = new.unionByName(new.withColumn("conv_id", -F.col("conv_id") - 1000))
+    return sessions.add_messages(m.withColumn("turn", F.col("turn").cast("long")), new, known, "conv_id", "conv_id").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query("with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as k from events) select count(*) as reports, bool_or(event_id % 97 = 0) as any_failed from r where k <= 10")
+def retained_reports(spark, d):
+    reports = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 97 != 0).alias("ok"))
+    return review.health(review.retained(reports, "user_id", "event_id"))
+
+
+@query("select doc_id, doc_id % 3 < 2 as cut_off from documents where length(text) > 1")
+def interrupted_proofs(spark, d):
+    t, at = F.col("text"), F.col("doc_id") % 3
+    stored = F.when(at == 0, F.substr(t, F.lit(1), (F.length(t) / 2).cast("int"))).when(at == 1, F.concat(t, F.lit("{"))).otherwise(F.concat(F.lit("\x01"), t))
+    return table(spark, d, "documents").where(F.length("text") > 1).select("doc_id", ledger.interrupted_proof(stored, t).alias("cut_off"))
+
+
+@query("select o_orderstatus, case o_orderstatus when 'F' then 'destructive rm' when 'O' then 'sudo escalation' end as label, count(*) as n, case o_orderstatus when 'P' then 'BLOCKED' else 'DONE' end as status from orders group by o_orderstatus")
+def command_labels(spark, d):
+    s = F.col("o_orderstatus")
+    command = F.when(s == "F", "rm -rf /").when(s == "O", "sudo ls").otherwise("ls")
+    answer = F.when(s == "P", "a\n```status\nstatus: BLOCKED\nsummary: s\n```").otherwise("no block")
+    df = table(spark, d, "orders").select("o_orderstatus", text.command_label(command).alias("label"), text.status_block(answer)["status"].alias("status"))
+    return df.groupBy("o_orderstatus", "label", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select arg_max(o_orderpriority, (n, o_orderpriority)) as fastest, false as ok from (select o_orderpriority, count(*) as n from orders group by o_orderpriority)")
+def fastest_run(spark, d):
+    speeds = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.when(F.bool_and(F.col("o_orderstatus") == "F"), "completed").otherwise("partial").alias("status"))
+    return runs.fastest(speeds, "o_orderpriority", "n")
