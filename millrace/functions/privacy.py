@@ -80,20 +80,21 @@ def high_entropy_runs(text: Column) -> Column:
 def findings(text: Column) -> Column:
     """``category, signal, severity`` of each signal that the text shows, once, in order."""
     item = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), F.lit("warning" if c == "non_sensitive_bulk" else "blocker").alias("severity"))
-    low = F.lower(text)
 
-    def shows(signal: str, pattern: str) -> Column:
+    def shows(signal: str, pattern: str, low: Column) -> Column:
         """A search for fixed words is many times faster than the pattern, and settles most texts."""
+        found = text.rlike(ascii_boundaries(pattern))
+        found = text.rlike(GUARDS[signal]) & found if signal in GUARDS else found
         possible = F.lit(False)
         for needle in NEEDLES.get(signal, ()):
             possible = possible | F.contains(low, F.lit(needle))
-        found = text.rlike(ascii_boundaries(pattern))
-        found = text.rlike(GUARDS[signal]) & found if signal in GUARDS else found
         return possible & found if signal in NEEDLES else found
 
-    hits = [F.when(shows(s, p), item(c, s)) for c, s, p in SIGNALS]
-    hits.append(F.when(F.size(high_entropy_runs(text)) > 0, item(*ENTROPY_SIGNAL)))
-    return F.array_compact(F.array(*hits))
+    def hits(low: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(shows(s, p, low), item(c, s)) for c, s, p in SIGNALS), F.when(F.size(high_entropy_runs(text)) > 0, item(*ENTROPY_SIGNAL))))
+
+    # A one-element array binds the lower-case text, which would be made anew for each word.
+    return F.get(F.transform(F.array(F.lower(text)), hits), F.lit(0))
 
 
 def classify(items: DataFrame, text: Column, *keys: str) -> DataFrame:
