@@ -12,7 +12,8 @@ threshold is taken in part, so a source's words meet its target to the word.
 
 Defined results: a null text has size 0; null is a source of its own, last in order;
 equal rows have equal hashes, and at the threshold share what is left in proportion to
-their sizes, rounded down; a null id is a value like others; no rows give no rows.
+their sizes, rounded down; a null id is a value like others; whole texts count, however
+long; no rows give no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the pieces closed on the way add up. Every single byte must be in the vocabulary
 reading never gets stuck.
 
 Defined results: a null or empty text has no words and no pieces; words are parted by
-U+0020 and U+0009 to U+000D; repeated rows count each for itself.
+U+0020 and U+0009 to U+000D; repeated rows count each for itself; whole texts count, however
+long; a null id is kept; no rows give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

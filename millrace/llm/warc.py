@@ -14,7 +14,8 @@ further check. A record alone in such a member isn't kept: the member's check is
 Defined results: a null html is an empty payload. Of records with equal payloads of at
 least ``min_bytes``, those with the smallest page_id are responses (repeated rows of
 that id as well) and the others revisit it; a null id is a response only where no id of
-its payload is known. A null url gives no target URI.
+its payload is known. A null url gives no target URI. Whole payloads are written, however
+long; no rows give no records; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -84,3 +84,14 @@ def test_a_part_keeps_its_spacing(spark):
     rows = mixing.mixed_documents(df).collect()
     parts = [r for r in rows if r.text != texts[r.source]]
     assert parts and all(texts[r.source].startswith(r.text) and not r.text[-1].isspace() for r in parts)
+
+
+def test_names_that_clash(spark):
+    names = ["row", "of", "hash", "size", "copies", "taken", "copy", "edge", "target", "source_size"]
+    data = [(k, "w " * (k % 9), "abc"[k % 3], *names) for k in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    plain = df.select("doc_id", "text", "source")
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and got.select(*names).distinct().collect() == [tuple(names)]
+    assert sorted(map(tuple, got.select("doc_id", "text", "source").collect())) == sorted(map(tuple, mixing.mixed_documents(plain).collect()))
+    assert sorted(map(tuple, mixing.mix(df).collect())) == sorted(map(tuple, mixing.mix(plain).collect()))
