@@ -64,10 +64,24 @@ def transition(items: DataFrame, to: str, allowed: tuple[str, ...], run_id: str
     return df.withColumn("status", F.when(mine, to).otherwise(F.col("status")))
 
 
-def transition_events(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
-    """``keys, type`` for each row whose status changed: ``item_{status}``."""
+def set_run_status(runs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``runs`` with the status and error that ``changes`` (``run_id, status, error``) give; other runs stay."""
+    new = changes.select("run_id", F.struct("status", "error").alias("__new"))
+    df = runs.join(new, "run_id", "left")
+    changed = F.col("__new").isNotNull()
+    df = df.withColumns({c: F.when(changed, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in ("status", "error")})
+    return df.drop("__new").select(*runs.columns)
+
+
+def interrupted_run_ids(shards: DataFrame) -> DataFrame:
+    """The runs that hold running shards, each once."""
+    return shards.where("status = 'running' and run_id is not null").select("run_id").distinct()
+
+
+def transition_events(before: DataFrame, after: DataFrame, *keys: str, prefix: str = "item_") -> DataFrame:
+    """``keys, type`` for each row whose status changed: ``item_{status}``, or another prefix."""
     b = before.select(*keys, F.col("status").alias("__b"))
-    return after.join(b, list(keys)).where(~F.col("status").eqNullSafe(F.col("__b"))).select(*keys, F.concat(F.lit("item_"), F.col("status")).alias("type"))
+    return after.join(b, list(keys)).where(~F.col("status").eqNullSafe(F.col("__b"))).select(*keys, F.concat(F.lit(prefix), F.col("status")).alias("type"))
 
 
 def chat_messages(messages: DataFrame, calls: str = "tool_calls_json") -> DataFrame:

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIVE_CONCURRENCY, LIVE_COST_USD = 20, 5.0
+MAX_ITEMS = 10_000
 
 
 def expand_items(items: DataFrame, key: str, n: int, round_: int = 1) -> DataFrame:
-    """Items cycled to ``n`` rows with new ids ``{id}-r{round}-i{number}``."""
+    """Items cycled to ``n`` rows with new ids ``{id}-r{round}-i{number}``. A run has at most
+    ``MAX_ITEMS`` items, so that one task may number them; more raise."""
     from pyspark.sql import Window
 
+    if items.limit(MAX_ITEMS + 1).count() > MAX_ITEMS:
+        raise ValueError("run_item_limit_exceeded")
     numbered = items.withColumn("__at", F.row_number().over(Window.orderBy(key)) - 1)
     size = items.count()
     wanted = items.sparkSession.range(n).select(F.col("id").alias("__n"), (F.col("id") % size).alias("__at"))

@@ -103,3 +103,10 @@ def transcript(events: DataFrame, key: str, order: str) -> DataFrame:
     start = state(none, blank, blank, F.lit("running"), F.lit(0).cast("long"))
     df = events.groupBy(key).agg(F.aggregate(items, start, step).alias("__folded"))
     return df.select(key, "__folded.entries", "__folded.status", "__folded.tokens")
+
+
+def turn_problems(events: DataFrame, *keys: str, most_rounds: int = 8, most_calls: int = 32) -> DataFrame:
+    """``keys, blocker`` of agent turns beyond their bounds. ``events``: ``keys, type, round``."""
+    counts = events.groupBy(*keys).agg(F.countDistinct("round").alias("rounds"), F.count_if(F.col("type") == "tool_start").alias("calls"))
+    found = F.array_compact(F.array(F.when(F.col("rounds") > most_rounds, F.concat(F.lit("turn_rounds_exceeded:"), F.col("rounds").cast("string"))), F.when(F.col("calls") > most_calls, F.concat(F.lit("turn_tool_calls_exceeded:"), F.col("calls").cast("string")))))
+    return counts.select(*keys, F.explode(found).alias("blocker"))

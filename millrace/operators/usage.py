@@ -112,3 +112,8 @@ def admit(requests: DataFrame, key: str, ts: str, amount: str, cap: float, hours
             yield batch.assign(decision=decisions, committed=committed)
 
     return rows.repartition(key).sortWithinPartitions(key, ts, amount, "receipt").mapInPandas(fold, schema)
+
+
+def budget_status(budgets: DataFrame, key: str, value: str) -> DataFrame:
+    """The one row of a budget, or none."""
+    return budgets.where(F.col(key) == value)

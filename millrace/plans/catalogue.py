@@ -918,3 +918,21 @@ def command_labels(spark, d):
 def fastest_run(spark, d):
     speeds = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.when(F.bool_and(F.col("o_orderstatus") == "F"), "completed").otherwise("partial").alias("status"))
     return runs.fastest(speeds, "o_orderpriority", "n")
+
+
+@query("with r as (select o_orderkey as run_id, case when o_orderkey % 3 = 0 then 'cancelled' else o_orderstatus end as status, o_orderstatus as before from orders) select run_id, 'run_' || status as type from r where status <> before")
+def run_events(spark, d):
+    before = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("error"))
+    changes = before.where("run_id % 3 = 0").select("run_id", F.lit("cancelled").alias("status"), F.lit("stopped").alias("error"))
+    return review.transition_events(before, review.set_run_status(before, changes), "run_id", prefix="run_")
+
+
+@query(f"select distinct job as run_id from {_SHARDS} where status = 'running'")
+def interrupted_run_ids(spark, d):
+    return review.interrupted_run_ids(ledger_rows(spark, d).withColumnRenamed("job", "run_id"))
+
+
+@query("select user_id, unnest(list_filter([case when days > 8 then 'turn_rounds_exceeded:' || days end, case when calls > 16 then 'turn_tool_calls_exceeded:' || calls end], lambda x: x is not null)) as blocker from (select user_id, count(distinct ts::date) as days, count(*) filter (event_type = 'click') as calls from events group by user_id)")
+def turn_problems(spark, d):
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "click", "tool_start").otherwise("usage").alias("type"), F.to_date("ts").alias("round"))
+    return sessions.turn_problems(e, "user_id", most_calls=16)

@@ -380,3 +380,17 @@ def test_names_paths_and_order(spark):
     assert [r.t for r in review.collated(terms, "t").collect()] == ["a", "e", "é", "f", "Z"]
     old = review.with_columns_of(terms, "t string, reviewer string, reviewed_at string")
     assert old.columns == ["t", "reviewer", "reviewed_at"] and old.where("reviewer is null").count() == 5
+
+
+def test_run_states_and_bounds(spark):
+    before = spark.createDataFrame([("a", "running", None), ("b", "running", "old"), ("c", "queued", None)], "run_id string, status string, error string")
+    changes = spark.createDataFrame([("a", "failed", "boom"), ("b", "completed", None), ("z", "failed", None)], before.schema)
+    after = review.set_run_status(before, changes)
+    assert sorted(rows(after), key=str) == [("a", "failed", "boom"), ("b", "completed", None), ("c", "queued", None)]
+    assert sorted(rows(review.transition_events(before, after, "run_id", prefix="run_"))) == [("a", "run_failed"), ("b", "run_completed")]
+    assert rows(review.interrupted_run_ids(before.unionByName(before)).orderBy("run_id")) == [("a",), ("b",)]
+    assert usage.budget_status(before, "run_id", "c").count() == 1 and usage.budget_status(before, "run_id", "q").count() == 0
+    turns = spark.createDataFrame([("s", "tool_start", k % 9) for k in range(33)] + [("t", "usage", 1)], "s string, type string, round int")
+    assert sorted(rows(sessions.turn_problems(turns, "s"))) == [("s", "turn_rounds_exceeded:9"), ("s", "turn_tool_calls_exceeded:33")]
+    with pytest.raises(ValueError):
+        runs.expand_items(spark.range(10_001), "id", 3)
