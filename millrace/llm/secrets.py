@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT
+from .common import WORD_SPLIT, staged
 
 #: Labelled findings that a forest is fitted on, at most.
 LABELLED = 4000
@@ -183,17 +183,20 @@ def train(labelled: DataFrame, limit: int = LABELLED) -> Forest:
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "labelled") -> DataFrame:
     """``text, is_secret``: snippets written by rule, half of them secrets of usual forms,
     half look-alikes (check sums, identifiers, paths, numbers, placeholders, long names)."""
-    row = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)).withColumn("g", F.sha2(F.concat(F.lit(seed), F.lit("+"), F.col("id").cast("string")), 256))
-    h, g = F.col("h"), F.col("g")
-    number = lambda at, most: F.pmod(F.conv(F.substring(g, at, 6), 16, 10).cast("long"), F.lit(most)).cast("int")
+    hashed = lambda c: F.sha2(F.concat(F.lit(c), F.col("id").cast("string")), 256)
+    plain_base = lambda c, x: F.regexp_replace(F.base64(F.unhex(c)), "[+/=]", x)
+    row = spark.range(n).withColumn("h", hashed(seed)).withColumn("g", hashed(f"{seed}+"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(59)), lambda k: F.conv(F.substr("g", k, F.lit(6)), 16, 10).cast("long"))
+    # Written first: otherwise each use would compute them anew, in more code than can be compiled.
+    row = staged(row.select("id", "h", numbers.alias("n"), plain_base("h", "x").alias("base"), plain_base("g", "y").alias("more")), "labelled")
+    h, base, more = F.col("h"), F.col("base"), F.col("more")
+    number = lambda at, most: F.pmod(F.get("n", F.lit(at - 1)), F.lit(most)).cast("int")
     pick = lambda at, *values: F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), number(at, len(values)) + 1)
-    base = F.regexp_replace(F.base64(F.unhex(h)), "[+/=]", "x")
     words = "the report with of and data from this that page table model into over under after before between river market garden letter".split()
     word = lambda at: pick(at, *words)
     hex40 = pick(1, F.substring(h, 1, 40), F.substring(h, 1, 32), h, F.upper(F.substring(h, 1, 40)))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     digits = F.substring(F.translate(h, "abcdef", "012345"), 1, 18)
-    more = F.regexp_replace(F.base64(F.unhex(g)), "[+/=]", "y")
     key = pick(3, "token", "TOKEN", "secret", "password", "api_key", "access_key", "client_secret", "auth", "pwd", "private_key")
     bare = pick(
         5,
@@ -215,7 +218,9 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "labelled"
         F.substring(base, 1, number(13, 8) + 8),
     )
     short = F.rpad(short, 6, "7k2")
-    value = pick(5, hex40, F.substring(base, 1, 20), F.substring(base, 1, 32), F.substring(base, 1, 40), bare, bare, short, short, short)
+    # Hexadecimal and mixed ones of any length.
+    of_length = lambda c, least, at: F.substring(c, F.lit(1), least + number(at, 41 - least))
+    value = pick(29, hex40, of_length(h, 10, 31), of_length(h, 10, 31), of_length(F.upper(h), 10, 31), of_length(base, 10, 33), of_length(base, 10, 33), bare, bare, short, short, short)
     secret = pick(
         7,
         F.concat(key, F.lit(' = "'), value, F.lit('"')),

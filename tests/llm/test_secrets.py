@@ -105,6 +105,9 @@ def test_keys_without_a_name_are_found_and_words_beside_them_stay(spark, forest)
         4: 'password = "hunter22x" then',
         5: "db_pwd: Garden84! now",
         6: "Authorization: Bearer " + BASE[:24],
+        7: "and pass" + "word=65f08e5e2ed6b028bd it",
+        8: "and pass" + "word=6190852a02e4c4b9a4 it",
+        9: "and tok" + "en: 04dbebab91ab85687d33 it",
     }
     plain = {
         11: "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it",
