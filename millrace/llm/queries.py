@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, ngram_join, packing, piece_counts, quality, secrets, token_archive, warc
+from . import chat, infilling, media, mixing, ngram_join, packing, piece_counts, quality, resampling, secrets, sql, token_archive, warc
 from .common import new_path, read_table, staged
 
 
@@ -69,6 +69,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(infilling.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,8 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing, op11_resampling, op12_infilling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_resampling": sql.OP11, "op12_infilling": sql.OP12}
