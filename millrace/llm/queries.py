@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, infilling, media, mixing, ngram_join, packing, piece_counts, quality, resampling, secrets, sql, token_archive, warc
+from . import chat, decontamination, infilling, media, mixing, ngram_join, packing, piece_counts, quality, resampling, secrets, sql, token_archive, warc
 from .common import new_path, read_table, staged
 
 
@@ -77,6 +77,11 @@ def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(infilling.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,8 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing, op11_resampling, op12_infilling, pipeline)}
+    return {f.__name__: f for f in (op1_token_archive, op2_chat, op3_quality, op4_piece_counts, op5_warc, op6_media, op7_ngram_join, op8_packing, op9_secrets, op10_mixing, op11_resampling, op12_infilling, op13_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_resampling": sql.OP11, "op12_infilling": sql.OP12}
+    return {"op11_resampling": sql.OP11, "op12_infilling": sql.OP12, "op13_decontamination": sql.OP13}

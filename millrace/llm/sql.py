@@ -39,3 +39,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::bigin
        sha256(t) AS restored_sha256
 FROM p
 """
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+     b AS (SELECT item_id::varchar AS item, {_WORDS} AS ws FROM benchmark),
+     tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS q FROM d),
+     phrase AS (SELECT DISTINCT item, ws[i + 1:i + 10] AS win FROM (SELECT item, ws, unnest(range(greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0)),
+     win AS (SELECT win, len(win) AS k, row_number() OVER () AS id FROM (SELECT DISTINCT win FROM phrase)),
+     place AS (SELECT doc_id, id, s, k FROM (SELECT doc_id, s, k, ws[s + 1:s + k] AS win FROM (SELECT doc_id, ws, k, unnest(range(greatest(0, len(ws) - k + 1))) AS s FROM d, (SELECT DISTINCT k FROM win))) JOIN win USING (win, k)),
+     hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS q FROM place) GROUP BY 1),
+     need AS (SELECT id, k, w, count(*) AS times FROM (SELECT id, k, unnest(win) AS w FROM win) GROUP BY ALL),
+     known AS (SELECT id, k, arg_min(w, (n, w)) AS w, count(*) AS n_words FROM need JOIN (SELECT w, count(*) AS n FROM tok GROUP BY 1) USING (w) GROUP BY ALL HAVING sum(times) = k),
+     around AS (SELECT known.id, known.k, known.n_words, tok.doc_id, tok.q AS p, need.w, need.times, other.q FROM known JOIN tok USING (w) JOIN need USING (id) JOIN tok AS other ON other.doc_id = tok.doc_id AND other.w = need.w AND other.q BETWEEN tok.q - known.k - 1 AND tok.q + known.k + 1),
+     enough AS (SELECT a.id, a.doc_id, a.p, a.q, a.n_words, b.w FROM around AS a JOIN around AS b ON a.id = b.id AND a.doc_id = b.doc_id AND a.p = b.p AND b.q >= a.q AND b.q < a.q + a.k + 2 GROUP BY ALL HAVING count(*) >= any_value(b.times)),
+     near AS (SELECT DISTINCT id, doc_id FROM (SELECT id, doc_id, p, q FROM enough GROUP BY ALL HAVING count(*) = any_value(n_words))),
+     items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM place JOIN win USING (id) JOIN phrase USING (win) GROUP BY 1),
+     near_items AS (SELECT doc_id, count(DISTINCT item) AS n_near_items FROM near JOIN win USING (id) JOIN phrase USING (win) GROUP BY 1)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
+"""
