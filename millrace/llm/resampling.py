@@ -26,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import row_numbers
 
-from .common import staged
+from .common import dropped, staged
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: A long text is parted into words in pieces of so many bytes.
 PIECE_BYTES = 1 << 20
 #: Buckets that n-grams are hashed into; their gains are broadcast.
@@ -52,6 +53,15 @@ class _Numbers(dict):
         return n
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte: most of their upper bytes are alike."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def words_of(text: str) -> Iterator[list[bytes]]:
     """Words of a text, piece after piece; no word is cut."""
     data, at = text.encode().lower(), 0  # bytes.lower() changes A-Z only
@@ -66,7 +76,7 @@ def _coded_blocks(target: bool, id_type: pa.DataType):
     """A row for each block: ids and word counts of its documents, their words as numbers, and the words by number."""
 
     def block(name: int, ids: list, lengths: list[int], codes: array, numbers: _Numbers) -> pa.RecordBatch:
-        columns = [pa.array([name], pa.int64()), pa.array([target]), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary()), pa.array([[w.decode() for w in numbers]], pa.list_(pa.string()))]
+        columns = [pa.array([name], pa.int64()), pa.array([target]), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([packed(np.frombuffer(codes, np.int32))], pa.binary()), pa.array([[w.decode() for w in numbers]], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(columns, names=["block", "target", "ids", "lengths", "codes", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +122,11 @@ def _ngrams(codes: np.ndarray, lengths: np.ndarray, n: int) -> Iterator[tuple[np
         yield starts, number, starts[first]
 
 
+def _row(values: pa.Array) -> pa.ListArray:
+    """All values as one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _counted_tuples(n: int):
     """Each block's distinct tuples of ids, how often each occurs, and the number of each n-gram's tuple, document by document."""
 
@@ -119,24 +134,27 @@ def _counted_tuples(n: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 at = {f: batch.column(i)[row] for i, f in enumerate(batch.schema.names)}
-                codes, lengths = np.frombuffer(at["codes"].as_buffer(), np.int32), at["lengths"].values.to_numpy(zero_copy_only=False)
+                codes, lengths = unpacked(at["codes"].as_py()), at["lengths"].values.to_numpy(zero_copy_only=False)
                 global_id = np.zeros(len(at["numbered"]), np.int64)
                 numbered = at["numbered"].values
                 if len(global_id):
                     global_id[numbered.field("place").to_numpy()] = numbered.field("id").to_numpy()
                 of_doc = np.repeat(np.arange(len(lengths)), lengths)
-                docs, numbers, tuples, counts, known = [], [], [], [], 0
+                docs, numbers, tuples, sizes, counts, known = [], [], [], [], [], 0
                 for size, (starts, number, first) in enumerate(_ngrams(codes, lengths, n), 1):
                     docs.append(of_doc[starts])
                     numbers.append(number + known)
-                    tuples += global_id[codes[first[:, None] + np.arange(size)]].tolist()
+                    tuples.append(global_id[codes[first[:, None] + np.arange(size)]].ravel())
+                    sizes.append(np.full(len(first), size))
                     counts.append(np.bincount(number, minlength=len(first)))
                     known += len(first)
                 order = np.argsort(np.concatenate(docs), kind="stable")
                 features = np.bincount(np.concatenate(docs), minlength=len(lengths))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tuples)))
                 columns = [
-                    pa.array([at["block"].as_py()], pa.int64()), pa.array([at["target"].as_py()]), pa.array([at["ids"].as_py()], at["ids"].type), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([features.tolist()], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(numbers)[order].astype(np.int32).tobytes()], pa.binary()), pa.array([tuples], pa.list_(pa.list_(pa.int64()))), pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())),
+                    pa.array([at["block"].as_py()], pa.int64()), pa.array([at["target"].as_py()]), pa.array([at["ids"].as_py()], at["ids"].type), _row(pa.array(lengths)), _row(pa.array(features, pa.int64())),
+                    pa.array([packed(np.concatenate(numbers)[order])], pa.binary()), _row(ids), _row(pa.array(np.concatenate(counts), pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "target", "ids", "n_words", "n_features", "numbers", "tuples", "counts"])
 
@@ -152,7 +170,7 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gains = at["gains"].values
                 gain[gains.field("place").to_numpy()] = gains.field("gain").to_numpy()
             features = at["n_features"].values.to_numpy(zero_copy_only=False)
-            upto = np.concatenate([[0], np.cumsum(gain[np.frombuffer(at["numbers"].as_buffer(), np.int32)])])
+            upto = np.concatenate([[0], np.cumsum(gain[unpacked(at["numbers"].as_py())])])
             ends = np.cumsum(features)
             weights = upto[ends] - upto[ends - features]
             yield pa.RecordBatch.from_arrays([at["ids"].values, at["n_words"].values, at["n_features"].values, pa.array(weights, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
@@ -195,6 +213,8 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     kind = id_type.simpleString()
     counted = staged(known.mapInArrow(_counted_tuples(n), f"block long, target boolean, ids array<{kind}>, n_words array<long>, n_features array<long>, numbers binary, tuples array<array<long>>, counts array<long>"), "counted")
 
+    dropped(blocks)
+
     own = counted.select("block", "target", F.posexplode(F.arrays_zip("tuples", "counts")).alias("place", "x")).select("block", "target", "place", F.col("x.tuples").alias("tuple"), F.col("x.counts").alias("n"))
     sums = own.groupBy("tuple").agg(F.sum(F.when(~F.col("target"), F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("t"))
     hashed = staged(tuple_buckets(sums, words, n, buckets), "hashed")
@@ -204,7 +224,9 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     back = back.groupBy("block").agg(F.collect_list(F.struct("place", "gain")).alias("gains"))
     rest = counted.where(~F.col("target")).select("block", "ids", "n_words", "n_features", "numbers").join(back, "block", "left")
     rest = rest.withColumn("gains", F.coalesce("gains", F.array().cast("array<struct<place:int,gain:bigint>>")))
-    return rest.mapInArrow(_weighed, f"doc_id {kind}, n_words long, n_features long, weight long")
+    weighed = staged(rest.mapInArrow(_weighed, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
+    dropped(counted, words, hashed)
+    return weighed
 
 
 def noise(id_: Column, seed: str) -> Column:
