@@ -36,7 +36,7 @@ from millrace.operators.prefix import row_numbers
 from .common import dropped, staged
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A long text is parted into words in pieces of so many bytes.
 PIECE_BYTES = 1 << 20
 #: Buckets that n-grams are hashed into; their gains are broadcast.
@@ -111,13 +111,16 @@ def coded_blocks(rows: DataFrame, target: bool) -> DataFrame:
 def _ngrams(codes: np.ndarray, lengths: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each size from 1 to ``n``: where its n-grams begin, which number each has among the distinct ones, and
     one place of each distinct one."""
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    starts, number, seen = np.arange(len(codes)), codes.astype(np.int64), int(codes.max(initial=-1)) + 1
-    for size in range(1, n + 1):
-        if size > 1:
-            # a longer n-gram is the one before it and one word more, within the document
-            inside = starts + size <= ends[starts]
-            starts, number = starts[inside], number[inside] * np.int64(seen) + codes[starts[inside] + size - 1]
+    number, seen = codes, int(codes.max(initial=-1)) + 1
+    starts, first = np.arange(len(codes), dtype=np.int32), np.empty(seen, np.int32)
+    first[codes[::-1]] = starts[::-1]  # numbers are dense, and the last assignment is the first place
+    yield starts, codes, first
+    ends = np.repeat(np.cumsum(lengths), lengths) if n > 1 else None
+    for size in range(2, n + 1):
+        # a longer n-gram is the one before it and one word more, within the document
+        inside = starts + size <= ends[starts]
+        starts = starts[inside]
+        number = number[inside].astype(np.int64) * seen + codes[starts + size - 1]
         _, first, number = np.unique(number, return_index=True, return_inverse=True)
         yield starts, number, starts[first]
 
@@ -139,7 +142,7 @@ def _counted_tuples(n: int):
                 numbered = at["numbered"].values
                 if len(global_id):
                     global_id[numbered.field("place").to_numpy()] = numbered.field("id").to_numpy()
-                of_doc = np.repeat(np.arange(len(lengths)), lengths)
+                of_doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
                 docs, numbers, tuples, sizes, counts, known = [], [], [], [], [], 0
                 for size, (starts, number, first) in enumerate(_ngrams(codes, lengths, n), 1):
                     docs.append(of_doc[starts])
@@ -148,13 +151,15 @@ def _counted_tuples(n: int):
                     sizes.append(np.full(len(first), size))
                     counts.append(np.bincount(number, minlength=len(first)))
                     known += len(first)
-                order = np.argsort(np.concatenate(docs), kind="stable")
-                features = np.bincount(np.concatenate(docs), minlength=len(lengths))
+                of_feature, numbers = np.concatenate(docs), np.concatenate(numbers)
+                features = np.bincount(of_feature, minlength=len(lengths))
+                if n > 1:  # document by document again
+                    numbers = numbers[np.argsort(of_feature, kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tuples)))
                 columns = [
                     pa.array([at["block"].as_py()], pa.int64()), pa.array([at["target"].as_py()]), pa.array([at["ids"].as_py()], at["ids"].type), _row(pa.array(lengths)), _row(pa.array(features, pa.int64())),
-                    pa.array([packed(np.concatenate(numbers)[order])], pa.binary()), _row(ids), _row(pa.array(np.concatenate(counts), pa.int64())),
+                    pa.array([packed(numbers)], pa.binary()), _row(ids), _row(pa.array(np.concatenate(counts), pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "target", "ids", "n_words", "n_features", "numbers", "tuples", "counts"])
 
