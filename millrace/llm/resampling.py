@@ -223,6 +223,7 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     own = counted.select("block", "target", F.posexplode(F.arrays_zip("tuples", "counts")).alias("place", "x")).select("block", "target", "place", F.col("x.tuples").alias("tuple"), F.col("x.counts").alias("n"))
     sums = own.groupBy("tuple").agg(F.sum(F.when(~F.col("target"), F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("t"))
     hashed = staged(tuple_buckets(sums, words, n, buckets), "hashed")
+    dropped(words)
     # at most MOST_BUCKETS rows
     by_bucket = F.broadcast(gains(hashed, buckets))
     back = own.where(~F.col("target")).select("block", "place", "tuple").join(hashed.select("tuple", "bucket").join(by_bucket, "bucket"), "tuple")
@@ -230,7 +231,7 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     rest = counted.where(~F.col("target")).select("block", "ids", "n_words", "n_features", "numbers").join(back, "block", "left")
     rest = rest.withColumn("gains", F.coalesce("gains", F.array().cast("array<struct<place:int,gain:bigint>>")))
     weighed = staged(rest.mapInArrow(_weighed, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
-    dropped(counted, words, hashed)
+    dropped(counted, hashed)
     return weighed
 
 
