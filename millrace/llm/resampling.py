@@ -130,6 +130,15 @@ def _row(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _placed(places: pa.ListScalar, values: pa.ListScalar) -> np.ndarray:
+    """Values in the order of their places, which are all numbers from 0 on; null lists are empty."""
+    if not places.is_valid:
+        return np.zeros(0, np.int64)
+    out = np.zeros(len(places), np.int64)
+    out[places.values.to_numpy()] = values.values.to_numpy()
+    return out
+
+
 def _counted_tuples(n: int):
     """Each block's distinct tuples of ids, how often each occurs, and the number of each n-gram's tuple, document by document."""
 
@@ -138,10 +147,7 @@ def _counted_tuples(n: int):
             for row in range(batch.num_rows):
                 at = {f: batch.column(i)[row] for i, f in enumerate(batch.schema.names)}
                 codes, lengths = unpacked(at["codes"].as_py()), at["lengths"].values.to_numpy(zero_copy_only=False)
-                global_id = np.zeros(len(at["numbered"]), np.int64)
-                numbered = at["numbered"].values
-                if len(global_id):
-                    global_id[numbered.field("place").to_numpy()] = numbered.field("id").to_numpy()
+                global_id = _placed(at["places"], at["word_ids"])
                 of_doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
                 docs, numbers, tuples, sizes, counts, known = [], [], [], [], [], 0
                 for size, (starts, number, first) in enumerate(_ngrams(codes, lengths, n), 1):
@@ -170,10 +176,7 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             at = {f: batch.column(i)[row] for i, f in enumerate(batch.schema.names)}
-            gain = np.zeros(len(at["gains"]), np.int64)
-            if len(gain):
-                gains = at["gains"].values
-                gain[gains.field("place").to_numpy()] = gains.field("gain").to_numpy()
+            gain = _placed(at["places"], at["gains"])
             features = at["n_features"].values.to_numpy(zero_copy_only=False)
             upto = np.concatenate([[0], np.cumsum(gain[unpacked(at["numbers"].as_py())])])
             ends = np.cumsum(features)
@@ -212,9 +215,9 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     blocks = staged(coded_blocks(rows, False).unionByName(coded_blocks(aims, True)), "coded")
     words = dictionary(blocks)
     places = blocks.select("block", F.posexplode("words").alias("place", "word")).join(words, "word")
-    numbered = places.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("numbered"))
-    none = F.array().cast("array<struct<place:int,id:bigint>>")
-    known = blocks.drop("words").join(numbered, "block", "left").withColumn("numbered", F.coalesce("numbered", none))
+    # the two lists of a block are in the same order: one aggregation fills them row by row
+    numbered = places.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("word_ids"))
+    known = blocks.drop("words").join(numbered, "block", "left")
     kind = id_type.simpleString()
     counted = staged(known.mapInArrow(_counted_tuples(n), f"block long, target boolean, ids array<{kind}>, n_words array<long>, n_features array<long>, numbers binary, tuples array<array<long>>, counts array<long>"), "counted")
 
@@ -227,9 +230,8 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
     # at most MOST_BUCKETS rows
     by_bucket = F.broadcast(gains(hashed, buckets))
     back = own.where(~F.col("target")).select("block", "place", "tuple").join(hashed.select("tuple", "bucket").join(by_bucket, "bucket"), "tuple")
-    back = back.groupBy("block").agg(F.collect_list(F.struct("place", "gain")).alias("gains"))
+    back = back.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list(F.col("gain").cast("int")).alias("gains"))
     rest = counted.where(~F.col("target")).select("block", "ids", "n_words", "n_features", "numbers").join(back, "block", "left")
-    rest = rest.withColumn("gains", F.coalesce("gains", F.array().cast("array<struct<place:int,gain:bigint>>")))
     weighed = staged(rest.mapInArrow(_weighed, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
     dropped(counted, hashed)
     return weighed
