@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ascii_boundaries
+from .text import all_blanks, ascii_boundaries
 
 # Signal patterns, in the order of their evaluation.
 SIGNALS = (
@@ -83,7 +83,7 @@ def findings(text: Column) -> Column:
 
     def shows(signal: str, pattern: str, low: Column) -> Column:
         """A search for fixed words is many times faster than the pattern, and settles most texts."""
-        found = text.rlike(ascii_boundaries(pattern))
+        found = text.rlike(all_blanks(ascii_boundaries(pattern)))
         found = text.rlike(GUARDS[signal]) & found if signal in GUARDS else found
         possible = F.lit(False)
         for needle in NEEDLES.get(signal, ()):

@@ -19,6 +19,8 @@ from pyspark.sql.types import StringType
 SPACE = r"[\x09-\x0D\x20   -     　﻿]"
 #: The same characters as a string.
 SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: What stands between the brackets of ``SPACE``.
+BLANKS = SPACE[1:-1]
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 WORD = r"\p{L}[\p{L}\p{M}\p{N}'’_-]*"
 
@@ -127,6 +129,21 @@ COMMAND_RULES = (
 _ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+def all_blanks(pattern: str) -> str:
+    """``\\s`` of a pattern as the source format means it, inside brackets too: Unicode spaces among them."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        if pattern[at] == "\\":
+            pair = pattern[at : at + 2]
+            out.append(pair if pair != r"\s" else BLANKS if inside else SPACE)
+            at += 2
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    return "".join(out)
+
+
 def ascii_boundaries(pattern: str) -> str:
     """Boundaries between ASCII word characters and others; before or after a word one side is enough."""
     import re

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+from .prefix import running_totals
+from .review import processor_matches
+
 # States of shards and jobs.
 SHARD_STATES = ("pending", "leased", "running", "succeeded", "failed", "quarantined", "cancelled", "invalidated")
 OPEN_STATES = ("pending", "leased", "running")
@@ -54,9 +57,9 @@ def select_shards(ledger: DataFrame, key: str, position: str, cap: int, max_atte
     spent = (s == "failed") & (F.col("attempts") >= max_attempts)
     can = s.isin(*OPEN_STATES) | (s == "failed") & ~spent & retry_due(s, F.col("next_retry_at"), now)
     df = ledger.withColumn("__can", F.coalesce(can, F.lit(False)))
-    nth = F.sum(F.col("__can").cast("int")).over(Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    df, nth = running_totals(df, [F.col(position)], {"__nth": F.col("__can").cast("int")}, [F.col(key)]), F.col("__nth")
     df = df.withColumn("action", F.when(spent, "quarantine" if same_pass_quarantine else "skip").when(F.col("__can") & (nth <= cap), "run").when(F.col("__can") | (s == "failed"), "wait").otherwise("skip"))
-    return df.drop("__can")
+    return df.drop("__can", "__nth")
 
 
 def batch_prefix(shards: DataFrame, key: str, position: str, size: str, cap_bytes: int, cap_count: int, cap_item: int | None = None) -> DataFrame:
@@ -64,39 +67,88 @@ def batch_prefix(shards: DataFrame, key: str, position: str, size: str, cap_byte
 
     Exact for the first batch: the scan stops at the first shard that would overflow it.
     """
-    w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     fits = F.col(size) <= (cap_bytes if cap_item is None else cap_item)
-    df = shards.withColumn("__bytes", F.sum(F.when(fits, F.col(size)).otherwise(0)).over(w)).withColumn("__count", F.sum(fits.cast("int")).over(w))
+    df = running_totals(shards, [F.col(position)], {"__bytes": F.when(fits, F.col(size)), "__count": fits.cast("int")}, [F.col(key)])
     over = (F.col("__bytes") > cap_bytes) | (F.col("__count") > cap_count)
     return df.withColumn("placed", F.when(over, "left").when(fits, "batch").otherwise("quarantined")).drop("__bytes", "__count")
 
 
+#: Rows of a job that one task looks at together, at least.
+PACK_BLOCK = 10_000
+
+
 def pack_batches(shards: DataFrame, key: str, position: str, size: str, cap_bytes: int, cap_count: int) -> DataFrame:
     """``key, position, size, batch`` for all batches of each job; ``batch`` is null for shards too large for any.
 
-    Where a batch ends depends on where it began: an ordered fold that streams each
-    job's rows, with two numbers of state.
+    Where a batch ends depends on where it began, yet no job is folded in one task. With
+    running sums each shard knows where the next batch would begin if one began at it.
+    Shards lie in blocks of at least ``PACK_BLOCK``; a batch reaches into the next block at
+    most, so what matters of a block is where a batch that enters it leaves it. Those
+    jumps are doubled: 1, 2, 4, ... blocks at once, until each block's entry is known. Each
+    block then follows its own pointers from there.
     """
     types = dict(shards.dtypes)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, begun, number, used, count = None, False, 0, 0, 0
-        for pdf in batches:
-            out = []
-            for k, n in zip(pdf[key], pdf[size], strict=True):
-                if not begun or k != current:
-                    current, begun, number, used, count = k, True, 0, 0, 0
-                if n > cap_bytes:
-                    out.append(None)
-                    continue
-                if count and (used + n > cap_bytes or count >= cap_count):
-                    number, used, count = number + 1, 0, 0
-                used, count = used + n, count + 1
-                out.append(number)
-            yield pdf.assign(batch=pd.array(out, dtype="Int64"))
-
-    rows = shards.select(key, position, size).repartition(key).sortWithinPartitions(key, position)
-    return rows.mapInPandas(fold, f"{key} {types[key]}, {position} {types[position]}, {size} {types[size]}, batch long")
+    rows = shards.select(key, position, size)
+    fits = F.coalesce(F.col(size) <= cap_bytes, F.lit(False))
+    numbered = running_totals(rows.where(fits), [F.col(position)], {"__n": F.lit(1), "__s": F.col(size)}, [F.col(key)])
+    block = max(PACK_BLOCK, 4 * (cap_count + 1))
+    numbered = staged(numbered.withColumn("__block", F.floor(F.col("__n") / block)).withColumn("__p", F.col("__s") - F.col(size)), "pack-numbered")
+
+    # each block with the first shards of the next
+    seen = numbered.select("*", F.explode(F.when((F.col("__n") % block <= cap_count) & (F.col("__block") > 0), F.array("__block", F.col("__block") - 1)).otherwise(F.array("__block"))).alias("__in"))
+    within = Window.partitionBy(key, "__in").orderBy("__p").rangeBetween(0, cap_bytes)
+    last, filled = F.max("__n").over(within), F.max("__s").over(within)
+    after = F.least(F.when(filled <= F.col("__p") + cap_bytes, last + 1).otherwise(last), F.col("__n") + cap_count)
+    pointers = staged(seen.withColumn("__next", after).where("__in = __block").drop("__in"), "pack-pointers")
+
+    entries = pointers.where("__n = 1").select(key, "__n")
+    if (numbered.agg(F.max("__n")).first()[0] or 0) >= block:
+        entries = _entries(pointers, entries, key, types[key], block, cap_count)
+    first = entries.select(F.col(key).alias("__k"), F.floor(F.col("__n") / block).alias("__b"), F.col("__n").alias("__entry"))
+    known = pointers.join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")), "left").drop("__k", "__b")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__n")
+        n, jump = pdf["__n"].to_numpy(), pdf["__next"].to_numpy()
+        batch, at, number = np.full(len(n), -1), pdf["__entry"].iloc[0], -1
+        while at <= n[-1]:
+            number += 1
+            begin = int(at - n[0])
+            batch[begin : int(jump[begin] - n[0])] = number
+            at = jump[begin]
+        return pd.DataFrame({key: pdf[key], position: pdf[position], size: pdf[size], "__block": pdf["__block"], "__local": batch})
+
+    local = staged(known.groupBy(key, "__block").applyInPandas(follow, f"{key} {types[key]}, {position} {types[position]}, {size} {types[size]}, __block long, __local long"), "pack-local")
+    blocks = local.groupBy(key, "__block").agg((F.max("__local") + 1).alias("__begun"))
+    upto = running_totals(blocks, [F.col("__block")], {"__upto": F.col("__begun")}, [F.col(key)]).select(F.col(key).alias("__k"), F.col("__block").alias("__b"), (F.col("__upto") - F.col("__begun")).alias("__before"))
+    packed = local.join(upto, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b"))).select(key, position, size, (F.col("__before") + F.col("__local")).alias("batch"))
+    return packed.unionByName(rows.where(~fits).withColumn("batch", F.lit(None).cast("long")))
+
+
+def _entries(pointers: DataFrame, entries: DataFrame, key: str, key_type: str, block: int, cap_count: int) -> DataFrame:
+    """Where the first batch of each block begins, for all jobs: jumps from block to block, doubled until none lands."""
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__n")
+        n, jump = pdf["__n"].to_numpy(), pdf["__next"].to_numpy()
+        out = jump.copy()
+        for i in range(len(n) - 1, -1, -1):
+            if jump[i] <= n[-1]:
+                out[i] = out[jump[i] - n[0]]
+        entered = (n % block <= cap_count) | (n == 1)
+        return pd.DataFrame({key: pdf[key][entered], "__n": n[entered], "__next": out[entered]})
+
+    jumps = staged(pointers.select(key, "__block", "__n", "__next").groupBy(key, "__block").applyInPandas(leave, f"{key} {key_type}, __n long, __next long"), "pack-jumps")
+    there = jumps.select(F.col(key).alias("__k"), F.col("__n").alias("__at"), F.col("__next").alias("__to"))
+    entries = staged(entries, "pack-entries")
+    while True:
+        landed = entries.join(jumps.select(F.col(key).alias("__k"), F.col("__n").alias("__at"), F.col("__next").alias("__to")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__at"))).select(key, F.col("__to").alias("__n"))
+        landed = staged(landed.join(there, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__at")), "left_semi"), "pack-landed")
+        if landed.isEmpty():
+            return entries
+        entries = staged(entries.union(landed).distinct(), "pack-entries")
+        second = jumps.select(F.col(key).alias("__k"), F.col("__n").alias("__at"), F.col("__next").alias("__to"))
+        jumps = staged(jumps.join(second, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__next") == F.col("__at"))).select(key, "__n", F.col("__to").alias("__next")), "pack-jumps")
 
 
 def fits_one_batch(shards: DataFrame, size: str, cap_bytes: int, cap_count: int, *keys: str) -> DataFrame:
@@ -121,11 +173,22 @@ def foreign_checkpoints(ledger: DataFrame, checkpoints: DataFrame, *keys: str) -
     return checkpoints.join(ledger, list(keys), "left_anti").select(*keys, F.lit("checkpoint_unknown").alias("reason")).unionByName(doubled)
 
 
-def apply_results(shards: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Batch results onto shards: completed commits; a miss or another state fails with its error or a default."""
-    df = shards.join(results.select(key, F.col("status").alias("__r"), F.col("error").alias("__e"), F.col("output").alias("__o")), key, "left")
-    ok = F.coalesce(F.col("__r") == "completed", F.lit(False))
-    return df.withColumn("status", F.when(ok, "succeeded").otherwise("failed")).withColumn("output_text", F.when(ok, F.col("__o"))).withColumn("last_error", F.when(~ok, F.coalesce("__e", F.lit("batch_item_not_completed")))).drop("__r", "__e", "__o")
+def apply_results(shards: DataFrame, results: DataFrame, key: str, now: Column | None = None, max_attempts: int = 3) -> DataFrame:
+    """Batch results onto the shards that the batch holds, which are the running ones.
+
+    Completed items commit. A miss or another state fails with its error or a default, and a
+    time for the next attempt while there are any left. All other shards stay as they are.
+    """
+    r = results.select(key, F.struct("status", "error", "output").alias("__r"))
+    df = shards.join(r, key, "left")
+    mine = F.coalesce(F.col("status") == "running", F.lit(False))
+    ok = mine & F.coalesce(F.col("__r.status") == "completed", F.lit(False))
+    kept = lambda c, kind: F.col(c) if c in shards.columns else F.lit(None).cast(kind)
+    error = F.coalesce("__r.error", F.lit("processor_result_missing_or_failed"))
+    new = {"status": F.when(ok, "succeeded").when(mine, "failed").otherwise(F.col("status")), "output_text": F.when(ok, F.col("__r.output")).when(~mine, kept("output_text", "string")), "last_error": F.when(mine & ~ok, error).when(~mine, kept("last_error", "string"))}
+    if now is not None:
+        new["next_retry_at"] = F.when(mine & ~ok, next_retry(F.col("attempts"), F.lit(max_attempts), now)).when(~mine, kept("next_retry_at", "timestamp"))
+    return df.withColumns(new).drop("__r")
 
 
 def latest_state(events: DataFrame, key: str, ts: str, order: str, state: str) -> DataFrame:
@@ -194,7 +257,8 @@ def fail_unlisted(ledger: DataFrame, manifest: DataFrame, now: Column, max_attem
     there = manifest.select("shard_id").distinct().withColumn("__there", F.lit(True))
     runnable = F.col("status").isin(*OPEN_STATES) | (F.col("status") == "failed") & retry_due(F.col("status"), F.col("next_retry_at"), now)
     df = ledger.join(there, "shard_id", "left").withColumn("__lost", F.col("__there").isNull() & F.coalesce(runnable, F.lit(False)))
-    df = df.withColumn("last_error", F.when(F.col("__lost"), "shard_missing_from_manifest")).withColumn("status", F.when(F.col("__lost"), "failed").otherwise(F.col("status")))
+    before = F.col("last_error") if "last_error" in ledger.columns else F.lit(None).cast("string")
+    df = df.withColumn("last_error", F.when(F.col("__lost"), "shard_missing_from_manifest").otherwise(before)).withColumn("status", F.when(F.col("__lost"), "failed").otherwise(F.col("status")))
     return df.withColumn("next_retry_at", F.when(F.col("__lost"), next_retry(F.col("attempts"), F.lit(max_attempts), now)).otherwise(F.col("next_retry_at"))).drop("__there", "__lost")
 
 
@@ -213,13 +277,58 @@ def checkpoints(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     return after.join(old, list(keys), "left").where(~F.struct(*rest).eqNullSafe(F.col("__old"))).select(*after.columns)
 
 
-def recover(ledger: DataFrame, outputs: DataFrame, proofs: DataFrame) -> DataFrame:
-    """Open shards whose stored output and proof agree become succeeded; ``recovered`` tells which."""
-    out = outputs.select("shard_id", F.sha2("output", 256).alias("__sha"))
-    prf = proofs.select("shard_id", F.col("input_sha256").alias("__in"), F.col("output_sha256").alias("__out"))
-    df = ledger.join(out, "shard_id", "left").join(prf, "shard_id", "left")
-    good = F.coalesce(F.col("status").isin(*OPEN_STATES, "failed") & (F.col("__sha") == F.col("__out")) & (F.col("__in") == F.col("input_sha256")), F.lit(False))
-    return df.withColumn("recovered", good).withColumn("status", F.when(good, "succeeded").otherwise(F.col("status"))).drop("__sha", "__in", "__out")
+#: What a shard that is done no longer has.
+CLEARED = ("last_error", "error", "last_error_type", "next_retry_at", "lease_owner", "lease_expires_at")
+
+
+def recover(ledger: DataFrame, outputs: DataFrame, proofs: DataFrame, manifest: DataFrame, processor: str, engine: str = "auto") -> DataFrame:
+    """Shards that aren't settled and have a stored output and a whole proof of it become succeeded; ``recovered`` tells which.
+
+    ``ledger``: ``job_id, shard_id, source_id, status, ...``; ``outputs``: ``shard_id, output``; ``proofs``:
+    ``shard_id, proof`` (JSON text); ``manifest``: ``shard_id, input_sha256``, the digest that the shard's input
+    has now. A proof that was cut off while it was written is passed over. Any other that
+    contradicts ledger, manifest, processor or output raises when the result is read, as does a
+    second output or proof of a shard: no such shard is skipped in silence.
+    """
+    one = lambda rows, value, name: rows.groupBy("shard_id").agg(F.min(value).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+    # Only the digest of an output travels.
+    out = one(outputs.select("shard_id", F.sha2("output", 256).alias("d")), "d", "__sha")
+    prf = one(proofs, "proof", "__proof")
+    listed = one(manifest, "input_sha256", "__expected").withColumn("__listed", F.lit(True)).drop("__expected_n")
+    df = ledger.join(out, "shard_id", "left").join(prf, "shard_id", "left").join(listed, "shard_id", "left")
+    stored = F.col("__sha_n").isNotNull() & F.col("__proof_n").isNotNull() & F.coalesce(F.col("status").isin(*OPEN_STATES, "failed"), F.lit(False))
+    fields = "schema_version STRING, job_id STRING, shard_id STRING, source_id STRING, input_sha256 STRING, output_sha256 STRING, processor_version STRING, processor_run_id STRING, committed_at STRING, translation_memory_hit BOOLEAN"
+    df = df.withColumn("__p", F.when(stored, F.from_json("__proof", fields + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})))
+    p = lambda f: F.col(f"__p.{f}")
+    whole = p("_bad").isNull() & F.col("__p").isNotNull() & F.coalesce(F.ltrim("__proof").startswith("{"), F.lit(False))
+    quoted = lambda c: F.to_json(F.array(c.cast("string")))
+    begins = F.concat(F.lit('{\n  "schema_version": "' + PROOF_SCHEMA_VERSION + '",\n'), *(x for f in ("job_id", "shard_id", "source_id") for x in (F.lit(f'  "{f}": '), F.substring(quoted(F.col(f)), 2, 1 << 20).substr(F.lit(1), F.length(quoted(F.col(f))) - 2), F.lit(",\n"))))
+    cut = ~whole & interrupted_proof(F.col("__proof"), F.rtrim(begins, F.lit("\n")))
+    digest = lambda c: F.coalesce(c.rlike(r"\A[a-f0-9]{64}\z"), F.lit(False))
+    same = lambda f, c: p(f).eqNullSafe(c.cast("string"))
+    # What is wrong, in the order in which it is looked for.
+    problems = [
+        (F.col("__sha_n") > 1, "output_repeated"),
+        (F.col("__proof_n") > 1, "proof_repeated"),
+        (F.octet_length("__proof") > 1 << 20, "proof_too_large"),
+        (~whole & ~F.coalesce(cut, F.lit(False)), "proof_not_json"),
+        (whole & F.col("__listed").isNull(), "no_manifest_shard"),
+        (whole & ~processor_matches(F.lit(processor), F.lit(engine), p("processor_version"), p("translation_memory_hit")), "processor_mismatch"),
+        (whole & ~(same("schema_version", F.lit(PROOF_SCHEMA_VERSION)) & same("job_id", F.col("job_id")) & same("shard_id", F.col("shard_id")) & same("source_id", F.col("source_id"))), "identity_mismatch"),
+        (whole & (p("input_sha256").isNull() | ~same("input_sha256", F.col("__expected"))), "input_mismatch"),
+        (whole & (~digest(p("output_sha256")) | ~same("output_sha256", F.col("__sha")) | p("committed_at").try_cast("timestamp").isNull()), "output_mismatch"),
+    ]
+    problem = F.coalesce(*(F.when(c, F.lit(n)) for c, n in problems))
+    said = F.concat(F.lit("corpus_shard_proof_invalid:"), problem, F.lit(":"), F.col("shard_id").cast("string"))
+    # The check is a value that the new status depends on, so no plan can leave it out.
+    good = F.when(~stored, F.lit(False)).when(problem.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(whole)
+    df = df.withColumn("recovered", good)
+    taken = {"input_sha256": p("input_sha256"), "output_sha256": p("output_sha256"), "processor_version": p("processor_version"), "processor_run_id": F.coalesce(p("processor_run_id"), F.col("processor_run_id") if "processor_run_id" in ledger.columns else F.lit(None)), "committed_at": p("committed_at"), "finished_at": p("committed_at")}
+    types = dict(ledger.dtypes)
+    new = {"status": F.when(F.col("recovered"), "succeeded").otherwise(F.col("status"))}
+    new |= {c: F.when(F.col("recovered"), v.cast(types.get(c, "string"))).otherwise(F.col(c) if c in types else F.lit(None)) for c, v in taken.items()}
+    new |= {c: F.when(~F.col("recovered"), F.col(c)) for c in CLEARED if c in types}
+    return df.withColumns(new).select(*ledger.columns, *(c for c in taken if c not in ledger.columns), "recovered")
 
 
 def interrupted_proof(content: Column, expected: Column) -> Column:

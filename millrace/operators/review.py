@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signatures import signed_by
+from ..functions.text import trim
 from .translation import quality
 
 REDACTED = "[redacted]"
@@ -104,14 +106,16 @@ def health(reports: DataFrame) -> DataFrame:
     return reports.agg(F.coalesce(F.bool_or(~F.col("ok")), F.lit(False)).alias("any_failed"), F.count(F.lit(1)).alias("reports"))
 
 
-def receipt_blockers(receipt: Column, job: Column, project: Column, payload_sha256: Column, now: Column, key_configured: bool = True) -> Column:
+def receipt_blockers(receipt: Column, job: Column, project: Column, payload_sha256: Column, now: Column, key_configured: bool = True, well_formed: Column | None = None, signed: Column | None = None) -> Column:
     """Blockers of a review receipt: struct ``status, issuer, job_id, project, review_payload_sha256, issued_at,
-    expires_at`` or null. Its signature isn't verified here: no cryptography library is at hand."""
+    expires_at`` or null. ``well_formed`` and ``signed`` are what ``signed_receipt_blockers`` finds out."""
     r = lambda f: receipt.getField(f)
     differs = lambda f, want: receipt.isNotNull() & ~r(f).eqNullSafe(want)
     unapproved = differs("status", F.lit("approved")) | differs("issuer", F.lit("owner"))
+    whole = receipt.isNotNull() if well_formed is None else well_formed
     window = F.coalesce(r("expires_at") > r("issued_at"), F.lit(False))
     late = F.timestamp_micros(F.unix_micros(now) + 5 * 60 * 1_000_000)
+    # Names of blockers, in their order.
     name = lambda test, code: F.when(test, F.lit(f"translation_review_receipt_{code}"))
     return F.array_compact(
         F.array(
@@ -120,14 +124,43 @@ def receipt_blockers(receipt: Column, job: Column, project: Column, payload_sha2
             name(differs("job_id", job), "job_mismatch"),
             name(differs("project", project), "project_mismatch"),
             name(differs("review_payload_sha256", payload_sha256), "payload_digest_mismatch"),
-            name(receipt.isNull(), "invalid"),
-            name(receipt.isNotNull() & ~unapproved & ~window, "time_window_invalid"),
-            name(~unapproved & window & (r("issued_at") > late), "not_yet_valid"),
-            name(~unapproved & window & (r("expires_at") <= now), "expired"),
+            name(~whole & ~unapproved, "invalid"),
+            name(whole & ~unapproved & ~window, "time_window_invalid"),
+            name(whole & ~unapproved & window & (r("issued_at") > late), "not_yet_valid"),
+            name(whole & ~unapproved & window & (r("expires_at") <= now), "expired"),
+            name(F.lit(False) if signed is None else whole & ~unapproved & ~signed, "signature_invalid"),
         )
     )
 
 
+REVIEW_RECEIPT = "schema_version STRING, receipt_id STRING, status STRING, issuer STRING, reviewer STRING, issued_at STRING, expires_at STRING, nonce STRING, job_id STRING, project STRING, review_payload_sha256 STRING, signature_base64 STRING"
+# What the fields of a review receipt must be like.
+RECEIPT_FIELDS = {
+    "receipt_id": r"\A[A-Za-z0-9_.:-]{8,200}\z", "status": r"\Aapproved\z", "issuer": r"\Aowner\z", "reviewer": r"(?s)\A.{1,200}\z", "nonce": r"\A[A-Za-z0-9_-]{16,200}\z", "job_id": r"(?s)\A.{1,200}\z", "project": r"(?s)\A.{1,200}\z",
+    "review_payload_sha256": r"\A[a-f0-9]{64}\z", "signature_base64": r"(?s)\A.{1,1000}\z", "issued_at": r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z", "expires_at": r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z",
+}
+
+
+def signed_receipt_blockers(receipt_json: Column, job: Column, project: Column, payload_sha256: Column, now: Column, public_key: str | None, schema_version: str = "millrace.review-receipt.v1") -> Column:
+    """Blockers of a review receipt as JSON text: its fields, and no others, must be there and be
+    well formed, and its signature must be the owner's (PEM)."""
+    keyed = bool((public_key or "").strip())
+    receipt = F.from_json(receipt_json, REVIEW_RECEIPT)
+    receipt = F.when(F.json_object_keys(receipt_json).isNotNull(), receipt)
+    fields = [f.split()[0] for f in REVIEW_RECEIPT.split(", ")]
+    same = F.array_sort(F.json_object_keys(receipt_json)) == F.array_sort(F.array(*map(F.lit, fields)))
+    well = same & (receipt["schema_version"] == schema_version)
+    for f, pattern in RECEIPT_FIELDS.items():
+        well = well & receipt[f].rlike(pattern)
+    for f in ("reviewer", "job_id", "project"):
+        well = well & (trim(receipt[f]) != "")
+    timed = F.when(receipt.isNotNull(), receipt.withField("issued_at", receipt["issued_at"].try_cast("timestamp")).withField("expires_at", receipt["expires_at"].try_cast("timestamp")))
+    signed = F.coalesce(signed_by(receipt_json, public_key), F.lit(False)) if keyed else F.lit(True)
+    # A one-element array binds the parsed receipt and the verdict on its signature.
+    bound = F.array(F.struct(timed.alias("r"), F.coalesce(well, F.lit(False)).alias("well"), signed.alias("signed")))
+    return F.get(F.transform(bound, lambda x: receipt_blockers(x["r"], job, project, payload_sha256, now, keyed, x["well"], x["signed"])), F.lit(0))
+
+
 def processor_matches(processor: Column, engine: Column, version: Column, memory_hit: Column) -> Column:
     """Whether a proof's processor version is one that the manifest's processor gives."""
     ocr = F.regexp_extract(version, r"\A(?:local_ocr)\.(macos_vision|focr|tesseract)\.v1\z", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signatures import signed_by
+
 LIVE_CONCURRENCY, LIVE_COST_USD = 20, 5.0
 MAX_ITEMS = 10_000
 
@@ -89,9 +91,16 @@ def closest(words: DataFrame, word: str, commands: list[str]) -> DataFrame:
     return df.withColumn("distance", F.col("__near.distance").cast("long")).withColumn("closest", F.when(enough, F.col("__near.command"))).drop("__near")
 
 
-def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: bool = False) -> DataFrame:
+RECEIPT = "receipt_id STRING, status STRING, issuer STRING, provider STRING, model STRING, egress_class STRING, payload_sha256 STRING, issued_at TIMESTAMP, expires_at TIMESTAMP, max_items INT, max_concurrency INT, max_cost_usd DOUBLE, daily_cost_cap_usd DOUBLE, signature_base64 STRING"
+
+
+def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: bool = False, receipt_json: str | None = None, public_key: str | None = None, provider: str | None = None) -> DataFrame:
     """Adds ``blockers``, ``warnings`` and ``ok`` to runs.
 
+    ``receipt_json`` names the column of signed receipts as JSON text (``RECEIPT``); then ``receipt`` is read
+    from it, and the signature is verified with the owner's ``public_key`` (PEM). Without it, ``receipt`` is a
+    struct whose signature was verified before.
+
     Columns: transport (fake, dry-run, live), egress_class, recommended_class,
     canonical_writes, external_side_effects, failure_injection, max_tokens, concurrency,
     cost_cap_usd, reserved_usd, response_format, receipt (struct or null), payload_sha256,
@@ -100,6 +109,12 @@ def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: boo
     live = F.col("transport") == "live"
     r = lambda f: F.col(f"receipt.{f}")
     has = F.col("receipt").isNotNull()
+    keyed, forged = bool((public_key or "").strip()), F.lit(False)
+    if receipt_json is not None:
+        run = run.withColumn("receipt", F.from_json(receipt_json, RECEIPT))
+        if keyed:
+            run = run.withColumn("__signed", signed_by(F.when(live, F.col(receipt_json)), public_key))
+            forged = ~F.coalesce("__signed", F.lit(False))
     private, advised = F.col("egress_class") != "non_sensitive_bulk", F.col("recommended_class") != "non_sensitive_bulk"
     window = r("expires_at") > r("issued_at")
     late = F.timestamp_micros(F.unix_micros(now) + 5 * 60 * 1_000_000)
@@ -112,17 +127,20 @@ def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: boo
         (live & advised, "privacy_classifier_blocks_live"),
         (live & ~F.lit(allow_live), "live_call_not_enabled_by_caller"),
         (live & ~has, "signed_approval_receipt_required_for_live"),
-        (live & has & ((r("status") != "approved") | (r("issuer") != "owner")), "approval_receipt_not_owner_approved"),
+        (live & has & F.lit(receipt_json is not None and not keyed), "approval_receipt_public_key_not_configured"),
+        (live & has & ~(r("status").eqNullSafe(F.lit("approved")) & r("issuer").eqNullSafe(F.lit("owner"))), "approval_receipt_not_owner_approved"),
         (live & has & ~F.coalesce(window, F.lit(False)), "approval_receipt_time_window_invalid"),
         (live & has & window & (r("issued_at") > late), "approval_receipt_not_yet_valid"),
         (live & has & window & (r("expires_at") <= now), "approval_receipt_expired"),
-        (live & has & (r("model") != F.col("model")), "approval_receipt_model_mismatch"),
-        (live & has & ((r("egress_class") != F.col("egress_class")) | private), "approval_receipt_egress_mismatch"),
-        (live & has & (r("payload_sha256") != F.col("payload_sha256")), "approval_receipt_payload_digest_mismatch"),
+        (live & has & (F.lit(False) if provider is None else ~r("provider").eqNullSafe(F.lit(provider))), "approval_receipt_provider_mismatch"),
+        (live & has & ~r("model").eqNullSafe(F.col("model")), "approval_receipt_model_mismatch"),
+        (live & has & (~r("egress_class").eqNullSafe(F.col("egress_class")) | private), "approval_receipt_egress_mismatch"),
+        (live & has & ~r("payload_sha256").eqNullSafe(F.col("payload_sha256")), "approval_receipt_payload_digest_mismatch"),
         (live & has & (F.col("item_count") > r("max_items")), "approval_receipt_item_cap_exceeded"),
         (live & has & (F.col("concurrency") > r("max_concurrency")), "approval_receipt_concurrency_cap_exceeded"),
         (live & has & (F.col("cost_cap_usd") > r("max_cost_usd")), "approval_receipt_run_cost_cap_exceeded"),
         (live & has & (r("max_cost_usd") > r("daily_cost_cap_usd")), "approval_receipt_daily_cost_cap_invalid"),
+        (live & has & forged, "approval_receipt_signature_invalid"),
         (live & F.col("max_tokens").isNull(), "max_tokens_required_for_live"),
         (live & has & (F.col("reserved_usd") > F.col("cost_cap_usd")), "worst_case_reservation_exceeds_manifest_cost_cap"),
         (live & has & (F.col("reserved_usd") > r("max_cost_usd")), "worst_case_reservation_exceeds_receipt_cost_cap"),
@@ -138,7 +156,7 @@ def plan(run: DataFrame, now: Column, allow_live: bool = False, key_present: boo
         (F.col("response_format") == "json_object", F.lit("json_output_requires_prompt_instruction_to_return_json")),
     ]
     df = run.withColumn("blockers", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))).withColumn("warnings", F.array_compact(F.array(*(F.when(c, n) for c, n in notes))))
-    return df.withColumn("ok", F.size("blockers") == 0)
+    return df.withColumn("ok", F.size("blockers") == 0).drop("__signed")
 
 
 def workload_items(prompts: DataFrame, workload: str, n: int | None = None) -> DataFrame:

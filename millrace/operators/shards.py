@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, language_tag, trim
+from ..functions.text import SPACE, all_blanks, collapse, language_tag, trim
+from .prefix import running_totals
 
 MAX_SHARDS, MAX_CHARS, MAX_SOURCE_BYTES = 10_000, 128 << 20, 64 << 20
 
@@ -46,9 +47,8 @@ def text_shards(docs: DataFrame, path: Column, text: str = "text", chunk: int =
 
 def row_shards(rows: DataFrame, source: str, order: list[str], record: Column, size: int) -> DataFrame:
     """Ranges of ``size`` records of each source with row and byte bounds; a record ends in a line feed."""
-    w = Window.partitionBy(source).orderBy(*order)
-    df = rows.withColumn("row", F.row_number().over(w)).withColumn("bytes", (F.octet_length(record) + 1).cast("long"))
-    df = df.withColumn("byte_end", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = rows.withColumn("bytes", (F.octet_length(record) + 1).cast("long"))
+    df = running_totals(sized.select(source, *order, "bytes"), [F.col(c) for c in order], {"row": F.lit(1), "byte_end": F.col("bytes")}, [F.col(source)])
     df = df.withColumn("chunk_index", F.floor((F.col("row") - 1) / size).cast("long"))
     out = df.groupBy(source, "chunk_index").agg(F.min("row").cast("long").alias("row_start"), F.max("row").cast("long").alias("row_end"), F.count(F.lit(1)).alias("row_count"), F.min(F.col("byte_end") - F.col("bytes")).alias("byte_start"), F.max("byte_end").alias("byte_end"))
     return out.withColumn("shard_id", F.format_string("%s:rows:%08d-%08d", F.col(source).cast("string"), "row_start", "row_end"))
@@ -59,17 +59,18 @@ MARKED = r"\A#{1,6}\s+(.+)\z"
 NAMED = (r"(?i)\A(?:chapter|ch\.?)(?:\s|\z)", r"(?i)\Apart\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)")
 NUMBERED = r"(?i)\A(?:[0-9]{1,4}|[ivxlcdm]{1,12})[.)\-:–—]\s+\S+"
 MAX_HEADING = 2000
-#: A line that may be a heading, anywhere in a text.
-_MAY_HEAD = r"(?i)(?:\A|\n)[^\nA-Za-z0-9#]*(?:#|chapter|ch[.\s]|ch\z|part\s)"
+#: A line that may be a heading, anywhere in a text: each line that has a label begins so once it is trimmed.
+_MAY_HEAD = rf"(?i)(?:\A|\n){SPACE}*(?:#|chapter|ch\.|ch{SPACE}|ch\z|part{SPACE})"
 
 
 def heading_label(line: Column) -> Column:
     """The chapter label that a line states, else null."""
     line = trim(line)
-    marked = line.rlike(MARKED)
-    label = collapse(F.when(marked, F.regexp_extract(line, MARKED, 1)).otherwise(line))
-    named = label.rlike(NAMED[0]) | label.rlike(NAMED[1])
-    return F.when((F.length(line) <= MAX_HEADING) & (named | marked & label.rlike(NUMBERED)), label)
+    mark, chapter, part, numbered = map(all_blanks, (MARKED, *NAMED, NUMBERED))
+    marked = line.rlike(mark)
+    label = collapse(F.when(marked, F.regexp_extract(line, mark, 1)).otherwise(line))
+    named = label.rlike(chapter) | label.rlike(part)
+    return F.when((F.length(line) <= MAX_HEADING) & (named | marked & label.rlike(numbered)), label)
 
 
 def chapter_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

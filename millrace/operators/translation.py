@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, SPACES, comparable, contains_term, languages_differ, memory_source, nontrivial, trim, word_count
+from ..functions.terms import terms_in, terms_kept
+from ..functions.text import SPACE, SPACES, comparable, languages_differ, memory_source, nontrivial, trim, word_count
 
 # Placeholder patterns.
 PLACEHOLDERS = (r"\{\{[^{}\r\n]+\}\}", r"\$\{[^{}\r\n]+\}", r"\[\[[^\]\r\n]+\]\]", r"(?<!\{)\{[A-Za-z][A-Za-z0-9_.:-]*\}(?!\})", r"%[A-Za-z][A-Za-z0-9_.:-]*%", r"%(?:\d+\$)?[+#-]?(?:\d+)?(?:\.\d+)?[sdif](?![A-Za-z0-9_])")
@@ -41,46 +42,73 @@ def glossary_valid(glossary_json: Column) -> Column:
     return F.coalesce((F.size(terms) <= MAX_TERMS) & filled, F.lit(False))
 
 
-def missing_terms(source: Column, output: Column, glossary: list[tuple[str, str]]) -> Column:
-    """Target terms that the source calls for (in any case) and the output lacks (in that case)."""
-    hits = [F.when(contains_term(source, F.lit(s)) & ~F.contains(output, F.lit(t)), F.lit(t)) for s, t in glossary]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-
-
 def same_text(a: Column, b: Column) -> Column:
     """Equal but for case and white space. The first character settles most pairs."""
     first = lambda c: F.lower(F.substring(F.ltrim(c, F.lit(SPACES)), 1, 1))
     return (first(a) == first(b)) & (comparable(a) == comparable(b))
 
 
-def quality(source: Column, output: Column, source_lang: Column, target_lang: Column, glossary: list[tuple[str, str]] = (), low: float = 0.25, high: float = 4.0) -> Column:
-    """``blockers`` in fixed order, and the metrics behind them."""
-    ratio = F.length(output) / F.nullif(F.length(source), F.lit(0))
-    empty = trim(output) == ""
-    lost, terms = lost_placeholders(source, output), missing_terms(source, output, list(glossary))
-    blockers = F.array_compact(
-        F.array(
-            F.when(empty, F.lit("empty_output")),
-            F.when(languages_differ(source_lang, target_lang) & same_text(source, output) & nontrivial(source), F.lit("unchanged_nontrivial_output")),
-            F.when(F.size(lost) > 0, F.lit("placeholders_lost")),
-            F.when(F.size(terms) > 0, F.lit("glossary_terms_missing")),
-            F.when((F.length(source) >= 8) & ~empty & ~ratio.between(low, high), F.lit("length_ratio_out_of_bounds")),
+def quality(source: Column, output: Column, source_lang: Column, target_lang: Column, glossary=(), low: float = 0.25, high: float = 4.0) -> Column:
+    """``blockers`` in fixed order, and the metrics behind them. Null texts are empty ones.
+
+    Lengths, words and sameness are those of the trimmed texts; placeholders and terms are
+    sought in whole texts. ``glossary`` is whatever ``glossary_terms`` takes; what it refuses is
+    the blocker ``invalid_glossary``, and then no term is required.
+    """
+    if low > high:
+        raise ValueError("invalid_translation_ratio_bounds")
+    try:
+        pairs, invalid = glossary_terms(glossary), False
+    except ValueError:
+        pairs, invalid = [], True
+    source, output = F.coalesce(source, F.lit("")), F.coalesce(output, F.lit(""))
+
+    def told(x: Column) -> Column:
+        s, o, terms = x["s"], x["o"], x["terms"]
+        n_s, n_o = F.length(s).cast("long"), F.length(o).cast("long")
+        ratio, checked, empty = n_o / F.nullif(n_s, F.lit(0)), n_s >= 8, o == ""
+        differ, heavy, same = languages_differ(source_lang, target_lang), nontrivial(s), same_text(s, o)
+        lost = lost_placeholders(source, output)
+        missing = F.transform(terms["missing"], lambda t: t["target"])
+        blockers = F.array_compact(
+            F.array(
+                F.when(empty, F.lit("empty_output")),
+                F.when(differ & same & heavy, F.lit("unchanged_nontrivial_output")),
+                F.when(F.size(lost) > 0, F.lit("placeholders_lost")),
+                F.lit("invalid_glossary") if invalid else F.when(F.size(missing) > 0, F.lit("glossary_terms_missing")),
+                F.when(checked & ~empty & ~ratio.between(low, high), F.lit("length_ratio_out_of_bounds")),
+            )
         )
-    )
-    return F.struct(blockers.alias("blockers"), lost.alias("lost_placeholders"), terms.alias("missing_terms"), F.length(source).cast("long").alias("source_chars"), F.length(output).cast("long").alias("output_chars"), word_count(source).alias("source_words"), word_count(output).alias("output_words"), F.round(ratio, 6).alias("length_ratio"))
+        return F.struct(
+            blockers.alias("blockers"), lost.alias("lost_placeholders"), placeholder_counts(source, output).alias("placeholder_counts"), missing.alias("missing_terms"), F.transform(terms["required"], lambda t: t["target"]).alias("required_terms"), F.lit(invalid).alias("glossary_invalid"),
+            n_s.alias("source_chars"), n_o.alias("output_chars"), word_count(s).alias("source_words"), word_count(o).alias("output_words"), F.round(ratio, 6).alias("length_ratio"), checked.alias("length_ratio_checked"), differ.alias("languages_differ"), heavy.alias("source_nontrivial"), same.alias("unchanged"),
+        )
+
+    # A one-element array binds what several fields use.
+    bound = F.array(F.struct(trim(source).alias("s"), trim(output).alias("o"), terms_kept(source, output, pairs).alias("terms")))
+    return F.get(F.transform(bound, told), F.lit(0))
+
+
+def placeholder_counts(source: Column, output: Column) -> Column:
+    """``token, required, present`` of each placeholder of the source, in order."""
+    a, b = placeholders(source), placeholders(output)
+    n = lambda arr, x: F.size(F.filter(arr, lambda y: y == x)).cast("long")
+    return F.transform(F.array_sort(F.array_distinct(a)), lambda x: F.struct(x.alias("token"), n(a, x).alias("required"), n(b, x).alias("present")))
 
 
 def glossary_terms(value) -> list[tuple[str, str]]:
     """Pairs from a map, pairs, objects with aliases, JSON text, or a wrapper ``terms`` / ``entries``; distinct and sorted."""
     if isinstance(value, str):
-        value = json.loads(value)
+        value = json.loads(value) if value.strip() else []
+    if value is not None and not isinstance(value, dict | list | tuple | set):
+        raise ValueError("invalid_glossary")
     if isinstance(value, dict) and isinstance(value.get("terms") or value.get("entries"), list | dict):
         value = value.get("terms") or value.get("entries")
     pairs: Iterable = value.items() if isinstance(value, dict) else value or []
     sources, targets = ("source", "source_term", "sourceTerm", "from", "term"), ("target", "target_term", "targetTerm", "to", "translation")
     out = set()
     for p in pairs:
-        s, t = (next((p[k] for k in names if isinstance(p.get(k), str)), None) for names in (sources, targets)) if isinstance(p, dict) else p
+        s, t = (next((p[k] for k in names if isinstance(p.get(k), str)), None) for names in (sources, targets)) if isinstance(p, dict) else p if isinstance(p, list | tuple) and len(p) == 2 else (None, None)
         if not isinstance(s, str) or not isinstance(t, str) or not s.strip() or not t.strip():
             raise ValueError("invalid_glossary")
         out.add((s.strip(), t.strip()))
@@ -95,10 +123,13 @@ def glossary_table(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFra
 
 
 def required_terms(texts: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
-    """Rows of ``texts`` with each glossary term that they hold. The glossary is sent to all executors, after a check of its size."""
-    if glossary.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+    """Rows of ``texts`` with each glossary term that they hold. One automaton of all terms, at most
+    10,000, reads each text once; a text's rows come from its own row, so nothing is joined."""
+    terms = [(r.source_term, r.target_term) for r in glossary.select("source_term", "target_term").limit(MAX_TERMS + 1).collect()]
+    if len(terms) > MAX_TERMS:
         raise ValueError("glossary_too_large")
-    return texts.join(F.broadcast(glossary), contains_term(F.col(text), F.col("source_term")))
+    found = texts.withColumn("__found", terms_in(F.col(text), terms)).select("*", F.explode("__found").alias("__t"))
+    return found.select(*texts.columns, F.col("__t.source").alias("source_term"), F.col("__t.target").alias("target_term"))
 
 
 def reviewed(prefix: str = "") -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_length
+from .prefix import running_totals
 
 # USD for a million tokens (cache hit, cache miss, output).
 CHAT_RATES = {"flash": (0.0028, 0.14, 0.28), "pro": (0.003625, 0.435, 0.87)}
@@ -64,10 +65,22 @@ def cost_ledger(items: DataFrame, prompt: str, completion: str, cost: str, *keys
     )
 
 
+#: Amounts are added as whole hundred-millionths, so that no order of adding changes a sum.
+UNITS = 100_000_000
+
+
 def rolling_spend(events: DataFrame, key: str, ts: str, amount: Column, hours: int = 24) -> DataFrame:
-    """``spend`` of the ``hours`` up to and with each event, by key."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-hours * 3_600_000_000, 0)
-    return events.withColumn("spend", F.sum(amount).over(w))
+    """``spend`` of the ``hours`` up to and with each event, by key; an event without a time has none.
+
+    An amount enters the sum at its time and leaves it again after ``hours``, so the sum of all
+    entries and exits so far is what the window holds; a busy key may lie in many tasks.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    sums = events.select(F.col(key).alias("__k"), at.alias("__at"), F.round(amount * UNITS).cast("long").alias("__x")).where("__at is not null").groupBy("__k", "__at").agg(F.coalesce(F.sum("__x"), F.lit(0)).alias("__x"))
+    moves = sums.select("__k", F.explode(F.array(F.struct(F.col("__at").alias("__t"), F.lit(True).alias("__in"), F.col("__x")), F.struct((F.col("__at") + (hours * 3_600_000_000 + 1)).alias("__t"), F.lit(False).alias("__in"), (-F.col("__x")).alias("__x")))).alias("m")).select("__k", "m.*")
+    spent = running_totals(moves, [F.col("__t"), F.col("__in")], {"__spend": F.col("__x")}, [F.col("__k")]).where("__in")
+    df = events.withColumn("__at", at).join(spent.select("__k", "__t", "__spend"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__at") == F.col("__t")), "left")
+    return df.select(*events.columns, (F.col("__spend") / UNITS).alias("spend"))
 
 
 def settle(reserved: Column, charged: Column) -> Column:

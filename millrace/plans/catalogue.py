@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import privacy, text
+from ..functions import privacy, signatures, text
 from ..operators import ledger, review, runs, sessions, shards, translation, usage, validate
 from ..sources import files
 from ..streaming import deltas
@@ -94,11 +95,12 @@ def reconcile_by_source(spark, d):
 
 
 _SP = text.SPACE
+_NSP = f"[^{text.BLANKS}]"
 _CHAPTERS = f"""with l as (select doc_id, length(text) as n, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where length(text) > 0),
     o as (select *, coalesce(sum(length(raw) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start, regexp_replace(raw, '^{_SP}+|{_SP}+$', '', 'g') as line from l),
-    m as (select *, regexp_matches(line, '^#{{1,6}}\\s+.+$') as marked from o),
-    b as (select *, regexp_replace(regexp_replace(case when marked then regexp_extract(line, '^#{{1,6}}\\s+(.+)$', 1) else line end, '{_SP}+', ' ', 'g'), '^ | $', '', 'g') as label from m),
-    h as (select doc_id, n, start, label from b where length(line) between 1 and 2000 and (regexp_matches(label, '(?i)^(?:chapter|ch\\.?)(?:\\s|$)') or regexp_matches(label, '(?i)^part\\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)') or marked and regexp_matches(label, '(?i)^(?:[0-9]{{1,4}}|[ivxlcdm]{{1,12}})[.)\\-:–—]\\s+\\S+'))),
+    m as (select *, regexp_matches(line, '^#{{1,6}}{_SP}+.+$') as marked from o),
+    b as (select *, regexp_replace(regexp_replace(case when marked then regexp_extract(line, '^#{{1,6}}{_SP}+(.+)$', 1) else line end, '{_SP}+', ' ', 'g'), '^ | $', '', 'g') as label from m),
+    h as (select doc_id, n, start, label from b where length(line) between 1 and 2000 and (regexp_matches(label, '(?i)^(?:chapter|ch\\.?)(?:{_SP}|$)') or regexp_matches(label, '(?i)^part{_SP}+(?:[0-9]+|[ivxlcdm]+|[a-z]+)') or marked and regexp_matches(label, '(?i)^(?:[0-9]{{1,4}}|[ivxlcdm]{{1,12}})[.)\\-:–—]{_SP}+{_NSP}+'))),
     w as (select doc_id, max(n) as n, min(start) filter (line <> '') as written from b group by doc_id),
     t as (select doc_id, min(start) as top from h group by doc_id),
     s as (select doc_id, label as chapter, row_number() over (partition by doc_id order by start) as chapter_index, start as chapter_start, lead(start, 1, n::bigint) over (partition by doc_id order by start) as chapter_end from h
@@ -111,6 +113,20 @@ def chapter_segments(spark, d):
     return shards.chapter_segments(table(spark, d, "documents"), "doc_id")
 
 
+def blank_headings(spark, d) -> DataFrame:
+    """Each line feed of a text is followed by a heading with blanks beyond ASCII, of one kind or another."""
+    head = F.element_at(F.array(F.lit("\nPart\u00a0II of\u2003all\n"), F.lit("\n\u00a0##\u3000Chapter\u00a01\n"), F.lit("\nch\u00a0x\n"), F.lit("\n#\u00a03.\u2009Three\n")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), head).alias("text"))
+
+
+_BLANK_HEADINGS = "(select doc_id, replace(text, chr(10), chr(10) || (['Part' || chr(160) || 'II of' || chr(8195) || 'all', chr(160) || '##' || chr(12288) || 'Chapter' || chr(160) || '1', 'ch' || chr(160) || 'x', '#' || chr(160) || '3.' || chr(8201) || 'Three'])[doc_id % 4 + 1] || chr(10)) as text from documents)"
+
+
+@query(_CHAPTERS.replace("from documents", f"from {_BLANK_HEADINGS}") + " select doc_id, chapter, chapter_index::bigint as chapter_index, chapter_start, chapter_end from s")
+def chapter_blanks(spark, d):
+    return shards.chapter_segments(blank_headings(spark, d), "doc_id")
+
+
 @query(
     _CHAPTERS + """, x as (select *, unnest(range(0, greatest(0, ceil((chapter_end - chapter_start - 8000) / 7200.0::double))::bigint + 1)) as j from s),
     y as (select *, chapter_start + j * 7200 as start_char, least(chapter_end, chapter_start + j * 7200 + 8000) as end_char, row_number() over (partition by doc_id order by chapter_index, j) - 1 as chunk_index from x)
@@ -145,7 +161,7 @@ def page_shards(spark, d):
 
 # ---- privacy ------------------------------------------------------------------------
 
-_RE2 = [(c, s, p.replace(r"\z", "$").replace("'", "''")) for c, s, p in privacy.SIGNALS]
+_RE2 = [(c, s, text.all_blanks(p.replace(r"\z", "$")).replace("'", "''")) for c, s, p in privacy.SIGNALS]
 
 
 def _entropy_sql(key: str, column: str, source: str) -> str:
@@ -170,6 +186,16 @@ def privacy_findings(spark, d):
     return privacy.classify(table(spark, d, "documents"), F.col("text"), "doc_id")
 
 
+_NO_BREAK = "(select doc_id, replace('pass' || 'word = ' || source || ' ' || text, ' ', chr(160)) as text from documents)"
+
+
+@query(_found_sql("doc_id", "text", _NO_BREAK))
+def privacy_findings_blanks(spark, d):
+    """No-break spaces in place of blanks, and an assignment among them."""
+    spaced = F.replace(F.concat(F.lit("pass" + "word = "), "source", F.lit(" "), "text"), F.lit(" "), F.lit("\u00a0"))
+    return privacy.classify(table(spark, d, "documents").select("doc_id", spaced.alias("text")), F.col("text"), "doc_id")
+
+
 @query(_found_sql("page_id", "html", "pages"))
 def privacy_findings_pages(spark, d):
     return privacy.classify(table(spark, d, "pages"), F.col("html"), "page_id")
@@ -318,7 +344,12 @@ def batch_prefix(spark, d):
     return ledger.batch_prefix(ledger_rows(spark, d), "job", "shard", "bytes", 2500, 5, 900).select("job", "shard", "placed")
 
 
-@query()
+@query(
+    f"""with recursive e as (select job, shard, bytes, row_number() over w as n, sum(bytes) over w as s from {_SHARDS} where bytes <= 2500 window w as (partition by job order by shard)),
+    nx as (select a.job, a.n, min(b.n) as nx from e a join e b on a.job = b.job and b.n > a.n and b.n <= a.n + 5 and (b.s > a.s - a.bytes + 2500 or b.n = a.n + 5) group by a.job, a.n),
+    r as (select job, n, 0::bigint as batch from e where n = 1 union all select r.job, nx.nx, r.batch + 1 from r join nx on nx.job = r.job and nx.n = r.n)
+    select e.job, e.shard, e.bytes, max(r.batch) as batch from e join r on r.job = e.job and r.n <= e.n group by all union all select job, shard, bytes, null from {_SHARDS} where bytes > 2500"""
+)
 def batch_pack(spark, d):
     return ledger.pack_batches(ledger_rows(spark, d), "job", "shard", "bytes", 2500, 5)
 
@@ -335,10 +366,15 @@ def checkpoint_overlay(spark, d):
     return ledger.overlay(old, new, "o_orderkey")
 
 
-@query(f"select s.shard, case when r.shard is not null and r.ok then 'succeeded' else 'failed' end as status, case when r.ok then null else coalesce(r.error, 'batch_item_not_completed') end as last_error from {_SHARDS} s left join (select o_orderkey as shard, o_orderkey % 2 = 0 as ok, case when o_orderkey % 4 = 1 then 'boom' end as error from orders where o_orderkey % 3 <> 0) r using (shard)")
+@query(
+    f"""select s.shard, case when s.status <> 'running' then s.status when r.ok then 'succeeded' else 'failed' end as status, case when s.status <> 'running' then 'old' when r.ok then null else coalesce(r.error, 'processor_result_missing_or_failed') end as last_error,
+    case when s.status <> 'running' then epoch_us(day + interval 1 day) when r.ok then null when attempts < 3 then epoch_us(timestamp '{_NOW}') + 30000000 * greatest(1, attempts) end as next_retry_us
+    from {_SHARDS} s left join (select o_orderkey as shard, o_orderkey % 2 = 0 as ok, case when o_orderkey % 4 = 1 then 'boom' end as error from orders where o_orderkey % 3 <> 0) r using (shard)"""
+)
 def batch_results(spark, d):
     results = table(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_orderkey as shard", "case when o_orderkey % 2 = 0 then 'completed' else 'failed' end as status", "case when o_orderkey % 4 = 1 then 'boom' end as error", "'x' as output")
-    return ledger.apply_results(ledger_rows(spark, d), results, "shard").select("shard", "status", "last_error")
+    done = ledger.apply_results(ledger_rows(spark, d).withColumn("last_error", F.lit("old")), results, "shard", F.lit(_NOW).cast("timestamp"), 3)
+    return done.select("shard", "status", "last_error", F.unix_micros("next_retry_at").alias("next_retry_us"))
 
 
 @query(
@@ -378,9 +414,9 @@ def missing_artifacts(spark, d):
 _UNLISTED = f"(select *, bytes % 4 = 0 and (status in ('pending', 'leased', 'running') or status = 'failed' and day + interval 1 day <= timestamp '{_NOW}') as lost from {_SHARDS})"
 
 
-@query(f"select shard, case when lost then 'failed' else status end as status, case when lost then 'shard_missing_from_manifest' end as last_error, case when lost then case when attempts < 2 then epoch_us(timestamp '{_NOW}') + 30000000 * greatest(1, attempts) end else epoch_us(day + interval 1 day) end as next_retry_us from {_UNLISTED}")
+@query(f"select shard, case when lost then 'failed' else status end as status, case when lost then 'shard_missing_from_manifest' else 'old' end as last_error, case when lost then case when attempts < 2 then epoch_us(timestamp '{_NOW}') + 30000000 * greatest(1, attempts) end else epoch_us(day + interval 1 day) end as next_retry_us from {_UNLISTED}")
 def unlisted_shards(spark, d):
-    rows = ledger_rows(spark, d).withColumnRenamed("shard", "shard_id")
+    rows = ledger_rows(spark, d).withColumnRenamed("shard", "shard_id").withColumn("last_error", F.lit("old"))
     out = ledger.fail_unlisted(rows, rows.where("bytes % 4 <> 0"), F.lit(_NOW).cast("timestamp"), 2)
     return out.select(F.col("shard_id").alias("shard"), "status", "last_error", F.unix_micros("next_retry_at").alias("next_retry_us"))
 
@@ -474,6 +510,54 @@ def execution_plans(spark, d):
     return runs.plan(df, F.lit(_NOW).cast("timestamp")).select("o_orderkey", F.array_join("blockers", ",").alias("blockers"), F.array_join("warnings", ",").alias("warnings"), "ok")
 
 
+#: The secret key of an owner whose receipts are made here.
+_OWNER = hashlib.sha256(b"owner of the receipts in these queries").digest()
+_OWNER_PEM = signatures.pem(signatures.public_key(_OWNER))
+
+
+@query(
+    """with r as (select o_orderkey, o_orderkey // 9 as j, o_orderkey % 4 = 0 as private, (o_orderkey % 30)::int as concurrency, o_totalprice / 50000 as cap from orders where o_orderkey % 9 = 0)
+    select o_orderkey, array_to_string(list_filter([case when private then 'live_requires_non_sensitive_bulk_egress' end, case when j % 11 = 0 then 'signed_approval_receipt_required_for_live' end] || case when j % 11 = 0 then [] else [case when j % 4 = 1 then 'approval_receipt_not_owner_approved' end, case when j % 5 = 3 then 'approval_receipt_time_window_invalid' end, case when j % 5 = 2 then 'approval_receipt_not_yet_valid' end, case when j % 5 = 1 then 'approval_receipt_expired' end,
+      case when j % 13 = 1 then 'approval_receipt_provider_mismatch' end, case when j % 7 = 1 then 'approval_receipt_model_mismatch' end, case when private then 'approval_receipt_egress_mismatch' end, case when j % 3 = 1 then 'approval_receipt_payload_digest_mismatch' end, case when concurrency > 10 then 'approval_receipt_concurrency_cap_exceeded' end, case when cap > 4 then 'approval_receipt_run_cost_cap_exceeded' end,
+      case when j % 6 = 1 then 'approval_receipt_daily_cost_cap_invalid' end, case when j % 4 = 3 then 'approval_receipt_signature_invalid' end] end || [case when concurrency > 20 then 'live_concurrency_cap_exceeded_20' end, case when cap > 5 then 'live_cost_cap_exceeded_5' end], lambda x: x is not null), ',') as blockers from r"""
+)
+def signed_execution_plans(spark, d):
+    """Live runs with receipts that their owner signed; of every fourth the signature is another text's."""
+    k, j, now = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 9), F.lit(_NOW).cast("timestamp")
+    day = lambda n: F.date_format(F.timestamp_add("DAY", n, now), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    kind = j % 5
+    receipt = F.struct(
+        F.format_string("receipt-%d", k).alias("receipt_id"), F.when(j % 4 == 1, "draft").otherwise("approved").alias("status"), F.lit("owner").alias("issuer"), F.when(j % 13 == 1, "other").otherwise("provider").alias("provider"), F.when(j % 7 == 1, "other").otherwise("m").alias("model"), F.lit("non_sensitive_bulk").alias("egress_class"), F.when(j % 3 == 1, "other").otherwise("x").alias("payload_sha256"),
+        day(F.when(kind == 2, 1).when(kind == 1, -2).otherwise(-1)).alias("issued_at"), day(F.when(kind == 1, -1).when(kind == 3, -1).otherwise(2)).alias("expires_at"), F.lit(1).alias("max_items"), F.lit(10).alias("max_concurrency"), F.lit(4.0).alias("max_cost_usd"), F.when(j % 6 == 1, 3.0).otherwise(9.0).alias("daily_cost_cap_usd"),
+    )
+    signed = signatures.signed(F.to_json(receipt), _OWNER)
+    df = table(spark, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", "o_totalprice", F.when(j % 11 != 0, signed).alias("signed"))
+    changed = F.when(j % 4 == 3, F.replace("signed", F.lit('"max_items":1'), F.lit('"max_items":2'))).otherwise(F.col("signed"))
+    df = df.withColumn("receipt_json", changed).selectExpr(
+        "o_orderkey", "'live' as transport", "case when o_orderkey % 4 = 0 then 'local_private' else 'non_sensitive_bulk' end as egress_class", "'non_sensitive_bulk' as recommended_class", "false as canonical_writes", "false as external_side_effects", "false as failure_injection", "256 as max_tokens", "cast(o_orderkey % 30 as int) as concurrency",
+        "o_totalprice / 50000 as cost_cap_usd", "cast(null as double) as reserved_usd", "'text' as response_format", "'x' as payload_sha256", "'m' as model", "1 as item_count", "receipt_json",
+    )
+    plans = runs.plan(df, now, allow_live=True, key_present=True, receipt_json="receipt_json", public_key=_OWNER_PEM, provider="provider")
+    return plans.select("o_orderkey", F.array_join("blockers", ",").alias("blockers"))
+
+
+@query(
+    """select item_id, array_to_string(list_filter([case when item_id % 3 = 1 then 'job_mismatch' end, case when item_id % 5 = 1 then 'payload_digest_mismatch' end, case when item_id % 7 = 2 then 'invalid' end, case when item_id % 7 <> 2 and item_id % 4 = 1 then 'expired' end, case when item_id % 7 <> 2 and item_id % 6 = 3 then 'signature_invalid' end], lambda x: x is not null), ',') as blockers from benchmark"""
+)
+def signed_review_receipts(spark, d):
+    """Receipts over the digest of each text: of every sixth the nonce was changed after signing, every seventh has a field too many."""
+    k = F.col("item_id")
+    digest = F.sha2("text", 256)
+    fields = [
+        F.lit("millrace.review-receipt.v1").alias("schema_version"), F.format_string("receipt-%05d", k).alias("receipt_id"), F.lit("approved").alias("status"), F.lit("owner").alias("issuer"), F.lit("R. Viewer").alias("reviewer"), F.lit("1997-05-01T00:00:00Z").alias("issued_at"), F.when(k % 4 == 1, "1997-05-02T00:00:00Z").otherwise("1997-07-01T00:00:00Z").alias("expires_at"),
+        F.lit("nonce-0123456789abcdef").alias("nonce"), F.when(k % 3 == 1, "other").otherwise("job").alias("job_id"), F.lit("p").alias("project"), F.when(k % 5 == 1, F.sha2(F.lit("other"), 256)).otherwise(digest).alias("review_payload_sha256"), F.when(k % 7 == 2, "x").alias("extra"),
+    ]
+    df = table(spark, d, "benchmark").select("item_id", digest.alias("digest"), signatures.signed(F.to_json(F.struct(*fields)), _OWNER).alias("receipt"))
+    changed = F.when(k % 6 == 3, F.replace("receipt", F.lit("nonce-0123"), F.lit("nonce-3210"))).otherwise(F.col("receipt"))
+    found = review.signed_receipt_blockers(changed, F.lit("job"), F.lit("p"), F.col("digest"), F.lit(_NOW).cast("timestamp"), _OWNER_PEM)
+    return df.select("item_id", F.array_join(F.transform(found, lambda b: F.replace(b, F.lit("translation_review_receipt_"), F.lit(""))), ",").alias("blockers"))
+
+
 # ---- translation --------------------------------------------------------------------
 
 _PAIRS = "(select a.doc_id, b.doc_id as other_id, a.text as s, b.text as t, a.lang as sl, b.lang as tl from documents a join documents b on b.doc_id = a.doc_id + 1)"
@@ -486,7 +570,7 @@ def translation_pairs(spark, d) -> DataFrame:
 
 
 @query(
-    f"""with q as (select *, length(t)::double / nullif(length(s), 0) as ratio, len(regexp_extract_all(s, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as sw, len(regexp_extract_all(t, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as tw, list_filter([{', '.join(f"case when contains(lower(s), '{a}') and not contains(t, '{b}') then '{b}' end" for a, b in _GLOSSARY)}], lambda x: x is not null) as missing from {_PAIRS})
+    f"""with q as (select *, length(t)::double / nullif(length(s), 0) as ratio, len(regexp_extract_all(s, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as sw, len(regexp_extract_all(t, '\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{N}}''’_-]*')) as tw, list_filter([{', '.join(f"case when contains(lower(s), '{a}') and not contains(t, '{b}') then '{b}' end" for a, b in sorted(_GLOSSARY))}], lambda x: x is not null) as missing from {_PAIRS})
     select doc_id, length(s) as source_chars, length(t) as output_chars, sw::bigint as source_words, tw::bigint as output_words, round(ratio, 6) as length_ratio, array_to_string(missing, ',') as missing_terms,
     array_to_string(list_filter([case when sl <> tl and s = t then 'unchanged_nontrivial_output' end, case when len(missing) > 0 then 'glossary_terms_missing' end, case when length(s) >= 8 and (ratio < 0.25 or ratio > 4) then 'length_ratio_out_of_bounds' end], lambda x: x is not null), ',') as blockers from q"""
 )
@@ -503,6 +587,43 @@ def glossary_required(spark, d):
     return translation.required_terms(table(spark, d, "documents"), "text", g).select("doc_id", "source_term", "target_term")
 
 
+_MANY = 10_000
+
+
+@query(f"with g as (select 'th' || i as source_term, 't' || i as target_term from range({_MANY - 26}) t(i) union all select chr(97 + i::int) || 'n ', 'x' || i from range(26) t(i)) select doc_id, source_term, target_term from documents join g on contains(lower(text), source_term)")
+def glossary_many_terms(spark, d):
+    """As many terms as a glossary may have, those of two letters found in most texts."""
+    terms = [(f"Th{i}", f"t{i}") for i in range(_MANY - 26)] + [(f"{chr(97 + i)}N ", f"x{i}") for i in range(26)]
+    found = translation.required_terms(table(spark, d, "documents"), "text", translation.glossary_table(spark, terms))
+    return found.select("doc_id", F.lower("source_term").alias("source_term"), "target_term")
+
+
+def checked_pairs(spark, d) -> DataFrame:
+    """A text with placeholders among line ends, and an output that is blank, lacks one, is the same but for blanks, or is short."""
+    t, at = F.col("text"), F.col("doc_id") % 4
+    source = F.concat(F.lit("\n"), t, F.lit(" {{n}} ${x} {{n}} \u00a0\n"))
+    output = F.when(at == 0, F.lit(" \u00a0\n")).when(at == 1, F.concat(t, F.lit(" {{n}}"))).when(at == 2, F.replace(source, F.lit(" "), F.lit(" \t"))).otherwise(F.concat(F.substring(t, 1, 5), F.lit(" {{n}} ${x} {{n}}\n")))
+    return table(spark, d, "documents").select("doc_id", "lang", source.alias("s"), output.alias("t"))
+
+
+_CHECKED = "(select doc_id, lang, s, case doc_id % 4 when 0 then ' ' || chr(160) || chr(10) when 1 then text || ' {{n}}' when 2 then replace(s, ' ', ' ' || chr(9)) else substr(text, 1, 5) || ' {{n}} ${x} {{n}}' || chr(10) end as t from (select *, chr(10) || text || ' {{n}} ${x} {{n}} ' || chr(160) || chr(10) as s from documents))"
+_WORD_SQL = "'\\p{L}[\\p{L}\\p{M}\\p{N}''’_-]*'"
+
+
+@query(
+    f"""with p as (select *, regexp_replace(s, '^{_SP}+|{_SP}+$', '', 'g') as a, regexp_replace(t, '^{_SP}+|{_SP}+$', '', 'g') as b from {_CHECKED}),
+    q as (select *, length(b)::double / nullif(length(a), 0) as ratio, lower(regexp_replace(a, '{_SP}+', ' ', 'g')) = lower(regexp_replace(b, '{_SP}+', ' ', 'g')) as same, len(regexp_extract_all(a, '\\p{{L}}')) >= 8 or len(regexp_extract_all(a, {_WORD_SQL})) >= 2 as heavy from p)
+    select doc_id, length(a) as source_chars, length(b) as output_chars, len(regexp_extract_all(a, {_WORD_SQL}))::bigint as source_words, round(ratio, 6) as length_ratio, length(a) >= 8 as length_ratio_checked, same as unchanged, heavy as source_nontrivial, lang <> 'fr' as languages_differ,
+    case doc_id % 4 when 0 then '${{x}}:1:0,{{x}}:1:0,{{{{n}}}}:2:0' when 1 then '${{x}}:1:0,{{x}}:1:0,{{{{n}}}}:2:1' else '${{x}}:1:1,{{x}}:1:1,{{{{n}}}}:2:2' end as placeholders,
+    array_to_string(list_filter([case when b = '' then 'empty_output' end, case when lang <> 'fr' and same and heavy then 'unchanged_nontrivial_output' end, case when doc_id % 4 < 2 then 'placeholders_lost' end, 'invalid_glossary', case when length(a) >= 8 and b <> '' and (ratio < 0.25 or ratio > 4) then 'length_ratio_out_of_bounds' end], lambda x: x is not null), ',') as blockers from q"""
+)
+def translation_checks(spark, d):
+    q = translation.quality(F.col("s"), F.col("t"), F.col("lang"), F.lit("fr"), [["only a source"]])
+    df = checked_pairs(spark, d).select("doc_id", q.alias("q"))
+    counts = F.array_join(F.transform("q.placeholder_counts", lambda p: F.concat_ws(":", p["token"], p["required"], p["present"])), ",")
+    return df.select("doc_id", "q.source_chars", "q.output_chars", "q.source_words", "q.length_ratio", "q.length_ratio_checked", "q.unchanged", "q.source_nontrivial", "q.languages_differ", counts.alias("placeholders"), F.array_join("q.blockers", ",").alias("blockers"))
+
+
 _MEMORY = "(select 'ns' as namespace, sha256(nfc_normalize(replace(text, chr(13) || chr(10), chr(10)))) as source_sha256, 'en' as source_lang, 'fr' as target_lang, '' as glossary_sha256, max('t:' || text) as target_text, bool_and(item_id % 3 <> 0) as ok from benchmark group by text)"
 
 
@@ -854,15 +975,21 @@ def redacted_receipts(spark, d):
     return table(spark, d, "supplier").withColumn("r", review.redact(r)).select("s_suppkey", F.col("r.receipt_id").alias("s_name"), F.col("r.signature").alias("signature"))
 
 
-@query(
-    f"select shard, case when status in ('pending', 'leased', 'running', 'failed') and shard % 3 <> 0 and shard % 5 <> 0 and shard % 7 <> 0 then 'succeeded' else status end as status, status in ('pending', 'leased', 'running', 'failed') and shard % 3 <> 0 and shard % 5 <> 0 and shard % 7 <> 0 as recovered from {_SHARDS}"
-)
+_RECOVERED = "status in ('pending', 'leased', 'running', 'failed') and shard % 3 <> 0 and shard % 5 <> 0 and shard % 7 <> 0"
+
+
+@query(f"select shard, case when {_RECOVERED} then 'succeeded' else status end as status, {_RECOVERED} as recovered, case when {_RECOVERED} then sha256(shard::varchar) end as output_sha256, case when not ({_RECOVERED}) then 'old' end as last_error from {_SHARDS}")
 def recovered_shards(spark, d):
-    rows = ledger_rows(spark, d).withColumnRenamed("shard", "shard_id").withColumn("input_sha256", F.lit("i"))
-    outputs = rows.where("shard_id % 3 <> 0").select("shard_id", F.col("shard_id").cast("string").alias("output"))
-    digest = F.sha2(F.col("shard_id").cast("string"), 256)
-    proofs = rows.select("shard_id", F.when(F.col("shard_id") % 5 == 0, "x").otherwise("i").alias("input_sha256"), F.when(F.col("shard_id") % 7 == 0, "x").otherwise(digest).alias("output_sha256"))
-    return ledger.recover(rows, outputs, proofs).select(F.col("shard_id").alias("shard"), "status", "recovered")
+    """Two thirds of the outputs are there, six sevenths of the proofs, and a fifth of those is cut off somewhere."""
+    text_of = F.col("shard_id").cast("string")
+    rows = ledger_rows(spark, d).withColumnRenamed("shard", "shard_id").select("*", F.col("job").cast("string").alias("job_id"), F.lit("s").alias("source_id"), F.lit("old").alias("last_error"))
+    outputs = rows.where("shard_id % 3 <> 0").select("shard_id", text_of.alias("output"))
+    fields = {"schema_version": F.lit(ledger.PROOF_SCHEMA_VERSION), "job_id": F.col("job_id"), "shard_id": text_of, "source_id": F.col("source_id"), "processor_version": F.lit("copy_text.v1"), "input_sha256": F.sha2(F.concat(F.lit("in"), text_of), 256), "output_sha256": F.sha2(text_of, 256), "committed_at": F.lit("2024-01-01T00:00:00Z")}
+    lines = F.concat(F.lit("{\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'  "{k}": "'), v, F.lit('"')) for k, v in fields.items())), F.lit("\n}"))
+    proofs = rows.where("shard_id % 7 <> 0").select("shard_id", F.when(F.col("shard_id") % 5 == 0, lines.substr(F.lit(1), (F.col("shard_id") % 40).cast("int"))).otherwise(lines).alias("proof"))
+    manifest = rows.select("shard_id", fields["input_sha256"].alias("input_sha256"))
+    done = ledger.recover(rows, outputs, proofs, manifest, "copy_text")
+    return done.select(F.col("shard_id").alias("shard"), "status", "recovered", "output_sha256", "last_error")
 
 
 @query(
