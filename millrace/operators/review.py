@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signatures import signed_by
 from ..functions.text import trim
+from .ordered import rolling_digest
 from .translation import quality
 
 REDACTED = "[redacted]"
@@ -50,11 +51,22 @@ def review_mismatches(entries: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def review_digests(entries: DataFrame, job: str, *fields: str) -> DataFrame:
-    """``job, entries, payload_sha256``: digest of each job's entries as JSON, ordered by shard."""
+    """``job, entries, payload_sha256``: digest of each job's entries as JSON, in the order of their shards (texts are collated); they stream through it."""
     names = sorted({"shard_id", *fields})
-    row = F.struct("shard_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("j"))
-    ordered = F.transform(F.sort_array(F.collect_list(row)), lambda x: x["j"])
-    return entries.groupBy(job).agg(F.count(F.lit(1)).alias("entries"), F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("payload_sha256"))
+    entry = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    shard = F.col("shard_id")
+    order = [F.collate(shard, "UNICODE"), shard] if dict(entries.dtypes)["shard_id"] == "string" else [shard]
+    out = rolling_digest(entries, [job], [*order, entry], entry, ",", "[", "]")
+    return out.select(job, F.col("n_rows").alias("entries"), F.col("sha256").alias("payload_sha256"))
+
+
+def incomplete_reviews(ledger: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``shard_id, reason``: shards of a review that have no output, or one of another digest. A review of a job needs
+    every shard of its ledger."""
+    stored = outputs.select("shard_id", F.sha2("output", 256).alias("__sha"))
+    df = ledger.join(stored, "shard_id", "left")
+    reason = F.when((F.col("status") != "succeeded") | F.col("__sha").isNull(), "translation_review_output_missing").when(~F.col("__sha").eqNullSafe(F.col("output_sha256")), "translation_review_output_hash_mismatch")
+    return df.select("shard_id", reason.alias("reason")).where("reason is not null")
 
 
 def transition(items: DataFrame, to: str, allowed: tuple[str, ...], run_id: str | None = None) -> DataFrame:

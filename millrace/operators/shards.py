@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, all_blanks, collapse, language_tag, trim
+from .ordered import rolling_digest
 from .prefix import running_totals
 
 MAX_SHARDS, MAX_CHARS, MAX_SOURCE_BYTES = 10_000, 128 << 20, 64 << 20
@@ -155,8 +156,16 @@ def page_shards(sources: DataFrame, key: str, pages: str) -> DataFrame:
     return sources.where(F.col(pages) >= 1).select(key, F.col(pages).cast("long").alias("page_count"), F.explode(F.sequence(F.lit(1), F.col(pages).cast("int"))).alias("page_number")).withColumn("shard_id", F.format_string("%s:page:%06d", F.col(key).cast("string"), "page_number"))
 
 
+def reconciled(shards: DataFrame, key: str, position: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """``key, n_shards, n_bytes, output_sha256`` of the texts of each job in order, joined. The joined text is
+    never held: its parts stream through the digest. ``write_ordered`` writes it."""
+    out = rolling_digest(shards, [key], [F.col(position), F.col(text)], F.col(text), separator)
+    return out.select(key, F.col("n_rows").alias("n_shards"), "n_bytes", F.col("sha256").alias("output_sha256"))
+
+
 def reconcile(shards: DataFrame, key: str, position: str, text: str, separator: str = "\n\n") -> DataFrame:
-    """The texts of each job in order, joined, with digest. A job's output is one file, so one row."""
+    """The texts of each job in order, joined, with digest, as one row: for outputs that fit in one. ``reconciled`` and
+    ``write_ordered`` take any size."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct(position, text))), lambda s: s[text])
     return shards.groupBy(key).agg(F.count(F.lit(1)).alias("n_shards"), F.array_join(parts, separator).alias("output")).withColumn("output_sha256", F.sha2("output", 256))
 

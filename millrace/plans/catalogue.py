@@ -91,7 +91,7 @@ def reconcile_roundtrip(spark, d):
 
 @query("select source, count(*) as n_shards, sha256(string_agg(text, chr(10) || chr(10) order by doc_id)) as output_sha256 from documents group by source")
 def reconcile_by_source(spark, d):
-    return shards.reconcile(table(spark, d, "documents"), "source", "doc_id", "text").select("source", "n_shards", "output_sha256")
+    return shards.reconciled(table(spark, d, "documents"), "source", "doc_id", "text").select("source", "n_shards", "output_sha256")
 
 
 _SP = text.SPACE

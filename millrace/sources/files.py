@@ -12,6 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
+
+from ..functions.text import trim
+from ..operators.ordered import rolling_digest
+from ..operators.prefix import running_totals
+from ..plans.staging import staged
 
 MAX_SOURCE_BYTES, MAX_RECORD_BYTES, MAX_SHARDS = 64 << 20, 16 << 20, 10_000
 
@@ -69,20 +76,63 @@ def scan_jsonl(content: bytes, per_shard: int) -> tuple[list[tuple], str | None]
     return out, None if out else "source_empty"
 
 
+@pandas_udf(BooleanType())
+def _is_json(texts: pd.Series) -> pd.Series:
+    def one(x: str | None) -> bool:
+        try:
+            json.loads(x or "", parse_constant=_strict)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    return texts.map(one)
+
+
+def jsonl_records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, row, byte_start, byte_end, value, error`` of each record of JSON-lines files of any size.
+
+    Files are read in ranges: a record belongs to the range in which it begins, so a large
+    file is many tasks. Rows and bytes are numbered by running sums over (range, place in
+    it). A record ends in a line feed, which counts as its byte; the last may lack its own.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    size = (F.octet_length("value") + 1).cast("long")
+    lines = lines.select(F.regexp_replace(F.col("_metadata.file_path"), r"\Afile:///", "file:/").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value", size.alias("bytes"))
+    rows = running_totals(lines, [F.col("start"), F.col("place")], {"row": F.lit(1), "byte_end": F.col("bytes")}, [F.col("path")])
+    whole = rows.groupBy("path", "file_size").agg(F.max("byte_end").alias("read"))
+    # Without a last line feed a byte is counted too many; a byte order mark is passed over by the reader.
+    whole = whole.select(F.col("path").alias("p"), "read", F.when(F.col("file_size") - F.col("read") >= 2, 3).otherwise(0).alias("mark"), (F.col("read") - F.col("file_size")).isin(1, -2).alias("open"))
+    rows = rows.join(whole, F.col("path") == F.col("p"))
+    valid = F.is_valid_utf8("value")
+    parsed = _is_json(F.when(valid, F.col("value")))
+    marked = (F.col("mark") > 0) & (F.col("row") == 1)
+    error = F.when(F.col("bytes") > MAX_RECORD_BYTES, "record_too_large").when(~valid, "invalid_utf8").when(trim(F.when(valid, F.col("value"))) == "", "blank_record").when(marked | ~parsed, "invalid_json")
+    end = F.col("byte_end") + F.col("mark") - F.when(F.col("open") & (F.col("byte_end") == F.col("read")), 1).otherwise(0)
+    begin = F.when(F.col("row") == 1, 0).otherwise(F.col("byte_end") - F.col("bytes") + F.col("mark"))
+    raw = F.concat(F.when(marked, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b"")), F.col("value").cast("binary"), F.when(F.col("open") & (F.col("byte_end") == F.col("read")), F.lit(b"")).otherwise(F.lit(b"\n")))
+    return rows.select("path", "row", begin.cast("long").alias("byte_start"), end.cast("long").alias("byte_end"), "value", raw.alias("raw"), error.alias("error"))
+
+
 def jsonl_shards(spark: SparkSession, path: str, per_shard: int, glob: str | None = None) -> DataFrame:
-    """Row ranges of JSON-lines files with exact byte bounds and digests. A file is one task's work, at most 64 MiB."""
+    """Row ranges of JSON-lines files with exact byte bounds and digests, or the first error of a file with its row.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                found, error = ([], "source_too_large") if len(content) > MAX_SOURCE_BYTES else scan_jsonl(content, per_shard)
-                sha = hashlib.sha256(content).hexdigest()
-                rows += [(name, sha, k, a, b, b - a + 1, x, y, d, None) for k, a, b, x, y, d in found] or [(name, sha, *[None] * 7, error)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in JSONL_SCHEMA.split(", ")])
-            yield out.astype({c: "Int64" for c in out.columns[2:8]})
-
-    return binary_files(spark, path, glob).select("path", "content").mapInPandas(scan, JSONL_SCHEMA)
+    Files may be of any size; a record has at most 16 MiB, a file at most 10,000 shards. Bounds
+    and the digests of shards are made in many tasks; only the digest of a whole file, one
+    byte after another, is one task's work, which streams it.
+    """
+    if per_shard < 1:
+        raise ValueError("records_per_shard must be positive")
+    rows = staged(jsonl_records(spark, path, glob).withColumn("chunk_index", F.floor((F.col("row") - 1) / per_shard)), "jsonl")
+    bad = rows.where("error is not null").groupBy("path").agg(F.min(F.struct("row", "error")).alias("e")).select("path", F.concat_ws(":", "e.error", F.col("e.row").cast("string")).alias("error"))
+    many = rows.groupBy("path").agg(F.max("chunk_index").alias("m")).where(F.col("m") >= MAX_SHARDS).select("path", F.lit("too_many_shards").alias("many"))
+    sources = rolling_digest(rows, ["path"], [F.col("row")], F.col("raw")).select("path", F.col("sha256").alias("source_sha256")).join(bad, "path", "left").join(many, "path", "left").select("path", "source_sha256", F.coalesce("error", "many").alias("error"))
+    sources = staged(sources, "jsonl-sources")
+    bounds = rows.groupBy("path", "chunk_index").agg(F.min("row").alias("row_start"), F.max("row").alias("row_end"), F.count(F.lit(1)).alias("row_count"), F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"))
+    digests = rolling_digest(rows, ["path", "chunk_index"], [F.col("row")], F.col("raw")).select("path", "chunk_index", F.col("sha256").alias("shard_sha256"))
+    columns = [c.split()[0] for c in JSONL_SCHEMA.split(", ")]
+    good = bounds.join(digests, ["path", "chunk_index"]).join(sources.where("error is null"), "path").select(columns)
+    return good.unionByName(sources.where("error is not null"), allowMissingColumns=True).select(columns)
 
 
 def read_slices(shards: DataFrame, files: DataFrame) -> DataFrame:
