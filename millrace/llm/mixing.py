@@ -115,20 +115,12 @@ def _edges(base: DataFrame, weights: Sequence[float], share: float, most: int) -
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken whole, and the first
-    words of the one that is taken in part, spaced as they are, with ``n_chars`` of that text where there is
-    such a column. Documents without words are in no mix."""
+    """The mix itself: each row of ``docs`` as often as it is taken. The document at a source's threshold is
+    taken whole or not at all, whichever is nearer to the target, so no text is cut and a source is off
+    its target by half of that document at most. Documents without words are in no mix."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     base = staged(_base(docs, id_col, text_col, source_col, seed, F.struct(*columns).alias("row")), "mix-rows")
     edges = _edges(base, weights, share, most)
-    rows = base.join(edges, F.col("source").eqNullSafe(F.col("of"))).select("row", "size", taken_column().alias("taken")).where("taken > 0")
-    # 0 stands for the part, other numbers for whole copies.
-    rows = rows.select("row", "size", "taken", F.explode(F.filter(F.sequence(F.lit(0), F.floor(F.col("taken") / F.col("size")).cast("int")), lambda k: (k > 0) | (F.col("taken") % F.col("size") > 0))).alias("copy"))
-    # Split after each word, so that a word keeps the blanks before it.
-    words = F.split(F.col(f"row.`{text_col}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("copy") > 0, F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.slice(words, 1, (F.col("taken") % F.col("size")).cast("int")), ""))
-    out = []
-    for c in docs.columns:
-        value = text if c == text_col else F.when(F.col("copy") > 0, F.col(f"row.`{c}`")).otherwise(F.length(text)) if c == "n_chars" else F.col(f"row.`{c}`")
-        out.append(value.cast(docs.schema[c].dataType).alias(c))
-    return rows.select(*out)
+    rows = base.join(edges, F.col("source").eqNullSafe(F.col("of"))).where("size > 0")
+    copies = F.floor(taken_column() / F.col("size") + 0.5).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")

@@ -18,6 +18,8 @@ characters in other words stay, unless they are found themselves.
 
 from __future__ import annotations
 
+import random
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +40,12 @@ KEY_NAMES = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|
 OTHER_NAMES = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|hash|etag|revision|rev|version|build|id|isbn|phone|order|invoice|trace|request"
 DICTIONARY = "example|sample|test|dummy|placeholder|your|here|insert|change|default|token|secret|password|value|user|admin|name|config|index|image|static|asset|version|release|notes|final|report|draft|data|file|page|home|docs|download|content|upload|media|public|build|chapter|section|table|figure|model|train|html|http|https|www|com|org|json|xml|png|jpg|pdf|the|and|for|with|from|this|that"
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur"
-# A value ends at a quote, a comma, a brace, a semicolon or the next field of a query string.
-_VALUE = r"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',};]){6,}+"
-_ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[:=]{{1,2}}[\x22']?({_VALUE})"
+# Blanks that don't part words, and what ends a value: a quote, a comma, a brace, a semicolon, such a blank or the next field of a query string.
+_HARD_BLANK = r"\u00A0\u2000-\u200A\u202F\u3000"
+_VALUE = rf"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',}};{_HARD_BLANK}]){{6,}}+"
+_ASSIGNED = rf"(?i)(?:{KEY_NAMES})[\x22']?[{_HARD_BLANK}]*[:=]{{1,2}}[{_HARD_BLANK}]*[\x22']?({_VALUE})"
+# The password of a login in an address.
+_LOGIN = r"://[^\x20\x09-\x0D:/@]*:([^\x20\x09-\x0D:/@]{6,})@"
 
 #: What may stand between a key name and the value.
 SCHEMES = "bearer|basic|digest|negotiate"
@@ -57,7 +62,7 @@ def _candidates(words: Column) -> Column:
 
     def of_word(w: Column, i: Column) -> Column:
         runs = F.regexp_extract_all(w, F.lit(_RUN), F.lit(0))
-        inside = F.regexp_extract_all(w, F.lit(_ASSIGNED), F.lit(1))
+        inside = F.concat(F.regexp_extract_all(w, F.lit(_ASSIGNED), F.lit(1)), F.regexp_extract_all(w, F.lit(_LOGIN), F.lit(1)))
         sign, scheme = r"(?:^|[A-Za-z\x22'])[:=]{1,2}$", near(i - 1).rlike(rf"^[\x22']?(?i:{SCHEMES})$")
         named = near(i - 1).rlike(sign) & F.concat_ws(" ", near(i - 2), near(i - 1)).rlike(rf"(?i)(?:{KEY_NAMES})")
         named = named | scheme & near(i - 2).rlike(sign) & F.concat_ws(" ", near(i - 3), near(i - 2)).rlike(rf"(?i)(?:{KEY_NAMES})")
@@ -92,7 +97,7 @@ def _features(f: Column) -> dict[str, Column]:
         "path": yes(word.rlike(r"://|^[./~]|/[^/]+/|\.[a-z]{2,4}(?:[^a-z]|$)|^data:")),
         "key_name": yes(context.rlike(rf"(?i)(?:{KEY_NAMES})")),
         "other_name": yes(context.rlike(rf"(?i)(?:^|[^a-z])(?:{OTHER_NAMES})(?:[^a-z]|$)")),
-        "assigned": yes(context.rlike(r"[:=]{1,2}[\x22']?$")),
+        "assigned": yes(context.rlike(rf"[:=]{{1,2}}[{_HARD_BLANK}]*[\x22']?$")),
         "quoted": yes(lead.rlike(r"[\x22']$")),
         "hex": yes(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "uuid": yes(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
@@ -107,8 +112,8 @@ def _let(value: Column, body) -> Column:
 
 
 def may_have_candidates(text: Column) -> Column:
-    """True for each text with a candidate, and for others: a run, or a key name and a sign of assignment anywhere."""
-    return text.rlike(_RUN) | (text.rlike("[:=]") & text.rlike(rf"(?i)(?:{KEY_NAMES})"))
+    """True for each text with a candidate, and for others: a run, a login, or a key name and a sign of assignment anywhere."""
+    return text.rlike(_RUN) | text.rlike(_LOGIN) | (text.rlike("[:=]") & text.rlike(rf"(?i)(?:{KEY_NAMES})"))
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -180,83 +185,87 @@ def train(labelled: DataFrame, limit: int = LABELLED) -> Forest:
     return fit_forest(np.array([[r[k] for k in FEATURES] for r in rows], float), np.array([r.y for r in rows], float))
 
 
+class _Written:
+    """Parts of the snippets that ``labelled_findings`` writes, drawn from one generator of random numbers."""
+
+    WORDS = "the report with of and data from this that page table model into over under after before between river market garden letter".split()
+    KEYS = "token TOKEN secret password api_key access_key client_secret auth pwd private_key".split()
+    PLAIN = "YOUR_API_KEY_HERE_0000 xxxxxxxxxxxxxxxx1234 example_token_value_01 0000000000000000 change_this_secret_1 placeholder 1234567890123456 <your-token-here> default_password_1 required disabled optional string undefined localhost changeme process.env.TOKEN os.environ[0] ${PASSWORD} expired missing enabled".split()
+
+    def __init__(self, seed: str):
+        self.rng = random.Random(seed)
+
+    def of(self, *choices: str) -> str:
+        return self.rng.choice(choices)
+
+    def word(self) -> str:
+        return self.of(*self.WORDS)
+
+    def hex(self, n: int) -> str:
+        return self.rng.randbytes(n).hex()[:n]
+
+    def mixed(self, n: int) -> str:
+        return "".join(self.rng.choices(string.ascii_letters + string.digits, k=n))
+
+    def number(self, most: int) -> str:
+        return str(self.rng.randrange(most))
+
+    def hash(self) -> str:
+        return self.of(self.hex(40), self.hex(32), self.hex(64), self.hex(40).upper())
+
+    def uuid(self) -> str:
+        return "-".join(map(self.hex, (8, 4, 4, 4, 12)))
+
+    def names(self) -> str:
+        return "_".join([self.word(), self.word(), self.word(), self.number(2000)])
+
+    def bare(self) -> str:
+        """Keys that their beginnings give away. The beginnings are put together here, so that no line of this file looks like a key."""
+        return self.of(
+            "gh" + "p_" + self.mixed(36), "AK" + "IA" + self.mixed(16).upper(), "AK" + "IA" + self.hex(16).upper(), "sk" + "-" + self.mixed(40), "xo" + "xb-" + "".join(self.rng.choices(string.digits, k=12)) + "-" + self.mixed(24),
+            "ey" + "J0" + self.mixed(30) + ".ey" + "J1" + self.mixed(36) + ".0" + self.mixed(43), "MI" + "IEv0" + self.mixed(58),
+        )
+
+    def short(self) -> str:
+        """As people make them up: a word, numbers, a sign, capitals; six characters at least."""
+        w, n = self.word(), self.rng.randrange(8, 16)
+        made = self.of(w + self.number(9999), w.capitalize() + self.number(99) + self.of("!", "#", "x", "$", "_"), w[:3] + self.number(999) + self.word().capitalize(), w.translate(str.maketrans("aeio", "4310")) + self.number(99) + self.mixed(4), self.mixed(n))
+        return (made + "7k27k2")[: max(6, len(made))]
+
+    def value(self) -> str:
+        n = self.rng.randrange(10, 41)
+        return self.of(self.hash(), self.hex(n), self.hex(n), self.hex(n).upper(), self.mixed(n), self.mixed(n), self.bare(), self.bare(), self.short(), self.short(), self.short())
+
+    def query_key(self) -> str:
+        return f"https://{self.word()}.example.com/{self.word()}/{self.word()}?{self.of('page=2&', 'v=1&', '', '')}{self.of(*self.KEYS)}={self.of(self.mixed(20), self.hex(24), self.number(10**9) + self.hex(10), self.mixed(32))}"
+
+    def login(self) -> str:
+        return f"{self.of('postgres', 'mysql', 'amqp', 'https', 'redis', 'mongodb')}://{self.word()}:{self.of(self.short(), self.mixed(14), self.hex(20))}@{self.of('db', 'localhost:5432', 'host.example.com')}/{self.word()}"
+
+    def secret(self) -> str:
+        key, v = self.of(*self.KEYS), self.value()
+        return self.of(f'{key} = "{v}"', f'{key}: "{v}"', f"{key}={v}", f"{key}: {v}", f"Authorization: Bearer {v}", f'"{key}":"{v}",', f"{key} is {self.mixed(36)}", self.bare(), self.of("use ", "see ", "( ", '"', "key ") + self.bare(), f"{self.word()}={self.bare()}", self.query_key(), self.login())
+
+    def other(self) -> str:
+        key, digits = self.of(*self.KEYS), "".join(self.rng.choices(string.digits, k=18))
+        page = f"https://www.example.com/{self.word()}/{self.names()}{self.of('.html', '.png', '/', '.pdf')}"
+        return self.of(
+            self.of("commit ", "sha1: ", "md5 = ", "checksum ", "etag: ", "digest=", "revision ") + self.hash(), self.of("id ", "uuid: ", "request ", "trace=", "order ") + self.uuid(), page, page + self.of("?page=", "?id=", "?build=", "?order=") + self.of(self.hex(20), digits, self.names()),
+            self.of("/usr/share/", "./", "docs/", "~/") + f"{self.names()}/{self.word()}{self.number(99)}.json", self.of("phone ", "card ", "invoice ", "order id = ", "isbn ", "") + digits, key + self.of(" = ", "=", ": ") + self.of(*self.PLAIN, self.word(), self.word() + self.word()),
+            self.names(), f"{self.word()}-{self.word()}-{self.word()}-{self.word()}-{self.number(30)}", f"{self.word()}{self.number(99999)}{self.word()}{self.number(99999)}{self.word()}", f"{self.of('build ', 'version ', 'rev ')}{self.number(2000)}-{self.hex(16)}",
+            key + self.of(" of commit ", " request uuid: ", " page ") + self.of(self.hash(), self.uuid(), page), self.of("the token ", "a secret ", "password reset ") + self.of(self.names(), f"docs/{self.names()}.json", digits), self.hash(),
+        )
+
+    def snippet(self, is_secret: bool) -> tuple[str, int]:
+        return " ".join([self.word(), self.word(), self.secret() if is_secret else self.other(), self.word(), self.word()]), int(is_secret)
+
+
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "labelled") -> DataFrame:
-    """``text, is_secret``: snippets written by rule, half of them secrets of usual forms,
-    half look-alikes (check sums, identifiers, paths, numbers, placeholders, long names)."""
-    hashed = lambda c: F.sha2(F.concat(F.lit(c), F.col("id").cast("string")), 256)
-    plain_base = lambda c, x: F.regexp_replace(F.base64(F.unhex(c)), "[+/=]", x)
-    row = spark.range(n).withColumn("h", hashed(seed)).withColumn("g", hashed(f"{seed}+"))
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(59)), lambda k: F.conv(F.substr("g", k, F.lit(6)), 16, 10).cast("long"))
-    # Written first: otherwise each use would compute them anew, in more code than can be compiled.
-    row = staged(row.select("id", "h", numbers.alias("n"), plain_base("h", "x").alias("base"), plain_base("g", "y").alias("more")), "labelled")
-    h, base, more = F.col("h"), F.col("base"), F.col("more")
-    number = lambda at, most: F.pmod(F.get("n", F.lit(at - 1)), F.lit(most)).cast("int")
-    pick = lambda at, *values: F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), number(at, len(values)) + 1)
-    words = "the report with of and data from this that page table model into over under after before between river market garden letter".split()
-    word = lambda at: pick(at, *words)
-    hex40 = pick(1, F.substring(h, 1, 40), F.substring(h, 1, 32), h, F.upper(F.substring(h, 1, 40)))
-    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    digits = F.substring(F.translate(h, "abcdef", "012345"), 1, 18)
-    key = pick(3, "token", "TOKEN", "secret", "password", "api_key", "access_key", "client_secret", "auth", "pwd", "private_key")
-    bare = pick(
-        5,
-        F.concat(F.lit("gh"), F.lit("p_"), F.substring(base, 1, 36)),
-        F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.translate(F.substring(base, 1, 16), "abcdefg", "1234567"))),
-        F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(h, 1, 16))),
-        F.concat(F.lit("sk"), F.lit("-"), F.substring(base, 1, 40)),
-        F.concat(F.lit("xo"), F.lit("xb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(base, 1, 24)),
-        F.concat(F.lit("ey"), F.lit("J0"), F.substring(base, 1, 30), F.lit(".ey"), F.lit("J1"), F.substring(more, 1, 36), F.lit(".0"), base),
-        F.concat(F.lit("MI"), F.lit("IEv0"), F.substring(base, 1, 36), F.substring(more, 1, 22)),
-    )
-    # Short ones as people make them up: a word, numbers, a sign, capitals.
-    short = pick(
-        11,
-        F.concat(word(9), number(13, 9999).cast("string")),
-        F.concat(F.initcap(word(9)), number(13, 99).cast("string"), pick(15, "!", "#", "x", "$", "_")),
-        F.concat(F.substring(word(9), 1, 3), number(13, 999).cast("string"), F.initcap(word(17))),
-        F.concat(F.translate(word(9), "aeio", "4310"), number(13, 99).cast("string"), F.substring(base, 1, 4)),
-        F.substring(base, 1, number(13, 8) + 8),
-    )
-    short = F.rpad(short, 6, "7k2")
-    # Hexadecimal and mixed ones of any length.
-    of_length = lambda c, least, at: F.substring(c, F.lit(1), least + number(at, 41 - least))
-    value = pick(29, hex40, of_length(h, 10, 31), of_length(h, 10, 31), of_length(F.upper(h), 10, 31), of_length(base, 10, 33), of_length(base, 10, 33), bare, bare, short, short, short)
-    secret = pick(
-        7,
-        F.concat(key, F.lit(' = "'), value, F.lit('"')),
-        F.concat(key, F.lit(': "'), value, F.lit('"')),
-        F.concat(key, F.lit("="), value),
-        F.concat(key, F.lit(": "), value),
-        F.concat(F.lit("Authorization: Bearer "), value),
-        F.concat(F.lit('"'), key, F.lit('":"'), value, F.lit('",')),
-        F.concat(key, F.lit(" is "), F.substring(base, 1, 36)),
-        bare,
-        F.concat(pick(9, "use ", "see ", "( ", '"', "key "), bare),
-        F.concat(word(21), F.lit("="), bare),
-    )
-    names = F.concat_ws("_", word(9), word(11), word(13), number(15, 2000).cast("string"))
-    plain = pick(
-        9, "YOUR_API_KEY_HERE_0000", "xxxxxxxxxxxxxxxx1234", "example_token_value_01", "0000000000000000", "change_this_secret_1", "placeholder", "1234567890123456", "<your-token-here>", "default_password_1",
-        "required", "disabled", "optional", "string", "undefined", "localhost", "changeme", "process.env.TOKEN", "os.environ[0]", "${PASSWORD}", "expired", "missing", "enabled", word(23), F.concat(word(23), word(25)),
-    )
-    other = pick(
-        7,
-        F.concat(pick(3, "commit ", "sha1: ", "md5 = ", "checksum ", "etag: ", "digest=", "revision "), hex40),
-        F.concat(pick(3, "id ", "uuid: ", "request ", "trace=", "order "), uuid),
-        F.concat(F.lit("https://www.example.com/"), word(9), F.lit("/"), names, pick(3, ".html", ".png", "/", ".pdf")),
-        F.concat(pick(3, "/usr/share/", "./", "docs/", "~/"), names, F.lit("/"), word(17), number(19, 99).cast("string"), F.lit(".json")),
-        F.concat(pick(3, "phone ", "card ", "invoice ", "order id = ", "isbn ", ""), digits),
-        F.concat(key, pick(3, " = ", "=", ": "), plain),
-        names,
-        F.concat(word(9), F.lit("-"), word(11), F.lit("-"), word(13), F.lit("-"), word(17), F.lit("-"), number(19, 30).cast("string")),
-        F.concat(word(21), number(23, 99999).cast("string"), word(25), number(27, 99999).cast("string"), word(29)),
-        F.concat(pick(3, "build ", "version ", "rev "), number(31, 2000).cast("string"), F.lit("-"), F.substring(h, 1, 16)),
-        F.concat(key, pick(3, " of commit ", " request uuid: ", " page "), pick(13, hex40, uuid, F.concat(F.lit("https://www.example.com/"), names))),
-        F.concat(pick(3, "the token ", "a secret ", "password reset "), pick(13, names, F.concat(F.lit("docs/"), names, F.lit(".json")), digits)),
-        hex40,
-    )
-    is_secret = F.pmod(F.col("id"), F.lit(2)) == 0
-    return row.select(F.concat_ws(" ", word(33), word(37), F.when(is_secret, secret).otherwise(other), word(41), word(45)).alias("text"), is_secret.cast("int").alias("is_secret"))
+    """``text, is_secret``: ``n`` snippets written by rule, half of them secrets of usual forms, half
+    look-alikes (check sums, identifiers, paths, numbers, placeholders, long names)."""
+    written = _Written(seed)
+    rows = [written.snippet(k % 2 == 0) for k in range(min(n, LABELLED))]
+    return staged(spark.createDataFrame(rows, "text string, is_secret int"), "labelled")
 
 
 def with_findings(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
@@ -276,7 +285,7 @@ def _masked_word(piece: Column, candidate: Column) -> Column:
     run, quoted = "[A-Za-z0-9_+/-]", F.regexp_replace(candidate, r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", r"\\$1")
     blank = r"[\x20\x09-\x0D]"
     as_run = F.concat(F.lit(f"(?<!{run})"), quoted, F.lit(f"(?:(?<==)|(?!{run}))"))
-    as_value = F.concat(F.lit(rf"(?:(?<=[:=\x22'])|(?<={blank})|^)"), quoted, F.lit(r"(?=$|[\x22',};]|&[A-Za-z0-9_.~%-]+=)"))
+    as_value = F.concat(F.lit(rf"(?:(?<=[:=\x22'{_HARD_BLANK}])|(?<={blank})|^)"), quoted, F.lit(rf"(?=$|[\x22',}};@{_HARD_BLANK}]|&[A-Za-z0-9_.~%-]+=)"))
     return F.regexp_replace(piece, F.concat(as_run, F.lit("|"), as_value), F.lit(MASK))
 
 

@@ -149,10 +149,32 @@ def test_masked_by_place(spark, monkeypatch):
     assert {tuple(r)[2:] for r in got.values()} == {("m", "f", "r", "c")}
 
 
+def test_keys_in_addresses_logins_and_after_hard_blanks(spark, forest):
+    texts = {
+        "get https://api.example.com/a/token?x=1&token=1234567890abcdef12 now": "get https://api.example.com/a/token?x=1&token=[SECRET] now",
+        "url postgres://svc:Tr0ub4dor7x@db.example.com/main end": "url postgres://svc:[SECRET]@db.example.com/main end",
+        "set pass" + "word\u00a0=\u00a0hunter22x\u2003now": "set password\u00a0=\u00a0[SECRET]\u2003now",
+        "see https://www.example.com/a/b_1.html?page=12 and mailto:a@b.example": "see https://www.example.com/a/b_1.html?page=12 and mailto:a@b.example",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.text for r in secrets.mask(df, forest).orderBy("doc_id").collect()] == list(texts.values())
+
+
+def test_training_compiles(spark, capfd):
+    """What can't be compiled runs expression by expression, many times slower."""
+    spark.sparkContext.setLogLevel("WARN")
+    try:
+        secrets.train(secrets.labelled_findings(spark, seed="compiled"))
+    finally:
+        spark.sparkContext.setLogLevel("ERROR")
+    assert "Failed to compile" not in "".join(capfd.readouterr())
+
+
 def brute_findings(text):
     """``word index, candidate, features`` in plain Python."""
     run = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
-    value = r"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',};]){6,}+"
+    hard = "\u00a0\u2000-\u200a\u202f\u3000"
+    value = rf"(?:(?!&[A-Za-z0-9_.~%-]+=)[^\x22',}};{hard}]){{6,}}+"
     names, others = secrets.KEY_NAMES, secrets.OTHER_NAMES
     words = [w for w in WS.split(text or "") if w]
     at = lambda i: words[i] if 0 <= i < len(words) else ""
@@ -163,7 +185,8 @@ def brute_findings(text):
         named = bool(re.search(sign, at(i - 1)) and re.search(f"(?i){names}", f"{at(i - 2)} {at(i - 1)}"))
         scheme = bool(re.search(rf"^[\x22']?(?i:{secrets.SCHEMES})$", at(i - 1)) and re.search(sign, at(i - 2)) and re.search(f"(?i){names}", f"{at(i - 3)} {at(i - 2)}"))
         values = [m[1] for m in [re.match(rf"[\x22']?({value})", w)] if m and (named or scheme)]
-        values += [m[1] for m in re.finditer(rf"(?i)(?:{names})[\x22']?[:=]{{1,2}}[\x22']?({value})", w)]
+        values += [m[1] for m in re.finditer(rf"(?i)(?:{names})[\x22']?[{hard}]*[:=]{{1,2}}[{hard}]*[\x22']?({value})", w)]
+        values += [m[1] for m in re.finditer(r"://[^\x20\x09-\x0D:/@]*:([^\x20\x09-\x0D:/@]{6,})@", w)]
         for c in runs + [v for v in values if not re.fullmatch(run, v) and v.lower() not in secrets.SCHEMES.split("|")]:
             n, low, before = len(c), c.lower(), " ".join((at(i - 3), at(i - 2), at(i - 1)))
             lead = w.split(c)[0]
@@ -181,7 +204,7 @@ def brute_findings(text):
                 "path": bool(re.search(r"://|^[./~]|/[^/]+/|\.[a-z]{2,4}(?:[^a-z]|$)|^data:", w)),
                 "key_name": bool(re.search(f"(?i){names}", context)),
                 "other_name": bool(re.search(rf"(?i)(?:^|[^a-z])(?:{others})(?:[^a-z]|$)", context)),
-                "assigned": bool(re.search(r"[:=]{1,2}[\x22']?$", context)),
+                "assigned": bool(re.search(rf"[:=]{{1,2}}[{hard}]*[\x22']?$", context)),
                 "quoted": bool(re.search(r"[\x22']$", lead)),
                 "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)),
                 "uuid": bool(re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", c)),
