@@ -10,8 +10,8 @@ their names; whole texts are read, however long. A null or empty text fails the
 rules; after them, it would be a document of its own, without secrets, in no mix (it has
 no words), and packed as its end id. A null id or source is a value like others, but
 rows with a null id are nobody's copies. Repeated rows are judged each for itself by the
-rules and the scan, one of them stays as a near duplicate, and ties at a source's threshold
-share what is left of its target.
+rules and the scan, one of them stays as a near duplicate, and the document at a source's
+threshold is taken whole or not at all.
 """
 
 from __future__ import annotations
