@@ -849,6 +849,22 @@ def glossary_checks(spark, d):
     return table(spark, d, "benchmark").select("item_id", translation.glossary_valid(value).alias("valid"))
 
 
+_TRIMMED = f"regexp_replace(text, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+@query(
+    f"select doc_id, case doc_id % 5 when 0 then t when 1 then t || chr(10) || chr(10) || 'two' when 2 then 'first' || chr(10) || chr(10) || t || chr(10) || chr(10) || 'deep' when 3 then t || chr(10) || chr(10) || t else null end as content from (select doc_id, {_TRIMMED} as t from documents) where t <> ''"
+)
+def engine_outputs(spark, d):
+    """Texts inside lists, pages and objects, among blank ones; every fifth isn't JSON."""
+    docs = table(spark, d, "documents").where(text.trim(F.col("text")) != "")
+    t = F.to_json(F.array("text"))
+    inner = t.substr(F.lit(2), F.length(t) - 2)
+    put = lambda *parts: F.concat(*(inner if p is None else F.lit(p) for p in parts))
+    value = F.element_at(F.array(put('{"text":" ","markdown":', None, ',"content":"never"}'), put('[{"content":', None, '},[" ",{"result":"two"}]]'), put('{"text":"","pages":[{"markdown":"first"},{"result":[', None, ',{"text":{"content":"deep"}}]}]}'), put('{"content":{"pages":[', None, ",", None, ',null,7]}}'), put('{"text":', None)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return docs.select("doc_id", files.engine_texts(value).alias("content"))
+
+
 @query("select item_id, case when item_id % 4 = 0 then text when item_id % 4 = 1 then '{\"content\":7}' when item_id % 4 = 2 then '[1]' else 'x{' end as content, case when item_id % 2 = 0 then 'page_count=3;schema_version=v' else 'page=' || item_id || ';confidence=0.5' end as metadata, case when length(text) <= 128 then text end as namespace from benchmark")
 def engine_results(spark, d):
     t, at = F.col("text"), F.col("item_id") % 4

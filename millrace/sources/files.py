@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.text import trim
 from ..operators.ordered import rolling_digest
@@ -199,6 +199,19 @@ def engine_text(value) -> str:
     return ""
 
 
+@pandas_udf(StringType())
+def engine_texts(outputs: pd.Series) -> pd.Series:
+    """``engine_text`` of JSON texts; null for what isn't JSON, and empty where there is no text. Nested deeper than Python can follow is no JSON."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else engine_text(json.loads(x))
+        except (ValueError, RecursionError):
+            return None
+
+    return outputs.map(one)
+
+
 def page_bounds_ok(kind: Column, page_start: Column, page_end: Column, page_count: Column) -> Column:
     """One page of those there are; images have page 1 alone."""
     one = (page_start == page_end) & (page_start >= 1) & (page_start <= page_count)

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import sqlite3
 
 import pytest
@@ -179,3 +180,44 @@ def test_supervisor(spark, tmp_path):
     assert worked == ["a", "b", "c", "a", "b", "c"] and len(reports) == 2 and reports[-1]["errors"] == {"b": "RuntimeError: x"}
     with pytest.raises(ValueError):
         deltas.supervise(spark, lambda: jobs, work, str(tmp_path), cycles=0)
+
+
+def test_any_split_of_the_bytes_gives_the_same_responses(spark, tmp_path):
+    chunk = lambda **delta: "data: " + json.dumps({"choices": [{"delta": delta}]}, ensure_ascii=False)
+    call = lambda k, **f: {"index": k, "function": f} | ({"id": f.pop("id")} if "id" in f else {})
+    lines = [
+        chunk(content="hé🙂"), ": comment", "", "  " + chunk(reasoning_content="why　") + "\r", "data: {broken", chunk(content="llo", tool_calls=[call(1, id="b", name="se", arguments='{"q"')]), chunk(tool_calls=[call(0, id="a", name="list"), call(1, name="arch", arguments=':"é"}')]),
+        "data: " + json.dumps({"choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": 4, "total_tokens": 7}}), "data: [DONE]", chunk(content=" end"),
+    ]
+    body = "\n".join(lines).encode()
+    whole = spark.createDataFrame([("r", k, line) for k, line in enumerate(lines)], "s string, k int, value string")
+    want = deltas.assemble(deltas.deltas(whole), "s", "k").first()
+    rng = random.Random(5)
+    for r in range(4):
+        cuts = sorted(rng.sample(range(1, len(body)), 25))
+        pieces = [body[a:b] for a, b in zip([0, *cuts], [*cuts, len(body)], strict=True)]
+        source, at = tmp_path / f"in{r}", 0
+        for n, size in enumerate((1, 7, 2, 16)):
+            rows = [(s, at + i, p) for s in ("r", "q") for i, p in enumerate(pieces[at : at + size])]
+            spark.createDataFrame(rows, "s string, k int, data binary").coalesce(1).write.mode("append").parquet(str(source))
+            at += size
+            del n
+        stream = spark.readStream.schema("s string, k int, data binary").option("maxFilesPerTrigger", 1).parquet(str(source))
+        out = deltas.assemble_bytes(stream, "s", "k")
+        q = out.writeStream.format("memory").queryName(f"bytes{r}").outputMode("update").option("checkpointLocation", str(tmp_path / f"at{r}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        rows = spark.table(f"bytes{r}").where(F.col("n_bytes") == len(body)).collect()
+        assert len(rows) == 2
+        for got in rows:
+            assert (got.text, got.reasoning, got.prompt_tokens, got.completion_tokens, got.total_tokens) == (want.text, want.reasoning, 3, 4, 7) and got.text == "hé🙂llo end"
+            assert [tuple(c) for c in got.tool_calls] == [tuple(c) for c in want.tool_calls] == [(0, "a", "list", ""), (1, "b", "search", '{"q":"é"}')]
+
+
+def test_a_response_is_the_same_at_every_cut():
+    line = b'data: {"choices":[{"delta":{"content":"\xc3\xa9\xf0\x9f\x99\x82"}}]}\n'
+    for cut in range(len(line) * 2):
+        r = deltas.Response()
+        r.feed((line * 2)[:cut])
+        r = deltas.Response(r.state())
+        r.feed((line * 2)[cut:])
+        assert r.state() == (b"", "é🙂é🙂", "", None, None, None, [], len(line) * 2)
