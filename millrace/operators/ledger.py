@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,18 +108,21 @@ def pack_batches(shards: DataFrame, key: str, position: str, size: str, cap_byte
     first = entries.select(F.col(key).alias("__k"), F.floor(F.col("__n") / block).alias("__b"), F.col("__n").alias("__entry"))
     known = pointers.join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")), "left").drop("__k", "__b")
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__n")
-        n, jump = pdf["__n"].to_numpy(), pdf["__next"].to_numpy()
-        batch, at, number = np.full(len(n), -1), pdf["__entry"].iloc[0], -1
-        while at <= n[-1]:
-            number += 1
-            begin = int(at - n[0])
-            batch[begin : int(jump[begin] - n[0])] = number
-            at = jump[begin]
-        return pd.DataFrame({key: pdf[key], position: pdf[position], size: pdf[size], "__block": pdf["__block"], "__local": batch})
-
-    local = staged(known.groupBy(key, "__block").applyInPandas(follow, f"{key} {types[key]}, {position} {types[position]}, {size} {types[size]}, __block long, __local long"), "pack-local")
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of one block after another; three numbers of state."""
+        block_of, number, at = None, -1, None
+        for pdf in batches:
+            out = []
+            for g, b, n, jump, entry in zip(pdf["__g"], pdf["__block"], pdf["__n"], pdf["__next"], pdf["__entry"], strict=True):
+                if (g, b) != block_of:
+                    block_of, number, at = (g, b), -1, entry
+                if n == at:
+                    number, at = number + 1, jump
+                out.append(number)
+            yield pdf[[key, position, size, "__block"]].assign(__local=out)
+
+    rows_of = known.withColumn("__g", F.xxhash64(key)).repartition("__g", "__block").sortWithinPartitions("__g", key, "__block", "__n")
+    local = staged(rows_of.mapInPandas(follow, f"{key} {types[key]}, {position} {types[position]}, {size} {types[size]}, __block long, __local long"), "pack-local")
     blocks = local.groupBy(key, "__block").agg((F.max("__local") + 1).alias("__begun"))
     upto = running_totals(blocks, [F.col("__block")], {"__upto": F.col("__begun")}, [F.col(key)]).select(F.col(key).alias("__k"), F.col("__block").alias("__b"), (F.col("__upto") - F.col("__begun")).alias("__before"))
     packed = local.join(upto, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b"))).select(key, position, size, (F.col("__before") + F.col("__local")).alias("batch"))

@@ -531,7 +531,7 @@ def signed_execution_plans(spark, d):
         day(F.when(kind == 2, 1).when(kind == 1, -2).otherwise(-1)).alias("issued_at"), day(F.when(kind == 1, -1).when(kind == 3, -1).otherwise(2)).alias("expires_at"), F.lit(1).alias("max_items"), F.lit(10).alias("max_concurrency"), F.lit(4.0).alias("max_cost_usd"), F.when(j % 6 == 1, 3.0).otherwise(9.0).alias("daily_cost_cap_usd"),
     )
     signed = signatures.signed(F.to_json(receipt), _OWNER)
-    df = table(spark, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", "o_totalprice", F.when(j % 11 != 0, signed).alias("signed"))
+    df = table(spark, d, "orders").where("o_orderkey % 9 = 0").repartition(spark.sparkContext.defaultParallelism).select("o_orderkey", "o_totalprice", F.when(j % 11 != 0, signed).alias("signed"))
     changed = F.when(j % 4 == 3, F.replace("signed", F.lit('"max_items":1'), F.lit('"max_items":2'))).otherwise(F.col("signed"))
     df = df.withColumn("receipt_json", changed).selectExpr(
         "o_orderkey", "'live' as transport", "case when o_orderkey % 4 = 0 then 'local_private' else 'non_sensitive_bulk' end as egress_class", "'non_sensitive_bulk' as recommended_class", "false as canonical_writes", "false as external_side_effects", "false as failure_injection", "256 as max_tokens", "cast(o_orderkey % 30 as int) as concurrency",
