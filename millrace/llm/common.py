@@ -48,6 +48,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores where they come in fewer partitions, as a small file does; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove working tables that nothing reads any more, and let Spark drop the shuffle
     files of what has been written: they stay until the driver's JVM collects its garbage."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread, staged
 
 #: What parts words, once A to Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,7 +59,8 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 
     With ``terms_of(docs)`` every token is in the index.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("words"))
+    texts = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     tokens = rows.select("row", "doc_id", F.posexplode(F.array_append("words", F.lit(None).cast("string"))).alias("pos", "token"))
     postings = tokens.join(sent(terms), F.col("token") == F.col("word"), "left").where("term is not null or token is null")
     return staged(postings.select("row", "doc_id", "term", "pos").sortWithinPartitions("term", "row", "pos"), "index")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Letters together, every other character by itself.
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 #: Marks before prefix, suffix and middle.
@@ -56,7 +58,7 @@ def draws(id_: Column, seed: str, n: int = 4) -> list[Column]:
 def fill_in_middle(
     docs: DataFrame, seed: str = "1", unit: str = UNIT, marks: tuple[str, str, str] = MARKS, plain_percent: int = PLAIN_PERCENT, suffix_first_percent: int = SUFFIX_FIRST_PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, n, form, prefix_chars, middle_chars, output`` of every document. No shuffle.
+    """``doc_id, n, form, prefix_chars, middle_chars, output`` of every document. Texts are shuffled only if they come in fewer partitions than there are cores.
 
     The first two draws, modulo ``n + 1``, are the ranks of the two cuts; the third decides
     between plain and cut, the fourth between ``psm`` (prefix, suffix, middle) and ``spm``.
@@ -86,7 +88,7 @@ def fill_in_middle(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(h.alias(f"h{k}") for k, h in enumerate(draws(F.col(f"`{id_col}`"), seed))))
-    return rows.mapInArrow(cut, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return spread(rows).mapInArrow(cut, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
