@@ -3,12 +3,14 @@
 Each rule votes to keep (1), to reject (-1) or abstains (0). What the rules' votes say
 about the unseen quality is estimated by expectation-maximisation over the counts of
 vote patterns. A document is good, or junk of one of several kinds: one kind for each
-rule, which that rule tends to reject. For good documents and for each kind, the chances
-of the three votes of each rule are estimated, and the share of each. Rules that vote
-alike count less (``independence``). A document is kept if its posterior probability of
-being good reaches ``threshold`` and it passes the base rules; so one reject vote of a
-rule that proves unreliable drops nothing, and abstentions that are usual for junk only
-count against a document.
+rule, which that rule is believed to reject, until the data say otherwise. For good
+documents and for each kind, the chances of the three votes of each rule are estimated,
+and the share of each. A kind that one rule alone bears out is not junk but that rule's
+error. Rules that err alike on good documents count less
+(``independence``). A document is kept if its posterior probability of being good
+reaches ``threshold`` and it passes the base rules; so a reject vote that no other rule
+bears out drops nothing, and abstentions that are usual for junk only count against a
+document.
 
 There are at most 3 ** len(RULES) vote patterns whatever the size of the corpus; only
 their counts reach the driver.
@@ -32,10 +34,12 @@ from .common import WORD_SPLIT, staged
 
 SYMBOLS = "#*$%&|<>"
 HELD = "counts"
-#: Prior belief: rejecting votes on a good document, and the votes of the rule that a kind of junk is named for (reject, abstain, keep).
-FALSE_REJECTS, JUNK_VOTES, GOOD_SHARE = 0.002, (0.8, 0.15, 0.05), 0.9
-#: How many documents a prior belief counts for, as a share of all: on good documents, on a kind's own rule, on its other rules.
-BELIEF_GOOD, BELIEF_OWN, BELIEF_OTHER, BELIEF_LEAST = 0.2, 0.01, 0.05, 2.0
+#: Prior beliefs: chances of a vote (reject, abstain, keep) on good documents, of the rule that a kind of junk is named for and of its other rules, and the share of good documents.
+GOOD_VOTES, OWN_VOTES, OTHER_VOTES, GOOD_SHARE = (0.01, 0.09, 0.9), (0.8, 0.15, 0.05), (0.2, 0.2, 0.6), 0.9
+#: How many documents a prior belief counts for, whatever the size of the corpus.
+BELIEF = 10.0
+#: Reject votes that documents of a kind get on average if it is junk.
+BORNE_OUT = 1.5
 #: Steps at most, and the change of all posteriors below which the estimate has converged.
 MOST_STEPS, TOLERANCE = 2000, 1e-7
 
@@ -96,6 +100,8 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.octet_length(text) - F.octet_length(_without(text, "!"))).cast("long").alias("n_exclaims"),
         (F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long").alias("n_capitals"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
+        F.size(F.filter(words, lambda w: F.length(w) == 1)).cast("long").alias("n_single_words"),
+        (F.octet_length(text) - F.octet_length(_without(text, ".?!"))).cast("long").alias("n_stops"),
     )
     return df.select("row", counts.alias(HELD))
 
@@ -114,15 +120,18 @@ class Rule:
         return F.coalesce(F.when(v > self.bad, -1).when(v < self.good, 1), F.lit(0)).alias(self.name)
 
 
+#: Several look at the same faults from different sides, so that each can be judged by the others; between the two bounds a rule abstains.
 RULES = (
-    Rule("symbols", "q.n_symbols / nullif(q.n_words, 0)", 0.05, 0.2),
+    Rule("symbols", "q.n_symbols / nullif(q.n_words, 0)", 0.05, 0.5),
+    Rule("singles", "q.n_single_words / nullif(q.n_words, 0)", 0.05, 0.3),
+    Rule("word_length", "abs(ln(q.word_chars / nullif(q.n_words, 0) / 5.5))", 0.2, 0.35),
+    Rule("sentences", "q.n_words / greatest(q.n_stops, 1)", 20, 25),
+    Rule("variety", "1 - q.n_distinct_words / nullif(least(q.n_words, 400), 0)", 0.3, 0.45),
     Rule("repeats", "q.n_repeat_words / nullif(q.n_words, 0)", 0.2, 0.4),
     Rule("exclaims", "q.n_exclaims / nullif(q.n_words, 0)", 0.1, 0.3),
     Rule("capitals", "q.n_capitals / nullif(q.word_chars, 0)", 0.1, 0.2),
     Rule("dup_lines", "q.n_dup_lines / nullif(q.n_lines, 0)", 0.3, 0.6),
-    Rule("word_length", "abs(ln(q.word_chars / nullif(q.n_words, 0) / 5.5))", 0.6, 1.0),
     Rule("short", "50 / nullif(q.n_words, 0)", 0.7, 1.0),
-    Rule("variety", "1 - q.n_distinct_words / nullif(least(q.n_words, 400), 0)", 0.75, 0.9),
 )
 
 
@@ -136,84 +145,81 @@ Votes = tuple[int, ...]
 
 @dataclass(frozen=True)
 class Model:
-    """``shares``: of good documents and of each kind of junk. ``chances[k][j]``: of votes
-    -1, 0 and 1 of rule j in them. ``weights[j]``: how much of rule j's votes counts for the
-    kinds of other rules."""
+    """``shares``: of good documents and of each kind. ``chances[k][j]``: of votes -1, 0 and 1
+    of rule j in them. ``weights[j]``: how much of rule j's votes counts. Kinds of junk are
+    those that more than one rule bears out; what one alone rejects is that rule's error."""
 
     shares: tuple[float, ...]
     chances: tuple[tuple[tuple[float, float, float], ...], ...]
     weights: tuple[float, ...]
 
+    def junk(self, k: int) -> bool:
+        """Whether documents of kind k are rejected ``BORNE_OUT`` times on average, an abstention counting half."""
+        return k > 0 and sum(c[0] + c[1] / 2 for c in self.chances[k]) > BORNE_OUT
+
     def evidence(self, k: int, j: int) -> tuple[float, float, float]:
-        """What each vote of rule j says for kind k against good, in log odds. A kind's own rule counts in full."""
-        weight = 1.0 if k == j + 1 else self.weights[j]
-        return tuple(weight * math.log(self.chances[k][j][v] / self.chances[0][j][v]) for v in range(3))
+        """What each vote of rule j says for kind k against good, in log odds."""
+        return tuple(self.weights[j] * math.log(self.chances[k][j][v] / self.chances[0][j][v]) for v in range(3))
 
     def odds(self, k: int) -> float:
         return math.log(self.shares[k] / self.shares[0])
 
-    def responsibilities(self, votes: Votes) -> list[float]:
-        against = [0.0] + [self.odds(k) + sum(self.evidence(k, j)[v + 1] for j, v in enumerate(votes)) for k in range(1, len(self.shares))]
-        most = max(against)
-        scaled = [math.exp(x - most) for x in against]
-        return [x / sum(scaled) for x in scaled]
-
     def posterior(self, votes: Votes) -> float:
-        return self.responsibilities(votes)[0]
+        sides = [1.0, 0.0]
+        for k in range(1, len(self.shares)):
+            sides[self.junk(k)] += math.exp(min(700.0, self.odds(k) + sum(self.evidence(k, j)[v + 1] for j, v in enumerate(votes))))
+        return 1 / (1 + sides[1] / sides[0])
 
     def posterior_column(self, votes: list[Column]) -> Column:
-        junk = F.lit(0.0)
+        sides = [F.lit(1.0), F.lit(0.0)]
         for k in range(1, len(self.shares)):
             says = [F.element_at(F.array(*map(F.lit, self.evidence(k, j))), v + 2) for j, v in enumerate(votes)]
-            junk = junk + F.exp(F.least(F.lit(700.0), sum(says, F.lit(self.odds(k)))))
-        return 1 / (1 + junk)
+            sides[self.junk(k)] = sides[self.junk(k)] + F.exp(F.least(F.lit(700.0), sum(says, F.lit(self.odds(k)))))
+        return 1 / (1 + sides[1] / sides[0])
 
 
-def independence(patterns: dict[Votes, int]) -> tuple[float, ...]:
+def independence(patterns: dict[Votes, float]) -> tuple[float, ...]:
     """A weight for each rule: one over the sum of its correlations, without their signs,
     with all rules, itself included. Of two rules that always vote alike each counts a half."""
     votes = np.array(list(patterns), float)
     counts = np.array(list(patterns.values()), float)
     centred = votes - (counts @ votes) / max(counts.sum(), 1)
     cov = (centred * counts[:, None]).T @ centred
-    spread = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-    alike = np.abs(np.where(spread > 0, cov / np.where(spread > 0, spread, 1), 0))
+    # A rule whose votes differ by less than a thousandth of a document doesn't vary.
+    spread = np.sqrt(np.where(np.diag(cov) > 1e-3, np.diag(cov), np.inf))
+    alike = np.abs(cov) / np.outer(spread, spread)
     np.fill_diagonal(alike, 1)
     return tuple(float(x) for x in 1 / alike.sum(axis=0))
 
 
-def expectation_maximisation(patterns: dict[Votes, int], steps: int = MOST_STEPS, tolerance: float = TOLERANCE) -> Model:
+def expectation_maximisation(patterns: dict[Votes, int], steps: int = MOST_STEPS, tolerance: float = TOLERANCE, belief: float = BELIEF) -> Model:
     """Fit ``Model`` to the counts of vote patterns; stops when no posterior changes by more than ``tolerance``.
 
-    The prior beliefs hold no chance fast: each is a number of imagined documents, a fixed
-    share of all there are, and as many real ones outweigh it.
+    The prior beliefs count for ``belief`` documents each, however many there are, so they
+    decide on small tables and fade on large ones.
     """
-    n, total = len(next(iter(patterns), ())), float(sum(patterns.values()))
-    votes = list(patterns)
-    counts = np.array([patterns[v] for v in votes], float)
+    n = len(next(iter(patterns), ()))
+    votes, counts = list(patterns), np.array(list(patterns.values()), float)
     cast = np.array([[[float(v[j] == x - 1) for x in range(3)] for j in range(n)] for v in votes]).reshape(len(votes), n, 3)
-    overall = (np.einsum("p,pjx->jx", counts, cast) + BELIEF_LEAST / 3) / (total + BELIEF_LEAST)
-    belief = np.empty((n + 1, n, 3))
-    kept = overall[:, 1:] / overall[:, 1:].sum(axis=1, keepdims=True)
-    belief[0] = np.concatenate([np.full((n, 1), FALSE_REJECTS), (1 - FALSE_REJECTS) * kept], axis=1) * max(BELIEF_GOOD * total, BELIEF_LEAST)
-    belief[1:] = overall * max(BELIEF_OTHER * total, BELIEF_LEAST)
-    for j in range(n):
-        belief[j + 1, j] = np.array(JUNK_VOTES) * max(BELIEF_OWN * total, BELIEF_LEAST)
-    share = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / n] * n) * BELIEF_LEAST if n else np.array([BELIEF_LEAST])
-
-    def model(chances: np.ndarray, shares: np.ndarray) -> Model:
-        return Model(tuple((shares / shares.sum()).tolist()), tuple(tuple(map(tuple, c)) for c in (chances / chances.sum(axis=2, keepdims=True)).tolist()), weights)
-
-    weights = independence(patterns)
-    now, before = model(belief, share), None
+    prior = np.empty((n + 1, n, 3))
+    prior[0], prior[1:] = GOOD_VOTES, OTHER_VOTES
+    prior[np.arange(n) + 1, np.arange(n)] = OWN_VOTES
+    shares = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / n] * n)
+    chances, q, before = prior, shares, None
     for _ in range(steps):
-        of = np.array([now.responsibilities(v) for v in votes])
+        score = np.einsum("pjx,kjx->pk", cast, np.log(chances)) + np.log(q)
+        of = np.exp(score - score.max(axis=1, keepdims=True))
+        of /= of.sum(axis=1, keepdims=True)
         if before is not None and np.abs(of - before).max() <= tolerance:
             break
-        before = of
-        held = of * counts[:, None]
-        now = model(belief + np.einsum("pk,pjx->kjx", held, cast), share + held.sum(axis=0))
-    return now
+        before, held = of, of * counts[:, None]
+        chances = belief * prior + np.einsum("pk,pjx->kjx", held, cast)
+        chances = chances / chances.sum(axis=2, keepdims=True)
+        q = belief * shares + held.sum(axis=0)
+        q = q / q.sum()
+    # Correlation over all documents is what quality itself causes; among good ones it is shared error.
+    weights = independence(dict(zip(votes, of[:, 0] * counts, strict=True)))
+    return Model(tuple(q.tolist()), tuple(tuple(map(tuple, c)) for c in chances.tolist()), weights)
 
 
 def fit(features: DataFrame, rules: tuple[Rule, ...] = RULES, held: str = HELD) -> Model:
