@@ -81,7 +81,9 @@ def plain_kept(texts):
 
 def plain_estimate(votes):
     """Posterior of each document by a plain loop over documents; ``votes``: one list for each."""
-    n, belief = len(votes[0]), quality.BELIEF
+    n, belief, documents = len(votes[0]), quality.BELIEF, [tuple(v) for v in votes]
+    times = Counter(documents)
+    votes = list(times)
     believed = lambda k, j: quality.GOOD_VOTES if k == 0 else quality.OWN_VOTES if k == j + 1 else quality.OTHER_VOTES
     prior = [[[x * belief for x in believed(k, j)] for j in range(n)] for k in range(n + 1)]
     first = [quality.GOOD_SHARE * belief] + [(1 - quality.GOOD_SHARE) * belief / n] * n
@@ -102,9 +104,9 @@ def plain_estimate(votes):
         if before and max(abs(x - y) for a, b in zip(kinds, before, strict=True) for x, y in zip(a, b, strict=True)) <= quality.TOLERANCE:
             break
         before = kinds
-        counts = [[[prior[k][j][x] + sum(o[k] for o, v in zip(kinds, votes, strict=True) if v[j] == x - 1) for x in range(3)] for j in range(n)] for k in range(n + 1)]
-        shares = [first[k] + sum(o[k] for o in kinds) for k in range(n + 1)]
-    of = [o[0] for o in kinds]
+        counts = [[[prior[k][j][x] + sum(o[k] * times[v] for o, v in zip(kinds, votes, strict=True) if v[j] == x - 1) for x in range(3)] for j in range(n)] for k in range(n + 1)]
+        shares = [first[k] + sum(o[k] * times[v] for o, v in zip(kinds, votes, strict=True)) for k in range(n + 1)]
+    of = [o[0] * times[v] for o, v in zip(kinds, votes, strict=True)]
 
     def alike(a, b):
         if a == b:
@@ -114,7 +116,9 @@ def plain_estimate(votes):
         return abs(cov) / math.sqrt(va * vb) if va > 1e-3 and vb > 1e-3 else 0.0
 
     junk = [k > 0 and sum((c[0] + c[1] / 2) / sum(c) for c in counts[k]) > quality.BORNE_OUT for k in range(n + 1)]
-    return [1 - sum(x for x, bad in zip(o, junk, strict=True) if bad) for o in belongs([1 / sum(alike(a, b) for b in range(n)) for a in range(n)])]
+    weights = [1 / sum(alike(a, b) for b in range(n)) for a in range(n)]
+    good = {v: 1 - sum(x for x, bad in zip(o, junk, strict=True) if bad) for v, o in zip(votes, belongs(weights), strict=True)}
+    return [good[v] for v in documents]
 
 
 def test_posterior_and_kept_against_a_plain_estimate(spark):
@@ -176,7 +180,7 @@ def test_agreement_with_labels(spark):
 def test_rules_contradict_each_other_and_beliefs_fade(spark):
     """On a whole table several rules reject, single rejects are overruled, and beliefs ten times as strong or weak decide next to no verdict."""
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    features = quality.with_features(df.select("doc_id", "text")).where(~quality.base_failed())
+    features = quality.staged(quality.with_features(df.select("doc_id", "text")), "votes").where(~quality.base_failed())
     votes = Counter(tuple(r) for r in features.select(*(r.vote() for r in quality.RULES)).collect())
     total = sum(votes.values())
     rejects = [sum(c for v, c in votes.items() if v[j] == -1) for j in range(len(quality.RULES))]
