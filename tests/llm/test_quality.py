@@ -66,8 +66,6 @@ def plain_votes(text):
         "word_length": abs(math.log(chars / n / 5.5)) if n else None,
         "short": share(50, n),
         "variety": 1 - len(set(words)) / min(n, 400) if n else None,
-        "singles": share(sum(len(w) == 1 for w in words), n),
-        "sentences": n / max(sum(text.count(c) for c in ".?!"), 1),
     }
     return [0 if values[r.name] is None else -1 if values[r.name] > r.bad else 1 if values[r.name] < r.good else 0 for r in quality.RULES]
 
@@ -81,40 +79,48 @@ def plain_kept(texts):
 
 def plain_estimate(votes):
     """Posterior of each document by a plain loop over documents; ``votes``: one list for each."""
-    n, belief = len(votes[0]), quality.BELIEF
-    believed = lambda k, j: quality.GOOD_VOTES if k == 0 else quality.OWN_VOTES if k == j + 1 else quality.OTHER_VOTES
-    prior = [[[x * belief for x in believed(k, j)] for j in range(n)] for k in range(n + 1)]
-    first = [quality.GOOD_SHARE * belief] + [(1 - quality.GOOD_SHARE) * belief / n] * n
-    counts, shares, before = prior, first, None
-
-    def belongs(weights):
-        """The chances of each document to be good and of each kind."""
-        out = []
-        chance = [[[math.log(x / sum(row)) for x in row] for row in kind] for kind in counts]
-        for v in votes:
-            score = [math.log(shares[k]) + sum(weights[j] * chance[k][j][v[j] + 1] for j in range(n)) for k in range(n + 1)]
-            e = [math.exp(x - max(score)) for x in score]
-            out.append([x / sum(e) for x in e])
-        return out
+    n, total = len(votes[0]), len(votes)
+    weigh = lambda share: max(share * total, quality.BELIEF_LEAST)
+    overall = [[(sum(v[j] == x for v in votes) + quality.BELIEF_LEAST / 3) / (total + quality.BELIEF_LEAST) for x in (-1, 0, 1)] for j in range(n)]
+    belief = []
+    for k in range(n + 1):
+        rows = []
+        for j in range(n):
+            rest = overall[j][1] + overall[j][2]
+            if k == 0:
+                mean, weight = [quality.FALSE_REJECTS, (1 - quality.FALSE_REJECTS) * overall[j][1] / rest, (1 - quality.FALSE_REJECTS) * overall[j][2] / rest], weigh(quality.BELIEF_GOOD)
+            elif k == j + 1:
+                mean, weight = quality.JUNK_VOTES, weigh(quality.BELIEF_OWN)
+            else:
+                mean, weight = overall[j], weigh(quality.BELIEF_OTHER)
+            rows.append([m * weight for m in mean])
+        belief.append(rows)
+    shares = [quality.GOOD_SHARE * quality.BELIEF_LEAST] + [(1 - quality.GOOD_SHARE) / n * quality.BELIEF_LEAST] * n
+    prior_shares = list(shares)
 
+    def alike(a, b):
+        ma, mb = sum(v[a] for v in votes) / total, sum(v[b] for v in votes) / total
+        cov = sum((v[a] - ma) * (v[b] - mb) for v in votes)
+        va, vb = sum((v[a] - ma) ** 2 for v in votes), sum((v[b] - mb) ** 2 for v in votes)
+        return 1.0 if a == b else abs(cov) / math.sqrt(va * vb) if va > 1e-9 and vb > 1e-9 else 0.0
+
+    weights = [1 / sum(alike(a, b) for b in range(n)) for a in range(n)]
+    chances = belief
+    before = None
     for _ in range(quality.MOST_STEPS):
-        kinds = belongs([1] * n)
-        if before and max(abs(x - y) for a, b in zip(kinds, before, strict=True) for x, y in zip(a, b, strict=True)) <= quality.TOLERANCE:
+        p = [[[c / sum(row) for c in row] for row in kind] for kind in chances]
+        q = [x / sum(shares) for x in shares]
+        of = []
+        for v in votes:
+            score = [math.log(q[k]) + sum((1.0 if k == j + 1 else weights[j]) * (math.log(p[k][j][v[j] + 1]) - math.log(p[0][j][v[j] + 1])) for j in range(n)) for k in range(n + 1)]
+            e = [math.exp(x - max(score)) for x in score]
+            of.append([x / sum(e) for x in e])
+        if before and max(abs(x - y) for a, b in zip(of, before, strict=True) for x, y in zip(a, b, strict=True)) <= quality.TOLERANCE:
             break
-        before = kinds
-        counts = [[[prior[k][j][x] + sum(o[k] for o, v in zip(kinds, votes, strict=True) if v[j] == x - 1) for x in range(3)] for j in range(n)] for k in range(n + 1)]
-        shares = [first[k] + sum(o[k] for o in kinds) for k in range(n + 1)]
-    of = [o[0] for o in kinds]
-
-    def alike(a, b):
-        if a == b:
-            return 1.0
-        mean = [sum(o * v[j] for o, v in zip(of, votes, strict=True)) / sum(of) for j in (a, b)]
-        cov, va, vb = (sum(o * (v[x] - mean[x == b]) * (v[y] - mean[y == b]) for o, v in zip(of, votes, strict=True)) for x, y in ((a, b), (a, a), (b, b)))
-        return abs(cov) / math.sqrt(va * vb) if va > 1e-3 and vb > 1e-3 else 0.0
-
-    junk = [k > 0 and sum((c[0] + c[1] / 2) / sum(c) for c in counts[k]) > quality.BORNE_OUT for k in range(n + 1)]
-    return [1 - sum(x for x, bad in zip(o, junk, strict=True) if bad) for o in belongs([1 / sum(alike(a, b) for b in range(n)) for a in range(n)])]
+        before = of
+        chances = [[[belief[k][j][x] + sum(o[k] for o, v in zip(of, votes, strict=True) if v[j] == x - 1) for x in range(3)] for j in range(n)] for k in range(n + 1)]
+        shares = [prior_shares[k] + sum(o[k] for o in of) for k in range(n + 1)]
+    return [o[0] for o in of]
 
 
 def test_posterior_and_kept_against_a_plain_estimate(spark):
@@ -171,28 +177,3 @@ def test_agreement_with_labels(spark):
     junk = [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in clean) >= 0.99 * len(clean)
     assert sum(r.kept for r in junk) <= 0.1 * len(junk)
-
-
-def test_rules_contradict_each_other_and_beliefs_fade(spark):
-    """On a whole table several rules reject, single rejects are overruled, and beliefs ten times as strong or weak decide next to no verdict."""
-    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    features = quality.with_features(df.select("doc_id", "text")).where(~quality.base_failed())
-    votes = Counter(tuple(r) for r in features.select(*(r.vote() for r in quality.RULES)).collect())
-    total = sum(votes.values())
-    rejects = [sum(c for v, c in votes.items() if v[j] == -1) for j in range(len(quality.RULES))]
-    assert sum(r >= 0.01 * total for r in rejects) >= 3
-    kept = [{v for v in votes if quality.expectation_maximisation(dict(votes), belief=b).posterior(v) >= 0.5} for b in (quality.BELIEF, quality.BELIEF / 10, quality.BELIEF * 10)]
-    assert all(sum(votes[v] for v in kept[0] ^ other) <= 0.001 * total for other in kept[1:])
-    assert sum(votes[v] for v in kept[0] if -1 in v) > 0
-    assert sum(c for v, c in votes.items() if v not in kept[0]) > 0
-
-
-def test_junk_without_a_reject_goes():
-    """Abstentions of rules that see junk weigh against a document although none rejects it."""
-    rng, patterns = random.Random(4), Counter()
-    for _ in range(20000):
-        good = rng.random() < 0.9
-        patterns[tuple(rng.choices((-1, 0, 1), (0.005, 0.02, 0.975) if good else (0.5, 0.45, 0.05))[0] for _ in quality.RULES)] += 1
-    model = quality.expectation_maximisation(dict(patterns))
-    n = len(quality.RULES)
-    assert model.posterior((0,) * n) < 0.01 and model.posterior((-1,) + (1,) * (n - 1)) > 0.99
