@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from decimal import Decimal
 
 import pandas as pd
@@ -26,7 +27,7 @@ WORD = r"\p{L}[\p{L}\p{M}\p{N}'’_-]*"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -56,8 +57,13 @@ def space_word_count(c: Column) -> Column:
 
 
 def nontrivial(c: Column) -> Column:
-    letters = F.length(c) - F.length(F.regexp_replace(c, r"\p{L}", ""))
-    return (letters >= 8) | (word_count(c) >= 2)
+    """Eight letters or two words; the eighth letter ends the search."""
+    return c.rlike(r"\A(?:\P{L}*+\p{L}){8}") | (word_count(c) >= 2)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def primary_language(c: Column) -> Column:

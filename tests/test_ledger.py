@@ -164,6 +164,20 @@ def test_quality_measures_trimmed_texts(spark):
         translation.quality(F.col("s"), F.col("t"), F.lit("a"), F.lit("b"), (), 2.0, 1.0)
 
 
+def test_quality_reads_each_text_once_for_each_pattern(spark):
+    df = spark.createDataFrame([("a {{n}} %s ${x}", "b {{n}}")], "s string, t string")
+    df = df.select(translation.quality(F.col("s"), F.col("t"), F.lit("en"), F.lit("fr")).alias("q"))
+    assert set(df.first().q.lost_placeholders) == {"${x}", "%s", "{x}"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f", {p}, 0)") for p in translation.PLACEHOLDERS] == [2] * len(translation.PLACEHOLDERS)
+
+
+def test_nontrivial_by_letters_or_words(spark):
+    cases = {"a1b2c3d4e5f6g7": False, "a1b2c3d4e5f6g7h": True, "\U0001d49c" * 7: False, "\U0001d49c\n" * 4 + "éàñç": True, "a b": True, "1 2 3 4 5 6 7 8 9": False, "": False}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.nontrivial(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == cases
+
+
 def test_terms_against_single_searches(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abÀé ") for _ in range(n))
