@@ -3,17 +3,20 @@
 An Aho-Corasick automaton reads a text once, however many terms there are: its trie has
 a link from each node to the longest other prefix of a term that ends there, so all terms
 that end at a character are known when it is read. It is built once in each Python worker
-from the terms, which Spark sends there with the function.
+from the terms, which Spark sends there with the function. Texts stay in their Arrow batch
+and become Python strings one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 PAIRS = "array<struct<source: string, target: string>>"
 
@@ -56,15 +59,33 @@ def built(terms: Sequence[str], any_case: bool) -> Terms:
     return _BUILT[key]
 
 
+class Found:
+    """Lists of glossary pairs, held as the pairs' numbers until they are all there."""
+
+    def __init__(self) -> None:
+        self.numbers, self.ends = array("i"), array("i", [0])
+
+    def add(self, numbers: Iterable[int]) -> None:
+        self.numbers.extend(numbers)
+        self.ends.append(len(self.numbers))
+
+    def lists(self, pairs: Sequence[tuple[str, str]]) -> pa.ListArray:
+        which = pa.array(np.frombuffer(self.numbers, np.int32))
+        columns = [pa.array([p[k] for p in pairs], pa.string()).take(which) for k in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(self.ends, np.int32)), pa.StructArray.from_arrays(columns, ["source", "target"]))
+
+
 def terms_in(text: Column, glossary: Sequence[tuple[str, str]]) -> Column:
     """``source, target`` of each glossary pair whose source the text holds in any case, in the glossary's order; null has none."""
     pairs = [tuple(p) for p in glossary]
 
-    def find(texts: pd.Series) -> pd.Series:
-        terms = built([s for s, _ in pairs], True)
-        return texts.map(lambda t: [] if t is None else [{"source": pairs[k][0], "target": pairs[k][1]} for k in terms.in_text(t)])
+    def find(texts: pa.Array) -> pa.Array:
+        terms, found = built([s for s, _ in pairs], True), Found()
+        for t in texts:
+            found.add(() if (own := t.as_py()) is None else terms.in_text(own))
+        return found.lists(pairs)
 
-    return pandas_udf(find, PAIRS)(text) if pairs else F.array().cast(PAIRS)
+    return arrow_udf(find, PAIRS)(text) if pairs else F.array().cast(PAIRS)
 
 
 def terms_kept(source: Column, output: Column, glossary: Sequence[tuple[str, str]]) -> Column:
@@ -72,15 +93,16 @@ def terms_kept(source: Column, output: Column, glossary: Sequence[tuple[str, str
     pairs = [tuple(p) for p in glossary]
     kind = f"required {PAIRS}, missing {PAIRS}"
 
-    def find(sources: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+    def find(sources: pa.Array, outputs: pa.Array) -> pa.Array:
         wanted, given = built([s for s, _ in pairs], True), built([t for _, t in pairs], False)
-        rows = []
+        found, missing = Found(), Found()
         for s, o in zip(sources, outputs, strict=True):
-            required = wanted.in_text(s or "")
-            there = set(given.in_text(o or "")) if required else set()
-            rows.append([[{"source": pairs[k][0], "target": pairs[k][1]} for k in numbers] for numbers in (required, [k for k in required if k not in there])])
-        return pd.DataFrame(rows, columns=["required", "missing"])
+            required = wanted.in_text(s.as_py() or "")
+            there = set(given.in_text(o.as_py() or "")) if required else set()
+            found.add(required)
+            missing.add(k for k in required if k not in there)
+        return pa.StructArray.from_arrays([found.lists(pairs), missing.lists(pairs)], ["required", "missing"])
 
     if not pairs:
         return F.struct(F.array().cast(PAIRS).alias("required"), F.array().cast(PAIRS).alias("missing"))
-    return pandas_udf(find, kind)(source, output)
+    return arrow_udf(find, kind)(source, output)

@@ -1,6 +1,8 @@
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,20 @@ def test_terms_against_single_searches(spark):
     assert "NestedLoop" not in plan
     with pytest.raises(ValueError, match="glossary_too_large"):
         translation.required_terms(df, "t", spark.range(10_001).select(F.col("id").cast("string").alias("source_term"), F.lit("x").alias("target_term")))
+
+
+def test_term_search_holds_one_text_at_a_time(monkeypatch):
+    """What the search adds to a batch of texts in Python's memory is far less than the batch."""
+    texts = pa.array(["The token " + "x" * 1_000_000] * 30 + [None])
+    pairs = [("token", "jeton"), ("THE", "le"), ("absent", "a")]
+    monkeypatch.setattr(terms, "arrow_udf", lambda find, kind: find)  # called on arrays, not columns
+    tracemalloc.start()
+    try:
+        found = terms.terms_in(texts, pairs)
+        kept = terms.terms_kept(texts, texts, pairs)
+        assert tracemalloc.get_traced_memory()[1] < texts.nbytes / 3
+    finally:
+        tracemalloc.stop()
+    want = [{"source": s, "target": t} for s, t in pairs[:2]]
+    assert found.to_pylist() == [want] * 30 + [[]]
+    assert kept.to_pylist() == [{"required": want, "missing": want}] * 30 + [{"required": [], "missing": []}]
