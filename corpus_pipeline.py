@@ -22,6 +22,9 @@ from millrace.llm import mixing, ngram_join, packing, quality, secrets
 from millrace.llm.common import new_path, read_table
 from millrace.llm.queries import vocabulary
 
+#: Units that a packing worker remembers: executors still hold the workers and heaps of the stages before.
+UNITS = 250_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
@@ -45,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of up to 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), max_units=UNITS)
 
 
 STAGES = [

@@ -89,14 +89,15 @@ class Encoder:
 
     Units fit tokenizers that part texts at blanks, dropping them or (``keeps_space``)
     joining them to what follows. One that disagrees on ``PROBES`` gets whole texts.
+    ``max_units`` are kept: fewer take less memory and more time.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, max_units: int = MAX_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keeps_space = keeps_space
+        self.keeps_space, self.max_units = keeps_space, max_units
         self.units = _Units(self.tokenizer, keeps_space)
         self.cut = True
         self.cut = all(self.encode(t) == self.whole(t) for t in PROBES)
@@ -107,7 +108,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.cut:
             return self.whole(text)
-        if len(self.units) > MAX_UNITS:
+        if len(self.units) > self.max_units:
             self.units.clear()
         if not self.keeps_space:
             return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
@@ -120,8 +121,9 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, max_units: int = MAX_UNITS) -> Encoder:
     """One encoder for each Python worker and vocabulary file."""
     if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
+        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space, max_units)
+    _ENCODERS[path, keeps_space].max_units = max_units
     return _ENCODERS[path, keeps_space]

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import MAX_UNITS, encoder
 
 TIERS = (256, 512, 1024, 2048)
 #: Remainders wait for their tiers until so many tokens are held.
@@ -138,17 +138,18 @@ def step_groups(windows: list[tuple[int, list[Piece]]], step_tokens: int = STEP_
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, max_units: int = MAX_UNITS) -> DataFrame:
     """One row for each piece: ``SCHEMA``, and ``ids`` if ``keep_ids``.
 
     A null text is empty: such a document is its end id. Repeated rows are packed each
     for itself; a null id stays null. ``sequence_id`` is the partition in the upper bits
-    and a count in the lower; ``step_group`` likewise.
+    and a count in the lower; ``step_group`` likewise. ``max_units`` bounds what each
+    Python worker remembers of units already encoded; the rows don't depend on it.
     """
     end = struct.pack("<I", end_id)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = encoder(tokenizer_path, True), TaskContext.get().partitionId() << 36
+        enc, base = encoder(tokenizer_path, True, max_units), TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []
         tokens = n_windows = n_groups = 0
 

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from millrace.llm import encoding, packing, token_archive
 from millrace.llm.common import new_path
 from millrace.llm.queries import vocabulary
@@ -129,3 +130,17 @@ def test_packing_rows(spark):
         whole.setdefault((r.doc_id, r.doc_tokens), []).extend(r.ids)
     assert {tuple(v) for k, v in whole.items() if k[0] != 3} <= set(want)
     assert packing.pack_documents(df.limit(0), name).count() == 0
+
+
+def test_a_worker_remembers_few_units_and_gives_the_same_rows(spark):
+    def rows(max_units):
+        found = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), max_units=max_units)
+        return sorted(map(tuple, found.collect()))
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(60)], "doc_id long, text string").coalesce(1)
+    assert rows(100) == rows(encoding.MAX_UNITS)
+    enc = encoding.Encoder(vocabulary("byte_bpe_50k.json"), True, 100)
+    for k in range(60):
+        enc.encode(" ".join(f"w{k}x{n}" for n in range(40)))
+        assert len(enc.units) <= 100 + 3 * 40
+    assert corpus_pipeline.UNITS < encoding.MAX_UNITS
