@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, staged
@@ -249,23 +249,23 @@ def _resolve(rows: DataFrame, n: int, threshold: float, target_recall: float, co
 
     members = staged(whole.select("key", "text").mapInArrow(choose, "key binary, node long, size long").dropDuplicates(["node", "key"]), "join-members")
     homes = staged(_homes(members, threshold), "join-homes")
-    at_home = members.join(homes, "node").select("key", F.struct("node", "docs", F.col("grams").alias("node_grams")).alias("h"), "times")
+    at_home = members.join(homes, "node").select("key", F.struct("node", "docs", F.col("grams").alias("node_grams")).alias("h"), "times", "size")
     # Who met others only once has met no one twice.
-    own = staged(at_home.groupBy("key").agg(F.collect_list("h").alias("homes"), F.sum("times").alias("times")).where("times > 1").select("key", "homes"), "join-own")
+    own = staged(at_home.groupBy("key").agg(F.collect_list("h").alias("homes"), F.sum("times").alias("times"), F.first("size").alias("size")).where("times > 1").select("key", "size", "homes"), "join-own")
     dropped(members, homes)
     nodes_of = lambda test: F.transform(F.filter("homes", test), lambda h: h["node"])
     is_small = lambda h: (h["docs"] <= NODE_DOCS) & (h["node_grams"] <= NODE_GRAMS)
     firsts = classes.join(own, "key").select("key", "copies", "copy_of", nodes_of(is_small).alias("homes"), nodes_of(lambda h: ~is_small(h)).alias("large"), nodes_of(lambda h: ~is_small(h) & _sampled(F.col("key"), h["node"], h["docs"], h["node_grams"])).alias("probes"))
     texts = whole.join(firsts, (whole.doc_id == firsts.copy_of) & (whole.key == firsts.key)).select(firsts.key, "copies", "homes", "large", "probes", "text")
     sets = staged(_with_set(texts, n), "join-sets")
-    large = own.select("key", F.inline("homes")).where(~_small("docs", "node_grams"))
+    large = staged(own.select("key", "size", F.inline(F.filter("homes", lambda h: ~is_small(h)))), "join-large")
     placed, pivots = _split_large(large, sets, threshold)
     roles, stars = _roles(placed, pivots, sets, threshold, counted)
-    found = staged(_compared(placed, roles, sets, threshold), "join-found")
+    found = staged(_compared(placed, roles, sets, threshold, counted), "join-found")
     if stars is not None:
         found = found.unionByName(stars)
     labels = _components(found.where("key <> other").select("key", "other"))
-    dropped(own, sets)
+    dropped(own, sets, large)
     degree = found.groupBy("key").agg(F.sum("links").alias("links"))
     nodes = classes.join(degree, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     nodes = staged(nodes, "join-nodes")
@@ -288,17 +288,17 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, target_reca
 
 
 def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """``key, node, docs, whole``: members of the nodes that large nodes end in (``whole``:
+    """``key, node, docs, size, whole``: members of the nodes that large nodes end in (``whole``:
     too large for one comparison), and ``node, pivot`` of such nodes; None without any.
 
-    ``large``: ``key, node, docs, node_grams``. A node most of whose documents are linked
+    ``large``: ``key, size, node, docs, node_grams``. A node most of whose documents are linked
     to each other, as a sample of them shows, or stay together in one child, is left
     whole. The others are split; their children are compared if small and split again
     if not, up to ``LEVELS`` times.
     """
     final = pivots = None
     add = lambda rows, more: more if rows is None else rows.unionByName(more)
-    ends = lambda rows, whole: rows.select("key", "node", "docs", F.lit(whole).alias("whole"))
+    ends = lambda rows, whole: rows.select("key", "node", "docs", "size", F.lit(whole).alias("whole"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +332,7 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
         final = add(final, ends(large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi"), True))
         made_apart = made.join(parents.where("not dense").select("parent"), "parent", "left_semi").drop("parent")
         nodes = _homes(made_apart, threshold, 1).drop("times").withColumnRenamed("grams", "node_grams")
-        children = staged(made_apart.join(nodes, "node").select("key", "node", "docs", "node_grams"), "join-children")
+        children = staged(made_apart.join(nodes, "node").select("key", "size", "node", "docs", "node_grams"), "join-children")
         dropped(made)
         final = add(final, ends(children.where(_small("docs", "node_grams")), False))
         large = children.where(~_small("docs", "node_grams"))
@@ -365,65 +365,75 @@ def _blocks(docs: str, grams_: str):
 
 
 def _roles(placed: DataFrame | None, pivots: DataFrame | None, sets: DataFrame, threshold: float, counted: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """``key, node, docs, b, upto`` of the members of nodes left whole: the member's block
-    and the number of blocks, the first ones, that it meets; and links to pivots.
+    """``key, node, docs, b, upto, known`` of the members of nodes left whole: the member's
+    block, the number of blocks, the first ones, that it meets, and the class that links to
+    pivots put it in; and these links.
 
     A group of near copies fills about one node in each run, with nearly the same members
     in all. Its members are compared with each other in one of them only: each node has
     the largest node of most of its members as its reference, and there only documents
-    that aren't in the reference are compared, with all. Without ``counted``, a node that
-    is its own reference does the same by its pivot: documents linked to it are one class,
-    so only the others are compared with all.
+    that have another largest node are compared, with all. Without ``counted``, documents
+    that pivots put in one class needn't meet at all: in each node the most frequent such
+    class is left alone if it is larger than what the reference settles, and only the others
+    are compared with all. A document is compared with the pivot of its largest node, and
+    a node's pivot with that of its reference.
     """
     if placed is None:
         return None, None
-    whole = placed.where("whole").dropDuplicates(["node", "key"]).select("key", "node", "docs")
-    whole = staged(whole.join(sets.where(F.size("large") > 0).select("key", "size"), "key"), "join-whole")
+    largest = F.min(F.struct((-F.col("docs")).alias("order"), "node"))["node"].alias("main")
+    whole = placed.where("whole").dropDuplicates(["node", "key"]).groupBy("key").agg(F.first("size").alias("size"), largest, F.collect_list(F.struct("node", "docs")).alias("nodes"))
+    whole = staged(whole, "join-whole")
     if whole.isEmpty():
         return None, None
-    of_key = whole.groupBy("key").agg(F.min(F.struct((-F.col("docs")).alias("order"), "node"))["node"].alias("main"), F.collect_list("node").alias("nodes"))
-    rows = whole.join(of_key, "key")
-    votes = rows.groupBy("node", "main").agg(F.count(F.lit(1)).alias("n"))
+    votes = whole.select("main", F.explode("nodes.node").alias("node")).groupBy("node", "main").agg(F.count(F.lit(1)).alias("n"))
     reference = votes.groupBy("node").agg(F.max(F.struct("n", "main"))["main"].alias("reference"))
-    rows = rows.join(reference, "node")
-    settled, stars = (F.col("reference") != F.col("node")) & F.array_contains("nodes", F.col("reference")), None
-    if not counted:
-        first = pivots.groupBy("node").agg(F.min("pivot").alias("pivot"))
-        at_pivot = first.join(sets.where(F.size("large") > 0).select(F.col("key").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot")
-        own = rows.where("reference = node").select("key", "node").join(at_pivot, "node").join(sets.where(F.size("large") > 0).select("key", "grams"), "key")
-        shared = F.size(F.array_intersect("grams", "pivot_grams"))
-        near = shared * (1 + threshold) >= threshold * (F.size("grams") + F.size("pivot_grams")) - 1e-3 / 4
-        stars = staged(own.where(near).select("key", "node", "pivot"), "join-stars")
-        rows = rows.join(stars.select("key", "node", F.lit(True).alias("star")), ["key", "node"], "left")
-        settled = settled | F.coalesce("star", F.lit(False))
-        stars = stars.select("key", F.lit(0).cast("long").alias("links"), F.col("pivot").alias("other"))
-    rows = staged(rows.select("key", "node", "docs", "size", settled.alias("settled")), "join-roles")
-    sums = [F.sum(F.when(test, value).otherwise(0)).alias(name) for test, name, value in ((~F.col("settled"), "new", F.lit(1)), (~F.col("settled"), "new_grams", F.col("size")), (F.col("settled"), "old", F.lit(1)), (F.col("settled"), "old_grams", F.col("size")))]
-    nodes = rows.groupBy("node").agg(*sums).where("new > 0").select("node", _blocks("new", "new_grams").alias("first"), _blocks("old", "old_grams").alias("rest"))
+    first = staged(pivots.groupBy("node").agg(F.min("pivot").alias("pivot")), "join-pivots")
+    leads = first.join(reference, "node").select(F.col("pivot").alias("key"), F.col("reference").alias("node"))
+    held = sets.where(F.size("large") > 0).select("key", "grams")
+    at_pivot = first.join(held.select(F.col("key").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot")
+    asked = whole.select("key", F.col("main").alias("node")).unionByName(leads).join(at_pivot, "node").join(held, "key")
+    shared = F.size(F.array_intersect("grams", "pivot_grams"))
+    near = shared * (1 + threshold) >= threshold * (F.size("grams") + F.size("pivot_grams")) - 1e-3 / 4
+    stars = staged(asked.where(near).select("key", F.lit(0).cast("long").alias("links"), F.col("pivot").alias("other")), "join-stars")
+    known = _components(stars.where("key <> other").select("key", "other")).withColumnRenamed("label", "known")
+    rows = staged(whole.join(known, "key", "left").select("key", "size", "main", "known", F.inline("nodes")), "join-roles")
+    cells = rows.groupBy("node", "main", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    most = lambda of: F.struct(*(F.sum(c).over(Window.partitionBy("node", of)).alias(c) for c in ("n", "grams")), F.col(of).alias("of"))
+    cells = cells.select("node", "n", "grams", most("main").alias("met"), F.when(F.col("known").isNotNull(), most("known")).alias("alike"))
+    nodes = cells.groupBy("node").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max("met").alias("met"), F.max("alike").alias("alike"))
+    nodes = nodes.withColumn("met", F.when(F.col("met.of") != F.col("node"), F.col("met")))
+    settling = lambda of, c: F.coalesce(F.col(f"{of}.{c}"), F.lit(0))
+    by_class = F.lit(not counted) & (settling("alike", "n") >= settling("met", "n"))
+    old, old_grams = (F.when(by_class, settling("alike", c)).otherwise(settling("met", c)) for c in ("n", "grams"))
+    nodes = nodes.select("node", F.when(by_class, F.col("alike.of")).alias("class"), F.when(~by_class, F.col("met.of")).alias("reference"), old.alias("old"), old_grams.alias("old_grams"), (F.col("n") - old).alias("new"), (F.col("grams") - old_grams).alias("new_grams"))
+    nodes = nodes.where("new > 0").select("node", "class", "reference", _blocks("new", "new_grams").alias("first"), _blocks("old", "old_grams").alias("rest"))
+    rows = rows.join(nodes, "node").withColumn("settled", F.coalesce(F.col("known") == F.col("class"), F.col("main") == F.col("reference"), F.lit(False)))
     own = F.when(F.col("settled"), F.col("first") + F.pmod(F.xxhash64("key"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("key"), F.col("first")))
     upto = F.when(F.col("settled"), F.col("first")).otherwise(F.col("first") + F.col("rest"))
-    return rows.join(nodes, "node").select("key", "node", "docs", own.cast("int").alias("b"), upto.cast("int").alias("upto")), stars
+    return rows.select("key", "node", "docs", own.cast("int").alias("b"), upto.cast("int").alias("upto"), "known"), stars
 
 
-def _compared(placed: DataFrame | None, roles: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame:
+def _compared(placed: DataFrame | None, roles: DataFrame | None, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
     """``key, links, other``: for each node and document with links there, their number
-    and the key of one member of its group. ``placed`` and ``roles``: the nodes of documents
-    that were in large ones, besides their small ones."""
+    and the key of one member of its group, or its own key where ``roles`` knows that both
+    are of one class. ``placed`` and ``roles``: the nodes of documents that were in large
+    ones, besides their small ones. Without ``counted``, rows that join no classes are left out."""
     at = lambda node, docs, b, upto: F.struct((-docs).alias("order"), node.alias("node"), b.alias("b"), upto.alias("upto"))
     zero, one = F.lit(0), F.lit(1)
     small = F.transform("homes", lambda x: at(x, zero.cast("long"), zero, one))
-    rows = sets.where("size(large) = 0").select("key", "copies", "grams", small.alias("nodes"))
+    no_class = F.lit(None).cast("binary").alias("known")
+    rows = sets.where("size(large) = 0").select("key", "copies", "grams", no_class, small.alias("nodes"))
     if placed is not None:
-        more = placed.where("not whole").dropDuplicates(["node", "key"]).select("key", at(F.col("node"), zero.cast("long"), zero, one).alias("at"))
+        more = placed.where("not whole").dropDuplicates(["node", "key"]).select("key", at(F.col("node"), zero.cast("long"), zero, one).alias("at"), no_class)
         if roles is not None:
-            more = more.unionByName(roles.select("key", at(F.col("node"), F.col("docs"), F.col("b"), F.col("upto")).alias("at")))
-        held = sets.where("size(large) > 0").join(more.groupBy("key").agg(F.collect_list("at").alias("more")), "key", "left")
-        rows = rows.unionByName(held.select("key", "copies", "grams", F.concat(small, F.coalesce("more", F.array().cast(more.schema["at"].dataType.simpleString().join(("array<", ">"))))).alias("nodes")))
+            more = more.unionByName(roles.select("key", at(F.col("node"), F.col("docs"), F.col("b"), F.col("upto")).alias("at"), "known"))
+        held = sets.where("size(large) > 0").join(more.groupBy("key").agg(F.collect_list("at").alias("more"), F.max("known").alias("known")), "key", "left")
+        rows = rows.unionByName(held.select("key", "copies", "grams", "known", F.concat(small, F.coalesce("more", F.array().cast(more.schema["at"].dataType.simpleString().join(("array<", ">"))))).alias("nodes")))
     # Nodes left whole come first, the largest before the others, so that a reference comes before the nodes that refer to it.
-    rows = rows.select("key", "copies", "grams", F.sort_array("nodes").alias("nodes"))
-    rows = rows.select("key", "copies", "grams", F.transform("nodes", lambda x: x["node"]).alias("homes"), F.posexplode("nodes").alias("place", "at"))
+    rows = rows.select("key", "copies", "grams", "known", F.sort_array("nodes").alias("nodes"))
+    rows = rows.select("key", "copies", "grams", "known", F.transform("nodes", lambda x: x["node"]).alias("homes"), F.posexplode("nodes").alias("place", "at"))
     rows = rows.withColumn("x", F.explode(F.sequence(zero, F.col("at.upto") - 1)))
-    rows = rows.select(F.col("at.node").alias("node"), F.least("at.b", "x").alias("i"), F.greatest("at.b", "x").alias("j"), F.col("at.b").alias("b"), "key", "copies", "grams", F.slice("homes", one, F.col("place")).alias("earlier"))
+    rows = rows.select(F.col("at.node").alias("node"), F.least("at.b", "x").alias("i"), F.greatest("at.b", "x").alias("j"), F.col("at.b").alias("b"), "key", "copies", "grams", F.slice("homes", one, F.col("place")).alias("earlier"), "known")
     rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,33 +441,37 @@ def _compared(placed: DataFrame | None, roles: DataFrame | None, sets: DataFrame
         held: list[tuple] = []
         at: tuple | None = None
 
+        def add(row: tuple, n: int, low: tuple) -> None:
+            other = row[0] if row[5] is not None and row[5] == low[5] else low[0]
+            if n and counted or other != row[0]:
+                out.append((row[0], n, other))
+
         def close() -> None:
             _, i, j = at
             unique = list({r[0]: r for r in held}.values())
             if len(unique) < 2:
                 return
-            keys = [r[0] for r in unique]
             sets_ = [r[2] for r in unique]
             earlier = [r[3] for r in unique]
             if len(unique) == 2:
-                (ka, ca, a, _, ba), (kb, cb, b, _, bb) = unique
-                if (i == j or ba != bb) and _compare_pair(a, b, threshold):
+                x, y = unique
+                if (i == j or x[4] != y[4]) and _compare_pair(x[2], y[2], threshold):
                     first = not len(np.intersect1d(earlier[0], earlier[1], assume_unique=True))
-                    low = min(ka, kb)
-                    out.append((ka, cb if first else 0, low))
-                    out.append((kb, ca if first else 0, low))
+                    low = min(unique, key=lambda r: r[0])
+                    add(x, y[1] if first else 0, low)
+                    add(y, x[1] if first else 0, low)
                 return
             side = np.zeros(len(unique), np.int8) if i == j else np.array([r[4] == j for r in unique], np.int8)
             if i != j and (side.all() or not side.any()):
                 return
             n_links, group = compare(sets_, side, np.array([r[1] for r in unique], np.int64), earlier, threshold)
-            sizes = np.bincount(group, minlength=len(unique))
-            out.extend((keys[k], int(n_links[k]), keys[group[k]]) for k in range(len(unique)) if n_links[k] or sizes[group[k]] > 1)
+            for k, row in enumerate(unique):
+                add(row, int(n_links[k]), unique[group[k]])
 
         for batch in batches:
             nodes, i_, j_, b_ = (batch.column(k).to_numpy() for k in range(4))
             keys, copies = batch.column(4).to_pylist(), batch.column(5).to_numpy()
-            grams_, homes = batch.column(6), batch.column(7)
+            grams_, homes, known = batch.column(6), batch.column(7), batch.column(8).to_pylist()
             g_at, h_at = grams_.offsets.to_numpy(), homes.offsets.to_numpy()
             g_all, h_all = grams_.values.to_numpy().view(np.uint64), homes.values.to_numpy()
             for k in range(batch.num_rows):
@@ -469,7 +483,7 @@ def _compared(placed: DataFrame | None, roles: DataFrame | None, sets: DataFrame
                             yield _found(out)
                             out = []
                     at, held = here, []
-                held.append((keys[k], int(copies[k]), g_all[g_at[k] : g_at[k + 1]].copy(), h_all[h_at[k] : h_at[k + 1]].copy(), int(b_[k])))
+                held.append((keys[k], int(copies[k]), g_all[g_at[k] : g_at[k + 1]].copy(), h_all[h_at[k] : h_at[k + 1]].copy(), int(b_[k]), known[k]))
         if at is not None:
             close()
         if out:

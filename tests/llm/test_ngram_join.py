@@ -117,6 +117,41 @@ def test_a_large_group_and_a_common_passage(spark, monkeypatch):
     assert kept == sorted({r[1] for r in want})
 
 
+@pytest.mark.parametrize("method", ["keep_one", "links"])
+def test_rows_of_a_group_of_near_copies(spark, method, monkeypatch):
+    """Classes cost rows in proportion to a group, not one for each block that a document meets."""
+    monkeypatch.setattr(ngram_join, "NODE_DOCS", 25)
+    rng, m = random.Random(8), 300
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(4, 7)))
+    hub, texts = [word() for _ in range(160)], []
+    for _ in range(m):
+        copy = list(hub)
+        copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    met, edges = [], []
+    roles, components = ngram_join._roles, ngram_join._components
+
+    def counted_roles(*args):
+        rows, stars = roles(*args)
+        met.append(sum(r.upto for r in rows.select("upto").collect()))
+        return rows, stars
+
+    def counted_components(rows):
+        edges.append(rows.distinct().count())
+        return components(rows)
+
+    monkeypatch.setattr(ngram_join, "_roles", counted_roles)
+    monkeypatch.setattr(ngram_join, "_components", counted_components)
+    data = list(enumerate(texts))
+    rows = getattr(ngram_join, method)(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    if method == "keep_one":
+        assert [r.doc_id for r in rows] == [0]
+        assert max(met) <= m
+    else:
+        assert sorted(map(tuple, rows), key=str) == brute(data)
+    assert max(edges) <= 2 * m
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.links(df).count() == 0 == ngram_join.keep_one(df).count()
