@@ -8,8 +8,8 @@ the chance of fewer than two meetings, so pairs that meet but once need not be c
 documents that met others only once, and nodes of two that are the only one of theirs, go.
 Nodes of few documents are compared pair by pair, exactly. Larger ones are split again
 by n-grams sampled for that node, until they are small or stop shrinking. A node whose
-documents are linked to each other, as a sample of them shows, or stay together is
-compared in blocks; what its documents have met already in a larger node isn't compared
+documents are linked to each other or would stay together, as a sample of them shows
+before any row is made for the others, is compared in blocks; what its documents have met already in a larger node isn't compared
 again (``_roles``). A pair that meets in several nodes is counted in the first of them, so
 links are counted once although no list of pairs is ever made: each comparison gives, for
 each document, its number of links and one edge to its group.
@@ -292,9 +292,11 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     too large for one comparison), and ``node, pivot`` of such nodes; None without any.
 
     ``large``: ``key, size, node, docs, node_grams``. A node most of whose documents are linked
-    to each other, as a sample of them shows, or stay together in one child, is left
-    whole. The others are split; their children are compared if small and split again
-    if not, up to ``LEVELS`` times.
+    to each other or stay together in one child is left whole, and one whose children
+    would have as many pairs as it has. A sample of its documents shows that before rows
+    are made for all of them; what the sample missed is seen from the children. The
+    others are split; their children are compared if small and split again if not, up to
+    ``LEVELS`` times.
     """
     final = pivots = None
     add = lambda rows, more: more if rows is None else rows.unionByName(more)
@@ -319,7 +321,7 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
             some = some.join(sets.where(F.size("large") > 0).select("key", "grams"), "key").select("node", "key", "grams")
         probed = staged(_probed(some, threshold), "join-probed")
         pivots = add(pivots, probed.select("node", "pivot"))
-        dense = probed.where(F.col("share") >= DENSE_LINKS).select("node")
+        dense = probed.where((F.col("share") >= DENSE_LINKS) | (F.col("most") >= DENSE) | (F.col("pairs") >= 1)).select("node")
         final = add(final, ends(large.join(dense, "node", "left_semi"), True))
         large = large.join(dense, "node", "left_anti")
         asked = staged(large.groupBy("key").agg(F.collect_list("node").alias("parents")), "join-asked")
@@ -327,8 +329,8 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
         made = staged(made.dropDuplicates(["node", "key"]), "join-split")
         counts = made.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("docs"))
         parents = large.groupBy("node").agg(F.first("docs").alias("all")).withColumnRenamed("node", "parent")
-        parents = counts.groupBy("parent").agg(F.max("docs").alias("most")).join(parents, "parent", "right")
-        parents = staged(parents.withColumn("dense", F.coalesce(F.col("most") >= DENSE * F.col("all"), F.lit(False))), "join-dense")
+        parents = counts.groupBy("parent").agg(F.max("docs").alias("most"), F.sum(_pairs("docs")).alias("pairs")).join(parents, "parent", "right")
+        parents = staged(parents.withColumn("dense", F.coalesce((F.col("most") >= DENSE * F.col("all")) | (F.col("pairs") >= _pairs("all")), F.lit(False))), "join-dense")
         final = add(final, ends(large.join(parents.where("dense").select(F.col("parent").alias("node")), "node", "left_semi"), True))
         made_apart = made.join(parents.where("not dense").select("parent"), "parent", "left_semi").drop("parent")
         nodes = _homes(made_apart, threshold, 1).drop("times").withColumnRenamed("grams", "node_grams")
@@ -339,6 +341,10 @@ def _split_large(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     return add(final, ends(large, True)), pivots
 
 
+def _pairs(docs: str) -> Column:
+    return F.col(docs) * (F.col(docs) - 1)
+
+
 def _sampled(key: Column, node: Column, docs: Column, node_grams: Column) -> Column:
     """True for about ``PROBED`` documents of a node, or two at least of very long ones."""
     most = F.least(F.lit(PROBED), F.floor(F.lit(NODE_GRAMS) * docs / node_grams))
@@ -346,18 +352,24 @@ def _sampled(key: Column, node: Column, docs: Column, node_grams: Column) -> Col
 
 
 def _probed(some: DataFrame, threshold: float) -> DataFrame:
-    """``node, share, pivot`` from sampled ``node, key, grams``: the share of linked pairs
-    and the document with most links. What it says decides how a node is dealt with, not
-    what is found there."""
+    """``node, share, most, pairs, pivot`` from sampled ``node, key, grams``: the share of
+    linked pairs, of the documents that stay with another in the fullest child, of the
+    pairs that meet in children (more than 1 if they meet in several), and the document
+    with most links. What it says decides how a node is dealt with, not what is found
+    there."""
 
     def probe(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        linked = linked_pairs([g.values.to_numpy().view(np.uint64) for g in table.column("grams")], threshold)
-        links, m = linked.sum(axis=1), len(keys)
+        node, keys = table.column("node")[0].as_py(), table.column("key").to_pylist()
+        sets = [g.values.to_numpy().view(np.uint64) for g in table.column("grams")]
+        links, m = linked_pairs(sets, threshold).sum(axis=1), len(keys)
+        _, docs = np.unique(np.concatenate([child_nodes(g, node & (2**64 - 1), threshold) for g in sets]), return_counts=True)
+        all_pairs = max(m * (m - 1), 1)
+        most = float(docs.max(initial=1) - 1) / max(m - 1, 1)
         best = min(range(m), key=lambda k: (-links[k], keys[k]))
-        return pa.table({"node": table.column("node").slice(0, 1), "share": pa.array([float(links.sum()) / max(m * (m - 1), 1)]), "pivot": pa.array([keys[best]], pa.binary())})
+        shares = {"share": float(links.sum()) / all_pairs, "most": most, "pairs": float((docs * (docs - 1)).sum()) / all_pairs}
+        return pa.table({"node": pa.array([node]), **{k: pa.array([v]) for k, v in shares.items()}, "pivot": pa.array([keys[best]], pa.binary())})
 
-    return some.groupBy("node").applyInArrow(probe, "node long, share double, pivot binary")
+    return some.groupBy("node").applyInArrow(probe, "node long, share double, most double, pairs double, pivot binary")
 
 
 def _blocks(docs: str, grams_: str):

@@ -152,6 +152,38 @@ def test_rows_of_a_group_of_near_copies(spark, method, monkeypatch):
     assert max(edges) <= 2 * m
 
 
+@pytest.mark.parametrize("method", ["keep_one", "links"])
+def test_a_group_that_stays_together_is_not_split(spark, method, monkeypatch):
+    """Near copies of one text that are seldom linked to each other: no document is dealt to children of nodes that are left whole."""
+    monkeypatch.setattr(ngram_join, "NODE_DOCS", 25)
+    rng, m = random.Random(9), 300
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(4, 7)))
+    hub, texts = [word() for _ in range(160)], []
+    for _ in range(m):
+        copy = list(hub)
+        for at in rng.sample(range(160), 2):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    made, staged = [], ngram_join.staged
+
+    def counted(rows, name):
+        out = staged(rows, name)
+        if name == "join-split":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    data = list(enumerate(texts))
+    want = brute(data)
+    assert 0 < sum(r[3] for r in want) < m * m / 2
+    rows = getattr(ngram_join, method)(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    if method == "links":
+        assert sorted(map(tuple, rows), key=str) == want
+    else:
+        assert sorted(r.doc_id for r in rows) == sorted({r[1] for r in want})
+    assert sum(made) <= m
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.links(df).count() == 0 == ngram_join.keep_one(df).count()
