@@ -56,6 +56,17 @@ def space_word_count(c: Column) -> Column:
     return F.when(trim(c) == "", F.lit(0)).otherwise(F.size(F.split(trim(c), f"{SPACE}+"))).cast("long")
 
 
+#: White space as ``\s`` in DuckDB's patterns, and the blanks that its ``trim`` takes off.
+ASCII_SPACE = r"[\t\n\f\r ]"
+TRIMMED = " \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def ascii_space_word_count(c: Column) -> Column:
+    """Pieces between runs of ASCII white space, blanks of any kind at the ends left out; an empty text is one piece."""
+    spaced = F.trim(F.regexp_replace(c, f"{ASCII_SPACE}+", " "), F.lit(TRIMMED))
+    return F.array_size(F.split(spaced, " ")).cast("long")
+
+
 def nontrivial(c: Column) -> Column:
     """Eight letters or two words; the eighth letter ends the search."""
     return c.rlike(r"\A(?:\P{L}*+\p{L}){8}") | (word_count(c) >= 2)

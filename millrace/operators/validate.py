@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import space_word_count
+
 
 def _without(fields: Column, layer: Column) -> Column:
     return F.map_filter(fields, lambda k, v: ~F.map_contains_key(layer, k))
@@ -106,8 +110,7 @@ def source_problems(shards: DataFrame, sources: DataFrame) -> DataFrame:
     return df.select("shard_id", reason.alias("reason")).where("reason is not null")
 
 
-def longform_problems(outputs: DataFrame, key: str, text: str, minimum: int) -> DataFrame:
-    from ..functions.text import space_word_count
-
-    df = outputs.withColumn("words", space_word_count(F.col(text))).where((F.lit(minimum) > 0) & (F.col("words") < minimum))
+def longform_problems(outputs: DataFrame, key: str, text: str, minimum: int, count: Callable[[Column], Column] = space_word_count) -> DataFrame:
+    """``key, words, blocker`` of texts with fewer words than ``minimum``, as ``count`` finds them."""
+    df = outputs.withColumn("words", count(F.col(text))).where((F.lit(minimum) > 0) & (F.col("words") < minimum))
     return df.select(key, "words", F.concat(F.lit("minimum_words_not_met:"), F.col("words").cast("string"), F.lit(f":{minimum}")).alias("blocker"))
