@@ -208,6 +208,7 @@ def memory_source(c: Column) -> Column:
 
 
 MAX_JSON_DEPTH = 200
+_quoted = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def _number(x: float | int) -> str:
@@ -238,7 +239,7 @@ def canonical_json(value, depth: int = 0) -> str:
     if isinstance(value, int | float):
         return _number(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _quoted(value)
     if isinstance(value, list | tuple):
         return "[" + ",".join(canonical_json(x, depth + 1) for x in value) + "]"
     keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
